@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketmood.functions.dates import day
+from marketmood.operators.common import attach_row
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -93,7 +94,7 @@ def histogram(df: DataFrame, c: str, bins: int = 50, by: str | None = None) -> D
     """
     x = F.col(c).cast("double")
     bounds = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    d = df.filter(x.isNotNull() & ~F.isnan(x)).join(F.broadcast(bounds), how="inner")
+    d = attach_row(df.filter(x.isNotNull() & ~F.isnan(x)), bounds)
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1))).cast("bigint")

@@ -463,6 +463,10 @@ def w13_with_position(spark, sf_dir):
     return ind.with_position(FX.prices(spark, sf_dir)).select("symbol", "date", "pos")
 
 
+# Later phases register into the same tables.
+from marketmood.plans import catalog_series as _series  # noqa: E402,F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

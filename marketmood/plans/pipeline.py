@@ -56,3 +56,45 @@ def feature_table(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None
     sent = daily_sentiment(scored_posts(spark, sf_dir, lex))
     joined = join_daily(sent, fixtures.prices(spark, sf_dir))
     return ind.technical_indicators(joined, "close", keep_std=keep_std)
+
+
+# Feature order of the forecaster's input rows.
+FEATURES = ["compound", "open", "close", "high", "low", "volume", "ma7", "ma20", "macd",
+            "upper_band", "lower_band", "ema", "log_momentum"]
+
+
+def prepared_series(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None,
+                    warmup: int = 20, features=None) -> DataFrame:
+    """M9 first half: indicators -> warm-up drop (F5) -> forward fill (W9), unscaled."""
+    from marketmood.operators.filters import drop_warmup
+    features = features or FEATURES
+    d = drop_warmup(feature_table(spark, sf_dir, lex), warmup)
+    d = ind.forward_fill(d, features)
+    return d.withColumn("target", F.col("close"))
+
+
+def build_dataset(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None,
+                  length: int = 5, horizon: int = 1, n_test: int = 20, warmup: int = 20,
+                  features=None) -> DataFrame:
+    """M9: the supervised dataset of every symbol in one lazy plan.
+
+    J1 -> W1..W7 -> F5 -> W9 -> N1/N2/N3 (per-symbol min/max over all rows,
+    range (-1, 1)) -> W10 -> W11. Rows: ``symbol, sample, start_date,
+    target_date, x, y, yc, y_dates, split``. All window steps are partitioned by
+    symbol over a daily series, so they share one exchange.
+    """
+    from marketmood.operators.scaling import scale_over_series
+    from marketmood.operators.sequences import make_sequences, split_last
+    features = features or FEATURES
+    d = prepared_series(spark, sf_dir, lex, warmup, features)
+    d = scale_over_series(d, features + ["target"])
+    seq = make_sequences(d, features, "target", length, horizon)
+    return split_last(seq, n_test)
+
+
+def dataset_scaler(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None,
+                   warmup: int = 20, features=None) -> DataFrame:
+    """N1 table of :func:`build_dataset` (for persistence and inverse transforms)."""
+    from marketmood.operators.scaling import fit_minmax
+    features = features or FEATURES
+    return fit_minmax(prepared_series(spark, sf_dir, lex, warmup, features), features + ["target"])
