@@ -465,6 +465,7 @@ def w13_with_position(spark, sf_dir):
 
 # Later phases register into the same tables.
 from marketmood.plans import catalog_series as _series  # noqa: E402,F401
+from marketmood.plans import catalog_ml as _ml  # noqa: E402,F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
