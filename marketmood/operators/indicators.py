@@ -109,8 +109,11 @@ def ema_adjusted(df: DataFrame, c: str, com: float | None = None, span: float |
     rn = "_ema_rn"
     elem = F.struct(F.col(rn).alias("r"), F.col(c).cast("double").alias("x"))
     lst = F.collect_list(elem).over(w.rowsBetween(-k, 0))
-    num = F.aggregate(lst, F.lit(0.0), lambda acc, e: acc + F.pow(F.lit(q), (F.col(rn) - e["r"]).cast("double")) * e["x"])
-    den = F.aggregate(lst, F.lit(0.0), lambda acc, e: acc + F.pow(F.lit(q), (F.col(rn) - e["r"]).cast("double")))
+    def weight(e):
+        return F.pow(F.lit(q), (F.col(rn) - e["r"]).cast("double"))
+
+    num = F.aggregate(lst, F.lit(0.0), lambda acc, e: F.when(e["x"].isNull(), acc).otherwise(acc + weight(e) * e["x"]))
+    den = F.aggregate(lst, F.lit(0.0), lambda acc, e: F.when(e["x"].isNull(), acc).otherwise(acc + weight(e)))
     return (df.withColumn(rn, F.row_number().over(w))
             .withColumn(out, F.when(den > 0, num / den)).drop(rn))
 
