@@ -58,8 +58,9 @@ def word_tokens(c) -> Column:
 
 def drop_stopwords(tokens, words=STOP_WORDS) -> Column:
     """T4: keep tokens not in the stop-word list (order preserved)."""
-    stop = F.array(*[F.lit(w) for w in words])
-    return F.filter(_c(tokens), lambda t: ~F.array_contains(stop, t))
+    # ``isin`` over many literals is planned as a hash-set lookup (InSet).
+    words = list(words)
+    return F.filter(_c(tokens), lambda t: ~t.isin(words))
 
 
 def clean_text(c, words=STOP_WORDS) -> Column:

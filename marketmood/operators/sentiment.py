@@ -29,6 +29,7 @@ from marketmood.operators.common import bounded_broadcast
 # --- fixed values -----------------------------------------------------------
 # ASCII punctuation (the same 32 characters as Python's string.punctuation).
 PUNCT_CLASS = "[!-/:-@\\[-`{-~]"
+PUNCT_CHARS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Whitespace separating tokens.
 WS_PATTERN = "[\\t\\n\\x0B\\f\\r ]+"
 # Method constants.
@@ -60,7 +61,7 @@ def vader_tokens(text: Column) -> Column:
     raw = F.filter(F.split(text, WS_PATTERN), lambda t: t != F.lit(""))
 
     def strip(t):
-        s = F.regexp_replace(t, f"^{PUNCT_CLASS}+|{PUNCT_CLASS}+$", "")
+        s = F.btrim(t, F.lit(PUNCT_CHARS))
         return F.when(F.length(s) <= 2, t).otherwise(s)
 
     return F.transform(raw, strip)
@@ -90,6 +91,17 @@ def _lookup(key: Column, table: dict) -> Column:
     return F.coalesce(F.try_element_at(m, key), F.lit(0.0))
 
 
+# Lexicons up to this many entries are also matched in-row (hash-set lookup).
+IN_ROW_LEXICON_MAX = 50_000
+
+
+def _small_key_set(lex: DataFrame):
+    """Lexicon tokens as a list when the table provably holds at most
+    ``IN_ROW_LEXICON_MAX`` rows (a bounded read of a dimension table), else None."""
+    keys = [r[0] for r in lex.select("token").limit(IN_ROW_LEXICON_MAX + 1).collect()]
+    return keys if len(keys) <= IN_ROW_LEXICON_MAX else None
+
+
 def _negated(word: Column, negations) -> Column:
     lw = F.lower(word)
     return lw.isin(list(negations)) | F.contains(lw, F.lit("n't"))
@@ -119,25 +131,52 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         emphasis(F.col("_text")).alias("_amp"),
     ).withColumn("_capdiff", (F.col("_ncaps") > 0) & (F.col("_ncaps") < F.col("_n")))
 
-    def item(t, i):
-        return F.struct(i.alias("i"), t.alias("tok"),
+    per = per.withColumn("_ltoks", F.transform("_toks", F.lower))
+    lexb = bounded_broadcast(lex.select(F.col("token").alias("_lk"), F.col("valence").alias("_val")))
+    keys = _small_key_set(lex)
+    none = F.lit(None).cast("string")
+    nob = F.lit(None).cast("boolean")
+    # One generator per text: a header row (i = -1, carries the per-text
+    # scalars) followed by one row per candidate token.
+    header = F.array(F.struct(F.lit(-1).alias("i"), none.alias("tok"), none.alias("p1"), none.alias("p2"),
+                              none.alias("p3"), none.alias("nx"), nob.alias("k1"), nob.alias("k2"),
+                              nob.alias("k3")))
+    item_type = ("array<struct<i:int,tok:string,p1:string,p2:string,p3:string,nx:string,"
+                 "k1:boolean,k2:boolean,k3:boolean>>")
+
+    def item(i):
+        def prev_in_lex(d):
+            return F.get(F.col("_ltoks"), i - d).isin(keys) if keys is not None else nob
+        return F.struct(i.alias("i"), F.get(F.col("_toks"), i).alias("tok"),
                         F.get(F.col("_toks"), i - 1).alias("p1"),
                         F.get(F.col("_toks"), i - 2).alias("p2"),
                         F.get(F.col("_toks"), i - 3).alias("p3"),
-                        F.get(F.col("_toks"), i + 1).alias("nx"))
-
-    items = per.select("_id", "_capdiff", "_bi",
-                       F.explode(F.transform("_toks", item)).alias("_it")).select(
-        "_id", "_capdiff", "_bi", "_it.*")
-
-    lexb = bounded_broadcast(lex.select(F.col("token").alias("_lk"), F.col("valence").alias("_val")))
-    keys = lexb.select("_lk")
-    hits = items.join(lexb, F.lower("tok") == F.col("_lk"))
-    for d in (1, 2, 3):
-        hits = hits.join(keys.select(F.col("_lk").alias(f"_k{d}")),
-                         F.lower(F.col(f"p{d}")) == F.col(f"_k{d}"), "left")
-    hits = hits.filter(~F.lower("tok").isin(list(boosters)) if boosters else F.lit(True))
-    hits = hits.filter(~((F.lower("tok") == "kind") & (F.lower(F.coalesce("nx", F.lit(""))) == "of")))
+                        F.get(F.col("_toks"), i + 1).alias("nx"),
+                        prev_in_lex(1).alias("k1"), prev_in_lex(2).alias("k2"), prev_in_lex(3).alias("k3"))
+
+    positions = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
+    if keys is not None:
+        # Small lexicon: find hit positions in-row with a hash-set lookup, so
+        # only lexicon hits are materialised and exploded.
+        positions = F.filter(positions, lambda i: F.get(F.col("_ltoks"), i).isin(keys))
+    token_items = F.coalesce(F.transform(positions, item), F.array().cast(item_type))
+    items = (per.select("_id", "_n", "_amp", "_capdiff", "_bi",
+                        F.explode(F.concat(header, token_items)).alias("_it"))
+             .select("_id", "_n", "_amp", "_capdiff", "_bi", "_it.*"))
+
+    hits = items.join(lexb, F.lower("tok") == F.col("_lk"), "left")
+    hits = hits.filter((F.col("i") < 0) | F.col("_lk").isNotNull())
+    if keys is None:
+        # Large lexicon: membership of the preceding tokens via broadcast joins.
+        lk = lexb.select("_lk")
+        for d in (1, 2, 3):
+            hits = (hits.drop(f"k{d}")
+                    .join(lk.select(F.col("_lk").alias(f"_k{d}")), F.lower(F.col(f"p{d}")) == F.col(f"_k{d}"), "left")
+                    .withColumn(f"k{d}", F.col(f"_k{d}").isNotNull()).drop(f"_k{d}"))
+    is_hit = F.col("i") >= 0
+    skip = F.lower("tok").isin(list(boosters)) if boosters else F.lit(False)
+    skip = skip | ((F.lower("tok") == "kind") & (F.lower(F.coalesce("nx", F.lit(""))) == "of"))
+    hits = hits.filter(~is_hit | ~skip)
 
     capdiff = F.col("_capdiff")
     v = F.col("_val")
@@ -147,7 +186,7 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     for d in (1, 2, 3):
         p = F.col(f"p{d}")
         cur = F.col("_v")
-        applies = p.isNotNull() & F.col(f"_k{d}").isNull()
+        applies = p.isNotNull() & ~F.coalesce(F.col(f"k{d}"), F.lit(False))
         b = _lookup(F.lower(p), boosters)
         scalar = F.when(b != 0, F.when(cur < 0, -b).otherwise(b)
                         + F.when(is_upper(p) & capdiff,
@@ -157,7 +196,7 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
                                .otherwise(cur))
         hits = hits.withColumn("_v", F.when(applies & _negated(p, negations),
                                             F.col("_v") * F.lit(N_SCALAR)).otherwise(F.col("_v")))
-    least = ((F.lower("p1") == "least") & F.col("_k1").isNull()
+    least = ((F.lower("p1") == "least") & ~F.coalesce(F.col("k1"), F.lit(False))
              & (F.col("p2").isNull() | ~F.lower(F.coalesce("p2", F.lit(""))).isin("at", "very")))
     hits = hits.withColumn("_v", F.when(least, F.col("_v") * F.lit(N_SCALAR)).otherwise(F.col("_v")))
     bi = F.col("_bi")
@@ -165,13 +204,9 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
                            .when((bi >= 0) & (F.col("i") > bi), F.col("_v") * F.lit(BUT_AFTER))
                            .otherwise(F.col("_v")))
 
-    header = per.select("_id", F.col("_n").alias("n"), F.col("_amp").alias("amp"),
-                        F.lit(None).cast("double").alias("v"))
-    hitrows = hits.select("_id", F.lit(None).cast("int").alias("n"),
-                          F.lit(None).cast("double").alias("amp"), F.col("_v").alias("v"))
-    vcol = F.col("v")
-    agg = header.unionByName(hitrows).groupBy("_id").agg(
-        F.max("n").alias("n"), F.max("amp").alias("amp"),
+    vcol = F.when(is_hit, F.col("_v"))
+    agg = hits.groupBy("_id").agg(
+        F.max("_n").alias("n"), F.max("_amp").alias("amp"),
         F.sum(vcol).alias("s"),
         F.sum(F.when(vcol > 0, vcol + 1)).alias("ps"),
         F.sum(F.when(vcol < 0, vcol - 1)).alias("ns"),

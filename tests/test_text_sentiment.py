@@ -102,3 +102,14 @@ def test_scoring_is_partition_invariant(spark):
     a = score_sentiment(docs, lex=FX.lexicon(spark)).orderBy("doc_id").collect()
     b = score_sentiment(docs.repartition(13), lex=FX.lexicon(spark)).orderBy("doc_id").collect()
     assert a == b and len(a) == docs.count()
+
+
+def test_join_fallback_equals_in_row_path(spark, monkeypatch):
+    from marketmood.operators import sentiment as S
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(1, "NOT best but no idiot!! least trash, very BEST")], "doc_id long, text string")
+    docs = docs.unionByName(extra.withColumn("doc_id", F.lit(10 ** 9)))
+    a = score_sentiment(docs, lex=FX.lexicon(spark)).orderBy("doc_id").collect()
+    monkeypatch.setattr(S, "IN_ROW_LEXICON_MAX", 0)
+    b = score_sentiment(docs, lex=FX.lexicon(spark)).orderBy("doc_id").collect()
+    assert a == b
