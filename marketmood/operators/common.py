@@ -34,3 +34,17 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     k = "_attach_key"
     return (df.withColumn(k, F.lit(1))
             .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, "left").drop(k))
+
+
+def ensure_parallelism(df: DataFrame, key: str | None = None, target: int | None = None) -> DataFrame:
+    """Spread a CPU-heavy stage over the cluster when its input has too few partitions.
+
+    A scan of one large row group yields one busy task; then the rows are
+    hash-partitioned by ``key`` (a later ``groupBy(key)`` reuses that
+    partitioning, so no second exchange). Inputs already split into at least
+    ``target`` partitions (the normal case at scale) are returned unchanged.
+    """
+    target = target or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)

@@ -53,29 +53,36 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     def ratio(a, b):
         return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
-    rows = []
-    for k, name in zip(classes, names):
-        prec = ratio(F.col(f"tp{k}"), F.col(f"np{k}"))
-        rec = ratio(F.col(f"tp{k}"), F.col(f"sup{k}"))
-        f1 = ratio(2 * prec * rec, prec + rec)
-        rows.append(F.struct(F.lit(name).alias("class"), prec.alias("precision"), rec.alias("recall"),
-                             f1.alias("f1"), F.col(f"sup{k}").cast("bigint").alias("support")))
-    t = tot.select(F.explode(F.array(*rows)).alias("r"), "n", "ok").select("r.*", "n", "ok")
-    acc = t.groupBy().agg(F.first("n").alias("n"), F.first("ok").alias("ok"),
-                          F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                          F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                          F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                          F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    accr = ratio(F.col("ok"), F.col("n"))
-    extra = acc.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("class"), accr.alias("precision"), accr.alias("recall"),
-                 accr.alias("f1"), F.col("n").cast("bigint").alias("support")),
-        F.struct(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                 F.col("mf").alias("f1"), F.col("n").cast("bigint").alias("support")),
-        F.struct(F.lit("weighted avg").alias("class"), ratio(F.col("wp"), F.col("n")).alias("precision"),
-                 ratio(F.col("wr"), F.col("n")).alias("recall"), ratio(F.col("wf"), F.col("n")).alias("f1"),
-                 F.col("n").cast("bigint").alias("support")))).alias("r")).select("r.*")
-    return t.select("class", "precision", "recall", "f1", "support").unionByName(extra)
+    # Everything below is derived from the single row ``tot`` in one projection,
+    # so the (possibly expensive) input is aggregated exactly once.
+    n = F.col("n")
+    prec = {k: ratio(F.col(f"tp{k}"), F.col(f"np{k}")) for k in classes}
+    rec = {k: ratio(F.col(f"tp{k}"), F.col(f"sup{k}")) for k in classes}
+    f1 = {k: ratio(2 * prec[k] * rec[k], prec[k] + rec[k]) for k in classes}
+    sup = {k: F.col(f"sup{k}") for k in classes}
+
+    def mean(d):
+        out = F.lit(0.0)
+        for k in classes:
+            out = out + d[k]
+        return out / F.lit(float(len(classes)))
+
+    def weighted(d):
+        out = F.lit(0.0)
+        for k in classes:
+            out = out + d[k] * sup[k]
+        return ratio(out, n)
+
+    def row(name, p, r, f, s):
+        return F.struct(F.lit(name).alias("class"), p.alias("precision"), r.alias("recall"),
+                        f.alias("f1"), s.cast("bigint").alias("support"))
+
+    acc = ratio(F.col("ok"), n)
+    rows = [row(name, prec[k], rec[k], f1[k], sup[k]) for k, name in zip(classes, names)]
+    rows += [row("accuracy", acc, acc, acc, n),
+             row("macro avg", mean(prec), mean(rec), mean(f1), n),
+             row("weighted avg", weighted(prec), weighted(rec), weighted(f1), n)]
+    return tot.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def persistence_forecast(seq: DataFrame, horizon: int = 1) -> DataFrame:
@@ -84,13 +91,15 @@ def persistence_forecast(seq: DataFrame, horizon: int = 1) -> DataFrame:
 
 
 def evaluate_forecast(pred: DataFrame, keys=("symbol", "split")) -> DataFrame:
-    """Average overlapping predictions and real values per target date, pair them
-    (full outer join on date) and report RMSE per ``keys``.
+    """Average overlapping predictions and real values per target date, pair
+    them by date and report RMSE per ``keys``.
 
     ``pred`` carries ``y`` (real), ``pred`` (predicted) and ``y_dates`` arrays
-    in price units.
+    in price units. Both averages come from one explode and one aggregation
+    (they share the target dates), so the input is read once.
     """
-    p = mean_by_target_date(pred, "pred", keys=keys, out="predicted")
-    r = mean_by_target_date(pred, "y", keys=keys, out="real")
-    both = p.join(r, [*keys, "date"], "full")
-    return rmse(both, "predicted", "real", by=keys)
+    z = pred.select(*keys, F.explode(F.arrays_zip(F.col("y_dates").alias("d"), F.col("pred").alias("p"),
+                                                  F.col("y").alias("r"))).alias("z"))
+    by_date = z.groupBy(*keys, F.col("z.d").alias("date")).agg(
+        F.avg("z.p").alias("predicted"), F.avg("z.r").alias("real"))
+    return rmse(by_date, "predicted", "real", by=keys)

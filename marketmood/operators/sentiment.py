@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from marketmood.functions.numeric import round_half_up
 from marketmood.functions.text import nfkd
-from marketmood.operators.common import bounded_broadcast
+from marketmood.operators.common import bounded_broadcast, ensure_parallelism
 
 # --- fixed values -----------------------------------------------------------
 # ASCII punctuation (the same 32 characters as Python's string.punctuation).
@@ -118,22 +118,23 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     if lex is None:
         raise ValueError("a lexicon table (token, valence) is required")
     boosters = BOOSTERS if boosters is None else boosters
-    text = F.col(text_col)
+    base = ensure_parallelism(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id")
     if normalize:
-        text = nfkd(text)
-    base = df.select(F.col(id_col).alias("_id"), text.alias("_text"))
+        base = base.withColumn("_text", nfkd(F.col("_text")))
     toks = base.select("_id", "_text", vader_tokens(F.col("_text")).alias("_toks"))
     per = toks.select(
         "_id", "_toks",
         F.size("_toks").alias("_n"),
         F.size(F.filter("_toks", is_upper)).alias("_ncaps"),
-        (F.array_position(F.transform("_toks", F.lower), "but") - 1).alias("_bi"),
         emphasis(F.col("_text")).alias("_amp"),
     ).withColumn("_capdiff", (F.col("_ncaps") > 0) & (F.col("_ncaps") < F.col("_n")))
 
     per = per.withColumn("_ltoks", F.transform("_toks", F.lower))
-    lexb = bounded_broadcast(lex.select(F.col("token").alias("_lk"), F.col("valence").alias("_val")))
+    per = per.withColumn("_bi", F.array_position("_ltoks", "but") - 1)
     keys = _small_key_set(lex)
+    lexv = lex.select(F.col("token").alias("_lk"), F.col("valence").alias("_val"))
+    # A lexicon that fits the in-row set is small by construction; otherwise check its size.
+    lexb = F.broadcast(lexv) if keys is not None else bounded_broadcast(lexv)
     none = F.lit(None).cast("string")
     nob = F.lit(None).cast("boolean")
     # One generator per text: a header row (i = -1, carries the per-text

@@ -23,7 +23,7 @@ from marketmood.operators import rollups as R
 from marketmood.plans import oracle_sql as O
 from marketmood.plans import pipeline as P
 from marketmood.sources import fixtures as FX
-from marketmood.sources.readers import read_table
+from marketmood.sources.readers import read_table, read_text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -188,7 +188,7 @@ FROM h GROUP BY {byc}bin, lo, hi"""
 @register("a9_histogram_text_length", "WITH docs AS (SELECT CAST(length(text) AS DOUBLE) AS text_length FROM documents),\n"
           + _hist_sql("docs", "text_length", 50))
 def a9_histogram_text_length(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select(TX.text_length("text").cast("double").alias("text_length"))
+    d = read_text_table(spark, sf_dir, "documents", "doc_id").select(TX.text_length("text").cast("double").alias("text_length"))
     return rounded(R.histogram(d, "text_length", 50))
 
 
@@ -301,7 +301,7 @@ def j1_join_daily(spark, sf_dir):
 SELECT doc_id, regexp_replace(text, 'http\\S+', '', 'g') AS stripped FROM documents
 """)
 def t1_strip_urls(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", TX.strip_urls("text").alias("stripped"))
 
 
@@ -310,7 +310,7 @@ SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS to
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS t FROM documents)
 """)
 def t2_word_tokens(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", TX.word_tokens("text").alias("t"))
+    d = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", TX.word_tokens("text").alias("t"))
     return d.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -321,7 +321,7 @@ FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(regexp_replace(text, '
                                  lambda t: NOT list_contains({O.STOP_LIST}, t)) AS k FROM documents)
 """)
 def t4_drop_stopwords(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents", "doc_id")
     k = TX.drop_stopwords(TX.word_tokens(TX.strip_urls("text")))
     return d.select("doc_id", k.alias("k")).select(
         "doc_id", F.size("k").cast("bigint").alias("n_kept"), F.array_join("k", " ").alias("kept"))
@@ -336,7 +336,7 @@ SELECT doc_id, array_to_string(list_transform(
 FROM documents
 """)
 def t5_clean_text(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", TX.clean_text("text").alias("cleaned_text"))
 
 
@@ -344,7 +344,7 @@ def t5_clean_text(spark, sf_dir):
 SELECT doc_id, CAST(length(text) AS BIGINT) AS text_length FROM documents
 """)
 def t9_text_length(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", TX.text_length("text").alias("text_length"))
+    return read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", TX.text_length("text").alias("text_length"))
 
 
 @register("t10_sign_category", W("scores") + """
@@ -377,7 +377,7 @@ def t12_decode_label(spark, sf_dir):
 
 @register("t7_nfkd")
 def t7_nfkd(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", TX.text_length(TX.nfkd("text")).alias("nfkd_length"))
 
 

@@ -20,7 +20,7 @@ from marketmood.plans.catalog import W, r, register, rounded
 from marketmood.plans.oracle_sql import LEMMA_CTE, STOP_LIST
 from marketmood.session import checkpoint_dir
 from marketmood.sources import fixtures as FX
-from marketmood.sources.readers import read_table
+from marketmood.sources.readers import read_table, read_text_table
 
 TOKEN_RE = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]"
 KEPT_SQL = f"""k AS (SELECT doc_id, list_filter(regexp_extract_all(lower(regexp_replace(text, 'http\\S+', '', 'g')),
@@ -31,12 +31,12 @@ v AS (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS BI
 
 
 def _kept(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", TX.drop_stopwords(TX.word_tokens(TX.strip_urls("text"))).alias("tokens"))
 
 
 def _words(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", TX.word_tokens("text").alias("tokens"))
 
 
@@ -106,7 +106,7 @@ def k3_head_per_symbol(spark, sf_dir):
 
 # ---------------------------------------------------------------- classifier (rows-only checks)
 def _labelled_docs(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     scores = P.document_scores(spark, sf_dir).select("doc_id", TX.threshold_label("compound").alias("label"))
     return SQ.hash_split(docs.join(scores, "doc_id"), "doc_id", 0.2, 42)
 

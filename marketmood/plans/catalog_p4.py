@@ -8,7 +8,7 @@ from marketmood.operators import redact as RD
 from marketmood.plans import pipeline as P
 from marketmood.plans.catalog import W, r, register, rounded
 from marketmood.plans.oracle_sql import q
-from marketmood.sources.readers import read_table
+from marketmood.sources.readers import read_table, read_text_table
 from marketmood.streaming import live as LV
 
 # --- fixed values -----------------------------------------------------------
@@ -34,7 +34,7 @@ NAME_RE = "^[a-zA-Z]+://([^?#]*)"
 
 
 def _pages(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
+    p = read_text_table(spark, sf_dir, "pages", "page_id")
     return p.select("page_id", F.regexp_extract("url", NAME_RE, 1).alias("name"),
                     F.octet_length("html").cast("bigint").alias("size"), "html")
 
@@ -52,7 +52,7 @@ def _redact_sql():
 
 @register("g1_redact", _redact_sql())
 def g1_redact(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", RD.redact("text", REDACTION_RULES).alias("redacted"))
 
 
@@ -61,7 +61,7 @@ SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents
 WHERE strlen(text) <= {MAX_DOC_BYTES} AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
 """)
 def g2_strip_items(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents", "doc_id")
     toxic = read_table(spark, sf_dir, "labels").filter(F.col("toxic") == 1)
     kept = RD.strip_items(d, "text", MAX_DOC_BYTES, toxic, "doc_id")
     return kept.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"))
@@ -88,7 +88,7 @@ SELECT d.content_id, d.name, d.size, c.n_names
 FROM d JOIN (SELECT content_id, count(*) AS n_names FROM d GROUP BY 1) c ON d.content_id = c.content_id
 """)
 def g5_content_groups(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents", "doc_id")
     return RD.content_groups(d, "doc_id", "text")
 
 

@@ -10,12 +10,12 @@ from marketmood.operators import indicators as ind
 from marketmood.operators.joins import join_daily
 from marketmood.operators.sentiment import score_sentiment
 from marketmood.sources import fixtures
-from marketmood.sources.readers import read_table
+from marketmood.sources.readers import read_table, read_text_table
 
 
 def document_scores(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None) -> DataFrame:
     """Score every document once: ``(doc_id, neg, neu, pos, compound)``."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     return score_sentiment(docs, "text", "doc_id", lex if lex is not None else fixtures.lexicon(spark))
 
 

@@ -14,6 +14,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A text-heavy table, spread over the cluster's cores when the scan yields
+    too few partitions (see ``ensure_parallelism``)."""
+    from marketmood.operators.common import ensure_parallelism
+    return ensure_parallelism(read_table(spark, sf_dir, name), key)
+
+
 def read_posts(spark: SparkSession, path: str, fmt: str = "csv", scored: bool = False) -> DataFrame:
     """Posts as ``(ts, text, symbol, company[, cleaned_text, text_length, compound])``.
 
