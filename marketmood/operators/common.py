@@ -25,17 +25,6 @@ def require_columns(df: DataFrame, cols) -> None:
         raise ValueError(f"missing columns: {missing}; have {df.columns}")
 
 
-def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a single-row aggregate to every row of ``df``.
-
-    The one-row side is broadcast (its size is fixed at one row) and joined on
-    a constant key, so the large side is never shuffled.
-    """
-    k = "_attach_key"
-    return (df.withColumn(k, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, "left").drop(k))
-
-
 def ensure_parallelism(df: DataFrame, key: str | None = None, target: int | None = None) -> DataFrame:
     """Spread a CPU-heavy stage over the cluster when its input has too few partitions.
 

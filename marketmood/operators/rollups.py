@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketmood.functions.dates import day
-from marketmood.operators.common import attach_row
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -88,22 +87,21 @@ def describe_numeric(df: DataFrame, cols) -> DataFrame:
 def histogram(df: DataFrame, c: str, bins: int = 50, by: str | None = None) -> DataFrame:
     """Equal-width histogram ``([by,] bin, lo, hi, n)``.
 
-    Bounds come from a global min/max (one tiny aggregate joined back as a
-    single broadcast row); the last bin is closed on the right. Only non-empty
-    bins are returned.
+    Bounds come from a global min/max (a scalar subquery); the last bin is
+    closed on the right. Only non-empty bins are returned.
     """
     x = F.col(c).cast("double")
-    bounds = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    d = attach_row(df.filter(x.isNotNull() & ~F.isnan(x)), bounds)
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    # global bounds as one scalar subquery (a single aggregate row, evaluated once)
+    bounds = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
+    d = df.filter(x.isNotNull() & ~F.isnan(x))
+    width = (hi - lo) / F.lit(float(bins))
     b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1))).cast("bigint")
+        F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("bigint")
     keys = ([by] if by else []) + ["bin"]
-    g = d.withColumn("bin", b).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
-    w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    return g.select(*keys, (F.col("_lo") + F.col("bin") * w).alias("lo"),
-                    (F.col("_lo") + (F.col("bin") + 1) * w).alias("hi"), "n")
+    g = d.withColumn("bin", b).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return g.select(*keys, (lo + F.col("bin") * width).alias("lo"),
+                    (lo + (F.col("bin") + 1) * width).alias("hi"), "n")
 
 
 def symbol_list(df: DataFrame, key: str = "symbol", order: str = "date", limit: int | None = 6) -> DataFrame:

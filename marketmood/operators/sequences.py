@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketmood.operators.common import attach_row
 
 
 def make_sequences(df: DataFrame, features, target: str, length: int = 5, horizon: int = 1,
@@ -92,14 +91,14 @@ def hash_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, out:
             .withColumn("_n", F.sum("_nb").over(wt))
             .withColumn("_k", F.ceil(F.col("_n") * F.lit(float(test))).cast("bigint")))
     bound = (hist.filter(F.col("_cum") >= F.col("_k"))
-             .agg(F.min_by(F.struct("_b", (F.col("_k") - (F.col("_cum") - F.col("_nb"))).alias("_need")), "_b")
-                  .alias("bd"))
-             .select(F.col("bd._b").alias("_bb"), F.col("bd._need").alias("_need")))
-    d = attach_row(d, bound)
-    edge = F.col("_b") == F.col("_bb")
-    rest = d.filter(F.col("_bb").isNull() | ~edge).withColumn(
-        out, F.when(F.col("_b") < F.col("_bb"), F.lit("test")).otherwise(F.lit("train")))
+             .agg(F.min_by(F.struct(F.col("_b").alias("bb"),
+                                    (F.col("_k") - (F.col("_cum") - F.col("_nb"))).alias("need")), "_b"))
+             .scalar())  # one scalar subquery, reused wherever it is referenced
+    bb, need = bound.getField("bb"), bound.getField("need")
+    edge = F.col("_b") == bb
+    rest = d.filter(bb.isNull() | ~edge).withColumn(
+        out, F.when(F.col("_b") < bb, F.lit("test")).otherwise(F.lit("train")))
     wb = Window.partitionBy("_b").orderBy("_h", key)
     at_edge = d.filter(edge).withColumn(
-        out, F.when(F.row_number().over(wb) <= F.col("_need"), F.lit("test")).otherwise(F.lit("train")))
-    return rest.unionByName(at_edge).drop("_b", "_h", "_bb", "_need")
+        out, F.when(F.row_number().over(wb) <= need, F.lit("test")).otherwise(F.lit("train")))
+    return rest.unionByName(at_edge).drop("_b", "_h")

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketmood.operators.common import attach_row
 from marketmood.sources import schemas
 from marketmood.sources.readers import read_table
 
@@ -54,10 +53,9 @@ def posts(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame
     """
     o = read_table(spark, sf_dir, "orders")
     docs = read_table(spark, sf_dir, "documents")
-    n_docs = docs.agg(F.count(F.lit(1)).alias("_n_docs"))  # one-row aggregate, attached lazily
-    p = attach_row(o, n_docs).select(
-        F.col("o_orderkey").alias("post_id"), F.col("o_orderdate").alias("ts"),
-        F.col("o_orderpriority").alias("symbol"), (F.col("o_orderkey") % F.col("_n_docs")).alias("doc_id"))
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
+    p = o.select(F.col("o_orderkey").alias("post_id"), F.col("o_orderdate").alias("ts"),
+                 F.col("o_orderpriority").alias("symbol"), (F.col("o_orderkey") % n_docs).alias("doc_id"))
     if not with_text:
         return p
     return p.join(docs.select("doc_id", "text"), "doc_id").select(
