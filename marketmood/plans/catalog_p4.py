@@ -8,6 +8,7 @@ from marketmood.operators import redact as RD
 from marketmood.plans import pipeline as P
 from marketmood.plans.catalog import W, r, register, rounded
 from marketmood.plans.oracle_sql import q
+from marketmood.sources import fixtures as FX
 from marketmood.sources.readers import read_table, read_text_table
 from marketmood.streaming import live as LV
 
@@ -143,3 +144,53 @@ def x2_live_sentiment(spark, sf_dir):
                           (F.col("o_orderkey") % F.lit(n_docs)).alias("doc_id"))
     live = LV.live_sentiment(posts, P.document_scores(spark, sf_dir), "ts", "symbol", "1 day", "1 hour")
     return rounded(LV.run_available(spark, live, "sentiment"))
+
+
+# ---------------------------------------------------------------- dates, sorts, sinks
+@register("d2_parse_date", """
+SELECT o_orderkey AS post_id, CAST(o_orderdate AS DATE) AS day FROM orders
+""")
+def d2_parse_date(spark, sf_dir):
+    from marketmood.functions.dates import parse_date
+    o = read_table(spark, sf_dir, "orders")
+    s = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return o.select(F.col("o_orderkey").alias("post_id"), parse_date(s).alias("day"))
+
+
+@register("k1_sort_daily", W("prices") + f"""
+SELECT symbol, date, {r('close')} AS close FROM prices ORDER BY symbol, date
+""")
+def k1_sort_daily(spark, sf_dir):
+    p = FX.prices(spark, sf_dir).select("symbol", "date", "close")
+    return rounded(p.orderBy("symbol", "date"))
+
+
+def _scratch(spark, name):
+    import os
+    import uuid
+    from marketmood.session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@register("s3_write_read_posts", W("posts") + """
+SELECT post_id, ts, symbol, doc_id FROM posts
+""")
+def s3_write_read_posts(spark, sf_dir):
+    from marketmood.sources.readers import write_posts
+    path = _scratch(spark, "posts")
+    write_posts(FX.posts(spark, sf_dir, with_text=False), path, fmt="parquet", partition_by="symbol")
+    return spark.read.parquet(path).select("post_id", "ts", "symbol", "doc_id")
+
+
+@register("s4_scaler_round_trip", W("prices") + f"""
+SELECT symbol, feature, {r('data_min')} AS data_min, {r('data_max')} AS data_max,
+       CAST('-1.0' AS DOUBLE) AS lo, CAST('1.0' AS DOUBLE) AS hi FROM (
+  SELECT symbol, 'close' AS feature, min(close) AS data_min, max(close) AS data_max FROM prices GROUP BY 1
+  UNION ALL SELECT symbol, 'volume', CAST(min(volume) AS DOUBLE), CAST(max(volume) AS DOUBLE) FROM prices GROUP BY 1)
+""")
+def s4_scaler_round_trip(spark, sf_dir):
+    from marketmood.operators.scaling import fit_minmax
+    from marketmood.sources.readers import load_scaler, save_scaler
+    path = _scratch(spark, "scaler")
+    save_scaler(fit_minmax(FX.prices(spark, sf_dir), ["close", "volume"]), path)
+    return rounded(load_scaler(spark, path))
