@@ -72,9 +72,17 @@ def ema_recursive(df: DataFrame, c: str, span: float | None = None, alpha: float
     leading nulls stay null.
     """
     a = alpha if alpha is not None else 2.0 / (span + 1.0)
-    q = 1.0 - a
-    out = out or f"ema_{c}"
-    k = _frame_len(q)
+    return ema_recursive_multi(df, c, [a], [out or f"ema_{c}"], key, order)
+
+
+def ema_recursive_multi(df: DataFrame, c: str, alphas, outs, key=KEY, order=ORDER) -> DataFrame:
+    """Several non-adjusted EMAs of one column from a single shared window frame.
+
+    The frame is sized for the slowest decay; each EMA folds the same collected
+    list with its own per-row affine step ``y = A y_prev + B x``.
+    """
+    qs = [1.0 - a for a in alphas]
+    k = max(_frame_len(q) for q in qs)
     w = series_window(key, order)
     x = F.col(c)
     rn, vo, last_rn = "_ema_rn", "_ema_vo", "_ema_last"
@@ -83,16 +91,24 @@ def ema_recursive(df: DataFrame, c: str, span: float | None = None, alpha: float
             .withColumn(last_rn, F.last(F.when(x.isNotNull(), F.col(rn)), ignorenulls=True)
                         .over(w.rowsBetween(Window.unboundedPreceding, -1))))
     g = (F.col(rn) - F.col(last_rn)).cast("double")
-    qg = F.pow(F.lit(q), g)
-    step_a = F.when(x.isNull(), F.lit(1.0)).when(F.col(last_rn).isNull(), F.lit(0.0)).otherwise(qg / (qg + F.lit(a)))
-    step_b = F.when(x.isNull(), F.lit(0.0)).when(F.col(last_rn).isNull(), F.lit(1.0)).otherwise(F.lit(a) / (qg + F.lit(a)))
-    elem = F.struct(step_a.alias("A"), step_b.alias("B"), F.coalesce(x, F.lit(0.0)).cast("double").alias("x"),
-                    x.isNull().alias("skip"))
+    fields = [F.coalesce(x, F.lit(0.0)).cast("double").alias("x"), x.isNull().alias("skip")]
+    for i, (a, q) in enumerate(zip(alphas, qs)):
+        qg = F.pow(F.lit(q), g)
+        fields.append(F.when(x.isNull(), F.lit(1.0)).when(F.col(last_rn).isNull(), F.lit(0.0))
+                      .otherwise(qg / (qg + F.lit(a))).alias(f"A{i}"))
+        fields.append(F.when(x.isNull(), F.lit(0.0)).when(F.col(last_rn).isNull(), F.lit(1.0))
+                      .otherwise(F.lit(a) / (qg + F.lit(a))).alias(f"B{i}"))
     wv = Window.partitionBy(key).orderBy(vo).rangeBetween(-k, 0)
-    folded = F.aggregate(F.collect_list(elem).over(wv), F.lit(None).cast("double"),
-                         lambda acc, e: F.when(e["skip"], acc)
-                         .otherwise(F.coalesce(acc * e["A"], F.lit(0.0)) + e["B"] * e["x"]))
-    return prep.withColumn(out, F.when(F.col(vo) > 0, folded)).drop(rn, vo, last_rn)
+    lst = F.collect_list(F.struct(*fields)).over(wv)
+    def step_for(i):
+        def step(acc, e):
+            return F.when(e["skip"], acc).otherwise(F.coalesce(acc * e[f"A{i}"], F.lit(0.0)) + e[f"B{i}"] * e["x"])
+        return step
+
+    for i, out in enumerate(outs):
+        folded = F.aggregate(lst, F.lit(None).cast("double"), step_for(i))
+        prep = prep.withColumn(out, F.when(F.col(vo) > 0, folded))
+    return prep.drop(rn, vo, last_rn)
 
 
 def ema_adjusted(df: DataFrame, c: str, com: float | None = None, span: float | None = None,
@@ -121,8 +137,7 @@ def ema_adjusted(df: DataFrame, c: str, com: float | None = None, span: float |
 def macd(df: DataFrame, c: str = "close", fast: float = 12, slow: float = 26, out: str = "macd",
          key=KEY, order=ORDER) -> DataFrame:
     """EMA(fast) - EMA(slow), helpers dropped."""
-    d = ema_recursive(df, c, span=fast, out="_ema_fast", key=key, order=order)
-    d = ema_recursive(d, c, span=slow, out="_ema_slow", key=key, order=order)
+    d = ema_recursive_multi(df, c, [2.0 / (fast + 1.0), 2.0 / (slow + 1.0)], ["_ema_fast", "_ema_slow"], key, order)
     return d.withColumn(out, F.col("_ema_fast") - F.col("_ema_slow")).drop("_ema_fast", "_ema_slow")
 
 
@@ -141,9 +156,9 @@ def log_level(c: str = "close", offset: float = -1.0) -> Column:
 def forward_fill(df: DataFrame, cols, key=KEY, order=ORDER) -> DataFrame:
     """Replace NULLs by the last non-null value; leading NULLs stay."""
     f = series_window(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    for c in cols:
-        df = df.withColumn(c, F.last(c, ignorenulls=True).over(f))
-    return df
+    cols = set(cols)
+    return df.select(*[F.last(c, ignorenulls=True).over(f).alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
 
 
 def with_position(df: DataFrame, out: str = "pos", key=KEY, order=ORDER) -> DataFrame:

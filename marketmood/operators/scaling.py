@@ -52,10 +52,14 @@ def apply_minmax(df: DataFrame, scaler: DataFrame, cols, key: str = "symbol", su
     """``(x - min) / (max - min) * (hi - lo) + lo``; a constant column maps to ``lo``."""
     w = bounded_broadcast(_wide(scaler, cols, key))
     d = df.join(w, key, "left")
-    for c in cols:
-        d = d.withColumn(c + suffix, _scale(F.col(c).cast("double"), F.col(f"{c}__min"), F.col(f"{c}__max"),
-                                            F.col(f"{c}__lo"), F.col(f"{c}__hi")))
-    return d.drop(*[x for x in d.columns if "__" in x and x.split("__")[-1] in ("min", "max", "lo", "hi")])
+
+    def scaled(c):
+        return _scale(F.col(c).cast("double"), F.col(f"{c}__min"), F.col(f"{c}__max"),
+                      F.col(f"{c}__lo"), F.col(f"{c}__hi")).alias(c + suffix)
+
+    targets = {c + suffix: c for c in cols}
+    keep = [F.col(x) for x in df.columns if x not in targets]
+    return d.select(*keep, *[scaled(c) for c in cols])
 
 
 def invert_minmax(df: DataFrame, scaler: DataFrame, col: str, feature: str, key: str = "symbol",
@@ -77,8 +81,12 @@ def scale_over_series(df: DataFrame, cols, key: str = "symbol", lo: float = -1.0
     (``fit_on='train'``); by default all rows are used, as in the reference.
     """
     w = Window.partitionBy(key)
-    for c in cols:
+
+    def scaled(c):
         x = F.col(c).cast("double")
         fx = x if train_mask is None else F.when(train_mask, x)
-        df = df.withColumn(c, _scale(x, F.min(fx).over(w), F.max(fx).over(w), F.lit(float(lo)), F.lit(float(hi))))
-    return df
+        return _scale(x, F.min(fx).over(w), F.max(fx).over(w), F.lit(float(lo)), F.lit(float(hi))).alias(c)
+
+    cols = list(cols)
+    return df.select(*[scaled(c) if c in cols else F.col(c) for c in df.columns]
+                     + [scaled(c) for c in cols if c not in df.columns])

@@ -47,8 +47,7 @@ FROM eb JOIN er ON eb.symbol = er.symbol AND eb.rn = er.rn
 """)
 def w4_ema_recursive(spark, sf_dir):
     p = FX.prices(spark, sf_dir).select("symbol", "date", "close")
-    p = ind.ema_recursive(p, "close", span=12, out="ema12")
-    p = ind.ema_recursive(p, "close", span=26, out="ema26")
+    p = ind.ema_recursive_multi(p, "close", [2.0 / 13.0, 2.0 / 27.0], ["ema12", "ema26"])
     return rounded(p.select("symbol", "date", "ema12", "ema26"))
 
 
