@@ -194,3 +194,13 @@ def s4_scaler_round_trip(spark, sf_dir):
     path = _scratch(spark, "scaler")
     save_scaler(fit_minmax(FX.prices(spark, sf_dir), ["close", "volume"]), path)
     return rounded(load_scaler(spark, path))
+
+
+@register("d6_argmax", W("scores") + """
+SELECT doc_id, CAST(list_position([neg, neu, pos], list_max([neg, neu, pos])) - 1 AS BIGINT) AS class_index
+FROM scores
+""")
+def d6_argmax(spark, sf_dir):
+    from marketmood.functions.numeric import argmax
+    s = P.document_scores(spark, sf_dir)
+    return s.select("doc_id", argmax(F.array("neg", "neu", "pos")).alias("class_index"))
