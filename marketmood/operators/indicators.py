@@ -29,8 +29,12 @@ ORDER = "date"
 EMA_EPS_LOG2 = 60
 
 
-def series_window(key: str = KEY, order: str = ORDER):
-    return Window.partitionBy(key).orderBy(order)
+def _keys(key):
+    return list(key) if isinstance(key, (list, tuple)) else [key]
+
+
+def series_window(key=KEY, order: str = ORDER):
+    return Window.partitionBy(*_keys(key)).orderBy(order)
 
 
 def _frame(n: int, key=KEY, order=ORDER):
@@ -98,7 +102,7 @@ def ema_recursive_multi(df: DataFrame, c: str, alphas, outs, key=KEY, order=ORDE
                       .otherwise(qg / (qg + F.lit(a))).alias(f"A{i}"))
         fields.append(F.when(x.isNull(), F.lit(0.0)).when(F.col(last_rn).isNull(), F.lit(1.0))
                       .otherwise(F.lit(a) / (qg + F.lit(a))).alias(f"B{i}"))
-    wv = Window.partitionBy(key).orderBy(vo).rangeBetween(-k, 0)
+    wv = Window.partitionBy(*_keys(key)).orderBy(vo).rangeBetween(-k, 0)
     lst = F.collect_list(F.struct(*fields)).over(wv)
     def step_for(i):
         def step(acc, e):
@@ -178,3 +182,82 @@ def technical_indicators(df: DataFrame, c: str = "close", key=KEY, order=ORDER,
     d = bollinger(d, c, 20, 2.0, keep_std, key, order)
     d = ema_adjusted(d, c, com=0.5, out="ema", key=key, order=order)
     return d.withColumn("log_momentum", log_return(c, key, order))
+
+
+def bucketed_windows(df: DataFrame, bucket: Column, lookback: int, compute, key: str = KEY,
+                     order: str = ORDER) -> DataFrame:
+    """Run trailing-frame window features per (key, time bucket) instead of per key.
+
+    For series where one key holds a large share of all rows, a window
+    partitioned by key alone runs in one task. Here each series is cut into
+    buckets (e.g. ``F.year("date")``); every bucket also receives the
+    ``lookback`` rows that precede it, so frames reaching at most ``lookback``
+    rows back are exact. Global row positions come from per-bucket counts
+    (small), the overlap rows are found with an equi-join on positions, and the
+    windows then run in parallel over ``(key, bucket)``.
+
+    ``compute(frame_df, w)`` adds columns using the window spec ``w`` (partition
+    ``(key, _bucket)``, order ``_rn``); only each bucket's own rows are returned.
+    """
+    d = df.withColumn("_bucket", bucket)
+    local = Window.partitionBy(key, "_bucket").orderBy(order)
+    d = d.withColumn("_lrn", F.row_number().over(local))
+    counts = d.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    wb = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)))
+    d = (d.join(offsets.select(key, "_bucket", "_off"), [key, "_bucket"])
+         .withColumn("_rn", F.col("_off") + F.col("_lrn")).drop("_lrn", "_off"))
+    # rows each bucket needs from before its start: global positions off-lookback+1 .. off
+    need = (offsets.filter(F.col("_off") > 0)
+            .select(key, F.col("_bucket").alias("_target"),
+                    F.explode(F.sequence(F.greatest(F.col("_off") - lookback + 1, F.lit(1)), F.col("_off")))
+                    .alias("_rn")))
+    overlap = (d.join(need, [key, "_rn"]).drop("_bucket").withColumnRenamed("_target", "_bucket")
+               .withColumn("_own", F.lit(False)))
+    frame = d.withColumn("_own", F.lit(True)).unionByName(overlap)
+    w = Window.partitionBy(key, "_bucket").orderBy("_rn")
+    out = compute(frame, w)
+    return out.filter(F.col("_own")).drop("_own", "_bucket", "_rn")
+
+
+def moving_features_bucketed(df: DataFrame, c: str = "close", bucket: Column | None = None,
+                             key: str = KEY, order: str = ORDER) -> DataFrame:
+    """W1/W3/W7 (MA7, MA20, Bollinger 20/2, log return) with the series split into
+    time buckets (default: calendar year) for parallelism over hot keys."""
+    bucket = bucket if bucket is not None else F.year(order)
+
+    def compute(frame, w):
+        def ma(n):
+            f = w.rowsBetween(-(n - 1), 0)
+            return F.when(F.count(F.col(c)).over(f) == n, F.avg(c).over(f))
+
+        f20 = w.rowsBetween(-19, 0)
+        sd20 = F.when(F.count(F.col(c)).over(f20) == 20, F.stddev_samp(c).over(f20))
+        prev = F.lag(c, 1).over(w)
+        return frame.select("*", ma(7).alias("ma7"), ma(20).alias("ma20"),
+                            (ma(20) + F.lit(2.0) * sd20).alias("upper_band"),
+                            (ma(20) - F.lit(2.0) * sd20).alias("lower_band"),
+                            safe_ln(F.try_divide(F.col(c), prev)).alias("log_return"))
+
+    return bucketed_windows(df, bucket, 19, compute, key, order)
+
+
+def ema_frame_rows(alphas) -> int:
+    """Rows of history an exact (2^-60) non-adjusted EMA needs."""
+    return max(_frame_len(1.0 - a) for a in alphas)
+
+
+def ema_bucketed(df: DataFrame, c: str, alphas, outs, bucket: Column | None = None,
+                 key: str = KEY, order: str = ORDER) -> DataFrame:
+    """W4 with the series split into time buckets (default: calendar year).
+
+    Each bucket receives the EMA frame length of preceding rows, so the values
+    equal :func:`ema_recursive_multi` for series without nulls (with nulls the
+    lookback counts rows, not values).
+    """
+    bucket = bucket if bucket is not None else F.year(order)
+
+    def compute(frame, w):
+        return ema_recursive_multi(frame, c, alphas, outs, key=[key, "_bucket"], order="_rn")
+
+    return bucketed_windows(df, bucket, ema_frame_rows(alphas), compute, key, order)

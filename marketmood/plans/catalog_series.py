@@ -384,3 +384,31 @@ def m9_build_dataset(spark, sf_dir):
                     _rlist(F.col("yc")).alias("yc"))
 
 
+
+
+@register("w3_bucketed_features", W("prices") + f"""
+SELECT symbol, date,
+  {r('CASE WHEN count(close) OVER w7 = 7 THEN avg(close) OVER w7 END')} AS ma7,
+  {r('CASE WHEN count(close) OVER w20 = 20 THEN avg(close) OVER w20 END')} AS ma20,
+  {r('CASE WHEN count(close) OVER w20 = 20 THEN avg(close) OVER w20 + 2.0 * stddev_samp(close) OVER w20 END')} AS upper_band,
+  {r('CASE WHEN count(close) OVER w20 = 20 THEN avg(close) OVER w20 - 2.0 * stddev_samp(close) OVER w20 END')} AS lower_band,
+  {r('CASE WHEN close / lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END')} AS log_return
+FROM prices
+WINDOW w AS (PARTITION BY symbol ORDER BY date),
+       w7 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
+       w20 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+""")
+def w3_bucketed_features(spark, sf_dir):
+    p = FX.prices(spark, sf_dir).select("symbol", "date", "close")
+    out = ind.moving_features_bucketed(p, "close")
+    return rounded(out.select("symbol", "date", "ma7", "ma20", "upper_band", "lower_band", "log_return"))
+
+
+@register("w4_ema_bucketed", WR("prices") + _ema_ctes("prices") + f"""
+SELECT eb.symbol, eb.date, {r('er.e12')} AS ema12, {r('er.e26')} AS ema26
+FROM eb JOIN er ON eb.symbol = er.symbol AND eb.rn = er.rn
+""")
+def w4_ema_bucketed(spark, sf_dir):
+    p = FX.prices(spark, sf_dir).select("symbol", "date", "close")
+    p = ind.ema_bucketed(p, "close", [2.0 / 13.0, 2.0 / 27.0], ["ema12", "ema26"])
+    return rounded(p.select("symbol", "date", "ema12", "ema26"))
