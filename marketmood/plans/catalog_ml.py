@@ -20,7 +20,7 @@ from marketmood.plans.catalog import W, r, register, rounded
 from marketmood.plans.oracle_sql import LEMMA_CTE, STOP_LIST
 from marketmood.session import checkpoint_dir
 from marketmood.sources import fixtures as FX
-from marketmood.sources.readers import read_table, read_text_table
+from marketmood.sources.readers import read_text_table
 
 TOKEN_RE = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]"
 KEPT_SQL = f"""k AS (SELECT doc_id, list_filter(regexp_extract_all(lower(regexp_replace(text, 'http\\S+', '', 'g')),

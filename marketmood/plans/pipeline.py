@@ -10,7 +10,7 @@ from marketmood.operators import indicators as ind
 from marketmood.operators.joins import join_daily
 from marketmood.operators.sentiment import score_sentiment
 from marketmood.sources import fixtures
-from marketmood.sources.readers import read_table, read_text_table
+from marketmood.sources.readers import read_text_table
 
 
 def document_scores(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None) -> DataFrame:
