@@ -132,3 +132,17 @@ def test_bucketed_ema_equal_unbucketed(spark):
     b = {(r.symbol, r.date): (r.e12, r.e26) for r in split.collect()}
     assert a.keys() == b.keys()
     assert all(abs(a[k][i] - b[k][i]) <= 1e-9 * abs(a[k][i]) for k in a for i in (0, 1))
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_block_scan_equals_frame_version(spark, nulls):
+    vals = [100 + 10 * math.sin(i / 7.0) + (i % 5) for i in range(1500)]
+    if nulls:
+        for j in (0, 37, 38, 500, 501, 502, 503, 1499):
+            vals[j] = None
+    df = series_df(spark, vals)
+    alphas = [2 / 13, 2 / 27, 0.9]
+    a = ind.ema_recursive_multi(df, "x", alphas, ["e1", "e2", "e3"])
+    b = ind.ema_block_scan(df, "x", alphas, ["e1", "e2", "e3"])
+    for c in ("e1", "e2", "e3"):
+        assert approx(col_values(b, c), col_values(a, c), 1e-9)
