@@ -139,9 +139,14 @@ def ema_adjusted(df: DataFrame, c: str, com: float | None = None, span: float |
 
 
 def macd(df: DataFrame, c: str = "close", fast: float = 12, slow: float = 26, out: str = "macd",
-         key=KEY, order=ORDER) -> DataFrame:
-    """EMA(fast) - EMA(slow), helpers dropped."""
-    d = ema_recursive_multi(df, c, [2.0 / (fast + 1.0), 2.0 / (slow + 1.0)], ["_ema_fast", "_ema_slow"], key, order)
+         key=KEY, order=ORDER, ema_method: str = "frame") -> DataFrame:
+    """EMA(fast) - EMA(slow), helpers dropped.
+
+    ``ema_method``: ``"frame"`` (default, folds in the recursion's order) or
+    ``"block"`` (:func:`ema_block_scan`, O(rows)).
+    """
+    ema = ema_block_scan if ema_method == "block" else ema_recursive_multi
+    d = ema(df, c, [2.0 / (fast + 1.0), 2.0 / (slow + 1.0)], ["_ema_fast", "_ema_slow"], key, order)
     return d.withColumn(out, F.col("_ema_fast") - F.col("_ema_slow")).drop("_ema_fast", "_ema_slow")
 
 
@@ -171,14 +176,14 @@ def with_position(df: DataFrame, out: str = "pos", key=KEY, order=ORDER) -> Data
 
 
 def technical_indicators(df: DataFrame, c: str = "close", key=KEY, order=ORDER,
-                         keep_std: bool = False) -> DataFrame:
+                         keep_std: bool = False, ema_method: str = "frame") -> DataFrame:
     """The daily indicator block of the feature pipeline.
 
     Adds ``ma7, ma20, macd, upper_band, lower_band, ema, log_momentum``.
     """
     d = (df.withColumn("ma7", moving_average(c, 7, key, order))
          .withColumn("ma20", moving_average(c, 20, key, order)))
-    d = macd(d, c, 12, 26, "macd", key, order)
+    d = macd(d, c, 12, 26, "macd", key, order, ema_method)
     d = bollinger(d, c, 20, 2.0, keep_std, key, order)
     d = ema_adjusted(d, c, com=0.5, out="ema", key=key, order=order)
     return d.withColumn("log_momentum", log_return(c, key, order))

@@ -47,7 +47,7 @@ def daily_features(spark: SparkSession, sf_dir: str, lex: DataFrame | None = Non
 
 
 def feature_table(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None,
-                  keep_std: bool = False) -> DataFrame:
+                  keep_std: bool = False, ema_method: str = "frame") -> DataFrame:
     """Daily feature rows of the forecaster (before warm-up drop and scaling).
 
     Columns: ``symbol, date, compound, open, close, high, low, volume, ma7,
@@ -55,7 +55,7 @@ def feature_table(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None
     """
     sent = daily_sentiment(scored_posts(spark, sf_dir, lex))
     joined = join_daily(sent, fixtures.prices(spark, sf_dir))
-    return ind.technical_indicators(joined, "close", keep_std=keep_std)
+    return ind.technical_indicators(joined, "close", keep_std=keep_std, ema_method=ema_method)
 
 
 # Feature order of the forecaster's input rows.
@@ -64,11 +64,15 @@ FEATURES = ["compound", "open", "close", "high", "low", "volume", "ma7", "ma20",
 
 
 def prepared_series(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None,
-                    warmup: int = 20, features=None) -> DataFrame:
-    """M9 first half: indicators -> warm-up drop (F5) -> forward fill (W9), unscaled."""
+                    warmup: int = 20, features=None, ema_method: str = "block") -> DataFrame:
+    """M9 first half: indicators -> warm-up drop (F5) -> forward fill (W9), unscaled.
+
+    The dataset only uses the EMAs after min/max scaling, so the O(rows) block
+    scan is the default here.
+    """
     from marketmood.operators.filters import drop_warmup
     features = features or FEATURES
-    d = drop_warmup(feature_table(spark, sf_dir, lex), warmup)
+    d = drop_warmup(feature_table(spark, sf_dir, lex, ema_method=ema_method), warmup)
     d = ind.forward_fill(d, features)
     return d.withColumn("target", F.col("close"))
 
