@@ -83,3 +83,31 @@ def test_oracle_parity_sf0001(spark, name):
     ocols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(ocols)
     assert _rows([tuple(r) for r in df.collect()], df.columns) == _rows(cur.fetchall(), ocols)
+
+
+def test_indicator_block_single_symbol_exchange(spark):
+    from marketmood.operators import indicators as ind
+    p = FX.prices(spark, SF0001)
+    for method in ("frame", "block"):
+        plan_text = plan(ind.technical_indicators(p, "close", ema_method=method))
+        only_symbol = re.compile(r"hashpartitioning\(symbol#\d+, \d+\)")
+        exchanges = [ln for ln in plan_text.splitlines() if "Arguments" in ln and only_symbol.search(ln)]
+        assert len(exchanges) == 1, (method, exchanges)
+        assert "BatchEvalPython" not in plan_text and "ArrowEvalPython" not in plan_text
+
+
+def test_features_invariant_to_symbol_names_and_partitions(spark):
+    from pyspark.sql import functions as F
+    from marketmood.operators import indicators as ind
+    p = FX.prices(spark, SF0001)
+    base = ind.technical_indicators(p, "close")
+    renamed = p.withColumn("symbol", F.reverse("symbol")).repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        other = ind.technical_indicators(renamed, "close").withColumn("symbol", F.reverse("symbol"))
+        cols = ["ma7", "ma20", "macd", "upper_band", "lower_band", "ema", "log_momentum"]
+        a = sorted((r.symbol, r.date) + tuple(r[c] for c in cols) for r in base.collect())
+        b = sorted((r.symbol, r.date) + tuple(r[c] for c in cols) for r in other.collect())
+        assert a == b
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
