@@ -37,3 +37,15 @@ def ensure_parallelism(df: DataFrame, key: str | None = None, target: int | None
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
+
+
+def require_unique(df: DataFrame, keys) -> DataFrame:
+    """Reject duplicate keys (e.g. two price rows for one symbol and day).
+
+    Runs one bounded check (a partial aggregation, at most one row returned to
+    the driver) and returns ``df`` unchanged when the keys are unique.
+    """
+    dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).limit(1).collect()
+    if dup:
+        raise ValueError(f"duplicate key {tuple(dup[0][k] for k in keys)} in columns {list(keys)}")
+    return df

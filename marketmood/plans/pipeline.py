@@ -79,11 +79,12 @@ def prepared_series(spark: SparkSession, sf_dir: str, lex: DataFrame | None = No
 
 def build_dataset(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None,
                   length: int = 5, horizon: int = 1, n_test: int = 20, warmup: int = 20,
-                  features=None) -> DataFrame:
+                  features=None, fit_on: str = "all") -> DataFrame:
     """M9: the supervised dataset of every symbol in one lazy plan.
 
-    J1 -> W1..W7 -> F5 -> W9 -> N1/N2/N3 (per-symbol min/max over all rows,
-    range (-1, 1)) -> W10 -> W11. Rows: ``symbol, sample, start_date,
+    J1 -> W1..W7 -> F5 -> W9 -> N1/N2/N3 (per-symbol min/max over all rows as in
+    the reference, or over training rows only with ``fit_on="train"``; range
+    (-1, 1)) -> W10 -> W11. Rows: ``symbol, sample, start_date,
     target_date, x, y, yc, y_dates, split``. All window steps are partitioned by
     symbol over a daily series, so they share one exchange.
     """
@@ -91,7 +92,18 @@ def build_dataset(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None
     from marketmood.operators.sequences import make_sequences, split_last
     features = features or FEATURES
     d = prepared_series(spark, sf_dir, lex, warmup, features)
-    d = scale_over_series(d, features + ["target"])
+    mask = None
+    if fit_on == "train":
+        # rows touched by training samples only: positions up to
+        # n_train + length + horizon - 1, n_train = samples - min(n_test, samples)
+        from pyspark.sql import Window
+        n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+        samples = F.greatest(n - length - horizon + 1, F.lit(0))
+        n_train = samples - F.least(samples, F.lit(n_test))
+        mask = F.col("pos") <= n_train + length + horizon - 1
+    elif fit_on != "all":
+        raise ValueError("fit_on must be 'all' or 'train'")
+    d = scale_over_series(d, features + ["target"], train_mask=mask)
     seq = make_sequences(d, features, "target", length, horizon)
     return split_last(seq, n_test)
 

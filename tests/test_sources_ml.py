@@ -92,3 +92,24 @@ def test_persistence_and_split_disjoint(spark):
     tr = {(r.symbol, r.sample) for r in seq.filter("split = 'train'").collect()}
     te = {(r.symbol, r.sample) for r in seq.filter("split = 'test'").collect()}
     assert not (tr & te) and len(tr) + len(te) == seq.count()
+
+
+def test_fit_on_train_scales_test_rows_outside_range(spark):
+    a = P.build_dataset(spark, SF0001)
+    b = P.build_dataset(spark, SF0001, fit_on="train")
+    assert a.count() == b.count()
+    tr = b.filter("split = 'train'").select(F.explode(F.flatten("x")).alias("v")).agg(F.min("v"), F.max("v")).collect()[0]
+    assert tr[0] >= -1.0 - 1e-12 and tr[1] <= 1.0 + 1e-12
+    diff = (a.alias("a").join(b.alias("b"), ["symbol", "sample"])
+            .filter(F.col("a.y")[0] != F.col("b.y")[0]).count())
+    assert diff > 0
+
+
+def test_require_unique(spark):
+    import pytest
+    from marketmood.operators.common import require_unique
+    ok = spark.createDataFrame([("A", 1), ("A", 2)], "symbol string, d int")
+    assert require_unique(ok, ["symbol", "d"]) is ok
+    bad = spark.createDataFrame([("A", 1), ("A", 1)], "symbol string, d int")
+    with pytest.raises(ValueError):
+        require_unique(bad, ["symbol", "d"])
