@@ -313,10 +313,14 @@ def m10_evaluate_forecast(spark, sf_dir):
 @register("a16_classification_report", W("scores") + f""",
 lab AS (SELECT CASE WHEN compound <= 0.4 THEN 0 WHEN compound <= 0.6 THEN 1 ELSE 2 END AS t,
                CASE WHEN compound < 0 THEN 0 WHEN compound > 0 THEN 2 ELSE 1 END AS p FROM scores),
-cls(k, name) AS (VALUES (0, 'Negative'), (1, 'Neutral'), (2, 'Positive')),
-pc AS (SELECT cls.k, cls.name, count(*) FILTER (WHERE lab.t = cls.k AND lab.p = cls.k) AS tp,
-              count(*) FILTER (WHERE lab.t = cls.k) AS sup, count(*) FILTER (WHERE lab.p = cls.k) AS np
-       FROM cls CROSS JOIN lab GROUP BY cls.k, cls.name),
+pc AS (SELECT 'Negative' AS name, count(*) FILTER (WHERE t = 0 AND p = 0) AS tp,
+              count(*) FILTER (WHERE t = 0) AS sup, count(*) FILTER (WHERE p = 0) AS np FROM lab
+       UNION ALL
+       SELECT 'Neutral', count(*) FILTER (WHERE t = 1 AND p = 1), count(*) FILTER (WHERE t = 1),
+              count(*) FILTER (WHERE p = 1) FROM lab
+       UNION ALL
+       SELECT 'Positive', count(*) FILTER (WHERE t = 2 AND p = 2), count(*) FILTER (WHERE t = 2),
+              count(*) FILTER (WHERE p = 2) FROM lab),
 m1 AS (SELECT name, CASE WHEN np = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(np AS DOUBLE) END AS prec,
               CASE WHEN sup = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(sup AS DOUBLE) END AS rec, sup FROM pc),
 m2 AS (SELECT name, prec, rec, CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END AS f1, sup FROM m1),

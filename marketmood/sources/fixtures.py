@@ -91,7 +91,9 @@ FROM orders GROUP BY 1, 2
 """
 
 POSTS_SQL = """
-SELECT o.o_orderkey AS post_id, o.o_orderdate AS ts, o.o_orderpriority AS symbol, d.text, d.doc_id
-FROM orders o CROSS JOIN (SELECT count(*) AS n FROM documents) c
-     JOIN documents d ON o.o_orderkey % c.n = d.doc_id
+SELECT p.post_id, p.ts, p.symbol, d.text, d.doc_id
+FROM (SELECT o_orderkey AS post_id, o_orderdate AS ts, o_orderpriority AS symbol,
+             o_orderkey % (SELECT count(*) FROM documents) AS doc_id
+      FROM orders) p
+JOIN documents d ON p.doc_id = d.doc_id
 """
