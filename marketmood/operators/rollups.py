@@ -1,8 +1,9 @@
 """Aggregations.
 
 All are ``groupBy`` plans with map-side partial aggregation, so the shuffle
-carries one row per key and task. Exact percentiles (A8) are sort-based per
-group; they are only used on daily-grain tables.
+carries one row per key and task. Exact percentiles (A8) keep every distinct
+value and are meant for daily-grain tables; ``describe_numeric(exact=False)``
+uses a bounded sketch for raw tables.
 """
 
 from __future__ import annotations
@@ -61,18 +62,26 @@ def null_counts(df: DataFrame, cols) -> DataFrame:
     return wide.unpivot([], list(cols), "column", "nulls")
 
 
-def describe_numeric(df: DataFrame, cols) -> DataFrame:
-    """Count, mean, std (n-1), min, 25/50/75 % (exact, interpolated), max.
+def describe_numeric(df: DataFrame, cols, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+    """Count, mean, std (n-1), min, 25/50/75 %, max.
 
     One aggregation pass; the wide row is unpivoted to ``(column, stat...)``.
+    ``exact=True`` gives interpolated exact quartiles (as pandas); its buffer
+    holds every distinct value, so use it on bounded tables (daily grain).
+    ``exact=False`` uses the bounded-memory ``percentile_approx`` sketch for raw
+    fact tables.
     """
+    probs = [0.25, 0.5, 0.75]
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
+        if exact:
+            q = F.percentile(x, F.array(*[F.lit(p) for p in probs]))
+        else:
+            q = F.percentile_approx(x, probs, accuracy).cast("array<double>")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"),
-                 F.max(x).alias(f"{c}__max")]
+                 q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column"),
                      F.col(f"{c}__count").cast("bigint").alias("count"),

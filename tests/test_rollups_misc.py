@@ -103,3 +103,10 @@ def test_symbol_list_first_seen(spark):
     b = series_df(spark, [1], "A", 1).withColumn("date", F.date_add("date", 1))
     got = [r.symbol for r in R.symbol_list(a.unionByName(b), limit=6).collect()]
     assert got == ["B", "A"]
+
+
+def test_describe_approx_close_to_exact(spark):
+    df = spark.range(0, 10001).select((F.col("id") * 1.0).alias("x"))
+    e = R.describe_numeric(df, ["x"]).collect()[0]
+    a = R.describe_numeric(df, ["x"], exact=False).collect()[0]
+    assert e.p50 == 5000.0 and abs(a.p50 - e.p50) <= 2 and a["count"] == e["count"] == 10001
