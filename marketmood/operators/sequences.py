@@ -78,8 +78,9 @@ def hash_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, out:
 
     Rows are ordered by ``md5(seed:key)``. Instead of a global sort (one task),
     rows are counted per hash prefix bucket (at most 16^4 rows), the boundary
-    bucket is found on that small histogram, and only rows of the boundary
-    bucket are ranked. ``key`` must be unique per row.
+    bucket is found on that small histogram (one bounded job returning two
+    numbers), and only rows of the boundary bucket are ranked. ``key`` must be
+    unique per row.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     d = df.withColumn("_b", _hex_to_long(F.substring(h, 1, buckets_hex))) \
@@ -90,11 +91,14 @@ def hash_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, out:
     hist = (hist.withColumn("_cum", F.sum("_nb").over(wc))
             .withColumn("_n", F.sum("_nb").over(wt))
             .withColumn("_k", F.ceil(F.col("_n") * F.lit(float(test))).cast("bigint")))
-    bound = (hist.filter(F.col("_cum") >= F.col("_k"))
-             .agg(F.min_by(F.struct(F.col("_b").alias("bb"),
-                                    (F.col("_k") - (F.col("_cum") - F.col("_nb"))).alias("need")), "_b"))
-             .scalar())  # one scalar subquery, reused wherever it is referenced
-    bb, need = bound.getField("bb"), bound.getField("need")
+    # the boundary is one row of two numbers: fetch it once, use it as literals
+    row = (hist.filter(F.col("_cum") >= F.col("_k"))
+           .agg(F.min_by(F.struct(F.col("_b").alias("bb"),
+                                  (F.col("_k") - (F.col("_cum") - F.col("_nb"))).alias("need")), "_b").alias("r"))
+           .first())
+    bound = row["r"] if row is not None else None
+    bb = F.lit(bound["bb"] if bound is not None else None).cast("bigint")
+    need = F.lit(bound["need"] if bound is not None else 0).cast("bigint")
     edge = F.col("_b") == bb
     rest = d.filter(bb.isNull() | ~edge).withColumn(
         out, F.when(F.col("_b") < bb, F.lit("test")).otherwise(F.lit("train")))
