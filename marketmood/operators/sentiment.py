@@ -245,3 +245,17 @@ def _finish(agg: DataFrame) -> DataFrame:
 def bad_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows whose text cannot be scored (NULL text)."""
     return df.filter(F.col(text_col).isNull())
+
+
+def score_distinct_texts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                         lex: DataFrame | None = None, **kwargs) -> DataFrame:
+    """T6 for sources with many exact copies (reposts): score each distinct text once.
+
+    Texts are keyed by ``md5``; distinct texts are scored and the scores joined
+    back by hash. This moves the distinct texts through one shuffle, so it pays
+    off only when copies are frequent; otherwise use :func:`score_sentiment`.
+    """
+    keyed = df.select(F.col(id_col), F.md5(F.col(text_col)).alias("_h"), F.col(text_col))
+    distinct = keyed.select("_h", text_col).dropDuplicates(["_h"])
+    scores = score_sentiment(distinct, text_col, "_h", lex, **kwargs)
+    return keyed.select(id_col, "_h").join(scores, "_h", "left").drop("_h")

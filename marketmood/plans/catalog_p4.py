@@ -204,3 +204,12 @@ def d6_argmax(spark, sf_dir):
     from marketmood.functions.numeric import argmax
     s = P.document_scores(spark, sf_dir)
     return s.select("doc_id", argmax(F.array("neg", "neu", "pos")).alias("class_index"))
+
+
+@register("t6_distinct_text_scores", W("scores") + """
+SELECT doc_id, neg, neu, pos, compound FROM scores
+""")
+def t6_distinct_text_scores(spark, sf_dir):
+    from marketmood.operators.sentiment import score_distinct_texts
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    return score_distinct_texts(docs, "text", "doc_id", FX.lexicon(spark))

@@ -113,3 +113,20 @@ def test_join_fallback_equals_in_row_path(spark, monkeypatch):
     monkeypatch.setattr(S, "IN_ROW_LEXICON_MAX", 0)
     b = score_sentiment(docs, lex=FX.lexicon(spark)).orderBy("doc_id").collect()
     assert a == b
+
+
+def test_utc_offsets_parse_to_utc_day(spark):
+    from marketmood.functions.dates import parse_utc, utc_day
+    df = spark.createDataFrame([("2022-09-29 23:41:16-05:00",), ("2022-09-29 23:41:16+00:00",),
+                                ("not a date",)], "s string")
+    got = [r[0] for r in df.select(utc_day(parse_utc("s"))).collect()]
+    import datetime as dt
+    assert got == [dt.date(2022, 9, 30), dt.date(2022, 9, 29), None]
+
+
+def test_distinct_text_scores_equal_direct(spark):
+    from marketmood.operators.sentiment import score_distinct_texts
+    df = spark.createDataFrame([(1, "best"), (2, "best"), (3, "not best"), (4, None)], "doc_id long, text string")
+    a = sorted(tuple(r) for r in score_sentiment(df, lex=FX.lexicon(spark)).collect())
+    b = sorted(tuple(r) for r in score_distinct_texts(df, lex=FX.lexicon(spark)).select("doc_id", "neg", "neu", "pos", "compound").collect())
+    assert a == b
