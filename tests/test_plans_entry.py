@@ -111,3 +111,12 @@ def test_features_invariant_to_symbol_names_and_partitions(spark):
         assert a == b
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_ensure_parallelism_only_when_needed(spark):
+    from marketmood.operators.common import ensure_parallelism
+    one = spark.range(0, 1000).coalesce(1)
+    spread = ensure_parallelism(one, "id", target=4)
+    assert spread.rdd.getNumPartitions() == 4
+    many = spark.range(0, 1000, numPartitions=6)
+    assert ensure_parallelism(many, "id", target=4) is many
