@@ -190,7 +190,7 @@ def technical_indicators(df: DataFrame, c: str = "close", key=KEY, order=ORDER,
 
 
 def bucketed_windows(df: DataFrame, bucket: Column, lookback: int, compute, key: str = KEY,
-                     order: str = ORDER) -> DataFrame:
+                     order: str = ORDER, lookahead: int = 0) -> DataFrame:
     """Run trailing-frame window features per (key, time bucket) instead of per key.
 
     For series where one key holds a large share of all rows, a window
@@ -201,8 +201,10 @@ def bucketed_windows(df: DataFrame, bucket: Column, lookback: int, compute, key:
     (small), the overlap rows are found with an equi-join on positions, and the
     windows then run in parallel over ``(key, bucket)``.
 
-    ``compute(frame_df, w)`` adds columns using the window spec ``w`` (partition
-    ``(key, _bucket)``, order ``_rn``); only each bucket's own rows are returned.
+    ``lookahead`` rows after each bucket are added the same way for frames
+    that look forward (sequence windows). ``compute(frame_df, w)`` adds columns
+    using the window spec ``w`` (partition ``(key, _bucket)``, order ``_rn``,
+    the global 1-based position); only each bucket's own rows are returned.
     """
     d = df.withColumn("_bucket", bucket)
     local = Window.partitionBy(key, "_bucket").orderBy(order)
@@ -212,11 +214,21 @@ def bucketed_windows(df: DataFrame, bucket: Column, lookback: int, compute, key:
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)))
     d = (d.join(offsets.select(key, "_bucket", "_off"), [key, "_bucket"])
          .withColumn("_rn", F.col("_off") + F.col("_lrn")).drop("_lrn", "_off"))
-    # rows each bucket needs from before its start: global positions off-lookback+1 .. off
-    need = (offsets.filter(F.col("_off") > 0)
-            .select(key, F.col("_bucket").alias("_target"),
-                    F.explode(F.sequence(F.greatest(F.col("_off") - lookback + 1, F.lit(1)), F.col("_off")))
-                    .alias("_rn")))
+    # rows each bucket needs from before its start (global positions off-lookback+1 .. off)
+    # and after its end (end+1 .. end+lookahead); positions past the series end match nothing
+    parts = []
+    if lookback > 0:
+        parts.append(offsets.filter(F.col("_off") > 0).select(
+            key, F.col("_bucket").alias("_target"),
+            F.explode(F.sequence(F.greatest(F.col("_off") - lookback + 1, F.lit(1)), F.col("_off"))).alias("_rn")))
+    if lookahead > 0:
+        end = F.col("_off") + F.col("_cnt")
+        parts.append(offsets.select(key, F.col("_bucket").alias("_target"),
+                                    F.explode(F.sequence(end + 1, end + lookahead)).alias("_rn")))
+    if not parts:
+        need = offsets.select(key, F.col("_bucket").alias("_target"), F.lit(None).cast("bigint").alias("_rn")).limit(0)
+    else:
+        need = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     overlap = (d.join(need, [key, "_rn"]).drop("_bucket").withColumnRenamed("_target", "_bucket")
                .withColumn("_own", F.lit(False)))
     frame = d.withColumn("_own", F.lit(True)).unionByName(overlap)

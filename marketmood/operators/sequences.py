@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 
 def make_sequences(df: DataFrame, features, target: str, length: int = 5, horizon: int = 1,
-                   key: str = "symbol", order: str = "date") -> DataFrame:
+                   key="symbol", order: str = "date", position: str | None = None,
+                   keep=(), date_col: str | None = None) -> DataFrame:
     """One row per window start ``i`` with a full input and target window.
 
     ``x``: ``length`` rows of all features (array of arrays, row-major),
@@ -18,19 +19,21 @@ def make_sequences(df: DataFrame, features, target: str, length: int = 5, horizo
     their slot because whole rows are collected. ``n - length - horizon + 1``
     samples per series (none when shorter).
     """
-    w = Window.partitionBy(key).orderBy(order)
+    keys = list(key) if isinstance(key, (list, tuple)) else [key]
+    date_col = date_col or order
+    w = Window.partitionBy(*keys).orderBy(order)
     fx = w.rowsBetween(0, length - 1)
     fy = w.rowsBetween(length, length + horizon - 1)
     row = F.struct(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
-    tgt = F.struct(F.col(target).cast("double").alias("v"), F.col(order).alias("d"))
+    tgt = F.struct(F.col(target).cast("double").alias("v"), F.col(date_col).alias("d"))
     d = (df.withColumn("_xs", F.collect_list(row).over(fx))
          .withColumn("_yc", F.collect_list(tgt).over(fx))
          .withColumn("_ys", F.collect_list(tgt).over(fy))
-         .withColumn("sample", (F.row_number().over(w) - 1).cast("bigint")))
+         .withColumn("sample", ((F.col(position) if position else F.row_number().over(w)) - 1).cast("bigint")))
     d = d.filter((F.size("_xs") == length) & (F.size("_ys") == horizon))
     nf = len(features)
     return d.select(
-        key, "sample", F.col(order).alias("start_date"),
+        keys[0], *keep, "sample", F.col(date_col).alias("start_date"),
         F.element_at(F.col("_ys"), 1)["d"].alias("target_date"),
         F.transform("_xs", lambda s: F.array(*[s[f"f{i}"] for i in range(nf)])).alias("x"),
         F.transform("_ys", lambda s: s["v"]).alias("y"),
@@ -106,3 +109,20 @@ def hash_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, out:
     at_edge = d.filter(edge).withColumn(
         out, F.when(F.row_number().over(wb) <= need, F.lit("test")).otherwise(F.lit("train")))
     return rest.unionByName(at_edge).drop("_b", "_h")
+
+
+def make_sequences_bucketed(df: DataFrame, features, target: str, length: int = 5, horizon: int = 1,
+                            bucket=None, key: str = "symbol", order: str = "date") -> DataFrame:
+    """W10 with the series split into time buckets (default: calendar year):
+    every bucket gets the ``length + horizon - 1`` rows that follow it, so the
+    windows starting in the bucket are complete; runs over ``(key, bucket)``."""
+    from marketmood.operators.indicators import bucketed_windows
+    bucket = bucket if bucket is not None else F.year(order)
+
+    def compute(frame, w):
+        seq = make_sequences(frame, features, target, length, horizon, key=[key, "_bucket"], order="_rn",
+                             position="_rn", keep=("_own", "_bucket", "_rn"), date_col=order)
+        return seq
+
+    out = bucketed_windows(df, bucket, 0, compute, key, order, lookahead=length + horizon - 1)
+    return out

@@ -416,3 +416,17 @@ def w4_ema_bucketed(spark, sf_dir):
     p = FX.prices(spark, sf_dir).select("symbol", "date", "close")
     p = ind.ema_bucketed(p, "close", [2.0 / 13.0, 2.0 / 27.0], ["ema12", "ema26"])
     return rounded(p.select("symbol", "date", "ema12", "ema26"))
+
+
+@register("w10_sequences_bucketed", W("prices") + PSEQ_SQL + _pseq_split(1) + f"""
+SELECT symbol, sample, date AS start_date, d1 AS target_date,
+       list_transform(flatten(xs), lambda v: {r('v')}) AS x,
+       {r('y1')} AS y, list_transform(yc, lambda v: {r('v')}) AS yc
+FROM ps
+""")
+def w10_sequences_bucketed(spark, sf_dir):
+    p = FX.prices(spark, sf_dir)
+    s = SQ.make_sequences_bucketed(p, SCALE_COLS, "close", 5, 1)
+    return s.select("symbol", F.col("sample").cast("bigint").alias("sample"), "start_date", "target_date",
+                    _rlist(F.flatten("x")).alias("x"), round_half_up(F.col("y")[0]).alias("y"),
+                    _rlist(F.col("yc")).alias("yc"))

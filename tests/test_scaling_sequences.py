@@ -86,3 +86,14 @@ def test_hash_split_matches_global_order(spark):
     order = [r.k for r in df.withColumn("h", h).orderBy("h", "k").collect()]
     test = {r.k for r in SQ.hash_split(df, "k", 0.2, 42).filter("split = 'test'").collect()}
     assert test == set(order[:100])
+
+
+def test_bucketed_sequences_equal_unbucketed(spark):
+    from marketmood.sources import fixtures as FX
+    p = FX.prices(spark, "/root/testdata/sf0.001")
+    a = SQ.make_sequences(p, ["open", "close"], "close", 5, 2)
+    b = SQ.make_sequences_bucketed(p, ["open", "close"], "close", 5, 2, F.date_trunc("week", "date"))
+    cols = ["symbol", "sample", "start_date", "target_date", "x", "y", "yc", "y_dates"]
+    ra = sorted(tuple(str(r[c]) for c in cols) for r in a.collect())
+    rb = sorted(tuple(str(r[c]) for c in cols) for r in b.collect())
+    assert ra == rb and len(ra) > 0
