@@ -33,8 +33,11 @@ def ensure_parallelism(df: DataFrame, key: str | None = None, target: int | None
     partitioning, so no second exchange). Inputs already split into at least
     ``target`` partitions (the normal case at scale) are returned unchanged.
     """
-    target = target or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = target or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session): leave as is
         return df
     return df.repartition(target, key) if key else df.repartition(target)
 
