@@ -213,3 +213,13 @@ def t6_distinct_text_scores(spark, sf_dir):
     from marketmood.operators.sentiment import score_distinct_texts
     docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     return score_distinct_texts(docs, "text", "doc_id", FX.lexicon(spark))
+
+
+@register("a6_null_counts_prices", W("prices") + """
+SELECT 'open' AS "column", count(*) FILTER (WHERE open IS NULL OR isnan(open)) AS nulls FROM prices
+UNION ALL SELECT 'close', count(*) FILTER (WHERE close IS NULL OR isnan(close)) FROM prices
+UNION ALL SELECT 'volume', count(*) FILTER (WHERE volume IS NULL) FROM prices
+""")
+def a6_null_counts_prices(spark, sf_dir):
+    from marketmood.operators.rollups import null_counts
+    return null_counts(FX.prices(spark, sf_dir), ["open", "close", "volume"])
