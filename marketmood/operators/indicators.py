@@ -11,7 +11,7 @@ rows back is at most ``(1 - a)^k``, so a frame of ``K`` valid observations with
 ``(1 - a)^K < 2^-60`` reproduces the full recursion. The frame is anchored on
 the running count of valid observations (a RANGE frame), so null rows never
 shrink it. Work is O(n * K) per symbol and never needs the whole series in
-one array.
+one array; ``ema_block_scan`` is the O(n) alternative.
 """
 
 from __future__ import annotations
@@ -80,13 +80,10 @@ def ema_recursive(df: DataFrame, c: str, span: float | None = None, alpha: float
 
 
 def ema_recursive_multi(df: DataFrame, c: str, alphas, outs, key=KEY, order=ORDER) -> DataFrame:
-    """Several non-adjusted EMAs of one column from a single shared window frame.
-
-    The frame is sized for the slowest decay; each EMA folds the same collected
-    list with its own per-row affine step ``y = A y_prev + B x``.
+    """Several non-adjusted EMAs of one column; the preparation windows are
+    shared, and each EMA folds its own frame sized for its decay (a shared
+    frame sized for the slowest decay folds more elements than needed).
     """
-    qs = [1.0 - a for a in alphas]
-    k = max(_frame_len(q) for q in qs)
     w = series_window(key, order)
     x = F.col(c)
     rn, vo, last_rn = "_ema_rn", "_ema_vo", "_ema_last"
@@ -95,22 +92,21 @@ def ema_recursive_multi(df: DataFrame, c: str, alphas, outs, key=KEY, order=ORDE
             .withColumn(last_rn, F.last(F.when(x.isNotNull(), F.col(rn)), ignorenulls=True)
                         .over(w.rowsBetween(Window.unboundedPreceding, -1))))
     g = (F.col(rn) - F.col(last_rn)).cast("double")
-    fields = [F.coalesce(x, F.lit(0.0)).cast("double").alias("x"), x.isNull().alias("skip")]
-    for i, (a, q) in enumerate(zip(alphas, qs)):
+
+    def step(acc, e):
+        return F.when(e["skip"], acc).otherwise(F.coalesce(acc * e["A"], F.lit(0.0)) + e["B"] * e["x"])
+
+    for a, out in zip(alphas, outs):
+        q = 1.0 - a
         qg = F.pow(F.lit(q), g)
-        fields.append(F.when(x.isNull(), F.lit(1.0)).when(F.col(last_rn).isNull(), F.lit(0.0))
-                      .otherwise(qg / (qg + F.lit(a))).alias(f"A{i}"))
-        fields.append(F.when(x.isNull(), F.lit(0.0)).when(F.col(last_rn).isNull(), F.lit(1.0))
-                      .otherwise(F.lit(a) / (qg + F.lit(a))).alias(f"B{i}"))
-    wv = Window.partitionBy(*_keys(key)).orderBy(vo).rangeBetween(-k, 0)
-    lst = F.collect_list(F.struct(*fields)).over(wv)
-    def step_for(i):
-        def step(acc, e):
-            return F.when(e["skip"], acc).otherwise(F.coalesce(acc * e[f"A{i}"], F.lit(0.0)) + e[f"B{i}"] * e["x"])
-        return step
-
-    for i, out in enumerate(outs):
-        folded = F.aggregate(lst, F.lit(None).cast("double"), step_for(i))
+        elem = F.struct(
+            F.when(x.isNull(), F.lit(1.0)).when(F.col(last_rn).isNull(), F.lit(0.0))
+            .otherwise(qg / (qg + F.lit(a))).alias("A"),
+            F.when(x.isNull(), F.lit(0.0)).when(F.col(last_rn).isNull(), F.lit(1.0))
+            .otherwise(F.lit(a) / (qg + F.lit(a))).alias("B"),
+            F.coalesce(x, F.lit(0.0)).cast("double").alias("x"), x.isNull().alias("skip"))
+        wv = Window.partitionBy(*_keys(key)).orderBy(vo).rangeBetween(-_frame_len(q), 0)
+        folded = F.aggregate(F.collect_list(elem).over(wv), F.lit(None).cast("double"), step)
         prep = prep.withColumn(out, F.when(F.col(vo) > 0, folded))
     return prep.drop(rn, vo, last_rn)
 
