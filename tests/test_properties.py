@@ -69,3 +69,83 @@ def test_log_return_matches_brute_force(spark, xs):
     got = col_values(df.withColumn("r", ind.log_return("x")), "r")
     exp = [None] + [math.log(xs[i] / xs[i - 1]) for i in range(1, len(xs))]
     assert close(got, exp)
+
+
+# ---------------------------------------------------------------- sentiment rules
+from marketmood.operators import sentiment as S  # noqa: E402
+from marketmood.sources import fixtures as FX  # noqa: E402
+
+LEX = dict(FX.DEMO_LEXICON)
+WORDS = ["best", "trash", "idiot", "stock", "price", "the", "no", "not", "never", "don't", "very",
+         "slightly", "but", "least", "at", "kind", "of", "ok"]
+
+
+def _variants(w):
+    return st.sampled_from([w, w.upper(), w.capitalize()])
+
+
+token = st.tuples(st.sampled_from(WORDS).flatmap(_variants),
+                  st.sampled_from(["", "!", "?", "!!", "??", "...", ",", "?!?"]))
+texts = st.lists(token, min_size=0, max_size=12).flatmap(
+    lambda toks: st.lists(st.sampled_from([" ", "  ", "\n", "\t"]), min_size=len(toks), max_size=len(toks))
+    .map(lambda seps: "".join(w + p + sep for (w, p), sep in zip(toks, seps))))
+
+
+def score_brute(text):
+    import re
+    toks = [t for t in re.split(r"[\t\n\x0b\f\r ]+", text) if t]
+    toks = [t.strip(S.PUNCT_CHARS) if len(t.strip(S.PUNCT_CHARS)) > 2 else t for t in toks]
+    n = len(toks)
+    if n == 0:
+        return 0.0
+
+    def isup(t):
+        return t.upper() == t and t.lower() != t
+
+    ncaps = sum(isup(t) for t in toks)
+    capdiff = 0 < ncaps < n
+    lt = [t.lower() for t in toks]
+    bi = lt.index("but") if "but" in lt else -1
+    sent = []
+    for i, t in enumerate(toks):
+        low = lt[i]
+        if low not in LEX or low in S.BOOSTERS or (low == "kind" and i + 1 < n and lt[i + 1] == "of"):
+            sent.append(0.0)
+            continue
+        v = LEX[low]
+        if isup(t) and capdiff:
+            v = v + S.C_INCR if v > 0 else v - S.C_INCR
+        for d in (1, 2, 3):
+            if i - d < 0 or lt[i - d] in LEX:
+                continue
+            p, lp = toks[i - d], lt[i - d]
+            b = S.BOOSTERS.get(lp, 0.0)
+            s = 0.0
+            if b != 0:
+                s = -b if v < 0 else b
+                if isup(p) and capdiff:
+                    s += S.C_INCR if v > 0 else -S.C_INCR
+            v = v + s * S.DISTANCE_DAMPING[d - 1]
+            if lp in S.NEGATIONS or "n't" in lp:
+                v *= S.N_SCALAR
+        if i >= 1 and lt[i - 1] == "least" and lt[i - 1] not in LEX and (i < 2 or lt[i - 2] not in ("at", "very")):
+            v *= S.N_SCALAR
+        if bi >= 0:
+            v *= S.BUT_BEFORE if i < bi else (S.BUT_AFTER if i > bi else 1.0)
+        sent.append(v)
+    amp = min(text.count("!"), 4) * S.EXCL_STEP
+    qm = text.count("?")
+    amp += S.QM_MAX if qm > 3 else (qm * S.QM_STEP if qm > 1 else 0.0)
+    s = sum(sent)
+    s = s + amp if s > 0 else (s - amp if s < 0 else s)
+    comp = max(-1.0, min(1.0, s / math.sqrt(s * s + S.ALPHA)))
+    return math.floor(comp * 10000.0 + 0.5) / 10000.0
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(batch=st.lists(texts, min_size=1, max_size=8))
+def test_compound_matches_rule_brute_force(spark, batch):
+    df = spark.createDataFrame(list(enumerate(batch)), "doc_id long, text string")
+    got = {r.doc_id: r.compound for r in S.score_sentiment(df, lex=FX.lexicon(spark)).collect()}
+    for i, t in enumerate(batch):
+        assert abs(got[i] - score_brute(t)) <= 1e-4 + 1e-12, (t, got[i], score_brute(t))
