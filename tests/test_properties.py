@@ -149,3 +149,26 @@ def test_compound_matches_rule_brute_force(spark, batch):
     got = {r.doc_id: r.compound for r in S.score_sentiment(df, lex=FX.lexicon(spark)).collect()}
     for i, t in enumerate(batch):
         assert abs(got[i] - score_brute(t)) <= 1e-4 + 1e-12, (t, got[i], score_brute(t))
+
+
+# ---------------------------------------------------------------- splits and buckets
+@SETTINGS
+@given(n=st.integers(min_value=1, max_value=400), frac=st.sampled_from([0.1, 0.2, 0.5, 0.9]))
+def test_hash_split_exact_fraction(spark, n, frac):
+    from marketmood.operators.sequences import hash_split
+    df = spark.range(0, n).withColumnRenamed("id", "k")
+    out = hash_split(df, "k", frac, 7)
+    assert out.count() == n
+    assert out.filter("split = 'test'").count() == math.ceil(n * frac)
+
+
+@SETTINGS
+@given(xs=st.lists(st.floats(min_value=1.0, max_value=100.0, allow_nan=False), min_size=1, max_size=80),
+       width=st.integers(min_value=1, max_value=30))
+def test_bucketed_windows_equal_unbucketed(spark, xs, width):
+    from pyspark.sql import functions as F
+    df = series_df(spark, xs).withColumnRenamed("x", "close")
+    bucket = F.floor(F.datediff("date", F.lit("2020-01-01")) / width)
+    got = col_values(ind.moving_features_bucketed(df, "close", bucket), "ma20")
+    exp = col_values(df.withColumn("ma20", ind.moving_average("close", 20)), "ma20")
+    assert close(got, exp)
