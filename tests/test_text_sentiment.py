@@ -130,3 +130,14 @@ def test_distinct_text_scores_equal_direct(spark):
     a = sorted(tuple(r) for r in score_sentiment(df, lex=FX.lexicon(spark)).collect())
     b = sorted(tuple(r) for r in score_distinct_texts(df, lex=FX.lexicon(spark)).select("doc_id", "neg", "neu", "pos", "compound").collect())
     assert a == b
+
+
+def test_nfkd_normalisation_before_scoring(spark):
+    # under NFKD the fullwidth letters become "best" (a lexicon word) and the
+    # fullwidth "！" becomes "!", which adds emphasis
+    df = spark.createDataFrame([(1, "ｂｅｓｔ！！"), (2, "best")], "doc_id long, text string")
+    plain = {r.doc_id: r.compound for r in score_sentiment(df, lex=FX.lexicon(spark)).collect()}
+    normed = {r.doc_id: r.compound for r in score_sentiment(df, lex=FX.lexicon(spark), normalize=True).collect()}
+    assert plain[1] == 0.0
+    assert normed[1] == norm(3.2 + 2 * 0.292)
+    assert normed[2] == plain[2] == norm(3.2)
