@@ -70,3 +70,17 @@ def utf8(text: str | None) -> bytes:
 
 def longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
+
+
+def text_pieces(text: str | None, size: int = 1 << 20):
+    """Cut a text at white space into blocks of about ``size`` characters (one block for most texts)."""
+    text = text or ""
+    if len(text) <= size:
+        yield text
+        return
+    pos, space = 0, re.compile(r"\s")
+    while pos < len(text):
+        found = space.search(text, min(pos + size, len(text)))
+        end = found.start() if found else len(text)
+        yield text[pos:end]
+        pos = end
