@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketmood.llm.common import free_name, pieces, small_side, stored, utf8
+from marketmood.llm.common import free_name, pieces, read_table, small_side, stored, utf8
 from marketmood.llm.components import connected_components
 
 SEED = 42
@@ -188,3 +188,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc
         once = stay.join(again, of(again), "left_semi").dropDuplicates([id_col, key])
         stay = stay.join(again, of(again), "left_anti").unionByName(once)
     return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def op10_simhash(spark, sf_dir) -> DataFrame:
+    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("row_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
