@@ -44,7 +44,7 @@ CACHE_WORDS = 500_000
 class Settings:
     """``sample_rows`` bounds the labelled rows that reach the trainer, half of them of each label."""
 
-    sample_rows: int = 6000
+    sample_rows: int = 5000
     buckets: int = 1 << 19
     dim: int = 8
     rate: float = 0.3
@@ -71,6 +71,10 @@ def grams(word: str, buckets: int) -> list[int]:
             for n in (3, 4, 5) for i in range(max(1, len(marked) - n + 1))]
 
 
+def n_grams(word: str) -> int:
+    return sum(max(1, len(word) + 3 - n) for n in (3, 4, 5))
+
+
 def passage_starts(n_words: int) -> np.ndarray:
     """First word of each of about n / PASSAGE passages of equal length."""
     k = max(1, round(n_words / PASSAGE))
@@ -127,7 +131,7 @@ class _Trainer:
         for text in texts:
             own = []
             for block in text_pieces(text):
-                ids = np.array([vocab.setdefault(w, len(vocab)) for w in WORD.findall(block.lower())], np.int64)
+                ids = np.array([vocab.setdefault(w, len(vocab)) for w in WORD.findall(block.lower())], np.int32)
                 if len(ids):
                     own += [np.unique(p) for p in np.split(ids, passage_starts(len(ids))[1:])]
             self.passages.append(own)
@@ -135,10 +139,9 @@ class _Trainer:
         n = len(words)
         words += [_spoilt(w, self.rng) for w in words]
         self.spoilt_from = n
-        ids = [grams(w, s.buckets) for w in words]
-        self.size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.size = np.fromiter((n_grams(w) for w in words), np.int64, len(words))
         self.at = np.concatenate(([0], np.cumsum(self.size)))
-        self.gram = np.fromiter((i for g in ids for i in g), np.int64, int(self.at[-1]))
+        self.gram = np.fromiter((i for w in words for i in grams(w, s.buckets)), np.int32, int(self.at[-1]))
         self.vec = np.zeros((s.buckets, s.dim), np.float32)  # n-grams that were never seen say nothing
         self.vec_g = np.full(s.buckets, 1e-6, np.float32)
         self.soft = self.rng.normal(0, 0.1, (s.dim + 1, 2))
