@@ -1,0 +1,143 @@
+"""URL filters: allow and block rules, then logistic regression on hashed character n-grams.
+
+The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the
+end, A-Z lower-cased; the path what follows up to ``?``, ``#`` or the end. A
+null URL or one without ``://`` has both empty. A rule ``host/path`` fits its
+host and all subdomains, if the URL's path starts with the rule's (with its
+slash); the longest fitting rule decides. URLs that no rule fits are judged by
+a logistic regression on hashed 3- to 5-grams of host and path, trained from a
+small labelled URL table, which is a parameter.
+"""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from marketmood.llm.common import free_name, read_table
+
+# Rules of the query (fixed values): verdict by host and path.
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+# Labelled URLs (fixed values): spam, gambling, adult, tracking and warez hosts, and ordinary ones.
+BLOCKED = """
+casino-online.test/en/310  www.mega-casino.test/slots  bestcasino.test/en/7.html  blog.play-poker.test/de/55  poker-win.test/
+free-bets.test/en/4012  m.betting-tips.test/odds/  sports-bets.test/live  lotto-win.test/es/880/  casino-slots-win.test/fr/21
+cheap-pills.test/en/5120  www.online-pills.test/order  viagra-shop.test/en/12  pharmacy-pills.test/de/9.html  diet-pills.test/
+adult-dates.test/en/3300  adult-video.test/fr/9  m.xxx-tube.test/  porn-x.test/es/71  adult-x.test/cams/2  hot-adult.test/en/8
+spam-mail.test/en/60  www.spam-farm.test/en/6203  link-farm.test/seo/  seo-farm.test/fr/450  content-spam.test/en/14.html
+ads-server.test/click/1  ads-track.test/en/910  m.track-ads.test/de/17  adserver-track.test/  popup-ads.test/es/5
+free-money.test/en/2  fast-loans.test/apply  payday-loan.test/en/77/  win-prize.test/fr/3  free-iphone-win.test/en/19
+warez-crack.test/download/  keygen-crack.test/de/400  torrent-free.test/en/6.html  replica-watches.test/en/90  cheap-replica.test/
+""".split()
+ALLOWED = """
+/  news.test/en/politics  www.daily-news.test/article/2020  blog.garden.test/en/12  library.test/books/history  museum.test/fr/15/
+university.test/courses/math  www.school.test/de/kurse  docs.software.test/guide/  wiki.test/en/777.html  science.test/paper/77
+recipes.test/en/6203  www.travel.test/es/880  weather.test/  m.newspaper.test/en/991  m.town.test/fr/31/  ocean.test/de/9.html
+health.test/en/5120  www.city.test/council/  music.test/album/3  films.test/es/71  sports.test/en/910  island.test/fr/450
+shop.test/product/9  bank.test/en/4012  www.hospital.test/contact  law.test/de/55  journal.test/fr/4821  earth.test/en/7.html
+blog.writing.test/es/5  photo.test/gallery/1  www.maps.test/en/90  archive.test/en/1200  nature.test/de/17  other.test/en/14.html
+thorn.test/en/100  www.theory.test/fr/7  m.nation.test/de/400  station.test/en/3300/  therapy.test/en/6.html  blog.thing.test/en/2
+""".split()
+
+BUCKETS = 1 << 22
+
+
+def host_of(url: Column) -> Column:
+    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.coalesce(F.translate(host, upper, upper.lower()), F.lit(""))
+
+
+def path_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
+
+
+def longest_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
+    """The longest rule that fits (of equally long ones the first in order), or null."""
+    out = None
+    for rule in sorted(rules, key=lambda r: (-len(r), r)):
+        name, slash, rest = rule.partition("/")
+        fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
+        out = F.when(fits, rule) if out is None else out.when(fits, rule)
+    return F.lit(None).cast("string") if out is None else out
+
+
+def features(host: str, path: str) -> np.ndarray:
+    """Buckets of the distinct 3- to 5-grams of the marked host and path."""
+    grams = {zlib.crc32(f"{side}{marked[i:i + n]}".encode()) % BUCKETS
+             for side, marked in (("h", f"^{host}$"), ("p", f"^{path}$"))
+             for n in (3, 4, 5) for i in range(max(1, len(marked) - n + 1))}
+    return np.array(sorted(grams))
+
+
+def train(urls: list[tuple[str, str, int]], rounds: int = 600, rate: float = 20.0,
+          decay: float = 5e-4, allow_weight: float = 5.0) -> tuple[dict[int, float], float]:
+    """Weights (by bucket) and bias by gradient descent on (host, path, label 1 = block); none without rows.
+
+    The table holds as many rows of either label, but most URLs are ordinary,
+    so a row to be allowed weighs ``allow_weight`` times as much.
+    """
+    rows = [features(h, p) for h, p, _ in urls]
+    seen = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
+    rows = [np.searchsorted(seen, r) for r in rows]
+    y = np.array([label for _, _, label in urls], np.float64)
+    share = np.where(y == 1, 1.0, allow_weight)
+    share /= share.sum() or 1.0
+    weights, bias = np.zeros(len(seen)), 0.0
+    for _ in range(rounds if rows else 0):
+        z = np.array([weights[r].sum() / np.sqrt(len(r)) for r in rows]) + bias
+        miss = (1 / (1 + np.exp(-z)) - y) * share
+        grad = np.zeros(len(seen))
+        for r, m in zip(rows, miss):
+            grad[r] += m / np.sqrt(len(r))
+        weights -= rate * (grad + decay * weights)
+        bias -= rate / 20 * miss.sum()
+    return dict(zip(seen.tolist(), weights.tolist())), float(bias)
+
+
+def block_score(host: str, path: str, weights: dict[int, float], bias: float) -> float:
+    """Probability that the URL is to be blocked."""
+    found = features(host, path)
+    return float(1 / (1 + np.exp(-(sum(weights.get(f, 0.0) for f in found.tolist()) / np.sqrt(len(found)) + bias))))
+
+
+def labelled() -> list[tuple[str, str, int]]:
+    """Host, path and label of the table; a lone slash stands for an empty host and path."""
+    split = lambda u: ("", "") if u == "/" else (u.partition("/")[0], "/" + u.partition("/")[2])
+    return [(*split(u), 1) for u in BLOCKED] + [(*split(u), 0) for u in ALLOWED]
+
+
+def judge(pages: DataFrame, rules: dict[str, str] = RULES, urls: list[tuple[str, str, int]] | None = None,
+          url: str = "url", cut: float = 0.5) -> DataFrame:
+    """All rows and columns of ``pages`` with host, path, rule, block_score and verdict.
+
+    Every row is judged, nulls and repeats included; ``block_score`` is the
+    model's probability whether or not a rule decides. Columns of these names
+    are replaced.
+    """
+    weights, bias = train(labelled() if urls is None else urls)
+    data = pages.drop(*[c for c in ("host", "path", "rule", "block_score", "verdict") if c != url])
+    h, p = free_name(data, "url_host"), free_name(data, "url_path")
+
+    @F.pandas_udf("double")
+    def score(hosts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([block_score(a, b, weights, bias) for a, b in zip(hosts, paths)], dtype="float64")
+
+    out = data.withColumn(h, host_of(F.col(url))).withColumn(p, path_of(F.col(url)))
+    rule = longest_rule(F.col(h), F.col(p), rules)
+    ruled = F.lit(None).cast("string")
+    for name, verdict in rules.items():
+        ruled = F.when(F.col("rule") == name, verdict).otherwise(ruled)
+    kept = [F.col(f"`{c}`") for c in data.columns]
+    return (out.select(*kept, F.col(h).alias("host"), F.col(p).alias("path"), rule.alias("rule"),
+                       score(h, p).alias("block_score"))
+            .withColumn("verdict", F.coalesce(ruled, F.when(F.col("block_score") >= cut, "block").otherwise("allow"))))
+
+
+def op8_url_filter(spark, sf_dir) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
