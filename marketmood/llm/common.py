@@ -84,3 +84,10 @@ def text_pieces(text: str | None, size: int = 1 << 20):
         end = found.start() if found else len(text)
         yield text[pos:end]
         pos = end
+
+
+def rows_of(batch: pa.RecordBatch, size: int = 200):
+    """Rows of an Arrow batch as tuples, converted a few at a time to keep memory low."""
+    for i in range(0, batch.num_rows, size):
+        part = batch.slice(i, size)
+        yield from zip(*(part.column(k).to_pylist() for k in range(part.num_columns)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketmood.llm.common import pieces, read_table, stored, utf8
+from marketmood.llm.common import pieces, read_table, rows_of, stored, utf8
 from marketmood.llm.components import connected_components
 
 WIDTH = 5
@@ -159,7 +159,7 @@ def edit_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id
         held = None
         for batch in batches:
             rows = []
-            for bucket, later, key, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for bucket, later, key, t in rows_of(batch):
                 if held is not None and held[0] != bucket:
                     held = None
                 if held is None and later:
@@ -196,7 +196,7 @@ def similar_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", t
         hasher = Hasher()
         for batch in batches:
             ids, found, values = [], [], []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, t in rows_of(batch):
                 parts = list(hasher.shingles(t))
                 own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                 ids.append(key)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketmood.llm.common import read_table, text_pieces
+from marketmood.llm.common import read_table, rows_of, text_pieces
 
 CAPACITY = 2048
 MIN_FILL = 0.97
@@ -37,7 +37,7 @@ VOCABULARY = "word_bpe_49k.json"
 BEYOND = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")
 _LETTERS, _NUMBERS, _SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
 PRETOKEN = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}{_SPACES}]+")
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,45 +47,48 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
+class Memory(dict):
+    """Values of a function by key; emptied when it holds ``limit`` keys."""
+
+    def __init__(self, made, limit: int = CACHE_WORDS):
+        super().__init__()
+        self.made, self.limit = made, limit
+
+    def __missing__(self, key):
+        value = self.made(key)
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Little-endian 32-bit ids of whole texts, with a bounded memory of words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.model = self.tok.model
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}  # by pre-token
-        self.known: dict[str, bytes] = {}  # by what stands between white space
+        tokenize, letters = self.tok.model.tokenize, _byte_letters()
+
+        def of_word(word: str) -> bytes:
+            written = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(letters)
+            return b"".join([t.id.to_bytes(4, "little") for t in tokenize(written)])
+
+        words = Memory(of_word).__getitem__
+        # by what stands between white space
+        self.parts = Memory(lambda part: b"".join(map(words, PRETOKEN.findall(part.lower())))).__getitem__
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            written = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
-        return found
-
     def encode(self, text: str | None) -> bytes:
         out = []
         for block in text_pieces(text):
             if BEYOND.search(block) or ("<|" in block and any(s in block for s in self.special)):
                 out.append(self.whole(block))
-                continue
-            parts = block.split()
-            new = set(parts).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > CACHE_WORDS:
-                    self.known.clear()
-                    new = set(parts)
-                for part in new:
-                    self.known[part] = b"".join([self.word(w) for w in PRETOKEN.findall(part.lower())])
-            out.append(b"".join(map(self.known.__getitem__, parts)))
+            else:
+                out.append(b"".join(map(self.parts, block.split())))
         return b"".join(out)
 
 
@@ -149,7 +152,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id",
         id_arrow = pa.int64()
         for batch in batches:
             rows, id_arrow = [], batch.schema.field(0).type
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, t in rows_of(batch):
                 data = encoder.encode(t) + end
                 total, at = len(data) // 4, 0
                 for n in cuts(total, capacity, min_fill):
@@ -164,7 +167,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id",
                             rows.append((*p, seq, filled))
                             filled += p[2]
                         group.clear()
-                if len(rows) >= 5000:
+                if len(rows) >= 2000:
                     yield batch_of(rows)
                     rows = []
             if rows:

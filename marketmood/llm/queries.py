@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from marketmood.llm import decontamination, packing, secret_scan, simhash, toxicity
+from marketmood.llm import (decontamination, html_template, minhash, packing, secret_scan, sharding, simhash, toxicity,
+                            url_filter, warc)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_packing": packing.op3_packing,
+    "op4_warc": warc.op4_warc,
+    "op5_minhash": minhash.op5_minhash,
+    "op6_html_extraction": html_template.op6_html_extraction,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_url_filter": url_filter.op8_url_filter,
+    "op9_sharding": sharding.op9_sharding,
     "op10_simhash": simhash.op10_simhash,
 }
 
 # The other operators rest on models, hashes or layouts that DuckDB lacks; tests/llm holds them to brute force.
-ORACLE_SQL = {"op7_decontamination": decontamination.OP7_SQL}
+ORACLE_SQL = {"op4_warc": warc.OP4_SQL, "op7_decontamination": decontamination.OP7_SQL}
