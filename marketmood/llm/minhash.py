@@ -126,7 +126,8 @@ def with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bucke
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.col(id_col).cast("double").alias("id")).approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n)
+    shares = [i / n for i in range(1, n)] or [0.5]
+    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("double"), shares, 8 * n)).first()[0] or []
     at = -np.unique(np.array(cuts, np.float64))[::-1]  # ascending in the order of descending ids
 
     @F.pandas_udf("int")

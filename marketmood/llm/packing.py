@@ -37,7 +37,7 @@ VOCABULARY = "word_bpe_49k.json"
 BEYOND = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")
 _LETTERS, _NUMBERS, _SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
 PRETOKEN = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}{_SPACES}]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PARTS = 500_000, 700_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,7 +50,7 @@ def _byte_letters() -> dict[int, str]:
 class Memory(dict):
     """Values of a function by key; emptied when it holds ``limit`` keys."""
 
-    def __init__(self, made, limit: int = CACHE_WORDS):
+    def __init__(self, made, limit: int):
         super().__init__()
         self.made, self.limit = made, limit
 
@@ -75,9 +75,9 @@ class Encoder:
             written = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(letters)
             return b"".join([t.id.to_bytes(4, "little") for t in tokenize(written)])
 
-        words = Memory(of_word).__getitem__
+        words = Memory(of_word, CACHE_WORDS).__getitem__
         # by what stands between white space
-        self.parts = Memory(lambda part: b"".join(map(words, PRETOKEN.findall(part.lower())))).__getitem__
+        self.parts = Memory(lambda part: b"".join(map(words, PRETOKEN.findall(part.lower()))), CACHE_PARTS).__getitem__
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
