@@ -37,7 +37,7 @@ VOCABULARY = "word_bpe_49k.json"
 BEYOND = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")
 _LETTERS, _NUMBERS, _SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
 PRETOKEN = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}{_SPACES}]+")
-CACHE_WORDS, CACHE_PARTS = 500_000, 700_000
+CACHE_WORDS, CACHE_PARTS = 600_000, 1_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -76,8 +76,17 @@ class Encoder:
             return b"".join([t.id.to_bytes(4, "little") for t in tokenize(written)])
 
         words = Memory(of_word, CACHE_WORDS).__getitem__
+
+        def of_part(part: str) -> bytes:
+            low = part.lower()
+            if low.isalpha():  # a single pre-token
+                return words(low)
+            if low[-1] in ".,;:!?" and low[:-1].isalpha():
+                return words(low[:-1]) + words(low[-1])
+            return b"".join(map(words, PRETOKEN.findall(low)))
+
         # by what stands between white space
-        self.parts = Memory(lambda part: b"".join(map(words, PRETOKEN.findall(part.lower()))), CACHE_PARTS).__getitem__
+        self.parts = Memory(of_part, CACHE_PARTS).__getitem__
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
