@@ -5,43 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension table (rows) that operators broadcast on their own.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    The check is a bounded count (``limit(max_rows + 1)``). Beyond the bound the
-    plain DataFrame is returned and Spark/AQE choose a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def require_columns(df: DataFrame, cols) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}; have {df.columns}")
 
 
-def ensure_parallelism(df: DataFrame, key: str | None = None, target: int | None = None) -> DataFrame:
-    """Spread a CPU-heavy stage over the cluster when its input has too few partitions.
-
-    A scan of one large row group yields one busy task; then the rows are
-    hash-partitioned by ``key`` (a later ``groupBy(key)`` reuses that
-    partitioning, so no second exchange). Inputs already split into at least
-    ``target`` partitions (the normal case at scale) are returned unchanged.
-    """
-    try:
-        target = target or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session): leave as is
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
-
-
 def require_unique(df: DataFrame, keys) -> DataFrame:
     """Reject duplicate keys (e.g. two price rows for one symbol and day).
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketmood.functions.numeric import safe_ln
+from marketmood.session import store
 
 KEY = "symbol"
 ORDER = "date"
@@ -135,11 +136,11 @@ def ema_adjusted(df: DataFrame, c: str, com: float | None = None, span: float |
 
 
 def macd(df: DataFrame, c: str = "close", fast: float = 12, slow: float = 26, out: str = "macd",
-         key=KEY, order=ORDER, ema_method: str = "frame") -> DataFrame:
+         key=KEY, order=ORDER, ema_method: str = "block") -> DataFrame:
     """EMA(fast) - EMA(slow), helpers dropped.
 
-    ``ema_method``: ``"frame"`` (default, folds in the recursion's order) or
-    ``"block"`` (:func:`ema_block_scan`, O(rows)).
+    ``ema_method``: ``"block"`` (default, :func:`ema_block_scan`, O(rows)) or
+    ``"frame"`` (folds in the recursion's order, O(rows x frame)).
     """
     ema = ema_block_scan if ema_method == "block" else ema_recursive_multi
     d = ema(df, c, [2.0 / (fast + 1.0), 2.0 / (slow + 1.0)], ["_ema_fast", "_ema_slow"], key, order)
@@ -172,7 +173,7 @@ def with_position(df: DataFrame, out: str = "pos", key=KEY, order=ORDER) -> Data
 
 
 def technical_indicators(df: DataFrame, c: str = "close", key=KEY, order=ORDER,
-                         keep_std: bool = False, ema_method: str = "frame") -> DataFrame:
+                         keep_std: bool = False, ema_method: str = "block") -> DataFrame:
     """The daily indicator block of the feature pipeline.
 
     Adds ``ma7, ma20, macd, upper_band, lower_band, ema, log_momentum``.
@@ -185,51 +186,69 @@ def technical_indicators(df: DataFrame, c: str = "close", key=KEY, order=ORDER,
     return d.withColumn("log_momentum", log_return(c, key, order))
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, cols) -> DataFrame:
+    """Inner join on equal or equally NULL columns; the right side's copies are dropped."""
+    r = right.select(*[F.col(c).alias(f"_j_{c}") if c in cols else F.col(c) for c in right.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in cols]
+    return left.join(r, on).drop(*[f"_j_{c}" for c in cols])
+
+
 def bucketed_windows(df: DataFrame, bucket: Column, lookback: int, compute, key: str = KEY,
-                     order: str = ORDER, lookahead: int = 0) -> DataFrame:
+                     order: str = ORDER, lookahead: int = 0, valid: Column | None = None) -> DataFrame:
     """Run trailing-frame window features per (key, time bucket) instead of per key.
 
     For series where one key holds a large share of all rows, a window
     partitioned by key alone runs in one task. Here each series is cut into
     buckets (e.g. ``F.year("date")``); every bucket also receives the
     ``lookback`` rows that precede it, so frames reaching at most ``lookback``
-    rows back are exact. Global row positions come from per-bucket counts
-    (small), the overlap rows are found with an equi-join on positions, and the
-    windows then run in parallel over ``(key, bucket)``.
+    rows back are exact. With ``valid``, only rows where it holds count as
+    looked back over (those between them come along). Positions come from
+    per-bucket counts (small), the overlap rows are found with an equi-join on
+    positions, and the windows then run in parallel over ``(key, bucket)``. The
+    positions are written to the shared folder once, as counts, frame and
+    overlap all read them. NULL keys and order values form series and buckets
+    of their own; no row is lost.
 
     ``lookahead`` rows after each bucket are added the same way for frames
     that look forward (sequence windows). ``compute(frame_df, w)`` adds columns
     using the window spec ``w`` (partition ``(key, _bucket)``, order ``_rn``,
     the global 1-based position); only each bucket's own rows are returned.
     """
-    d = df.withColumn("_bucket", bucket)
+    d = df.withColumn("_bucket", bucket).withColumn("_ok", F.lit(True) if valid is None else F.coalesce(valid, F.lit(False)))
     local = Window.partitionBy(key, "_bucket").orderBy(order)
     d = d.withColumn("_lrn", F.row_number().over(local))
-    counts = d.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    upto = Window.partitionBy(key, "_bucket").orderBy("_lrn").rowsBetween(Window.unboundedPreceding, 0)
+    d = store(d.withColumn("_lvo", F.count(F.when(F.col("_ok"), 1)).over(upto)).drop("_ok"), "positions")
+    counts = d.groupBy(key, "_bucket").agg(F.max("_lrn").cast("bigint").alias("_cnt"), F.max("_lvo").alias("_vcnt"))
     wb = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)))
-    d = (d.join(offsets.select(key, "_bucket", "_off"), [key, "_bucket"])
-         .withColumn("_rn", F.col("_off") + F.col("_lrn")).drop("_lrn", "_off"))
-    # rows each bucket needs from before its start (global positions off-lookback+1 .. off)
-    # and after its end (end+1 .. end+lookahead); positions past the series end match nothing
-    parts = []
+    offsets = counts.select(key, "_bucket", "_cnt", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)).alias("_off"),
+                            F.coalesce(F.sum("_vcnt").over(wb), F.lit(0)).alias("_voff"))
+    d = (_null_safe_join(d, offsets.select(key, "_bucket", "_off", "_voff"), [key, "_bucket"])
+         .withColumn("_rn", F.col("_off") + F.col("_lrn")).withColumn("_vo", F.col("_voff") + F.col("_lvo"))
+         .drop("_lrn", "_lvo", "_off", "_voff"))
+    # Positions that a bucket needs from before its start (by the count of valid
+    # rows) and after its end; positions past the series end match nothing.
+    frames = [d.withColumn("_own", F.lit(True))]
+
+    def overlap(need, at):
+        found = _null_safe_join(d, need, [key, at])
+        return (found.filter(F.col("_rn").between(F.col("_from"), F.col("_to"))).drop("_bucket", "_from", "_to")
+                .withColumnRenamed("_target", "_bucket").withColumn("_own", F.lit(False)))
+
+    target, off, end = F.col("_bucket").alias("_target"), F.col("_off"), F.col("_off") + F.col("_cnt")
     if lookback > 0:
-        parts.append(offsets.filter(F.col("_off") > 0).select(
-            key, F.col("_bucket").alias("_target"),
-            F.explode(F.sequence(F.greatest(F.col("_off") - lookback + 1, F.lit(1)), F.col("_off"))).alias("_rn")))
+        first = F.greatest(F.col("_voff") - lookback + 1, F.lit(1))
+        frames.append(overlap(offsets.filter(F.col("_voff") > 0).select(
+            key, target, F.lit(1).alias("_from"), off.alias("_to"),
+            F.explode(F.sequence(first, F.col("_voff"))).alias("_vo")), "_vo"))
     if lookahead > 0:
-        end = F.col("_off") + F.col("_cnt")
-        parts.append(offsets.select(key, F.col("_bucket").alias("_target"),
-                                    F.explode(F.sequence(end + 1, end + lookahead)).alias("_rn")))
-    if not parts:
-        need = offsets.select(key, F.col("_bucket").alias("_target"), F.lit(None).cast("bigint").alias("_rn")).limit(0)
-    else:
-        need = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    overlap = (d.join(need, [key, "_rn"]).drop("_bucket").withColumnRenamed("_target", "_bucket")
-               .withColumn("_own", F.lit(False)))
-    frame = d.withColumn("_own", F.lit(True)).unionByName(overlap)
-    w = Window.partitionBy(key, "_bucket").orderBy("_rn")
-    out = compute(frame, w)
+        frames.append(overlap(offsets.select(
+            key, target, (end + 1).alias("_from"), (end + lookahead).alias("_to"),
+            F.explode(F.sequence(end + 1, end + lookahead)).alias("_rn")), "_rn"))
+    frame = frames[0]
+    for f in frames[1:]:
+        frame = frame.unionByName(f)
+    out = compute(frame.drop("_vo"), Window.partitionBy(key, "_bucket").orderBy("_rn"))
     return out.filter(F.col("_own")).drop("_own", "_bucket", "_rn")
 
 
@@ -264,16 +283,15 @@ def ema_bucketed(df: DataFrame, c: str, alphas, outs, bucket: Column | None = No
                  key: str = KEY, order: str = ORDER) -> DataFrame:
     """W4 with the series split into time buckets (default: calendar year).
 
-    Each bucket receives the EMA frame length of preceding rows, so the values
-    equal :func:`ema_recursive_multi` for series without nulls (with nulls the
-    lookback counts rows, not values).
+    Each bucket receives the EMA frame length of preceding non-null values and
+    the rows between them, so the values equal :func:`ema_recursive_multi`.
     """
     bucket = bucket if bucket is not None else F.year(order)
 
     def compute(frame, w):
         return ema_recursive_multi(frame, c, alphas, outs, key=[key, "_bucket"], order="_rn")
 
-    return bucketed_windows(df, bucket, ema_frame_rows(alphas), compute, key, order)
+    return bucketed_windows(df, bucket, ema_frame_rows(alphas) + 1, compute, key, order, valid=F.col(c).isNotNull())
 
 
 # Block size (valid values) of the EMA block scan and the floor of one step's
@@ -293,8 +311,7 @@ def ema_block_scan(df: DataFrame, c: str, alphas, outs, key=KEY, order=ORDER) ->
     the last block ends (enough of them for a 2^-60 truncation). Exponents stay
     within one block. The result equals the row recursion to ~1e-15 relative
     but associates the arithmetic differently, so the last printed digit of a
-    6-decimal report can differ; the frame version is the default for that
-    reason.
+    6-decimal report can differ, so reports compare fewer decimals.
     """
     keys = _keys(key)
     qs = [1.0 - a for a in alphas]

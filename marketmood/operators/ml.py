@@ -4,9 +4,9 @@
   -> IDF -> multinomial logistic regression), trained and applied on whole
   tables.
 * Price forecaster: one ridge regression per symbol on the flattened input
-  window. The normal equations are built from sufficient statistics summed
-  on the cluster (``X'X``, ``X'y`` per symbol, map-side combined by
-  ``Summarizer``); only the p x p system per symbol (p = window x features + 1,
+  window. The normal equations are built from sufficient statistics (``X'X``,
+  ``X'y`` per symbol): one numpy product per Arrow batch, summed on the cluster
+  by ``Summarizer``; only the p x p system per symbol (p = window x features + 1,
   independent of the row count) is solved in a pandas task. Coefficients are
   a small table joined back by symbol for inference.
 """
@@ -20,11 +20,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketmood.functions.text import STOP_WORDS, decode_label
-from marketmood.operators.common import bounded_broadcast
 
 
 # ---------------------------------------------------------------- classifier
@@ -54,10 +53,13 @@ def predict_sentiment(df: DataFrame, model: PipelineModel, keep=("doc_id",)) ->
 
 
 def training_history(model: PipelineModel, name: str = "sentiment") -> DataFrame:
-    """M8: ``(model, iteration, objective)`` of the logistic-regression fit."""
+    """M8: ``(model, iteration, objective)`` of the logistic-regression fit.
+
+    A model that was loaded from a folder has no history: the table is empty.
+    """
     lr = model.stages[-1]
     hist = list(lr.summary.objectiveHistory) if lr.hasSummary else []
-    spark = lr.summary.predictions.sparkSession if lr.hasSummary else None
+    spark = SparkSession.active()
     return spark.createDataFrame([(name, i, float(v)) for i, v in enumerate(hist)],
                                  "model string, iteration int, objective double")
 
@@ -88,24 +90,27 @@ def fit_forecaster(seq: DataFrame, key: str = "symbol", ridge: float = 1e-3, spl
     """
     d = seq.filter(F.col(split) == train_value) if split else seq
     d = d.filter(~F.exists(F.flatten("x"), lambda v: v.isNull()) & F.col("y")[0].isNotNull())
-    v = design_vector("x")
-    d = d.select(key, v.alias("_v"), F.col("y")[0].alias("_y"))
-    p = F.size("_v")
-    outer = F.transform(F.sequence(F.lit(0), p * p - 1),
-                        lambda k: F.element_at("_v", (k / p).cast("int") + 1) * F.element_at("_v", k % p + 1))
-    xy = F.transform("_v", lambda a: a * F.col("_y"))
-    stats = (d.select(key, array_to_vector(outer).alias("_xx"), array_to_vector(xy).alias("_xy"))
-             .groupBy(key)
-             .agg(Summarizer.sum(F.col("_xx")).alias("_xx"), Summarizer.sum(F.col("_xy")).alias("_xy"),
-                  F.count(F.lit(1)).alias("n_train"))
-             .select(key, vector_to_array("_xx").alias("xx"), vector_to_array("_xy").alias("xy"), "n_train"))
+    d = d.select(key, design_vector("x").alias("_v"), F.col("y")[0].alias("_y"))
+
+    def partial(batches):
+        """Per batch and key: sums of products of [features, target], as one numpy product."""
+        for pdf in batches:
+            for k, g in pdf.groupby(key, dropna=False):
+                m = np.column_stack([np.stack(g["_v"].to_numpy()), g["_y"].to_numpy(dtype=float)])
+                yield pd.DataFrame({key: [k if isinstance(k, str) else None], "xx": [(m.T @ m).ravel().tolist()],
+                                    "n": [len(g)]})
+
+    sums = (d.mapInPandas(partial, f"{key} string, xx array<double>, n bigint")
+            .groupBy(key).agg(Summarizer.sum(array_to_vector("xx")).alias("_xx"), F.sum("n").alias("n_train")))
+    stats = sums.select(key, vector_to_array("_xx").alias("xx"), "n_train")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, r in pdf.iterrows():
-            b = np.asarray(r["xy"], dtype=float)
-            m = b.shape[0]
-            a = np.asarray(r["xx"], dtype=float).reshape(m, m)
+            full = np.asarray(r["xx"], dtype=float)
+            m = int(round(full.size ** 0.5)) - 1
+            full = full.reshape(m + 1, m + 1)
+            a, b = full[:m, :m], full[:m, m]
             reg = ridge * np.eye(m)
             reg[0, 0] = 0.0  # intercept not penalised
             coef = np.linalg.lstsq(a + reg, b, rcond=None)[0]
@@ -117,7 +122,7 @@ def fit_forecaster(seq: DataFrame, key: str = "symbol", ridge: float = 1e-3, spl
 
 def forecast(seq: DataFrame, coefs: DataFrame, key: str = "symbol", out: str = "pred") -> DataFrame:
     """M6: dot product of each window with its symbol's coefficients (JVM side)."""
-    c = bounded_broadcast(coefs.select(key, F.col("coef").alias("_coef")))
+    c = coefs.select(key, F.col("coef").alias("_coef"))
     d = seq.join(c, key, "inner").withColumn("_v", design_vector("x"))
     dot = F.aggregate(F.zip_with("_v", "_coef", lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
     return d.withColumn(out, F.array(dot)).drop("_coef", "_v")

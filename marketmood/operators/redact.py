@@ -11,7 +11,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketmood.operators.common import bounded_broadcast
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_REPLACEMENT = "***REMOVED***"
@@ -20,59 +19,41 @@ BINARY_SNIFF_BYTES = 8192
 # --- end of fixed values ----------------------------------------------------
 
 
+_GLOB_PART = re.compile(r"(?P<run>\*)|(?P<one>\?)|\[(?P<not>!?)(?P<chars>\]?[^\]]*)\]|(?P<plain>.)", re.DOTALL)
+
+
 def glob_to_regex(glob: str) -> str:
     """Shell glob -> regex body (``*`` any run, ``?`` one char, ``[...]``/``[!...]`` classes)."""
-    out, i, n = [], 0, len(glob)
-    while i < n:
-        c = glob[i]
-        i += 1
-        if c == "*":
-            out.append(".*")
-        elif c == "?":
-            out.append(".")
-        elif c == "[":
-            j = i
-            if j < n and glob[j] == "!":
-                j += 1
-            if j < n and glob[j] == "]":
-                j += 1
-            while j < n and glob[j] != "]":
-                j += 1
-            if j >= n:
-                out.append("\\[")
-            else:
-                body = glob[i:j].replace("\\", "\\\\")
-                i = j + 1
-                if body.startswith("!"):
-                    body = "^" + body[1:]
-                out.append(f"[{body}]")
-        else:
-            out.append(re.escape(c) if not c.isalnum() and c != " " else c)
-    return "(?s)" + "".join(out)
+    def part(m: re.Match) -> str:
+        if m["run"] or m["one"]:
+            return ".*" if m["run"] else "."
+        if m["plain"]:
+            return m["plain"] if m["plain"].isalnum() or m["plain"] == " " else re.escape(m["plain"])
+        return "[" + ("^" if m["not"] else "") + re.sub(r"([\\\[\]^&~])", r"\\\1", m["chars"]) + "]"
+    return "(?s)" + _GLOB_PART.sub(part, glob)
+
+
+# What a rule's kind makes of its pattern: (is it a regex, translation).
+RULE_KINDS = {"literal": (False, str), "regex": (True, str), "glob": (True, glob_to_regex)}
+_RULE = re.compile(f"(?:({'|'.join(RULE_KINDS)}):(?=.))?(.+)", re.DOTALL)
 
 
 def parse_rules(lines) -> tuple[list, list]:
     """Replacement rules -> ``(literals, regexes)`` lists of ``(pattern, replacement)``.
 
-    ``literal:x`` or plain ``x`` replace text, ``regex:r`` and ``glob:g`` match
-    patterns; ``==>r`` sets the replacement (default ``***REMOVED***``).
+    A line is ``[kind:]pattern[==>replacement]``; the kind is literal (default),
+    regex or glob, the last ``==>`` counts, and the default replacement is
+    ``***REMOVED***``. A kind without a pattern is literal text; lines without
+    any pattern are skipped.
     """
-    literals, regexes = [], []
+    made: tuple[list, list] = ([], [])
     for line in lines:
-        line = line.rstrip("\r\n")
-        repl = DEFAULT_REPLACEMENT
-        if RULE_SEPARATOR in line:
-            line, repl = line.rsplit(RULE_SEPARATOR, 1)
-        if line.startswith("regex:"):
-            regexes.append((line[6:], repl))
-        elif line.startswith("glob:"):
-            regexes.append((glob_to_regex(line[5:]), repl))
-        else:
-            if line.startswith("literal:"):
-                line = line[8:]
-            if line:
-                literals.append((line, repl))
-    return literals, regexes
+        what, arrow, replacement = line.rstrip("\r\n").rpartition(RULE_SEPARATOR)
+        m = _RULE.fullmatch(what if arrow else replacement)
+        if m:
+            is_regex, translate = RULE_KINDS[m[1] or "literal"]
+            made[is_regex].append((translate(m[2]), replacement if arrow else DEFAULT_REPLACEMENT))
+    return made
 
 
 def _java_replacement(repl: str) -> str:
@@ -115,7 +96,7 @@ def strip_items(df: DataFrame, content: str, max_bytes: int | None = None, ids:
     if max_bytes is not None:
         d = d.filter(F.octet_length(content) <= max_bytes)
     if ids is not None:
-        d = d.join(bounded_broadcast(ids.select(id_col).distinct()), id_col, "left_anti")
+        d = d.join(ids.select(id_col).distinct(), id_col, "left_anti")
     return d
 
 
@@ -126,12 +107,11 @@ def extension(name: Column) -> Column:
 
 
 def ancestors(name: Column) -> Column:
-    """Every ancestor directory of a path, including the root ''."""
+    """Every ancestor directory of a path once, including the root '' (also that of a leading slash)."""
     parts = F.split(name, "/")
-    n = F.size(parts)
-    dirs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                       lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    return F.concat(F.when(n > 1, dirs).otherwise(F.array().cast("array<string>")), F.array(F.lit("")))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
+                        lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.when(F.size(parts) > 1, above).otherwise(F.array(F.lit("")))))
 
 
 def size_rollup(df: DataFrame, name: str = "name", size: str = "size") -> DataFrame:
@@ -175,32 +155,38 @@ def content_groups(df: DataFrame, name: str, content: str) -> DataFrame:
 
 
 def path_matches(name: Column, prefix: str) -> Column:
-    """The path equals ``prefix`` or lies below it (prefix with or without trailing '/')."""
-    if prefix == "":
-        return F.lit(True)
-    n = len(prefix)
-    return name.startswith(prefix) & (F.lit(prefix.endswith("/")) | (F.length(name) == n)
-                                      | (F.substring(name, n + 1, 1) == "/"))
+    """The path equals ``prefix`` or lies below it (prefix with or without trailing '/'); '' matches all."""
+    return (name == prefix) | name.startswith(prefix.rstrip("/") + "/") if prefix else F.lit(True)
 
 
-def select_paths(df: DataFrame, name: str = "name", match=(), glob=(), regex=(), invert: bool = False,
-                 renames=(), regex_renames=()) -> DataFrame:
-    """Keep paths matching any rule (or none, with ``invert``), then apply renames in order.
+def renamed(name: Column, changes) -> Column:
+    """Apply renames in the given order: ``("prefix", old, new)`` or ``("regex", pattern, replacement)``."""
+    for kind, old, new in changes:
+        if kind == "prefix":
+            name = F.when(path_matches(name, old), F.concat(F.lit(new), F.substring(name, len(old) + 1, 1 << 30))).otherwise(name)
+        elif kind == "regex":
+            name = F.regexp_replace(name, old, _java_replacement(new))
+        else:
+            raise ValueError(f"unknown rename: {kind}")
+    return name
 
-    ``renames`` are ``(old_prefix, new_prefix)``; ``regex_renames`` are
-    ``(pattern, replacement)``.
+
+def select_paths(df: DataFrame, name: str = "name", match=(), glob=(), regex=(), invert: bool = False,
+                 renames=(), regex_renames=(), changes=(), base_name: bool = False) -> DataFrame:
+    """Keep paths matching any rule (or none, with ``invert``), then rename.
+
+    ``changes`` is one ordered list of mixed renames (see :func:`renamed`); as a
+    short form, ``renames`` are ``(old_prefix, new_prefix)`` and
+    ``regex_renames`` ``(pattern, replacement)``, applied before it. With
+    ``base_name`` the rules see the last component of the path only, and
+    renames aren't allowed.
     """
-    nm = F.col(name)
-    conds = ([path_matches(nm, m) for m in match]
-             + [nm.rlike("^(?:" + glob_to_regex(g) + ")$") for g in glob]
-             + [nm.rlike(r) for r in regex])
+    steps = [("prefix", *x) for x in renames] + [("regex", *x) for x in regex_renames] + list(changes)
+    if base_name and steps:
+        raise ValueError("base_name can't be combined with renames")
+    seen = F.element_at(F.split(F.col(name), "/"), -1) if base_name else F.col(name)
     wanted = F.lit(False)
-    for c in conds:
-        wanted = wanted | c
-    d = df.filter(~wanted if invert else wanted)
-    out = nm
-    for old, new in renames:
-        out = F.when(path_matches(out, old), F.concat(F.lit(new), F.substring(out, len(old) + 1, 1 << 30))).otherwise(out)
-    for pat, repl in regex_renames:
-        out = F.regexp_replace(out, pat, _java_replacement(repl))
-    return d.withColumn(name, out)
+    for rule in ([path_matches(seen, m) for m in match] + [seen.rlike(r) for r in regex]
+                 + [seen.rlike("^(?:" + glob_to_regex(g) + ")$") for g in glob]):
+        wanted = wanted | rule
+    return df.filter(~wanted if invert else wanted).withColumn(name, renamed(F.col(name), steps))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketmood.functions.dates import day
+from marketmood.functions.dates import day_of
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -24,14 +24,14 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
 def daily_mean(df: DataFrame, ts_col: str = "ts", key: str = "symbol", cols=None,
                exclude=()) -> DataFrame:
     """A1: per (symbol, calendar day) mean of every numeric column."""
-    d = df.withColumn("date", day(ts_col)) if ts_col != "date" else df
+    d = df.withColumn("date", day_of(df, ts_col)) if ts_col != "date" else df
     cols = cols or numeric_columns(d, exclude=set(exclude) | {key})
     return d.groupBy(key, "date").agg(*[F.avg(c).alias(c) for c in cols])
 
 
 def sentiment_by_day(df: DataFrame, ts_col: str = "ts", score: str = "compound") -> DataFrame:
     """A2: mean score per calendar day over all symbols."""
-    return df.groupBy(day(ts_col).alias("date")).agg(F.avg(score).alias(f"avg_{score}"))
+    return df.groupBy(day_of(df, ts_col).alias("date")).agg(F.avg(score).alias(f"avg_{score}"))
 
 
 def sentiment_by_symbol(df: DataFrame, score: str = "compound", key: str = "symbol") -> DataFrame:
@@ -41,7 +41,7 @@ def sentiment_by_symbol(df: DataFrame, score: str = "compound", key: str = "symb
 
 def posts_per_day(df: DataFrame, ts_col: str = "ts") -> DataFrame:
     """A4: number of posts per calendar day."""
-    return df.groupBy(day(ts_col).alias("date")).agg(F.count(F.lit(1)).alias("n_posts"))
+    return df.groupBy(day_of(df, ts_col).alias("date")).agg(F.count(F.lit(1)).alias("n_posts"))
 
 
 def volume_by_day(df: DataFrame, volume: str = "volume") -> DataFrame:

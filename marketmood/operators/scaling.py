@@ -1,8 +1,8 @@
 """Per-symbol min/max scaling.
 
 The scaler is a small long table ``(symbol, feature, data_min, data_max, lo,
-hi)`` -- symbols x features rows, independent of the row count -- so it is
-broadcast (behind a size check) when applied.
+hi)`` -- symbols x features rows, independent of the row count. How it is
+joined when applied is left to Spark, which broadcasts what is small at run time.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketmood.operators.common import bounded_broadcast
 
 
 def _scale(x: Column, mn: Column, mx: Column, lo: Column, hi: Column) -> Column:
@@ -50,7 +49,7 @@ def _wide(scaler: DataFrame, cols, key: str) -> DataFrame:
 
 def apply_minmax(df: DataFrame, scaler: DataFrame, cols, key: str = "symbol", suffix: str = "") -> DataFrame:
     """``(x - min) / (max - min) * (hi - lo) + lo``; a constant column maps to ``lo``."""
-    w = bounded_broadcast(_wide(scaler, cols, key))
+    w = _wide(scaler, cols, key)
     d = df.join(w, key, "left")
 
     def scaled(c):
@@ -65,9 +64,8 @@ def apply_minmax(df: DataFrame, scaler: DataFrame, cols, key: str = "symbol", su
 def invert_minmax(df: DataFrame, scaler: DataFrame, col: str, feature: str, key: str = "symbol",
                   out: str | None = None) -> DataFrame:
     """Map a scaled column back with the scaler row of ``feature``."""
-    s = bounded_broadcast(scaler.filter(F.col("feature") == feature)
-                          .select(key, F.col("data_min").alias("_mn"), F.col("data_max").alias("_mx"),
-                                  F.col("lo").alias("_lo"), F.col("hi").alias("_hi")))
+    s = scaler.filter(F.col("feature") == feature).select(
+        key, F.col("data_min").alias("_mn"), F.col("data_max").alias("_mx"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     d = df.join(s, key, "left")
     return d.withColumn(out or col, _unscale(F.col(col), F.col("_mn"), F.col("_mx"), F.col("_lo"), F.col("_hi"))) \
             .drop("_mn", "_mx", "_lo", "_hi")

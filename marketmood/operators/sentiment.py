@@ -6,15 +6,15 @@ all-caps emphasis, boosters/dampeners and negation among the three preceding
 tokens, a "least" negation, the "but" shift, ``!``/``?`` emphasis and the
 ``s / sqrt(s^2 + 15)`` normalisation.
 
-Plan shape (one shuffle, keyed by the text id):
-
-* per text, in-row higher-order functions build the token array and the
-  per-text scalars (token count, caps differential, first "but", emphasis);
-* tokens are exploded as small structs carrying their three predecessors and
-  their successor, then an inner broadcast join with the lexicon keeps only
-  lexicon hits -- the bulk of the text never leaves the map side;
-* hits and one header row per text are unioned and aggregated by id with
-  map-side partial aggregation. No per-row Python.
+Plan shape, the same for a lexicon of any size:
+
+* per text, array functions build the tokens and the per-text scalars (token
+  count, caps differential, first "but", emphasis);
+* tokens are exploded with their three predecessors and their successor and
+  joined with the lexicon; Spark broadcasts it if it is small;
+* hits and one header row per text are aggregated by id and text hash with
+  map-side partial aggregation, so the text itself is never shuffled. No
+  per-row Python.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from marketmood.functions.numeric import round_half_up
 from marketmood.functions.text import nfkd
-from marketmood.operators.common import bounded_broadcast, ensure_parallelism
 
 # --- fixed values -----------------------------------------------------------
 # ASCII punctuation (the same 32 characters as Python's string.punctuation).
@@ -45,7 +44,7 @@ QM_STEP = 0.18          # per "?" when 2-3 of them
 QM_MAX = 0.96           # more than 3 "?"
 DISTANCE_DAMPING = (1.0, 0.95, 0.9)
 # Default negation words (demo set) -- any word containing "n't" also negates.
-NEGATIONS = ("no", "not", "never")
+NEGATIONS = ("no", "not", "never")  # a fuller set can be passed as words or a table, see score_sentiment
 # Default booster / dampener words (demo subset).
 BOOSTERS = {
     "very": B_INCR, "really": B_INCR, "extremely": B_INCR, "so": B_INCR,
@@ -91,15 +90,13 @@ def _lookup(key: Column, table: dict) -> Column:
     return F.coalesce(F.try_element_at(m, key), F.lit(0.0))
 
 
-# Lexicons up to this many entries are also matched in-row (hash-set lookup).
-IN_ROW_LEXICON_MAX = 50_000
-
-
-def _small_key_set(lex: DataFrame):
-    """Lexicon tokens as a list when the table provably holds at most
-    ``IN_ROW_LEXICON_MAX`` rows (a bounded read of a dimension table), else None."""
-    keys = [r[0] for r in lex.select("token").limit(IN_ROW_LEXICON_MAX + 1).collect()]
-    return keys if len(keys) <= IN_ROW_LEXICON_MAX else None
+def _lexicon(lex: DataFrame) -> DataFrame:
+    """One row per token; a token listed with two valences fails the query, exact repeats collapse."""
+    clash = F.concat(F.lit("two valences in the lexicon for: "), F.col("_lk"))
+    return (lex.groupBy(F.col("token").alias("_lk"))
+            .agg(F.min("valence").alias("_lo"), F.max("valence").alias("_val"))
+            .select("_lk", F.when(F.col("_lo") == F.col("_val"), F.col("_val"))
+                    .otherwise(F.raise_error(clash).cast("double")).alias("_val")))
 
 
 def _negated(word: Column, negations) -> Column:
@@ -113,67 +110,45 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """``(id, neg, neu, pos, compound)`` for every row of ``df``.
 
     ``lex`` is a ``(token, valence)`` table of lower-case tokens. NULL text
-    gives NULL scores (T8); empty text gives zeros. ``id_col`` must be unique.
+    gives NULL scores (T8); empty text gives zeros. Every row is scored on its
+    own, also where ids repeat.
     """
     if lex is None:
         raise ValueError("a lexicon table (token, valence) is required")
     boosters = BOOSTERS if boosters is None else boosters
-    base = ensure_parallelism(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id")
+    base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     if normalize:
         base = base.withColumn("_text", nfkd(F.col("_text")))
-    toks = base.select("_id", "_text", vader_tokens(F.col("_text")).alias("_toks"))
+    toks = base.select("_id", F.xxhash64("_text").alias("_th"), "_text", vader_tokens(F.col("_text")).alias("_toks"))
     per = toks.select(
-        "_id", "_toks",
+        "_id", "_th", "_toks",
         F.size("_toks").alias("_n"),
         F.size(F.filter("_toks", is_upper)).alias("_ncaps"),
         emphasis(F.col("_text")).alias("_amp"),
+        (F.array_position(F.transform("_toks", F.lower), "but") - 1).alias("_bi"),
     ).withColumn("_capdiff", (F.col("_ncaps") > 0) & (F.col("_ncaps") < F.col("_n")))
 
-    per = per.withColumn("_ltoks", F.transform("_toks", F.lower))
-    per = per.withColumn("_bi", F.array_position("_ltoks", "but") - 1)
-    keys = _small_key_set(lex)
-    lexv = lex.select(F.col("token").alias("_lk"), F.col("valence").alias("_val"))
-    # A lexicon that fits the in-row set is small by construction; otherwise check its size.
-    lexb = F.broadcast(lexv) if keys is not None else bounded_broadcast(lexv)
+    # One generator per text: each token with its three predecessors and its
+    # successor, then a header row (no token, position n) that keeps texts
+    # without hits; shifted arrays are longer than the text, so there is always one.
     none = F.lit(None).cast("string")
-    nob = F.lit(None).cast("boolean")
-    # One generator per text: a header row (i = -1, carries the per-text
-    # scalars) followed by one row per candidate token.
-    header = F.array(F.struct(F.lit(-1).alias("i"), none.alias("tok"), none.alias("p1"), none.alias("p2"),
-                              none.alias("p3"), none.alias("nx"), nob.alias("k1"), nob.alias("k2"),
-                              nob.alias("k3")))
-    item_type = ("array<struct<i:int,tok:string,p1:string,p2:string,p3:string,nx:string,"
-                 "k1:boolean,k2:boolean,k3:boolean>>")
-
-    def item(i):
-        def prev_in_lex(d):
-            return F.get(F.col("_ltoks"), i - d).isin(keys) if keys is not None else nob
-        return F.struct(i.alias("i"), F.get(F.col("_toks"), i).alias("tok"),
-                        F.get(F.col("_toks"), i - 1).alias("p1"),
-                        F.get(F.col("_toks"), i - 2).alias("p2"),
-                        F.get(F.col("_toks"), i - 3).alias("p3"),
-                        F.get(F.col("_toks"), i + 1).alias("nx"),
-                        prev_in_lex(1).alias("k1"), prev_in_lex(2).alias("k2"), prev_in_lex(3).alias("k3"))
-
-    positions = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
-    if keys is not None:
-        # Small lexicon: find hit positions in-row with a hash-set lookup, so
-        # only lexicon hits are materialised and exploded.
-        positions = F.filter(positions, lambda i: F.get(F.col("_ltoks"), i).isin(keys))
-    token_items = F.coalesce(F.transform(positions, item), F.array().cast(item_type))
-    items = (per.select("_id", "_n", "_amp", "_capdiff", "_bi",
-                        F.explode(F.concat(header, token_items)).alias("_it"))
-             .select("_id", "_n", "_amp", "_capdiff", "_bi", "_it.*"))
-
-    hits = items.join(lexb, F.lower("tok") == F.col("_lk"), "left")
+    shifted = [F.concat(F.array(*[none] * d), F.col("_toks")).alias(f"p{d}") for d in (1, 2, 3)]
+    zipped = F.arrays_zip(F.col("_toks").alias("tok"), *shifted, F.slice("_toks", 2, F.greatest("_n", F.lit(1))).alias("nx"))
+    items = (per.select("_id", "_th", "_n", "_amp", "_capdiff", "_bi", F.posexplode_outer(zipped).alias("i", "_it"))
+             .filter(F.col("i").isNull() | (F.col("i") <= F.col("_n")))
+             .select("_id", "_th", "_n", "_amp", "_capdiff", "_bi", "_it.tok", "_it.p1", "_it.p2", "_it.p3", "_it.nx",
+                     F.when(F.col("i") < F.col("_n"), F.col("i")).otherwise(-1).alias("i")))
+
+    # Lexicon membership of the token, then (hits only) of its predecessors.
+    # Rows without a word get a key of their own, so none pile up on a null key.
+    lexicon = _lexicon(lex)
+    own = F.concat(F.lit("\x00"), F.col("_th").cast("string"))
+    hits = items.join(lexicon, F.coalesce(F.lower("tok"), own) == F.col("_lk"), "left")
     hits = hits.filter((F.col("i") < 0) | F.col("_lk").isNotNull())
-    if keys is None:
-        # Large lexicon: membership of the preceding tokens via broadcast joins.
-        lk = lexb.select("_lk")
-        for d in (1, 2, 3):
-            hits = (hits.drop(f"k{d}")
-                    .join(lk.select(F.col("_lk").alias(f"_k{d}")), F.lower(F.col(f"p{d}")) == F.col(f"_k{d}"), "left")
-                    .withColumn(f"k{d}", F.col(f"_k{d}").isNotNull()).drop(f"_k{d}"))
+    for d in (1, 2, 3):
+        side = lexicon.select(F.col("_lk").alias(f"_k{d}"))
+        hits = (hits.join(side, F.coalesce(F.lower(F.col(f"p{d}")), own) == F.col(f"_k{d}"), "left")
+                .withColumn(f"k{d}", F.col(f"_k{d}").isNotNull()).drop(f"_k{d}"))
     is_hit = F.col("i") >= 0
     skip = F.lower("tok").isin(list(boosters)) if boosters else F.lit(False)
     skip = skip | ((F.lower("tok") == "kind") & (F.lower(F.coalesce("nx", F.lit(""))) == "of"))
@@ -205,17 +180,21 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     least_factor = F.when(least, F.lit(N_SCALAR)).otherwise(F.lit(1.0))
     but_factor = (F.when((bi >= 0) & (F.col("i") < bi), F.lit(BUT_BEFORE))
                   .when((bi >= 0) & (F.col("i") > bi), F.lit(BUT_AFTER)).otherwise(F.lit(1.0)))
-    hits = hits.select("_id", "_n", "_amp", "i",
+    hits = hits.select("_id", "_th", "_n", "_amp", "i",
                        (F.aggregate(steps, v0, step) * least_factor * but_factor).alias("_v"))
 
+    # Rows that repeat an id and a text fall together: their sums are divided by
+    # the number of headers, and they are written out as often.
     vcol = F.when(is_hit, F.col("_v"))
-    agg = hits.groupBy("_id").agg(
-        F.max("_n").alias("n"), F.max("_amp").alias("amp"),
-        F.sum(vcol).alias("s"),
-        F.sum(F.when(vcol > 0, vcol + 1)).alias("ps"),
-        F.sum(F.when(vcol < 0, vcol - 1)).alias("ns"),
-        F.count(F.when(vcol != 0, 1)).alias("nz"))
-    return _finish(agg).withColumnRenamed("_id", id_col)
+    copies = F.count(F.when(~is_hit, 1))
+    agg = hits.groupBy("_id", "_th").agg(
+        copies.alias("copies"), F.max("_n").alias("n"), F.max("_amp").alias("amp"),
+        (F.sum(vcol) / copies).alias("s"),
+        (F.sum(F.when(vcol > 0, vcol + 1)) / copies).alias("ps"),
+        (F.sum(F.when(vcol < 0, vcol - 1)) / copies).alias("ns"),
+        (F.count(F.when(vcol != 0, 1)) / copies).alias("nz"))
+    each = agg.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return _finish(each).withColumnRenamed("_id", id_col)
 
 
 def _finish(agg: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketmood.session import store
 
 
 def make_sequences(df: DataFrame, features, target: str, length: int = 5, horizon: int = 1,
@@ -71,44 +74,34 @@ def target_dates(seq: DataFrame, key: str = "symbol", split: str = "split",
     return exact.unionByName(extra).distinct()
 
 
-def _hex_to_long(hexstr):
-    return F.conv(hexstr, 16, 10).cast("bigint")
-
-
 def hash_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, out: str = "split",
-               buckets_hex: int = 4) -> DataFrame:
+               prefix_hex: int = 4) -> DataFrame:
     """M1: deterministic split with exactly ``ceil(test * n)`` test rows.
 
-    Rows are ordered by ``md5(seed:key)``. Instead of a global sort (one task),
-    rows are counted per hash prefix bucket (at most 16^4 rows), the boundary
-    bucket is found on that small histogram (one bounded job returning two
-    numbers), and only rows of the boundary bucket are ranked. ``key`` must be
-    unique per row.
+    Rows are ordered by ``md5(seed:key)``, then the key. The keys alone are
+    written to the shared folder; there the last test row is found by counting
+    hash prefixes (at most 16^4 counts) and ordering the keys of one prefix.
+    Labelling is then a comparison with that row, so ``df`` is read once for its
+    keys and once for the result, and nothing but keys is shuffled. Rows that
+    share a key, among them those with a NULL key, fall on one side together,
+    which may exceed the share by the copies of the last test key.
     """
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    d = df.withColumn("_b", _hex_to_long(F.substring(h, 1, buckets_hex))) \
-          .withColumn("_h", _hex_to_long(F.substring(h, 1, 15)))
-    hist = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_nb"))
-    wc = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    wt = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hist = (hist.withColumn("_cum", F.sum("_nb").over(wc))
-            .withColumn("_n", F.sum("_nb").over(wt))
-            .withColumn("_k", F.ceil(F.col("_n") * F.lit(float(test))).cast("bigint")))
-    # the boundary is one row of two numbers: fetch it once, use it as literals
-    row = (hist.filter(F.col("_cum") >= F.col("_k"))
-           .agg(F.min_by(F.struct(F.col("_b").alias("bb"),
-                                  (F.col("_k") - (F.col("_cum") - F.col("_nb"))).alias("need")), "_b").alias("r"))
-           .first())
-    bound = row["r"] if row is not None else None
-    bb = F.lit(bound["bb"] if bound is not None else None).cast("bigint")
-    need = F.lit(bound["need"] if bound is not None else 0).cast("bigint")
-    edge = F.col("_b") == bb
-    rest = d.filter(bb.isNull() | ~edge).withColumn(
-        out, F.when(F.col("_b") < bb, F.lit("test")).otherwise(F.lit("train")))
-    wb = Window.partitionBy("_b").orderBy("_h", key)
-    at_edge = d.filter(edge).withColumn(
-        out, F.when(F.row_number().over(wb) <= need, F.lit("test")).otherwise(F.lit("train")))
-    return rest.unionByName(at_edge).drop("_b", "_h")
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), text))
+    d = store(df.select(hashed.alias("h"), text.alias("k")), "split-keys")
+    part = F.substring("h", 1, prefix_hex)
+    counts = sorted((r["p"], r["n"]) for r in d.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    need = math.ceil(sum(n for _, n in counts) * test)
+    last = None
+    for prefix, n in counts:
+        if 0 < need <= n:
+            top = d.filter(part == prefix).orderBy("h", "k").limit(need)
+            last = top.agg(F.max(F.struct("h", "k")).alias("m")).first()["m"]
+        need -= n
+    if last is None:  # no test rows
+        return df.withColumn(out, F.lit("train"))
+    is_test = (hashed < last["h"]) | ((hashed == last["h"]) & (text <= last["k"]))
+    return df.withColumn(out, F.when(is_test, "test").otherwise("train"))
 
 
 def make_sequences_bucketed(df: DataFrame, features, target: str, length: int = 5, horizon: int = 1,

@@ -1,9 +1,9 @@
 """Token-table operators.
 
-Tokens are exploded with their position, looked up in a dimension table
-(lemmas, vocabulary, stop words) with a size-checked broadcast join, and
-regrouped per text id. Every text contributes one header row, so texts that
-end up with no tokens keep their row; one shuffle keyed by the text id.
+Tokens are looked up in a dimension table (lemmas, vocabulary, stop words) by a
+join that Spark plans by size. Lemmas move only the tokens that have one;
+encodings explode the bounded head of each text with its positions and regroup
+it by id, and texts without tokens keep their row.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketmood.functions.text import STOP_WORDS
-from marketmood.operators.common import bounded_broadcast
 
 # --- fixed values -----------------------------------------------------------
 # Special token ids of the fixed-length encoding.
@@ -33,11 +32,19 @@ def _regroup(ex: DataFrame, id_col: str, value: str, out: str) -> DataFrame:
 
 def lemmatise(df: DataFrame, lemmas: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
               out: str = "lemmas") -> DataFrame:
-    """Replace every token found in ``lemmas(form, lemma)``; others stay as they are."""
-    lt = bounded_broadcast(lemmas.select(F.col("form").alias("_form"), F.col("lemma").alias("_lemma")))
-    ex = _explode_tokens(df, id_col, tokens_col).join(lt, F.col("tok") == F.col("_form"), "left")
-    ex = ex.withColumn("_v", F.coalesce("_lemma", "tok"))
-    return _regroup(ex, id_col, "_v", out)
+    """Replace every token found in ``lemmas(form, lemma)``; others stay as they are.
+
+    Only tokens that meet the lemma table leave their row: their distinct
+    replacements come back as a small map per id, and the token array is
+    rewritten in place. Several lemmas of one form: the smallest is taken.
+    """
+    lt = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
+    hits = (df.select(id_col, F.explode(F.array_distinct(tokens_col)).alias("form")).join(lt, "form")
+            .groupBy(id_col).agg(F.collect_set(F.struct("form", "lemma")).alias("_found")))
+    d = df.withColumn(tokens_col, F.coalesce(tokens_col, F.array().cast("array<string>"))).join(hits, id_col, "left")
+    found = F.map_from_entries(F.coalesce("_found", F.array().cast("array<struct<form:string,lemma:string>>")))
+    return (d.withColumn("_map", found)
+            .select(id_col, F.transform(tokens_col, lambda t: F.coalesce(F.try_element_at("_map", t), t)).alias(out)))
 
 
 def drop_stopwords_join(df: DataFrame, stop: DataFrame | None = None, id_col: str = "doc_id",
@@ -50,7 +57,7 @@ def drop_stopwords_join(df: DataFrame, stop: DataFrame | None = None, id_col: st
     if stop is None:
         stop = df.sparkSession.createDataFrame([(w,) for w in STOP_WORDS], "word string")
     ex = df.select(id_col, F.posexplode(tokens_col).alias("pos", "tok"))
-    return ex.join(bounded_broadcast(stop), F.col("tok") == F.col("word"), "left_anti")
+    return ex.join(stop, F.col("tok") == F.col("word"), "left_anti")
 
 
 def build_vocab(df: DataFrame, tokens_col: str = "tokens", size: int = 1000) -> DataFrame:
@@ -67,22 +74,23 @@ def build_vocab(df: DataFrame, tokens_col: str = "tokens", size: int = 1000) ->
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
-                  max_len: int = 160) -> DataFrame:
-    """``[START] ids... [END]`` truncated to ``max_len``, right-padded, with attention mask.
+                  max_len: int = 160, padded: bool = True) -> DataFrame:
+    """``[START] ids... [END]`` truncated to ``max_len``, with attention mask, right-padded unless told not to.
 
     Only the first ``max_len - 2`` tokens can appear in the encoding, so only
     those are looked up (the truncation is the operator's definition).
-    Unknown tokens map to the UNK id.
+    Unknown tokens map to the UNK id. A vocabulary from ``build_vocab`` has a
+    limit of rows that Spark knows when it picks the join.
     """
     keep = max_len - 2
-    v = bounded_broadcast(vocab.select(F.col("token").alias("_t"), F.col("id").alias("_id")))
+    v = vocab.select(F.col("token").alias("_t"), F.col("id").alias("_id"))
     head = df.select(id_col, F.slice(F.col(tokens_col), 1, keep).alias("_toks"))
     ex = _explode_tokens(head, id_col, "_toks").join(v, F.col("tok") == F.col("_t"), "left")
     ex = ex.withColumn("_v", F.coalesce(F.col("_id"), F.lit(UNK_ID).cast("bigint")))
     g = _regroup(ex, id_col, "_v", "_ids")
     ids = F.concat(F.array(F.lit(START_ID).cast("bigint")), F.col("_ids"), F.array(F.lit(END_ID).cast("bigint")))
     n = F.size(ids)
-    pad = F.lit(max_len) - n
+    pad = F.lit(max_len) - n if padded else F.lit(0)
     return g.select(
         id_col,
         F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad)).alias("input_ids"),

@@ -467,6 +467,7 @@ def w13_with_position(spark, sf_dir):
 from marketmood.plans import catalog_series as _series  # noqa: E402,F401
 from marketmood.plans import catalog_ml as _ml  # noqa: E402,F401
 from marketmood.plans import catalog_p4 as _p4  # noqa: E402,F401
+from marketmood.plans import catalog_io as _io  # noqa: E402,F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

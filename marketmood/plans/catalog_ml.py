@@ -18,7 +18,7 @@ from marketmood.plans import catalog_series as CS
 from marketmood.plans import pipeline as P
 from marketmood.plans.catalog import W, r, register, rounded
 from marketmood.plans.oracle_sql import LEMMA_CTE, STOP_LIST
-from marketmood.session import checkpoint_dir
+from marketmood.session import store
 from marketmood.sources import fixtures as FX
 from marketmood.sources.readers import read_text_table
 
@@ -106,38 +106,53 @@ def k3_head_per_symbol(spark, sf_dir):
 
 # ---------------------------------------------------------------- classifier (rows-only checks)
 def _labelled_docs(spark, sf_dir):
-    docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    """Ids, labels and split sides; text is joined where a model reads it."""
     scores = P.document_scores(spark, sf_dir).select("doc_id", TX.threshold_label("compound").alias("label"))
-    return SQ.hash_split(docs.join(scores, "doc_id"), "doc_id", 0.2, 42)
+    return store(SQ.hash_split(store(scores, "labelled-docs"), "doc_id", 0.2, 42), "split-docs")
+
+
+def _with_text(spark, sf_dir, labelled):
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    return docs.join(labelled, "doc_id")
 
 
-# Fitted models are reused by the queries of one session and data folder
+# Fitted models are reused by the queries of one application and data folder
 # (the classifier feeds m3/m4/m8, the forecaster m5/m6): fit once, not per query.
 _FITTED: dict = {}
 
 
-def _classifier(spark, sf_dir):
-    key = ("classifier", id(spark), sf_dir)
+def _fitted(spark, sf_dir, name, fit):
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _FITTED if k[0] != app]:  # of an application that has ended
+        del _FITTED[key]
+    key = (app, name, sf_dir)
     if key not in _FITTED:
-        checkpoint_dir(spark)
-        d = _labelled_docs(spark, sf_dir).checkpoint()
-        model = ML.fit_sentiment_classifier(d.filter(F.col("split") == "train"), "text", "label", max_iter=30)
-        _FITTED[key] = (d, model)
+        _FITTED[key] = fit()
     return _FITTED[key]
 
 
+def _classifier(spark, sf_dir):
+    def fit():
+        labelled = _labelled_docs(spark, sf_dir)
+        train = _with_text(spark, sf_dir, labelled.filter(F.col("split") == "train"))
+        return labelled, ML.fit_sentiment_classifier(train, "text", "label", max_iter=30)
+    return _fitted(spark, sf_dir, "classifier", fit)
+
+
+def _predicted(spark, sf_dir):
+    labelled, model = _classifier(spark, sf_dir)
+    test = _with_text(spark, sf_dir, labelled.filter(F.col("split") == "test"))
+    return ML.predict_sentiment(test, model, keep=("doc_id", "label"))
+
+
 @register("m3_predict_sentiment")
 def m3_predict_sentiment(spark, sf_dir):
-    d, model = _classifier(spark, sf_dir)
-    pred = ML.predict_sentiment(d.filter(F.col("split") == "test"), model, keep=("doc_id", "label"))
-    return rounded(pred)
+    return rounded(_predicted(spark, sf_dir))
 
 
 @register("m4_classifier_report")
 def m4_classifier_report(spark, sf_dir):
-    d, model = _classifier(spark, sf_dir)
-    pred = ML.predict_sentiment(d.filter(F.col("split") == "test"), model, keep=("doc_id", "label"))
-    return rounded(EV.classification_report(pred, "label", "prediction"))
+    return rounded(EV.classification_report(_predicted(spark, sf_dir), "label", "prediction"))
 
 
 @register("m8_training_history")
@@ -148,17 +163,14 @@ def m8_training_history(spark, sf_dir):
 
 # ---------------------------------------------------------------- forecaster (rows-only checks)
 def _forecasts(spark, sf_dir):
-    key = ("forecaster", id(spark), sf_dir)
-    if key not in _FITTED:
-        checkpoint_dir(spark)
-        # The dataset feeds the fit, the forecasts and two evaluations: materialise
-        # it once in the shared checkpoint folder instead of recomputing the lineage.
-        seq = P.build_dataset(spark, sf_dir).checkpoint()
-        coefs = ML.fit_forecaster(seq).checkpoint()
-        pred = ML.forecast(seq, coefs)
-        scaler = P.dataset_scaler(spark, sf_dir).checkpoint()
-        _FITTED[key] = (seq, coefs, pred, scaler)
-    return _FITTED[key]
+    def fit():
+        # The prepared series feeds the data set and the scaler, the data set the
+        # fit, the forecasts and two evaluations: each is written once.
+        series = store(P.prepared_series(spark, sf_dir), "series")
+        seq = store(P.dataset_of(series), "dataset")
+        coefs = store(ML.fit_forecaster(seq), "coefs")
+        return seq, coefs, ML.forecast(seq, coefs), store(P.scaler_of(series), "scaler")
+    return _fitted(spark, sf_dir, "forecaster", fit)
 
 
 def _to_price(df, scaler, col):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketmood.operators import redact as RD
 from marketmood.plans import pipeline as P
 from marketmood.plans.catalog import W, r, register, rounded
-from marketmood.plans.oracle_sql import q
+from marketmood.session import shared_path, store
 from marketmood.sources import fixtures as FX
 from marketmood.sources.readers import read_table, read_text_table
 from marketmood.streaming import live as LV
@@ -40,18 +40,16 @@ def _pages(spark, sf_dir):
                     F.octet_length("html").cast("bigint").alias("size"), "html")
 
 
-def _redact_sql():
-    lits, rxs = RD.parse_rules(REDACTION_RULES)
-    e = "text"
-    for pat, repl in lits:
-        e = f"replace({e}, {q(pat)}, {q(repl)})"
-    for pat, repl in rxs:
-        e = f"regexp_replace({e}, {q(pat)}, {q(repl)}, 'g')"
-    return (f"SELECT doc_id, CASE WHEN contains(text, chr(0)) AND strlen(split_part(text, chr(0), 1)) < 8192 "
-            f"THEN text ELSE {e} END AS redacted FROM documents")
-
-
-@register("g1_redact", _redact_sql())
+# The oracle states every rule by hand: the literal one first, then the patterns in order.
+@register("g1_redact", r"""
+WITH a AS (SELECT doc_id, text, replace(text, 'Licensed under the Apache License, Version 2.0.', '[LICENSE]') AS t FROM documents),
+b AS (SELECT doc_id, text, regexp_replace(t, 'token = "[0-9a-f]{40}"', 'token = "[SECRET]"', 'g') AS t FROM a),
+c AS (SELECT doc_id, text, regexp_replace(t, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', '[EMAIL]', 'g') AS t FROM b),
+d AS (SELECT doc_id, text, regexp_replace(t, '[0-9]{1,3}(\.[0-9]{1,3}){3}', '***REMOVED***', 'g') AS t FROM c),
+e AS (SELECT doc_id, text, regexp_replace(t, 'mail(?s:.)\.example\.com', '[MAILHOST]', 'g') AS t FROM d)
+SELECT doc_id, CASE WHEN contains(text, chr(0)) AND strlen(split_part(text, chr(0), 1)) < 8192 THEN text ELSE t END AS redacted
+FROM e
+""")
 def g1_redact(spark, sf_dir):
     d = read_text_table(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", RD.redact("text", REDACTION_RULES).alias("redacted"))
@@ -93,25 +91,17 @@ def g5_content_groups(spark, sf_dir):
     return RD.content_groups(d, "doc_id", "text")
 
 
-def _select_sql():
-    conds = []
-    for m in PATH_MATCHES:
-        conds.append(f"(name = {q(m)} OR starts_with(name, {q(m + '/')}))")
-    for g in PATH_GLOBS:
-        conds.append(f"regexp_full_match(name, {q(RD.glob_to_regex(g))})")
-    for rx in PATH_REGEXES:
-        conds.append(f"regexp_matches(name, {q(rx)})")
-    e = "name"
-    for old, new in PATH_RENAMES:
-        e = (f"CASE WHEN {e} = {q(old)} OR starts_with({e}, {q(old + '/')}) "
-             f"THEN {q(new)} || substr({e}, {len(old) + 1}) ELSE {e} END")
-    for pat, repl in PATH_REGEX_RENAMES:
-        e = f"regexp_replace({e}, {q(pat)}, {q(repl)}, 'g')"
-    return (f"WITH pg AS (SELECT page_id, regexp_extract(url, '{NAME_RE}', 1) AS name FROM pages)\n"
-            f"SELECT page_id, {e} AS name FROM pg WHERE {' OR '.join(conds)}")
-
-
-@register("g6_select_paths", _select_sql())
+@register("g6_select_paths", f"""
+WITH pg AS (SELECT page_id, regexp_extract(url, '{NAME_RE}', 1) AS name FROM pages),
+kept AS (SELECT page_id, name FROM pg
+         WHERE name = 'thther.example.org' OR starts_with(name, 'thther.example.org/')
+            OR (contains(name, '/en/') AND ends_with(name, '.html') AND position('/en/' IN name) + 4 <= length(name) - 4)
+            OR regexp_matches(name, '/fr/[0-9]+/?$')),
+moved AS (SELECT page_id, CASE WHEN name = 'thther.example.org/en' OR starts_with(name, 'thther.example.org/en/')
+                               THEN 'thther.example.org/english' || substr(name, 22) ELSE name END AS name FROM kept)
+SELECT page_id, CASE WHEN starts_with(name, 'm.') THEN substr(name, 3) WHEN starts_with(name, 'blog.') THEN substr(name, 6)
+                     ELSE name END AS name FROM moved
+""")
 def g6_select_paths(spark, sf_dir):
     p = _pages(spark, sf_dir).select("page_id", "name")
     return RD.select_paths(p, "name", match=PATH_MATCHES, glob=PATH_GLOBS, regex=PATH_REGEXES,
@@ -120,30 +110,32 @@ def g6_select_paths(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming
 @register("x1_live_bars", """
-SELECT event_type AS symbol, CAST(ts AS DATE) AS date, arg_min(value, ts) AS open, max(value) AS high,
-       min(value) AS low, arg_max(value, ts) AS close, count(*) AS volume
+SELECT event_type AS symbol, CAST(ts AS DATE) AS date, arg_min(value, row(ts, value)) AS open, max(value) AS high,
+       min(value) AS low, arg_max(value, row(ts, value)) AS close, count(*) AS volume
 FROM events GROUP BY 1, 2
-HAVING CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
-""".replace("CAST(CAST(ts AS DATE) AS TIMESTAMP)", "CAST(date AS TIMESTAMP)"))
+""")
 def x1_live_bars(spark, sf_dir):
-    s = LV.table_stream(spark, sf_dir, "events.parquet")
-    bars = LV.live_bars(s, "ts", "event_type", "value", "1 day", "1 hour")
-    return LV.run_available(spark, bars, "bars")
+    def bars(events):
+        return LV.live_bars(events, "ts", "event_type", "value", "1 day", "1 hour")
+    events = LV.table_stream(spark, sf_dir, "events.parquet")
+    closed = LV.run_available(spark, bars(events), "bars")
+    return LV.with_open_windows(closed, read_table(spark, sf_dir, "events"), "ts", bars)
 
 
 @register("x2_live_sentiment", W("scored_posts") + f"""
 SELECT symbol, CAST(ts AS DATE) AS date, {r('avg(compound)')} AS compound, count(*) AS n_posts
 FROM scored_posts GROUP BY 1, 2
-HAVING CAST(date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM scored_posts) - INTERVAL 1 HOUR
 """)
 def x2_live_sentiment(spark, sf_dir):
-    orders = LV.table_stream(spark, sf_dir, "orders.parquet")
     n_docs = read_table(spark, sf_dir, "documents").count()
-    posts = orders.select(F.col("o_orderkey").alias("post_id"), F.col("o_orderdate").alias("ts"),
-                          F.col("o_orderpriority").alias("symbol"),
-                          (F.col("o_orderkey") % F.lit(n_docs)).alias("doc_id"))
-    live = LV.live_sentiment(posts, P.document_scores(spark, sf_dir), "ts", "symbol", "1 day", "1 hour")
-    return rounded(LV.run_available(spark, live, "sentiment"))
+    scores = store(P.document_scores(spark, sf_dir), "document-scores")  # once, not in every micro-batch
+
+    def sentiment(orders):
+        posts = orders.select(F.col("o_orderkey").alias("post_id"), F.col("o_orderdate").alias("ts"),
+                              F.col("o_orderpriority").alias("symbol"), (F.col("o_orderkey") % F.lit(n_docs)).alias("doc_id"))
+        return LV.live_sentiment(posts, scores, "ts", "symbol", "1 day", "1 hour")
+    closed = LV.run_available(spark, sentiment(LV.table_stream(spark, sf_dir, "orders.parquet")), "sentiment")
+    return rounded(LV.with_open_windows(closed, read_table(spark, sf_dir, "orders"), "o_orderdate", sentiment))
 
 
 # ---------------------------------------------------------------- dates, sorts, sinks
@@ -165,19 +157,12 @@ def k1_sort_daily(spark, sf_dir):
     return rounded(p.orderBy("symbol", "date"))
 
 
-def _scratch(spark, name):
-    import os
-    import uuid
-    from marketmood.session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 @register("s3_write_read_posts", W("posts") + """
 SELECT post_id, ts, symbol, doc_id FROM posts
 """)
 def s3_write_read_posts(spark, sf_dir):
     from marketmood.sources.readers import write_posts
-    path = _scratch(spark, "posts")
+    path = shared_path(spark, "posts")
     write_posts(FX.posts(spark, sf_dir, with_text=False), path, fmt="parquet", partition_by="symbol")
     return spark.read.parquet(path).select("post_id", "ts", "symbol", "doc_id")
 
@@ -191,7 +176,7 @@ SELECT symbol, feature, {r('data_min')} AS data_min, {r('data_max')} AS data_max
 def s4_scaler_round_trip(spark, sf_dir):
     from marketmood.operators.scaling import fit_minmax
     from marketmood.sources.readers import load_scaler, save_scaler
-    path = _scratch(spark, "scaler")
+    path = shared_path(spark, "scaler")
     save_scaler(fit_minmax(FX.prices(spark, sf_dir), ["close", "volume"]), path)
     return rounded(load_scaler(spark, path))
 

@@ -41,23 +41,34 @@ er(symbol, rn, e12, e26, an, ad) AS (
 
 
 # ---------------------------------------------------------------- EMAs
+# The block scan adds up in another order than the recursion: 3 decimals of values up to 1e6 are compared.
 @register("w4_ema_recursive", WR("prices") + _ema_ctes("prices") + f"""
-SELECT eb.symbol, eb.date, {r('er.e12')} AS ema12, {r('er.e26')} AS ema26
+SELECT eb.symbol, eb.date, {r('er.e12', 3)} AS ema12, {r('er.e26', 3)} AS ema26
 FROM eb JOIN er ON eb.symbol = er.symbol AND eb.rn = er.rn
 """)
 def w4_ema_recursive(spark, sf_dir):
+    p = FX.prices(spark, sf_dir).select("symbol", "date", "close")
+    p = ind.ema_block_scan(p, "close", [2.0 / 13.0, 2.0 / 27.0], ["ema12", "ema26"])
+    return rounded(p.select("symbol", "date", "ema12", "ema26"), 3)
+
+
+@register("w4_ema_frame", WR("prices") + _ema_ctes("prices") + f"""
+SELECT eb.symbol, eb.date, {r('er.e12')} AS ema12, {r('er.e26')} AS ema26
+FROM eb JOIN er ON eb.symbol = er.symbol AND eb.rn = er.rn
+""")
+def w4_ema_frame(spark, sf_dir):
     p = FX.prices(spark, sf_dir).select("symbol", "date", "close")
     p = ind.ema_recursive_multi(p, "close", [2.0 / 13.0, 2.0 / 27.0], ["ema12", "ema26"])
     return rounded(p.select("symbol", "date", "ema12", "ema26"))
 
 
 @register("w5_macd", WR("prices") + _ema_ctes("prices") + f"""
-SELECT eb.symbol, eb.date, {r('er.e12 - er.e26')} AS macd
+SELECT eb.symbol, eb.date, {r('er.e12 - er.e26', 3)} AS macd
 FROM eb JOIN er ON eb.symbol = er.symbol AND eb.rn = er.rn
 """)
 def w5_macd(spark, sf_dir):
     p = ind.macd(FX.prices(spark, sf_dir).select("symbol", "date", "close"), "close")
-    return rounded(p.select("symbol", "date", "macd"))
+    return rounded(p.select("symbol", "date", "macd"), 3)
 
 
 @register("w6_ema_adjusted", WR("prices") + _ema_ctes("prices") + f"""

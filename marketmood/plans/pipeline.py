@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketmood.functions.dates import day
+from marketmood.functions import text as TX
+from marketmood.functions.dates import day_of
 from marketmood.operators import indicators as ind
 from marketmood.operators.joins import join_daily
 from marketmood.operators.sentiment import score_sentiment
+from marketmood.operators.text_ops import lemmatise
 from marketmood.sources import fixtures
 from marketmood.sources.readers import read_text_table
 
@@ -29,9 +31,29 @@ def scored_posts(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None)
     return p.join(s, "doc_id").select("post_id", "ts", "symbol", "doc_id", "compound")
 
 
+def cleaned_documents(spark: SparkSession, sf_dir: str, lemmas: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, text, cleaned_text, text_length)``: URLs out, tokens, stop words out, lemmas, symbols out."""
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    kept = docs.select("doc_id", TX.drop_stopwords(TX.word_tokens(TX.strip_urls("text"))).alias("tokens"))
+    lem = lemmatise(kept, lemmas if lemmas is not None else fixtures.lemmas(spark), "doc_id", "tokens", "tokens")
+    cleaned = F.array_join(F.transform("tokens", lambda t: F.regexp_replace(t, TX.NON_WORD_PATTERN, "")), " ")
+    return docs.join(lem.select("doc_id", cleaned.alias("cleaned_text")), "doc_id").select(
+        "doc_id", "text", "cleaned_text", TX.text_length("text").alias("text_length"))
+
+
+def scored_posts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of scored posts as it is written: date, text, symbol, company, cleaned text, length, score."""
+    scores = document_scores(spark, sf_dir).select("doc_id", "compound")
+    docs = cleaned_documents(spark, sf_dir).join(scores, "doc_id")
+    posts = fixtures.posts(spark, sf_dir, with_text=False)
+    return posts.join(docs, "doc_id").select(
+        F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")).alias("date"), "text", "symbol",
+        F.col("doc_id").cast("string").alias("company"), "cleaned_text", "text_length", "compound")
+
+
 def daily_sentiment(posts: DataFrame, score: str = "compound") -> DataFrame:
     """A1 restricted to the score: mean per (symbol, day)."""
-    return posts.groupBy("symbol", day("ts").alias("date")).agg(F.avg(score).alias(score))
+    return posts.groupBy("symbol", day_of(posts, "ts").alias("date")).agg(F.avg(score).alias(score))
 
 
 def daily_features(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None) -> DataFrame:
@@ -47,7 +69,7 @@ def daily_features(spark: SparkSession, sf_dir: str, lex: DataFrame | None = Non
 
 
 def feature_table(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None,
-                  keep_std: bool = False, ema_method: str = "frame") -> DataFrame:
+                  keep_std: bool = False, ema_method: str = "block") -> DataFrame:
     """Daily feature rows of the forecaster (before warm-up drop and scaling).
 
     Columns: ``symbol, date, compound, open, close, high, low, volume, ma7,
@@ -88,10 +110,15 @@ def build_dataset(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None
     target_date, x, y, yc, y_dates, split``. All window steps are partitioned by
     symbol over a daily series, so they share one exchange.
     """
+    return dataset_of(prepared_series(spark, sf_dir, lex, warmup, features), length, horizon, n_test, features, fit_on)
+
+
+def dataset_of(d: DataFrame, length: int = 5, horizon: int = 1, n_test: int = 20, features=None,
+               fit_on: str = "all") -> DataFrame:
+    """Second half of M9: scale a prepared series, cut sequences, split off the last samples."""
     from marketmood.operators.scaling import scale_over_series
     from marketmood.operators.sequences import make_sequences, split_last
     features = features or FEATURES
-    d = prepared_series(spark, sf_dir, lex, warmup, features)
     mask = None
     if fit_on == "train":
         # rows touched by training samples only: positions up to
@@ -108,9 +135,13 @@ def build_dataset(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None
     return split_last(seq, n_test)
 
 
+def scaler_of(d: DataFrame, features=None) -> DataFrame:
+    """N1 table of a prepared series."""
+    from marketmood.operators.scaling import fit_minmax
+    return fit_minmax(d, (features or FEATURES) + ["target"])
+
+
 def dataset_scaler(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None,
                    warmup: int = 20, features=None) -> DataFrame:
     """N1 table of :func:`build_dataset` (for persistence and inverse transforms)."""
-    from marketmood.operators.scaling import fit_minmax
-    features = features or FEATURES
-    return fit_minmax(prepared_series(spark, sf_dir, lex, warmup, features), features + ["target"])
+    return scaler_of(prepared_series(spark, sf_dir, lex, warmup, features), features)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,12 +18,15 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "marketmood", extra: dict | None = None) -> SparkSession:
-    """Session for tests and local runs; on a cluster use the provided session."""
-    builder = SparkSession.builder.master(master).appName(app_name)
+    """A session with the package's defaults; master and shuffle partitions stay as submitted unless given."""
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -36,8 +39,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster's shared
-    storage). Only when it is unset -- local tests -- a fresh scratch folder
-    is created and registered.
+    storage). Only where it is unset and the master is local (tests), a fresh
+    scratch folder is created and registered; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -51,8 +54,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    local = tempfile.mkdtemp(prefix="marketmood-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    master = sc.master if sc is not None else ""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    local = tempfile.mkdtemp(prefix="marketmood-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
-    if sc is not None:
-        sc.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name for a table under the shared folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

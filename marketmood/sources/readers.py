@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marketmood.functions.dates import parse_date, parse_utc
+from marketmood.functions.dates import day_of, parse_date, parse_utc
+from marketmood.operators.common import require_unique
 from marketmood.sources import schemas
 
 
@@ -15,35 +17,66 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A text-heavy table, spread over the cluster's cores when the scan yields
-    too few partitions (see ``ensure_parallelism``)."""
-    from marketmood.operators.common import ensure_parallelism
-    return ensure_parallelism(read_table(spark, sf_dir, name), key)
+    """A text-heavy table, split as its files are.
+
+    A table of one file with one row group is read by one task. Whoever runs on
+    such files (the benchmark does) sets ``spark.marketmood.textPartitions`` to
+    spread the rows by ``key``; it is unset for tables of many files.
+    """
+    df = read_table(spark, sf_dir, name)
+    n = spark.conf.get("spark.marketmood.textPartitions", None)
+    return df.repartition(int(n), key) if n else df
+
+
+CORRUPT = "_corrupt_record"
+
+
+def _read_csv(spark: SparkSession, path: str, schema, multi_line: bool) -> DataFrame:
+    """CSV with a header; lines that don't fit the schema keep their text in ``_corrupt_record``."""
+    with_bad = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return (spark.read.schema(with_bad).option("header", True).option("multiLine", multi_line).option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
 
 
-def read_posts(spark: SparkSession, path: str, fmt: str = "csv", scored: bool = False) -> DataFrame:
+def read_posts(spark: SparkSession, path: str, fmt: str = "csv", scored: bool = False, multi_line: bool = False,
+               keep_corrupt: bool = False) -> DataFrame:
     """Posts as ``(ts, text, symbol, company[, cleaned_text, text_length, compound])``.
 
-    CSV is read with an explicit schema, multi-line quoted fields and
-    PERMISSIVE mode; malformed lines surface as NULL fields, never as a failed
-    job. The ``date`` string (with UTC offset) is parsed into ``ts``.
+    CSV is read with an explicit schema; ``multi_line`` allows line breaks in
+    quoted texts, at the cost of one task a file. Malformed lines never fail the
+    job: they are left out, or with ``keep_corrupt`` returned with their source
+    in ``_corrupt_record``. The ``date`` string (UTC unless it carries an
+    offset) is parsed into ``ts``.
     """
     schema = schemas.SCORED_POSTS if scored else schemas.RAW_POSTS
-    if fmt == "csv":
-        df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-              .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    else:
-        df = spark.read.schema(schema).format(fmt).load(path)
-    return df.withColumn("ts", parse_utc("date")).drop("date")
+    df = _read_csv(spark, path, schema, multi_line) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
+    return _without_corrupt(df, keep_corrupt).withColumn("ts", parse_utc("date")).drop("date")
+
 
+def _without_corrupt(df: DataFrame, keep: bool) -> DataFrame:
+    if keep or CORRUPT not in df.columns:
+        return df
+    # Spark parses only the fields that a query reads; a line is to be judged by all of them.
+    fields = F.length(F.concat_ws("", *[F.col(c).cast("string") for c in df.columns if c != CORRUPT]))
+    return df.filter(F.col(CORRUPT).isNull() & (fields >= 0)).drop(CORRUPT)
 
-def read_prices(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Daily prices ``(symbol, date, open, high, low, close, adj_close, volume)``."""
+
+def read_prices(spark: SparkSession, path: str, fmt: str = "csv", keep_corrupt: bool = False,
+                unique: bool = False) -> DataFrame:
+    """Daily prices ``(symbol, date, open, high, low, close, adj_close, volume)``.
+
+    Self-describing formats may hold ``date`` as DATE, TIMESTAMP or text. With
+    ``unique``, two rows for one symbol and day are an error (one pass to check).
+    """
     if fmt == "csv":
-        df = spark.read.schema(schemas.PRICES).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        df = _without_corrupt(_read_csv(spark, path, schemas.PRICES, False), keep_corrupt)
     else:
-        df = spark.read.schema(schemas.PRICES).format(fmt).load(path)
-    return df.withColumn("date", parse_date("date"))
+        df = spark.read.format(fmt).load(path)
+        df = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in schemas.PRICES.fields if f.name != "date"], "date")
+    as_text = isinstance(df.schema["date"].dataType, T.StringType)
+    df = df.withColumn("date", parse_date("date") if as_text else day_of(df, "date"))
+    return require_unique(df, ["symbol", "date"]) if unique else df
 
 
 def write_posts(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "symbol",
@@ -53,7 +86,8 @@ def write_posts(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
 

@@ -22,10 +22,10 @@ def list_models(spark: SparkSession, root: str) -> DataFrame:
 def latest_model(listing: DataFrame, prefix: str = MODEL_PREFIX, suffix: str = MODEL_SUFFIX) -> DataFrame:
     """Per symbol, the path with the numerically largest ``_V_<n>``.
 
-    Only file names starting with ``prefix`` and ending with ``suffix`` count.
+    Only file names that contain ``prefix`` and end with ``suffix`` count.
     """
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    d = listing.filter(name.startswith(prefix) & name.endswith(suffix))
+    d = listing.filter(F.contains(name, F.lit(prefix)) & name.endswith(suffix))
     d = d.withColumn("version", F.regexp_extract(name, VERSION_PATTERN, 1))
     d = d.filter(F.col("version") != "").withColumn("version", F.col("version").cast("bigint"))
     return d.groupBy("symbol").agg(F.max_by("path", "version").alias("path"), F.max("version").alias("version"))

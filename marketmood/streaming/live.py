@@ -19,10 +19,14 @@ from marketmood.session import checkpoint_dir
 
 
 def table_stream(spark: SparkSession, folder: str, file_name: str) -> DataFrame:
-    """File-source stream over one table of a folder (explicit schema, no inference)."""
-    schema = spark.read.parquet(f"{folder}/{file_name}").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_name)
-            .option("maxFilesPerTrigger", 1000).parquet(folder))
+    """File-source stream over one table of a folder: a single file or a folder of part files."""
+    path = f"{folder}/{file_name}"
+    table = spark.read.parquet(path)
+    files = table.inputFiles()
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1000)
+    if len(files) == 1 and files[0].rstrip("/").endswith("/" + file_name):
+        return stream.option("pathGlobFilter", file_name).parquet(folder)
+    return stream.parquet(path)
 
 
 def as_utc_instant(c: str):
@@ -41,18 +45,23 @@ def _with_event_time(df: DataFrame, ts: str) -> DataFrame:
 
 def live_bars(stream: DataFrame, ts: str, key: str, price: str, window: str = "1 day",
               watermark: str = "1 hour") -> DataFrame:
-    """OHLCV bars per key and tumbling window."""
+    """OHLCV bars per key and tumbling window; of prices at one instant the smallest opens, the largest closes."""
+    at = F.struct(ts, price)
     return (_with_event_time(stream, ts).withWatermark(ts, watermark)
             .groupBy(F.window(ts, window).alias("w"), F.col(key).alias("symbol"))
-            .agg(F.min_by(price, ts).alias("open"), F.max(price).alias("high"),
-                 F.min(price).alias("low"), F.max_by(price, ts).alias("close"),
+            .agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"),
+                 F.min(price).alias("low"), F.max_by(price, at).alias("close"),
                  F.count(F.lit(1)).alias("volume"))
             .select("symbol", utc_day(F.col("w.start")).alias("date"), "open", "high", "low", "close", "volume"))
 
 
 def live_sentiment(posts: DataFrame, scores: DataFrame, ts: str = "ts", key: str = "symbol",
                    window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    """Mean compound per symbol and day; posts stream joined to static per-document scores."""
+    """Mean compound per symbol and day; posts stream joined to a stored table of scores per document.
+
+    ``scores`` is read again by every micro-batch, so it should be a stored
+    table, not a plan that scores the texts.
+    """
     joined = posts.join(scores.select("doc_id", "compound"), "doc_id")
     return (_with_event_time(joined, ts).withWatermark(ts, watermark)
             .groupBy(F.window(ts, window).alias("w"), F.col(key).alias("symbol"))
@@ -62,10 +71,27 @@ def live_sentiment(posts: DataFrame, scores: DataFrame, ts: str = "ts", key: str
 
 def run_available(spark: SparkSession, query: DataFrame, name: str) -> DataFrame:
     """Process everything available (``availableNow``) into a parquet table in the
-    shared checkpoint folder, with its own streaming checkpoint; return the table."""
+    shared checkpoint folder, with its own streaming checkpoint; return the table.
+
+    Append mode writes a window once the watermark has passed its end; the
+    windows still open at the end of the input are given by
+    :func:`with_open_windows`.
+    """
     base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
     out, chk = os.path.join(base, "out"), os.path.join(base, "chk")
     q = (query.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", chk).trigger(availableNow=True).start(out))
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+def with_open_windows(closed: DataFrame, table: DataFrame, ts: str, build, key: str = "symbol") -> DataFrame:
+    """The closed windows and, from the rows since then, those that are still open.
+
+    ``build`` is the aggregation that the stream ran, applied here to the rows of
+    ``table`` from the first day that some key has no closed window for; of the
+    result only windows that the stream didn't write are added.
+    """
+    last = closed.groupBy(key).agg(F.max("date").alias("d")).agg(F.min("d")).first()[0]
+    recent = table if last is None else table.filter(F.col(ts) >= F.lit(last))
+    return closed.unionByName(build(recent).join(closed.select(key, "date"), [key, "date"], "left_anti"))

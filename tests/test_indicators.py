@@ -4,6 +4,7 @@ import pytest
 
 from conftest import col_values, series_df
 from marketmood.operators import indicators as ind
+from pyspark.sql import functions as F
 
 
 def approx(a, b, tol=1e-9):
@@ -146,3 +147,26 @@ def test_block_scan_equals_frame_version(spark, nulls):
     b = ind.ema_block_scan(df, "x", alphas, ["e1", "e2", "e3"])
     for c in ("e1", "e2", "e3"):
         assert approx(col_values(b, c), col_values(a, c), 1e-9)
+
+
+def test_bucketed_windows_keep_null_keys_and_dates(spark):
+    import datetime as dt
+    rows = [("A", dt.date(2020, 1, 1) + dt.timedelta(days=40 * i), float(i)) for i in range(30)]
+    rows += [(None, dt.date(2020, 5, 1) + dt.timedelta(days=i), float(i)) for i in range(25)] + [("A", None, 5.0), (None, None, 6.0)]
+    df = spark.createDataFrame(rows, "symbol string, date date, close double")
+    got = {(r.symbol, r.date): r for r in ind.moving_features_bucketed(df, "close").collect()}
+    d = df.withColumn("ma7", ind.moving_average("close", 7)).withColumn("log_return", ind.log_return("close"))
+    assert len(got) == len(rows)
+    for r in d.collect():
+        assert got[(r.symbol, r.date)].ma7 == r.ma7 and got[(r.symbol, r.date)].log_return == r.log_return
+
+
+def test_bucketed_ema_with_nulls_equals_unbucketed(spark):
+    import random
+    rng = random.Random(3)
+    vals = [None if rng.random() < 0.3 or 200 < i < 320 else rng.uniform(1, 100) for i in range(900)]
+    df = series_df(spark, vals)
+    a = col_values(ind.ema_recursive_multi(df, "x", [0.3, 2 / 27], ["e", "f"]), "f")
+    for bucket in (F.date_trunc("month", "date"), F.year("date")):
+        b = col_values(ind.ema_bucketed(df, "x", [0.3, 2 / 27], ["e", "f"], bucket), "f")
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(a, b))

@@ -113,10 +113,13 @@ def test_features_invariant_to_symbol_names_and_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def test_ensure_parallelism_only_when_needed(spark):
-    from marketmood.operators.common import ensure_parallelism
-    one = spark.range(0, 1000).coalesce(1)
-    spread = ensure_parallelism(one, "id", target=4)
-    assert spread.rdd.getNumPartitions() == 4
-    many = spark.range(0, 1000, numPartitions=6)
-    assert ensure_parallelism(many, "id", target=4) is many
+def test_text_partitions_are_the_callers_choice(spark):
+    from marketmood.sources.readers import read_text_table
+    sf = "/root/testdata/sf0.001"
+    plan = lambda: read_text_table(spark, sf, "documents", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan()
+    spark.conf.set("spark.marketmood.textPartitions", "4")
+    try:
+        assert "Repartition" in plan()
+    finally:
+        spark.conf.unset("spark.marketmood.textPartitions")

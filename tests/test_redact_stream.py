@@ -59,16 +59,42 @@ def test_content_groups(spark):
     assert got == {"1": 2, "2": 2, "3": 1}
 
 
-def test_stream_bars_equal_batch(spark):
+def test_rules_without_a_pattern_and_arrows():
+    lits, rxs = RD.parse_rules(["regex:", "a==>b==>c", "literal:", "==>x", "glob:[!a]?*\n", "regex:x==>"])
+    assert lits == [("regex:", "***REMOVED***"), ("a==>b", "c"), ("literal:", "***REMOVED***")]
+    assert rxs == [("(?s)[^a]..*", "***REMOVED***"), ("x", "")]
+
+
+def test_globs_against_the_standard_library(spark):
+    import fnmatch
+    names = ["a", "ab", "a.b", "[", "]", "a]b", "x^y", "a/b.txt", "A", "a-b", "b", "-", "!"]
+    for glob in ("*", "?", "a*", "[ab]", "[!ab]", "[]a]", "[!]a]*", "x[^]y", "a[.-]b", "[", "*[]]*", "a.b", "*.txt", "[a-c]"):
+        rx = "^(?:" + RD.glob_to_regex(glob) + ")$"
+        got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").filter(F.col("n").rlike(rx)).collect()]
+        assert got == [n for n in names if fnmatch.fnmatchcase(n, glob)], glob
+
+
+def test_root_counts_once_and_mixed_renames(spark):
+    df = spark.createDataFrame([("/a/b.txt", 5), ("c", 1)], "name string, size long")
+    got = {(r.kind, r.key): (r.size, r.n) for r in RD.size_rollup(df).collect()}
+    assert got[("directory", "")] == (6, 2) and got[("directory", "/a")] == (5, 1)
+    df = spark.createDataFrame([("src/a.py",), ("lib/a.py",), ("src",)], "name string")
+    out = RD.select_paths(df, match=[""], changes=[("regex", "^lib/", "src/"), ("prefix", "src", "new"), ("regex", "\\.py$", ".txt")])
+    assert sorted(r[0] for r in out.collect()) == ["new", "new/a.txt", "new/a.txt"]
+    base = RD.select_paths(df, glob=["a.*"], base_name=True)
+    assert sorted(r[0] for r in base.collect()) == ["lib/a.py", "src/a.py"]
+
+
+def test_stream_and_open_windows_equal_batch(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
-    s = LV.table_stream(spark, sf, "events.parquet")
-    got = LV.run_available(spark, LV.live_bars(s, "ts", "event_type", "value"), "test")
     ev = spark.read.parquet(f"{sf}/events.parquet")
-    max_ts = ev.agg(F.max("ts")).collect()[0][0]
-    batch = (ev.groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("date"))
-             .agg(F.count(F.lit(1)).alias("volume"), F.max("value").alias("high")))
-    cutoff = (max_ts - dt.timedelta(hours=1))
-    batch = batch.filter(F.col("date") <= F.lit((cutoff - dt.timedelta(days=1)).date()))
-    g = {(r.symbol, r.date): (r.volume, r.high) for r in got.collect()}
-    b = {(r.symbol, r.date): (r.volume, r.high) for r in batch.collect()}
-    assert g == b and len(g) > 0
+    ev.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+
+    def bars(events):
+        return LV.live_bars(events, "ts", "event_type", "value")
+    want = {(r.symbol, r.date): r for r in bars(ev).collect()}
+    for folder in (sf, str(tmp_path)):  # a single file, a folder of part files
+        closed = LV.run_available(spark, bars(LV.table_stream(spark, folder, "events.parquet")), "test")
+        assert 0 < closed.count() < len(want)
+        got = LV.with_open_windows(closed, ev, "ts", bars).collect()
+        assert len(got) == len(want) and {(r.symbol, r.date): r for r in got} == want

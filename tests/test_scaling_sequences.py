@@ -1,8 +1,10 @@
 import datetime as dt
+import math
 
 from conftest import col_values, series_df
 from marketmood.operators import scaling as SC
 from marketmood.operators import sequences as SQ
+
 from pyspark.sql import functions as F
 
 
@@ -97,3 +99,15 @@ def test_bucketed_sequences_equal_unbucketed(spark):
     ra = sorted(tuple(str(r[c]) for c in cols) for r in a.collect())
     rb = sorted(tuple(str(r[c]) for c in cols) for r in b.collect())
     assert ra == rb and len(ra) > 0
+
+
+def test_hash_split_keeps_rows_with_null_and_repeated_keys(spark):
+    rows = [(i,) for i in range(30)] + [(None,), (None,), (7,)]
+    df = spark.createDataFrame(rows, "k long")
+    for share in (0.0, 0.2, 0.5, 1.0):
+        out = SQ.hash_split(df, "k", share, 42).collect()
+        assert len(out) == len(rows)
+        n = sum(r["split"] == "test" for r in out)
+        assert 0 <= n - math.ceil(share * len(rows)) <= 1
+        assert len({r["split"] for r in out if r["k"] is None}) == 1
+    assert SQ.hash_split(df.limit(0), "k").count() == 0

@@ -17,7 +17,7 @@ def test_posts_csv_round_trip(spark, tmp_path):
     raw = spark.createDataFrame(rows, "date string, text string, symbol string, company string")
     path = str(tmp_path / "posts_csv")
     raw.write.option("header", True).option("escape", '"').csv(path)
-    back = read_posts(spark, path).orderBy("symbol").collect()
+    back = read_posts(spark, path, multi_line=True).orderBy("symbol").collect()
     assert back[1].text == 'Tesla "up", again\nnew line' and back[0].text is None
     assert back[1].ts.date() == dt.date(2022, 9, 29)
 
@@ -37,6 +37,37 @@ def test_prices_csv(spark, tmp_path):
     assert r.date == dt.date(2021, 9, 30) and r.close == 1.5 and r.volume == 100
 
 
+def test_malformed_lines_are_left_out_or_shown(spark, tmp_path):
+    path = tmp_path / "prices.csv"
+    path.write_text("date,open,high,low,close,adj_close,volume,symbol\n2021-09-30,1,2,0.5,1.5,1.5,100,TSLA\n"
+                    "2021-10-01,x,2,0.5,1.5,1.5,100,TSLA\nnot a line\n")
+    assert read_prices(spark, str(path)).count() == 1
+    shown = read_prices(spark, str(path), keep_corrupt=True).collect()
+    assert len(shown) == 3 and sum(r["_corrupt_record"] is not None for r in shown) == 2
+
+
+def test_prices_of_any_date_type_and_repeated_days(spark, tmp_path):
+    import pytest
+    p = FX.prices(spark, SF0001).withColumn("adj_close", F.col("close"))
+    for i, kind in enumerate(("date", "timestamp_ntz", "timestamp", "string")):
+        path = str(tmp_path / f"p{i}")
+        p.withColumn("date", F.col("date").cast(kind)).write.parquet(path)
+        back = read_prices(spark, path, "parquet", unique=True)
+        assert {(r.symbol, r.date, r.close) for r in back.collect()} == {(r.symbol, r.date, r.close) for r in p.collect()}
+    path = str(tmp_path / "twice")
+    p.union(p.limit(1)).write.parquet(path)
+    with pytest.raises(ValueError, match="duplicate key"):
+        read_prices(spark, path, "parquet", unique=True)
+
+
+def test_history_of_a_loaded_model_is_empty(spark, tmp_path):
+    df = spark.createDataFrame([(i, "good day" if i % 2 else "bad day", i % 2) for i in range(20)], "doc_id long, text string, label int")
+    model = ML.fit_sentiment_classifier(df, "text", "label", num_features=64, max_iter=5)
+    assert ML.training_history(model).count() > 0
+    ML.save_model(model, str(tmp_path / "m"))
+    assert ML.training_history(ML.load_model(str(tmp_path / "m"))).collect() == []
+
+
 def test_scaler_round_trip(spark, tmp_path):
     df = FX.prices(spark, SF0001)
     sc = SC.fit_minmax(df, ["close", "volume"])

@@ -104,17 +104,69 @@ def test_scoring_is_partition_invariant(spark):
     assert a == b and len(a) == docs.count()
 
 
-def test_join_fallback_equals_in_row_path(spark, monkeypatch):
-    from marketmood.operators import sentiment as S
+def test_lexicon_of_any_size_and_join_gives_equal_scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(1, "NOT best but no idiot!! least trash, very BEST")], "doc_id long, text string")
     docs = docs.unionByName(extra.withColumn("doc_id", F.lit(10 ** 9)))
     a = score_sentiment(docs, lex=FX.lexicon(spark)).orderBy("doc_id").collect()
-    monkeypatch.setattr(S, "IN_ROW_LEXICON_MAX", 0)
-    b = score_sentiment(docs, lex=FX.lexicon(spark)).orderBy("doc_id").collect()
+    many = FX.lexicon(spark).union(spark.range(60_000).select(F.concat(F.lit("absent"), "id"), F.lit(1.0)))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = score_sentiment(docs, lex=many).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert a == b
 
 
+def test_repeated_lexicon_tokens(spark):
+    df = spark.createDataFrame([(1, "best day, not trash")], "doc_id long, text string")
+    once, twice = FX.lexicon(spark), FX.lexicon(spark).union(FX.lexicon(spark))
+    assert score_sentiment(df, lex=once).collect() == score_sentiment(df, lex=twice).collect()
+    clash = once.union(spark.createDataFrame([("best", -1.0)], "token string, valence double"))
+    with pytest.raises(Exception, match="two valences"):
+        score_sentiment(df, lex=clash).collect()
+
+
+def test_rows_with_one_id_are_scored_each(spark):
+    rows = [(1, "best"), (1, "trash"), (1, "trash"), (2, None), (2, None), (None, "best"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.compound)) for r in score_sentiment(df, lex=FX.lexicon(spark)).collect())
+    best, trash = norm(3.2), norm(-1.5)
+    assert got == sorted([("1", str(best)), ("1", str(trash)), ("1", str(trash)), ("2", "None"), ("2", "None"),
+                          ("None", str(best)), ("3", "0.0")])
+
+
+def test_building_a_text_query_starts_no_job(spark):
+    from marketmood.plans.catalog import QUERIES
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build-only", "build")
+    for name in ("t6_sentiment_scores", "a1_daily_mean", "flagship_daily_features", "t13_encode_tokens", "t3_lemmatise"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("build-only")]
+    assert all(len(j.stageIds) == 1 for j in jobs if j)  # schema reads only
+
+
+def test_offset_free_strings_are_utc_in_any_session_zone(spark):
+    import datetime as dt
+    from marketmood.functions.dates import day_of, parse_utc, utc_day
+    from marketmood.operators import rollups as R
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2022-09-29 02:00:00",), ("2022-09-29",), ("2022-09-28 22:00:00-04:00",), (None,)], "s string")
+        ts = df.select(parse_utc("s").alias("ts"), F.lit("A").alias("symbol"), F.lit(1.0).alias("compound"))
+        assert [r[0] for r in ts.select(utc_day("ts")).collect()][:3] == [dt.date(2022, 9, 29)] * 3
+        assert [r[0] for r in ts.select(day_of(ts, "ts")).collect()][:3] == [dt.date(2022, 9, 29)] * 3
+        seen = {r["date"]: r["n_posts"] for r in R.posts_per_day(ts.filter("ts IS NOT NULL"), "ts").collect()}
+        assert seen == {dt.date(2022, 9, 29): 3}
+        ntz = spark.sql("SELECT TIMESTAMP_NTZ '2022-09-29 02:00:00' AS ts")
+        assert ntz.select(day_of(ntz, "ts")).first()[0] == dt.date(2022, 9, 29)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_utc_offsets_parse_to_utc_day(spark):
     from marketmood.functions.dates import parse_utc, utc_day
     df = spark.createDataFrame([("2022-09-29 23:41:16-05:00",), ("2022-09-29 23:41:16+00:00",),
