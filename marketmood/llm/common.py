@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -91,3 +93,12 @@ def rows_of(batch: pa.RecordBatch, size: int = 200):
     for i in range(0, batch.num_rows, size):
         part = batch.slice(i, size)
         yield from zip(*(part.column(k).to_pylist() for k in range(part.num_columns)))
+
+
+def worker_memory() -> dict:
+    """A dict of the Python process, kept from one task of a reused worker to the next.
+
+    The package's functions are shipped with each task, so its own module-level
+    names are new every time; a module registered with the interpreter stays.
+    """
+    return vars(sys.modules.setdefault("marketmood_worker_memory", types.ModuleType("marketmood_worker_memory")))

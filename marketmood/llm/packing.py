@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketmood.llm.common import read_table, rows_of, text_pieces
+from marketmood.llm.common import read_table, rows_of, text_pieces, worker_memory
 
 CAPACITY = 2048
 MIN_FILL = 0.97
@@ -37,7 +37,7 @@ VOCABULARY = "word_bpe_49k.json"
 BEYOND = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")
 _LETTERS, _NUMBERS, _SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20\x85\xa0"
 PRETOKEN = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}{_SPACES}]+")
-CACHE_WORDS, CACHE_PARTS = 600_000, 1_000_000
+CACHE_WORDS, CACHE_PARTS = 300_000, 600_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,15 +48,22 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Memory(dict):
-    """Values of a function by key; emptied when it holds ``limit`` keys."""
+    """Values of a function by key, in two generations of at most ``limit`` keys.
+
+    A full generation becomes the old one; keys that are asked for again move
+    back, the others go when the next one is full.
+    """
 
     def __init__(self, made, limit: int):
         super().__init__()
-        self.made, self.limit = made, limit
+        self.made, self.limit, self.old = made, limit, {}
 
     def __missing__(self, key):
-        value = self.made(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.made(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -144,7 +151,9 @@ def pack(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id",
 
     def work(batches):
         from pyspark import TaskContext
-        encoder, counter = Encoder(path), [TaskContext.get().partitionId() << 40]
+        counter = [TaskContext.get().partitionId() << 40]
+        kept = worker_memory()  # words met by earlier tasks of this worker stay known
+        encoder = kept.get(path) or kept.setdefault(path, Encoder(path))
         waiting: dict[int, list] = {}
 
         def next_id():
