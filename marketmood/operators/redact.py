@@ -154,6 +154,11 @@ def content_groups(df: DataFrame, name: str, content: str) -> DataFrame:
     return d.join(counts, "content_id")
 
 
+def sorted_groups(groups: DataFrame) -> DataFrame:
+    """G5 report order: contents with the largest total size first."""
+    return groups.orderBy((F.col("size") * F.col("n_names")).desc(), "content_id", "name")
+
+
 def path_matches(name: Column, prefix: str) -> Column:
     """The path equals ``prefix`` or lies below it (prefix with or without trailing '/'); '' matches all."""
     return (name == prefix) | name.startswith(prefix.rstrip("/") + "/") if prefix else F.lit(True)

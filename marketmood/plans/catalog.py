@@ -218,14 +218,14 @@ def a11_symbol_list(spark, sf_dir):
 SELECT symbol, min(date) AS min_date, max(date) AS max_date FROM daily GROUP BY 1
 """)
 def a13_date_bounds(spark, sf_dir):
-    return R.date_bounds(P.daily_features(spark, sf_dir))
+    return R.date_bounds(P.daily_keys(spark, sf_dir))
 
 
 @register("a17_series_length", W("daily") + """
 SELECT symbol, count(*) AS n_rows FROM daily GROUP BY 1 HAVING count(*) >= 46
 """)
 def a17_series_length(spark, sf_dir):
-    return R.series_length(P.daily_features(spark, sf_dir), min_rows=46)
+    return R.series_length(P.daily_keys(spark, sf_dir), min_rows=46)
 
 
 # ---------------------------------------------------------------- filters / projections
@@ -242,8 +242,9 @@ WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'
 """)
 def f2_date_range(spark, sf_dir):
     import datetime as dt
-    p = FX.prices(spark, sf_dir).select("symbol", "date", "close")
-    return rounded(FL.date_range(p, dt.date(1996, 1, 1), dt.date(1997, 6, 30)))
+    first, last = dt.date(1996, 1, 1), dt.date(1997, 6, 30)
+    p = FX.prices(spark, sf_dir, first, last).select("symbol", "date", "close")
+    return rounded(FL.date_range(p, first, last))
 
 
 @register("f3_drop_strict", W("prices") + f"""
@@ -267,9 +268,10 @@ post_scores AS (SELECT p.post_id, CAST(length(p.text) AS BIGINT) AS text_length,
 SELECT text_length, {r('compound')} AS compound FROM post_scores
 """)
 def f8_scatter(spark, sf_dir):
-    p = FX.posts(spark, sf_dir).select("doc_id", TX.text_length("text").alias("text_length"))
-    s = P.document_scores(spark, sf_dir).select("doc_id", "compound")
-    return rounded(FL.scatter(p.join(s, "doc_id"), "text_length", "compound"))
+    lengths = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", TX.text_length("text").alias("text_length"))
+    s = lengths.join(P.document_scores(spark, sf_dir).select("doc_id", "compound"), "doc_id")
+    p = FX.posts(spark, sf_dir, with_text=False).select("doc_id").join(s, "doc_id")
+    return rounded(FL.scatter(p, "text_length", "compound"))
 
 
 @register("f9_price_series", W("prices") + f"""

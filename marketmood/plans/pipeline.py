@@ -56,6 +56,14 @@ def daily_sentiment(posts: DataFrame, score: str = "compound") -> DataFrame:
     return posts.groupBy("symbol", day_of(posts, "ts").alias("date")).agg(F.avg(score).alias(score))
 
 
+def daily_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(symbol, date)`` of the joined daily table, without scoring any text."""
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id")
+    posts = fixtures.posts(spark, sf_dir, with_text=False).join(docs, "doc_id", "left_semi")
+    days = posts.select("symbol", day_of(posts, "ts").alias("date")).distinct()
+    return days.join(fixtures.prices(spark, sf_dir).select("symbol", "date"), ["symbol", "date"])
+
+
 def daily_features(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None) -> DataFrame:
     """Minimum slice: sentiment + prices joined per day with MA7/MA20, Bollinger, log return."""
     sent = daily_sentiment(scored_posts(spark, sf_dir, lex))

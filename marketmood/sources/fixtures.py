@@ -29,13 +29,21 @@ DEMO_LEMMAS = [
 # --- end of fixed values ----------------------------------------------------
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prices(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
     """Daily OHLCV bars per symbol: ``(symbol, date, open, close, high, low, volume)``.
 
+    ``start`` and ``end`` (dates, inclusive) are compared with the raw time
+    stamp, so the range reaches the scan.
+
     A partial (map-side) aggregation per (priority, day); the shuffle carries
     one row per key and task, so it stays small at any scale.
     """
     o = read_table(spark, sf_dir, "orders")
+    kind = o.schema["o_orderdate"].dataType
+    if start is not None:
+        o = o.filter(F.col("o_orderdate") >= F.lit(start).cast(kind))
+    if end is not None:
+        o = o.filter(F.col("o_orderdate") < F.date_add(F.lit(end), 1).cast(kind))
     return (o.groupBy(F.col("o_orderpriority").alias("symbol"),
                       F.to_date("o_orderdate").alias("date"))
             .agg(F.min_by("o_totalprice", "o_orderkey").alias("open"),
