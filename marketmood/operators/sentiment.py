@@ -106,12 +106,14 @@ def _negated(word: Column, negations) -> Column:
 
 def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     lex: DataFrame | None = None, negations=NEGATIONS, boosters=None,
-                    normalize: bool = False) -> DataFrame:
+                    normalize: bool = False, broadcast_lexicon: bool = False) -> DataFrame:
     """``(id, neg, neu, pos, compound)`` for every row of ``df``.
 
     ``lex`` is a ``(token, valence)`` table of lower-case tokens. NULL text
     gives NULL scores (T8); empty text gives zeros. Every row is scored on its
-    own, also where ids repeat.
+    own, also where ids repeat. Spark knows the size of a lexicon read from a
+    file or given as VALUES and broadcasts a small one; ``broadcast_lexicon``
+    says so for a small table of unknown size (such as ``createDataFrame``).
     """
     if lex is None:
         raise ValueError("a lexicon table (token, valence) is required")
@@ -141,7 +143,7 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     # Lexicon membership of the token, then (hits only) of its predecessors.
     # Rows without a word get a key of their own, so none pile up on a null key.
-    lexicon = _lexicon(lex)
+    lexicon = F.broadcast(_lexicon(lex)) if broadcast_lexicon else _lexicon(lex)
     own = F.concat(F.lit("\x00"), F.col("_th").cast("string"))
     hits = items.join(lexicon, F.coalesce(F.lower("tok"), own) == F.col("_lk"), "left")
     hits = hits.filter((F.col("i") < 0) | F.col("_lk").isNotNull())

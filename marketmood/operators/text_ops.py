@@ -55,7 +55,8 @@ def drop_stopwords_join(df: DataFrame, stop: DataFrame | None = None, id_col: st
     ``word`` (defaults to the built-in list).
     """
     if stop is None:
-        stop = df.sparkSession.createDataFrame([(w,) for w in STOP_WORDS], "word string")
+        words = ", ".join("('" + w.replace("'", "\\'") + "')" for w in STOP_WORDS)
+        stop = df.sparkSession.sql(f"SELECT word FROM VALUES {words} AS t(word)")  # a table of known size
     ex = df.select(id_col, F.posexplode(tokens_col).alias("pos", "tok"))
     return ex.join(stop, F.col("tok") == F.col("word"), "left_anti")
 

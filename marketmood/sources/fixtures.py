@@ -70,14 +70,27 @@ def posts(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame
         "post_id", "ts", "symbol", "text", "doc_id")
 
 
+def values_table(spark: SparkSession, rows, schema) -> DataFrame:
+    """A literal table. Spark knows its size, so small ones are broadcast without a hint."""
+    def literal(v):
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return "NULL" if v is None else f"{v!r}D" if isinstance(v, float) else str(v)
+
+    names = ", ".join(schema.names)
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    casts = ", ".join(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
+
+
 def lexicon(spark: SparkSession, entries=None) -> DataFrame:
     """A lexicon table ``(token, valence)``; defaults to the demo entries."""
-    return spark.createDataFrame(list(entries or DEMO_LEXICON), schemas.LEXICON)
+    return values_table(spark, list(entries or DEMO_LEXICON), schemas.LEXICON)
 
 
 def lemmas(spark: SparkSession, entries=None) -> DataFrame:
     """A lemma table ``(form, lemma)``; defaults to the demo entries."""
-    return spark.createDataFrame(list(entries or DEMO_LEMMAS), schemas.LEMMAS)
+    return values_table(spark, list(entries or DEMO_LEMMAS), schemas.LEMMAS)
 
 
 def sql_values(rows) -> str:
