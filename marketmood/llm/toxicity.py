@@ -42,9 +42,13 @@ CACHE_WORDS = 500_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows that reach the trainer, half of them of each label."""
+    """``sample_rows`` and ``sample_chars`` bound what reaches the trainer, half of it of each label.
+
+    Texts are taken whole; long ones make the sample smaller in rows.
+    """
 
     sample_rows: int = 5000
+    sample_chars: int = 40_000_000
     buckets: int = 1 << 19
     dim: int = 8
     rate: float = 0.3
@@ -281,11 +285,14 @@ def fit_on(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
     marked = (labels.select(F.col(id_col).alias("k"), F.col(label).cast("int").alias("y"))
               .filter(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out(F.col("k")))
               .groupBy("k").agg(F.max("y").alias("y")))
-    counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    half = settings.sample_rows / 2
+    sizes = docs.select(F.col(id_col).alias("k"), F.coalesce(F.char_length(text), F.lit(0)).alias("n"))
+    totals = {r["y"]: r for r in sizes.join(marked, "k").groupBy("y")
+              .agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("chars")).collect()}
+    counts = {y: r["rows"] for y, r in totals.items()}
     picked = None
-    for y, n in sorted(counts.items()):
-        part = marked.filter((F.col("y") == y) & hash_fraction(F.col("k"), half / max(n, 1)))
+    for y, r in sorted(totals.items()):
+        share = min(settings.sample_rows / 2 / r["rows"], settings.sample_chars / 2 / max(r["chars"], 1))
+        part = marked.filter((F.col("y") == y) & hash_fraction(F.col("k"), share))
         picked = part if picked is None else picked.union(part)
     if picked is None:
         return train([], [], settings)
