@@ -1,9 +1,8 @@
 """Aggregations.
 
 All are ``groupBy`` plans with map-side partial aggregation, so the shuffle
-carries one row per key and task. Exact percentiles (A8) keep every distinct
-value and are meant for daily-grain tables; ``describe_numeric(exact=False)``
-uses a bounded sketch for raw tables.
+carries one row per key and task. Exact percentiles (A8) are bracketed by a
+sketch first, so no task holds a column's values.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketmood.functions.dates import day_of
+from marketmood.session import store
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -62,23 +62,66 @@ def null_counts(df: DataFrame, cols) -> DataFrame:
     return wide.unpivot([], list(cols), "column", "nulls")
 
 
+def exact_quantiles(df: DataFrame, cols, probs, accuracy: int = 10_000) -> dict[str, list]:
+    """Interpolated exact quantiles of numeric columns, without gathering a column's values anywhere.
+
+    A sketch brackets each rank between two values; the rows below the bracket
+    are counted, and only the distinct values inside it (about ``4 / accuracy``
+    of the rows) are put in order. Three aggregations over the columns, which
+    are written to the shared folder once; a column without values gives NULLs.
+    """
+    d = store(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), "quantiles")
+    delta = 2.0 / accuracy
+    ends = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-delta, delta)]
+    first = d.agg(*[F.count(c).alias(f"{c}__n") for c in cols],
+                  *[F.percentile_approx(c, ends, accuracy).alias(f"{c}__e") for c in cols]).first()
+    spans = [(c, i, p, first[f"{c}__e"][2 * i], first[f"{c}__e"][2 * i + 1], first[f"{c}__n"])
+             for c in cols if first[f"{c}__n"] for i, p in enumerate(probs)]
+    out = {c: [None] * len(probs) for c in cols}
+    if not spans:
+        return out
+    inside = lambda c, lo, hi: F.when(F.col(c).between(lo, hi), F.col(c))
+    second = d.agg(*[x.alias(f"{c}__{i}__{name}") for c, i, _, lo, hi, _ in spans for name, x in (
+        ("below", F.count_if(F.col(c) < lo)), ("m", F.count(inside(c, lo, hi))),
+        ("down", F.max(F.when(F.col(c) < lo, F.col(c)))), ("up", F.min(F.when(F.col(c) > hi, F.col(c)))))]).first()
+
+    def place(c, i, p, n):
+        """Positions in the bracket of the two order statistics around the rank, and the weight of the upper."""
+        rank = p * (n - 1)
+        k = int(rank)
+        below = second[f"{c}__{i}__below"]
+        return [k - below, min(k + 1, n - 1) - below], rank - k
+
+    shares = {}
+    for c, i, p, _, _, n in spans:
+        m = second[f"{c}__{i}__m"]
+        shares[c, i] = [min(max(j, 0), m - 1) / max(m - 1, 1) for j in place(c, i, p, n)[0]]
+    third = d.agg(*[F.percentile(inside(c, lo, hi), F.array(*[F.lit(x) for x in shares[c, i]])).alias(f"{c}__{i}")
+                    for c, i, _, lo, hi, _ in spans]).first()
+    for c, i, p, _, _, n in spans:
+        at, weight = place(c, i, p, n)
+        m = second[f"{c}__{i}__m"]
+        low, high = (second[f"{c}__{i}__down"] if j < 0 else second[f"{c}__{i}__up"] if j >= m else v
+                     for j, v in zip(at, third[f"{c}__{i}"]))
+        out[c][i] = low + (high - low) * weight
+    return out
+
+
 def describe_numeric(df: DataFrame, cols, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
-    """Count, mean, std (n-1), min, 25/50/75 %, max.
+    """Count, mean, std (n-1), min, 25/50/75 %, max, as rows ``(column, stat...)``.
 
-    One aggregation pass; the wide row is unpivoted to ``(column, stat...)``.
-    ``exact=True`` gives interpolated exact quartiles (as pandas); its buffer
-    holds every distinct value, so use it on bounded tables (daily grain).
-    ``exact=False`` uses the bounded-memory ``percentile_approx`` sketch for raw
-    fact tables.
+    ``exact=True`` gives interpolated exact quartiles (as pandas) by
+    :func:`exact_quantiles`, which runs its aggregations right away;
+    ``exact=False`` uses the ``percentile_approx`` sketch in the one pass that
+    the other statistics take.
     """
     probs = [0.25, 0.5, 0.75]
+    found = exact_quantiles(df, cols, probs) if exact else None
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        if exact:
-            q = F.percentile(x, F.array(*[F.lit(p) for p in probs]))
-        else:
-            q = F.percentile_approx(x, probs, accuracy).cast("array<double>")
+        q = (F.array(*[F.lit(v).cast("double") for v in found[c]]) if exact
+             else F.percentile_approx(x, probs, accuracy).cast("array<double>"))
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
                  q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]

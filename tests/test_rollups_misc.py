@@ -110,3 +110,22 @@ def test_describe_approx_close_to_exact(spark):
     e = R.describe_numeric(df, ["x"]).collect()[0]
     a = R.describe_numeric(df, ["x"], exact=False).collect()[0]
     assert e.p50 == 5000.0 and abs(a.p50 - e.p50) <= 2 and a["count"] == e["count"] == 10001
+
+
+def test_exact_quantiles_against_numpy(spark):
+    import numpy as np
+    from marketmood.operators.rollups import exact_quantiles
+    rng = np.random.default_rng(5)
+    cols = {"a": rng.normal(size=3001), "b": rng.integers(0, 4, 3001).astype(float), "c": np.full(3001, 7.0),
+            "d": np.r_[np.zeros(2000), rng.normal(size=1001)]}
+    rows = [tuple(None if name == "a" and i % 5 == 0 else float(v[i]) for name, v in cols.items()) + (None,) for i in range(3001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    for accuracy in (10_000, 50):
+        got = exact_quantiles(df, list("abcde"), probs, accuracy)
+        for i, name in enumerate("abcd"):
+            want = np.quantile([r[i] for r in rows if r[i] is not None], probs)
+            assert np.allclose(got[name], want, rtol=0, atol=1e-9), (name, accuracy)
+        assert got["e"] == [None] * 5
+    small = spark.createDataFrame([(1.0,), (2.0,)], "x double")
+    assert exact_quantiles(small, ["x"], [0.25, 0.5]) == {"x": [1.25, 1.5]}
