@@ -7,7 +7,7 @@ sketch first, so no task holds a column's values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,24 +62,26 @@ def null_counts(df: DataFrame, cols) -> DataFrame:
     return wide.unpivot([], list(cols), "column", "nulls")
 
 
-def exact_quantiles(df: DataFrame, cols, probs, accuracy: int = 10_000) -> dict[str, list]:
+def exact_quantiles(df: DataFrame, cols, probs, accuracy: int = 10_000, also=()) -> tuple[dict[str, list], Row]:
     """Interpolated exact quantiles of numeric columns, without gathering a column's values anywhere.
 
     A sketch brackets each rank between two values; the rows below the bracket
     are counted, and only the distinct values inside it (about ``4 / accuracy``
     of the rows) are put in order. Three aggregations over the columns, which
     are written to the shared folder once; a column without values gives NULLs.
+    Returns the quantiles by column, and a row with the aggregates in ``also``,
+    which ride on the first pass.
     """
     d = store(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), "quantiles")
     delta = 2.0 / accuracy
     ends = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-delta, delta)]
     first = d.agg(*[F.count(c).alias(f"{c}__n") for c in cols],
-                  *[F.percentile_approx(c, ends, accuracy).alias(f"{c}__e") for c in cols]).first()
+                  *[F.percentile_approx(c, ends, accuracy).alias(f"{c}__e") for c in cols], *also).first()
     spans = [(c, i, p, first[f"{c}__e"][2 * i], first[f"{c}__e"][2 * i + 1], first[f"{c}__n"])
              for c in cols if first[f"{c}__n"] for i, p in enumerate(probs)]
     out = {c: [None] * len(probs) for c in cols}
     if not spans:
-        return out
+        return out, first
     inside = lambda c, lo, hi: F.when(F.col(c).between(lo, hi), F.col(c))
     second = d.agg(*[x.alias(f"{c}__{i}__{name}") for c, i, _, lo, hi, _ in spans for name, x in (
         ("below", F.count_if(F.col(c) < lo)), ("m", F.count(inside(c, lo, hi))),
@@ -104,7 +106,7 @@ def exact_quantiles(df: DataFrame, cols, probs, accuracy: int = 10_000) -> dict[
         low, high = (second[f"{c}__{i}__down"] if j < 0 else second[f"{c}__{i}__up"] if j >= m else v
                      for j, v in zip(at, third[f"{c}__{i}"]))
         out[c][i] = low + (high - low) * weight
-    return out
+    return out, first
 
 
 def describe_numeric(df: DataFrame, cols, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
@@ -113,27 +115,20 @@ def describe_numeric(df: DataFrame, cols, exact: bool = True, accuracy: int = 10
     ``exact=True`` gives interpolated exact quartiles (as pandas) by
     :func:`exact_quantiles`, which runs its aggregations right away;
     ``exact=False`` uses the ``percentile_approx`` sketch in the one pass that
-    the other statistics take.
+    the other statistics take. Either way the result is a local table.
     """
     probs = [0.25, 0.5, 0.75]
-    found = exact_quantiles(df, cols, probs) if exact else None
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = (F.array(*[F.lit(v).cast("double") for v in found[c]]) if exact
-             else F.percentile_approx(x, probs, accuracy).cast("array<double>"))
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"),
-                     F.col(f"{c}__count").cast("bigint").alias("count"),
-                     F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                     F.col(f"{c}__min").alias("min"),
-                     F.col(f"{c}__q")[0].alias("p25"), F.col(f"{c}__q")[1].alias("p50"),
-                     F.col(f"{c}__q")[2].alias("p75"),
-                     F.col(f"{c}__max").alias("max")) for c in cols]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    stats = {c: [F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)] for c in cols}
+    stats = [x.alias(f"{c}__{i}") for c in cols for i, x in enumerate(stats[c])]
+    if exact:
+        found, row = exact_quantiles(df, cols, probs, also=stats)
+    else:
+        d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+        row = d.agg(*stats, *[F.percentile_approx(c, probs, accuracy).alias(f"{c}__q") for c in cols]).first()
+        found = {c: row[f"{c}__q"] or [None] * 3 for c in cols}
+    rows = [(c, *[row[f"{c}__{i}"] for i in range(4)], *found[c], row[f"{c}__4"]) for c in cols]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
 
 
 def histogram(df: DataFrame, c: str, bins: int = 50, by: str | None = None) -> DataFrame:
