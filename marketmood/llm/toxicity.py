@@ -167,7 +167,7 @@ class _Trainer:
         ids, first, sizes = self._word_grams(uniq)
         word_vec = np.add.reduceat(self.vec[ids], first, axis=0) / sizes[:, None]
         hidden = np.add.reduceat(word_vec[inv], np.concatenate(([0], np.cumsum(lens)[:-1])), axis=0) * s.gain / (lens + PADDING)[:, None]
-        hidden = np.hstack([hidden, np.ones((len(bags), 1))])
+        hidden = np.hstack([hidden, np.full((len(bags), 1), 2 * s.gain)])  # lets the bias learn as fast as words do
         logits = hidden @ self.soft
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -184,7 +184,7 @@ class _Trainer:
 
     def weights(self) -> tuple[np.ndarray, float]:
         side = self.soft[:, 1] - self.soft[:, 0]
-        return (self.vec @ side[:-1] * self.s.gain).astype(np.float32), float(side[-1])
+        return (self.vec @ side[:-1] * self.s.gain).astype(np.float32), float(side[-1] * 2 * self.s.gain)
 
     def passage_logits(self) -> list[np.ndarray]:
         weights, bias = self.weights()
