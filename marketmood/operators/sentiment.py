@@ -44,7 +44,7 @@ QM_STEP = 0.18          # per "?" when 2-3 of them
 QM_MAX = 0.96           # more than 3 "?"
 DISTANCE_DAMPING = (1.0, 0.95, 0.9)
 # Default negation words (demo set) -- any word containing "n't" also negates.
-NEGATIONS = ("no", "not", "never")  # a fuller set can be passed as words or a table, see score_sentiment
+NEGATIONS = ("no", "not", "never")  # fuller sets: see score_sentiment
 # Default booster / dampener words (demo subset).
 BOOSTERS = {
     "very": B_INCR, "really": B_INCR, "extremely": B_INCR, "so": B_INCR,
@@ -83,7 +83,9 @@ def emphasis(text: Column) -> Column:
     return (ex + qa).cast("double")
 
 
-def _lookup(key: Column, table: dict) -> Column:
+def _lookup(key: Column, table) -> Column:
+    if isinstance(table, Column):
+        return F.coalesce(F.try_element_at(table, key), F.lit(0.0))
     if not table:
         return F.lit(0.0)
     m = F.create_map(*[x for w, v in table.items() for x in (F.lit(w), F.lit(float(v)))])
@@ -101,7 +103,8 @@ def _lexicon(lex: DataFrame) -> DataFrame:
 
 def _negated(word: Column, negations) -> Column:
     lw = F.lower(word)
-    return lw.isin(list(negations)) | F.contains(lw, F.lit("n't"))
+    listed = F.array_contains(negations, lw) if isinstance(negations, Column) else lw.isin(list(negations))
+    return listed | F.contains(lw, F.lit("n't"))
 
 
 def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -114,6 +117,8 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     own, also where ids repeat. Spark knows the size of a lexicon read from a
     file or given as VALUES and broadcasts a small one; ``broadcast_lexicon``
     says so for a small table of unknown size (such as ``createDataFrame``).
+    ``negations`` are words or a small table ``(word)``, ``boosters`` a dict or
+    a small table ``(token, increment)``.
     """
     if lex is None:
         raise ValueError("a lexicon table (token, valence) is required")
@@ -152,7 +157,18 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         hits = (hits.join(side, F.coalesce(F.lower(F.col(f"p{d}")), own) == F.col(f"_k{d}"), "left")
                 .withColumn(f"k{d}", F.col(f"_k{d}").isNotNull()).drop(f"_k{d}"))
     is_hit = F.col("i") >= 0
-    skip = F.lower("tok").isin(list(boosters)) if boosters else F.lit(False)
+    # Word tables become one array and one map, read once per query and put beside the hits.
+    if isinstance(negations, DataFrame):
+        words = negations.agg(F.coalesce(F.collect_set(F.lower("word")), F.array().cast("array<string>"))).scalar()
+        hits, negations = hits.withColumn("_negations", words), F.col("_negations")
+    if isinstance(boosters, DataFrame):
+        pairs = boosters.groupBy(F.lower("token").alias("t")).agg(F.max("increment").cast("double").alias("v"))
+        steps = pairs.agg(F.map_from_entries(F.collect_list(F.struct("t", "v")))).scalar()
+        hits, boosters = hits.withColumn("_boosters", steps), F.col("_boosters")
+    if isinstance(boosters, Column):
+        skip = F.coalesce(F.map_contains_key(boosters, F.coalesce(F.lower("tok"), F.lit(""))), F.lit(False))
+    else:
+        skip = F.lower("tok").isin(list(boosters)) if boosters else F.lit(False)
     skip = skip | ((F.lower("tok") == "kind") & (F.lower(F.coalesce("nx", F.lit(""))) == "of"))
     hits = hits.filter(~is_hit | ~skip)
 

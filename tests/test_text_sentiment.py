@@ -119,6 +119,21 @@ def test_lexicon_of_any_size_and_join_gives_equal_scores(spark):
     assert a == b
 
 
+def test_word_tables_equal_word_lists(spark):
+    from marketmood.operators import sentiment as S
+    rows = [(1, "NOT best but no idiot!! very least trash"), (2, "without best, VERY best day"), (3, "never really stupid"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words, steps = [*S.NEGATIONS, "without"], S.BOOSTERS | {"day": 0.1}
+    a = score_sentiment(df, lex=FX.lexicon(spark), negations=words, boosters=steps)
+    b = score_sentiment(df, lex=FX.lexicon(spark), negations=spark.createDataFrame([(w,) for w in words], "word string"),
+                        boosters=spark.createDataFrame(list(steps.items()), "token string, increment double"))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    plain = {r.doc_id: r.compound for r in score_sentiment(df, lex=FX.lexicon(spark)).collect()}
+    assert {r.doc_id: r.compound for r in b.collect()}[2] < 0 < plain[2]
+    none = spark.createDataFrame([], "word string")
+    assert score_sentiment(df, lex=FX.lexicon(spark), negations=none).count() == 4
+
+
 def test_repeated_lexicon_tokens(spark):
     df = spark.createDataFrame([(1, "best day, not trash")], "doc_id long, text string")
     once, twice = FX.lexicon(spark), FX.lexicon(spark).union(FX.lexicon(spark))
