@@ -12,9 +12,10 @@ make the host's template, whose places between frame tokens are slots.
 
 A slot is boilerplate if a tag or word on its path says so (menus, headers,
 footers, sidebars, notices, adverts, forms, comments), if its text is the same
-on all of at least three pages, or if it consists of a nested class of links.
-If the template or the page marks an article, only slots in it remain. The
-remaining slots' blocks are the text. A page that doesn't fit its host's frame
+on all of at least three pages, or if it consists of a nested class of links;
+the last two hold inside marked articles as well. If the page marks an article,
+only slots in it remain. The remaining slots' blocks are the text. A slot is
+judged by its own text, not by that of the slots in it. A page that doesn't fit its host's frame
 (a frame token missing or repeated) and hosts with one page are judged by their
 own tokens alone.
 """
@@ -244,7 +245,7 @@ def templates(stats: DataFrame) -> DataFrame:
     token = F.struct("path", "vector", (F.col("pages") == F.col("host_pages")).alias("all"),
                      (F.col("pages") == F.col("times")).alias("once"),
                      ((F.col("text_min") == F.col("text_max")) & (F.col("pages") >= 3) & (F.col("chars") > 0)).alias("fixed"),
-                     (2 * F.col("linked") > F.col("chars")).alias("links"))
+                     F.when(F.col("chars") > 0, 2 * F.col("linked") > F.col("chars")).alias("links"))
     return valid.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(token))).alias("template"))
 
 
@@ -254,19 +255,18 @@ class Template:
     def __init__(self, text: str | None):
         tokens = json.loads(text) if text else []
         self.frame = {t["path"] for t in tokens if t["all"] and t["once"]}
-        classes: dict[tuple[int, bool], list[dict]] = {}
+        classes: dict[tuple[int, bool, str], list[dict]] = {}  # ordered and nested: all of a class lies in one slot
         for t in tokens:
             if t["path"] not in self.frame:
-                classes.setdefault((t["vector"], t["all"]), []).append(t)
+                classes.setdefault((t["vector"], t["all"], self.slot(t["path"])), []).append(t)
         self.nested: dict[str, list[list[str]]] = {}  # by frame token: the classes nested in its slot
-        self.boilerplate = {t["path"] for t in tokens if t["fixed"] and t["path"] in self.frame}
-        for members in classes.values():
+        self.boilerplate = {t["path"] for t in tokens if t["fixed"] and t["all"]}
+        for (_, _, slot), members in classes.items():
             paths = [t["path"] for t in members]
-            slots = {self.slot(p) for p in paths}
-            if len(slots) == 1:  # ordered and nested: all of the class lies in one slot
-                self.nested.setdefault(slots.pop(), []).append(paths)
-                if any(t["links"] for t in members) and all(t["links"] for t in members if t["links"] is not None):
-                    self.boilerplate.update(t["path"] for t in members)
+            self.nested.setdefault(slot, []).append(paths)
+            known = [t["links"] for t in members if t.get("links") is not None]  # of tokens with text of their own
+            if known and all(known):
+                self.boilerplate.update(paths)
 
     def slot(self, path: str) -> str:
         """The innermost frame token on a path."""
@@ -285,7 +285,7 @@ def main_text(page: Page, template: Template) -> str:
     for path, bad, main, body, linked in page.blocks:
         if bad or (page.has_main and not main):
             continue
-        if use and not main and (template.slot(path) in template.boilerplate or path in template.boilerplate):
+        if use and path in template.boilerplate:
             continue
         if not page.has_main and 2 * linked > len(body):
             continue

@@ -82,3 +82,11 @@ def test_vectors_merge_over_partitions(spark):
     a = {tuple(r) for r in H.token_stats(keyed).collect()}
     b = {tuple(r) for r in H.token_stats(keyed.repartition(9), flush=50).collect()}
     assert a == b and len(a) > 100
+
+
+def test_template_decides_inside_marked_articles(spark):
+    made = [(i, f"http://m.test/{i}", f"<body><article>Site line<h1>Title {i}</h1><p>Body {i}</p><p>with <a href=/s>a link {i}</a> in a sentence</p>"
+             f"<div class=cta>Read us daily</div><div class=k>Twice</div><ul class=more>{'<li><a href=/a>Other</a><li><a href=/b>page %d</a>' % i}</ul>"
+             f"<div class=k>Twice</div></article></body>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nBody {i}\nwith a link {i} in a sentence" for i in range(5)}
