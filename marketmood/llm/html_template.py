@@ -12,12 +12,19 @@ make the host's template, whose places between frame tokens are slots.
 
 A slot is boilerplate if a tag or word on its path says so (menus, headers,
 footers, sidebars, notices, adverts, forms, comments), if its text is the same
-on all of at least three pages, or if it consists of a nested class of links;
-the last two hold inside marked articles as well. If the page marks an article,
-only slots in it remain. The remaining slots' blocks are the text. A slot is
-judged by its own text, not by that of the slots in it. A page that doesn't fit its host's frame
-(a frame token missing or repeated) and hosts with one page are judged by their
-own tokens alone.
+on all pages, of which at least three have distinct bodies, or if it consists
+of links on the host's pages taken together (a nested class or a frame token);
+the last two hold inside marked articles as well. Words say nothing about an
+element that is or contains the main slot. If the page marks an article, only
+slots in it remain. The remaining slots' blocks are the text. A slot is judged
+by its own text, not by that of the slots in it.
+
+A body is what a page's own tokens leave of it; pages with equal bodies are
+copies. Hosts without two distinct bodies and pages that don't fit their host's
+frame (a frame token missing or repeated) are judged by their own tokens alone,
+so that blocks of links without a word that says so stay in their text.
+Near-copies count as distinct: a host of nothing else loses what they share
+once a page. Comments that hold more text than the article are kept with it.
 """
 
 from __future__ import annotations
@@ -73,11 +80,11 @@ def is_main(lab: str) -> bool:
 
 
 def is_bad(lab: str, in_main: bool) -> bool:
-    """Whether an element is boilerplate by its tag or words; a header inside an article belongs to it."""
+    """Whether an element is boilerplate by its words; a header inside an article belongs to it."""
     words = lab.split(".")
-    if words[0] in BAD_TAGS or (len(words) > 1 and not BAD_WORDS.isdisjoint(words[1:]) and words[0] not in ("html", "body")):
-        return True
-    return not in_main and words[0] not in ("html", "body") and not HEADERS.isdisjoint(words)
+    if words[0] in ("html", "body"):
+        return False
+    return not BAD_WORDS.isdisjoint(words[1:]) or (not in_main and not HEADERS.isdisjoint(words))
 
 
 class Page:
@@ -88,19 +95,50 @@ class Page:
         self.order: list[str] = []  # paths in the order of their first element
         self.blocks: list[tuple[str, bool, bool, str, int]] = []  # path, boilerplate, in an article, text, characters in links
         self.has_main = False
-        self._read(source or "")
-
-    def _read(self, source: str):
-        # open elements: tag, path, boilerplate, in an article
-        stack = [("", "", False, False)]
+        self._judge(*self._read(source or ""))
+
+    def _judge(self, blocks: list, noted: list[str]):
+        """Judge the blocks by the marks and words on their paths, but by no words of what is or contains the main slot.
+
+        The main slot is the marked element with the most text. Without one, it
+        lies in every element with more than half of the text and a label that
+        has other words than those of boilerplate.
+        """
+        chars, paths, total = [0] * len(noted), {}, 0
+        for _, hard, on_path, body, _ in blocks:
+            if not hard:
+                total += len(body)
+                for e in on_path:
+                    chars[e] += len(body)
+                    paths[e] = on_path[:on_path.index(e) + 1]
+        marked = [is_main(lab) for lab in noted]
+        found = [e for e in paths if marked[e]]
+        if found:
+            keep = set(paths[max(found, key=lambda e: (chars[e], -e))])
+        else:
+            keep = {e for e in paths if 2 * chars[e] > total and not BAD_WORDS.issuperset(noted[e].split(".")[1:])}
+        for path, hard, on_path, body, linked in blocks:
+            bad, main = hard, False
+            for e in on_path:
+                bad = bad or (e not in keep and is_bad(noted[e], main))
+                main = main or (not bad and marked[e])
+            self.has_main = self.has_main or main
+            self.blocks.append((path, bad, main, body, linked))
+
+    def _read(self, source: str) -> tuple[list[tuple[str, bool, tuple[int, ...], str, int]], list[str]]:
+        """Blocks with whether a tag on their path is boilerplate, and the elements on it that have marks or words; their labels."""
+        blocks: list[tuple[str, bool, tuple[int, ...], str, int]] = []
+        noted: list[str] = []
+        # open elements: tag, path, boilerplate by a tag, elements noted
+        stack: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, ())]
         text: list[str] = []
         links = [0, 0]  # open anchors, characters inside
 
         def close_block():
             words = "".join(text).split()
             if words:
-                _, path, bad, main = next(e for e in reversed(stack) if e[0] not in INLINE)
-                self.blocks.append((path, bad, main, " ".join(words), links[1]))
+                _, path, hard, on_path = next(e for e in reversed(stack) if e[0] not in INLINE)
+                blocks.append((path, hard, on_path, " ".join(words), links[1]))
             text.clear()
             links[1] = 0
 
@@ -159,7 +197,7 @@ class Page:
                     if stack[k][0] in BOUNDS and stack[k][0] not in ended:
                         break
                 close_block()
-            _, path, bad, main = stack[-1]
+            _, path, hard, on_path = stack[-1]
             lab = label(tag, m[2] or m[4] or "")
             path = f"{path}/{lab}"
             if path not in self.counts:
@@ -167,13 +205,14 @@ class Page:
             self.counts[path] = self.counts.get(path, 0) + 1
             if tag in VOID:
                 continue
-            bad = bad or is_bad(lab, main)
-            main = main or (not bad and is_main(lab))
-            self.has_main = self.has_main or main
+            if is_main(lab) or is_bad(lab, False):
+                on_path = (*on_path, len(noted))
+                noted.append(lab)
             links[0] += tag == "a"
-            stack.append((tag, path, bad, main))
+            stack.append((tag, path, hard or tag in BAD_TAGS, on_path))
         pop_to(1)
         close_block()
+        return blocks, noted
 
     def texts(self) -> dict[str, tuple[str, int]]:
         """All text and the link characters directly in the blocks of each path."""
@@ -192,8 +231,11 @@ def hash64(value: str) -> int:
 
 
 def token_rows(host: str, key: str, page: Page, into: dict) -> None:
-    """Add one page to the partial results of its host's tokens."""
+    """Add one page to the partial results of its host's tokens and bodies (rows without elements)."""
     texts = page.texts()
+    body = main_text(page, Template(None))
+    if body:
+        into.setdefault((host, f"{BODY}{hash64(body)}"), [0] * 7)[0] += 1
     for path, count in page.counts.items():
         body, linked = texts.get(path, ("", 0))
         h = hash64(body)
@@ -204,10 +246,11 @@ def token_rows(host: str, key: str, page: Page, into: dict) -> None:
         row[1] += count
         row[2] ^= hash64(f"{count}:{key}")
         row[3], row[4] = min(row[3], h), max(row[4], h)
-        row[5] += len(body)
+        row[5] += len(body) - body.count("\n")
         row[6] += linked
 
 
+BODY = "#"  # before the hash of a body; paths begin with a slash
 STATS = ["pages", "times", "vector", "text_min", "text_max", "chars", "linked"]
 
 
@@ -239,12 +282,15 @@ def templates(stats: DataFrame) -> DataFrame:
 
     Tokens on less than half of the pages are in no valid class; the others
     number at most twice the tokens of a mean page, which bounds a host's row.
+    Copies tell nothing about what a host repeats, so distinct bodies count.
     """
-    size = stats.groupBy("host").agg(F.max("pages").alias("host_pages"))  # every page has its root path
-    valid = stats.join(size, "host").filter((F.col("host_pages") >= 2) & (2 * F.col("pages") >= F.col("host_pages")))
+    is_token = F.col("times") > 0
+    size = stats.groupBy("host").agg(F.max(F.when(is_token, F.col("pages"))).alias("host_pages"),  # every page has its root path
+                                     F.count_if(~is_token).alias("bodies"))
+    valid = stats.filter(is_token).join(size, "host").filter((F.col("bodies") >= 2) & (2 * F.col("pages") >= F.col("host_pages")))
     token = F.struct("path", "vector", (F.col("pages") == F.col("host_pages")).alias("all"),
                      (F.col("pages") == F.col("times")).alias("once"),
-                     ((F.col("text_min") == F.col("text_max")) & (F.col("pages") >= 3) & (F.col("chars") > 0)).alias("fixed"),
+                     ((F.col("text_min") == F.col("text_max")) & (F.col("bodies") >= 3) & (F.col("chars") > 0)).alias("fixed"),
                      F.when(F.col("chars") > 0, 2 * F.col("linked") > F.col("chars")).alias("links"))
     return valid.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(token))).alias("template"))
 
@@ -260,7 +306,7 @@ class Template:
             if t["path"] not in self.frame:
                 classes.setdefault((t["vector"], t["all"], self.slot(t["path"])), []).append(t)
         self.nested: dict[str, list[list[str]]] = {}  # by frame token: the classes nested in its slot
-        self.boilerplate = {t["path"] for t in tokens if t["fixed"] and t["all"]}
+        self.boilerplate = {t["path"] for t in tokens if t["all"] and (t["fixed"] or (t["once"] and t.get("links")))}
         for (_, _, slot), members in classes.items():
             paths = [t["path"] for t in members]
             self.nested.setdefault(slot, []).append(paths)
@@ -282,13 +328,11 @@ def main_text(page: Page, template: Template) -> str:
     """The text of the remaining slots, a block a line."""
     use = template.fits(page)
     out = []
-    for path, bad, main, body, linked in page.blocks:
+    for path, bad, main, body, _ in page.blocks:
         if bad or (page.has_main and not main):
             continue
         if use and path in template.boilerplate:
             continue
-        if not page.has_main and 2 * linked > len(body):
-            continue
         out.append(body)
     return "\n".join(out)
 
@@ -303,7 +347,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str
     data = pages.drop(*[c for c in ("text", "n_chars") if c not in (html, url, id_col)])
     key = F.concat_ws("|", F.col(id_col).cast("string"), F.col(url), F.xxhash64(F.col(html)).cast("string"))
     keyed = data.select(host_of(F.col(url)).alias("host"), key.alias("page_key"), F.col(html).alias("t"))
-    made = stored(templates(token_stats(keyed)), "templates")
+    made = stored(templates(stored(token_stats(keyed), "tokens")), "templates")
     host, template = free_name(data, "page_host"), free_name(data, "page_template")
     side = made.select(F.col("host").alias(host), F.col("template").alias(template))
     joined = data.withColumn(host, host_of(F.col(url))).join(small_side(side, 20_000), host, "left")

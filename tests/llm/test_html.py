@@ -90,3 +90,30 @@ def test_template_decides_inside_marked_articles(spark):
              f"<div class=k>Twice</div></article></body>") for i in range(5)]
     got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Title {i}\nBody {i}\nwith a link {i} in a sentence" for i in range(5)}
+
+
+def test_words_never_judge_the_main_slot():
+    for page in ('<article class="post tag-social"><p>A</article>', '<main class="has-sidebar"><p>A</main>', '<div class="content no-ads"><p>A</div>',
+                 '<div id="search-results"><article><p>A</article></div>', '<div id="search-results"><ul><li>A</ul></div>',
+                 '<main class="has-sidebar"><p>A<div class=sidebar>a menu longer than A</div></main>',
+                 '<article class="post tag-social"><p>A, the longer</article><article class=teaser>B</article>'):
+        assert text(f"<body><nav>Home, a menu</nav>{page}<footer>All rights</footer></body>").startswith("A"), page
+        assert "menu" not in text(f"<body><nav>Home, a menu</nav>{page}</body>"), page
+    assert text('<article>The article itself<p>text</article><section id=comments><article class=comment>Nice</article></section>') == "The article itself\ntext"
+    assert text('<div class=c>Short</div><div class="ad">An advert longer than the text</div>') == "Short"
+    assert text('<p>See</p><p><a href=/x>the whole list</a></p>') == "See\nthe whole list"
+
+
+def test_copies_of_an_article_are_not_boilerplate(spark):
+    def page(host, i, ad, n):
+        body = f"<h1>Title {n}</h1><p>One paragraph {n}</p><div class=note>Terms apply</div>"
+        return (i, f"http://{host}.test/{i}", f"<body><div class=ad>{ad}</div><div class=c>{body}</div></body>")
+    copies = [page("c", i, "same", 1) for i in range(4)] + [page("v", i, f"ad {i}", 1) for i in range(10, 14)]
+    two = [page("t", i, "same", i % 2) for i in range(20, 26)]  # two articles, three copies each
+    three = [page("d", i, "same", i % 3) for i in range(30, 36)]
+    rows = spark.createDataFrame(copies + two + three, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(rows).collect()}
+    whole = lambda n: f"Title {n}\nOne paragraph {n}\nTerms apply"
+    assert all(got[i] == whole(1) for i in [*range(4), *range(10, 14)])
+    assert all(got[i] == whole(i % 2) for i in range(20, 26))
+    assert all(got[i] == f"Title {i % 3}\nOne paragraph {i % 3}" for i in range(30, 36))
