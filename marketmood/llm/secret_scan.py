@@ -2,9 +2,14 @@
 
 Base rules find assignments, access keys and long hex runs. Two first-order
 Markov models over characters, one of random strings and one of ordinary
-identifiers, then judge every other long run of key characters: a run whose
-log-likelihood ratio reaches ``MIN_RATIO`` a character is a span of kind
-``markov``, unless it touches a base span.
+identifiers, then judge what base spans leave of every other long run of key
+characters: a run whose log-likelihood ratio reaches ``MIN_RATIO`` a character
+is a span of kind ``markov``. In other runs every stretch counts whose ratios,
+less ``COST`` a character, sum to ``MIN_SUM``, so that ordinary characters
+before or after a key don't dilute it; it is widened to whole words.
+
+Runs beside letters of scripts without case (Chinese, Arabic) are judged like
+others. Beside another letter, as ``ä``, what touches it is part of a word.
 
 The models are counts of character pairs, trained from labelled samples: the
 values that the base rules find in a bounded sample of documents and strings
@@ -28,7 +33,8 @@ from marketmood.llm.common import free_name, hash_fraction, read_table
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.ASCII | re.IGNORECASE)
 # Access keys of 20+ and hex runs of 24+ characters lie inside runs of 20+ key characters.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+MIN_RUN = 20
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "markov")
@@ -45,6 +51,12 @@ SIZE = EDGE + 1
 
 SAMPLE_ROWS = 4000
 MIN_RATIO = 1.0
+# Stretches of a run: least sum of ratios less the cost a character, least length and different characters.
+COST = 0.5
+MIN_SUM = 18.0
+MIN_STRETCH = 16
+MIN_KINDS = 8
+BLOCK = 1 << 16  # characters at a time
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -136,6 +148,62 @@ def ratio(word: str, table: np.ndarray) -> float:
     return float(table[c[:-1], c[1:]].mean())
 
 
+def stretches(word: str, table: np.ndarray):
+    """(start, end) of the stretches of a run that the models call random, widened to whole words.
+
+    One pass: a stretch ends where the sum has fallen by MIN_SUM from its
+    highest, so no stretch that reaches MIN_SUM is passed over.
+    """
+    c = np.fromiter((CODE[x] for x in word), np.int64, len(word))
+    total = most = 0.0
+    start = first = end = done = at = 0
+    for k in range(0, len(c) - 1, BLOCK):
+        for score in (table[c[k:k + BLOCK][:len(c) - 1 - k], c[k + 1:k + 1 + BLOCK]] - COST).tolist():
+            if total <= 0:
+                total, start = 0.0, at
+                if most < MIN_SUM:
+                    most = 0.0
+            total += score
+            at += 1
+            if total > most:
+                most, first, end = total, start, at + 1
+            if most >= MIN_SUM and total <= most - MIN_SUM:
+                yield from widened(word, max(first, done), end)
+                done, total, most = end, 0.0, 0.0
+    if most >= MIN_SUM:
+        yield from widened(word, max(first, done), end)
+
+
+def widened(word: str, a: int, b: int):
+    """A stretch with the rest of its first and last words, if it is long and varied enough."""
+    if b - a < MIN_STRETCH or len(set(word[a:b])) < MIN_KINDS:
+        return
+    while word[a] == "=":
+        a += 1
+    while a and word[a - 1].isalnum():
+        a -= 1
+    while b < len(word) and word[b].isalnum():
+        b += 1
+    while b < len(word) and word[b] == "=":
+        b += 1
+    yield a, b
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            a, b = min(a, out[-1][0]), max(b, out.pop()[1])
+        out.append((a, b))
+    return out
+
+
+def joins(letter: str) -> bool:
+    """Whether a character beside a run makes it a part of a longer word: a letter with case, or a digit."""
+    return letter.isalnum() and not (letter.isalpha() and letter.lower() == letter.upper())
+
+
 def all_spans(text: str | None, table: np.ndarray | None) -> list[tuple[int, int, int]]:
     """Base spans and the runs that the models call random; null and empty texts have none."""
     text = text or ""
@@ -144,13 +212,23 @@ def all_spans(text: str | None, table: np.ndarray | None) -> list[tuple[int, int
         return base
     more = []
     for run in RUN.finditer(text):
-        a, b = run.span()
-        if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
-            continue  # a part of a longer word in another script
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        if ratio(text[a:b], table) >= MIN_RATIO:
-            more.append((a, 3, b))
+        first, last = run.span()
+        cuts, at = [], first  # what the base spans leave
+        for s, _, e in base:
+            if s < last and first < e:
+                cuts.append((at, s))
+                at = max(at, e)
+        for a, b in [*cuts, (at, last)]:
+            if b - a < MIN_STRETCH:
+                continue
+            left, right = a == first and a and joins(text[a - 1]), b == last and b < len(text) and joins(text[b])
+            if not left and not right and b - a >= MIN_RUN and ratio(text[a:b], table) >= MIN_RATIO:
+                more.append((a, 3, b))
+                continue
+            at_run = [(a + s, a + e) for s, e in stretches(text[a:b], table)]
+            for s, e in merged(at_run):
+                if not (left and s == a) and not (right and e == b):  # else a part of a longer word in another script
+                    more.append((s, 3, e))
     return sorted(base + more)
 
 

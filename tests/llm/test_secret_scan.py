@@ -87,3 +87,33 @@ def test_query_and_edge_cases(spark, edge_docs, no_docs):
     assert got == {1: ("a [SECRET]", 10), 2: (None, 5), 3: ("", None)}
     assert S.redact_secrets(mixed).schema["n_chars"].dataType == mixed.schema["n_chars"].dataType
     assert S.redact_secrets(no_docs).count() == 0
+
+
+def test_keys_joined_to_ordinary_characters(table):
+    rng = random.Random(9)
+    before = ("session_id=", "/static/assets/images/", "/users/profile/account/sessions/", "the_quite_long_identifier_of_some_person_=")
+    for n, least in ((20, 0.85), (32, 0.98)):
+        for alphabet in S.ALPHABETS[1:]:
+            keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(50)]
+            texts = [(k, f"see {before[i % 4]}{k}{('', '/index/of/everything')[i % 2]} there") for i, k in enumerate(keys)]
+            hits = [any(a <= t.index(k) and t.index(k) + n <= b for a, _, b in S.all_spans(t, table)) for k, t in texts]
+            whole = [any(a < t.index(k) + n and t.index(k) < b for a, _, b in S.all_spans(t, table)) for k, t in texts]
+            assert np.mean(whole) >= least, (n, alphabet, np.mean(whole))
+            assert alphabet.endswith("/") or np.mean(hits) >= least, (n, alphabet, np.mean(hits))
+
+
+def test_keys_beside_other_scripts_and_base_spans(table):
+    found = lambda t: [t[a:b] for a, k, b in S.all_spans(t, table) if k == 3]
+    assert found(f"密钥{KEY}是") == [KEY] and found(f"Schlüssel-{KEY}") == [KEY]
+    assert found(f"{KEY}ä") == []  # part of a word in another script
+    assert found(f"{KEY}/{'0123456789abcdef' * 2}/x")[0].startswith(KEY)
+    for word in ("thequitelongidentifierofeverything/and/of/all/the/rest", "getUserAccountBalanceByIdentifier", "SELECT_ALL_FROM_TABLE_WHERE_NAME"):
+        assert found(word) == []
+
+
+def test_stretches_in_blocks(table, monkeypatch):
+    text = f"the_user_of_all_{KEY}/and/all/the/rest/of/it/is/here/{KEY}/and/all/the/rest"
+    want = list(S.stretches(text, table))
+    assert len(want) == 2
+    monkeypatch.setattr(S, "BLOCK", 7)
+    assert list(S.stretches(text, table)) == want
