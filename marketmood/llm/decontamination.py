@@ -16,7 +16,10 @@ distinct shingles in the document, as strings.
 
 A document is its id and text: rows that repeat both count once, rows with one
 id and different texts are judged each, and a null id is kept as null. Rows of
-one item id are united. Null texts, empty texts and texts without letters or
+one item id are united. Items without an id have no row in a list of pairs, as
+in the SQL, but documents that contain them are dropped. An item of one to four
+words is found only in a text of just these words, not inside a longer one, in
+the SQL as well. Null texts, empty texts and texts without letters or
 digits contain nothing and are contained nowhere.
 """
 
@@ -97,8 +100,13 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", id_co
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` that contain no item, with all their columns."""
-    bad = stored(contained_items(docs, items, text, id_col).select("row_key").distinct(), "contaminated")
+    """Rows of ``docs`` that contain no item, with all their columns.
+
+    Items without an id count as well, each text as an item of its own.
+    """
+    own_id = F.coalesce(F.concat(F.lit("id:"), F.col("item_id").cast("string")), F.concat(F.lit("text:"), F.sha2("text", 256)))
+    named = items.select(own_id.alias("item_id"), "text")
+    bad = stored(contained_items(docs, named, text, id_col).select("row_key").distinct(), "contaminated")
     key = free_name(docs, "row_key")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text)))
     return keyed.join(small_side(bad), keyed[key] == bad["row_key"], "left_anti").drop(key)

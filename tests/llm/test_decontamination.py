@@ -65,3 +65,13 @@ def test_edge_cases(edge_docs, no_docs, benchmark):
 def test_no_python_in_the_plan(docs, benchmark):
     plan = D.contained_items(docs, benchmark)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_items_without_an_id_are_dropped_too(spark):
+    first, second = (" ".join(f"{c}{k}" for k in range(30)) for c in "pr")
+    docs = spark.createDataFrame([(1, f"before {first} after"), (2, f"before {second} after"), (3, "before and after"), (4, None),
+                                  (5, " ".join(f"s{k}" for k in range(30)))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, first), (None, second), (None, None), (7, " ".join(f"s{k}" for k in range(30)))],
+                                  "item_id long, text string")
+    assert sorted(r["doc_id"] for r in D.drop_contaminated(docs, items).collect()) == [3, 4]
+    assert {(r["doc_id"], r["item_id"]) for r in D.contained_items(docs, items).collect()} == {(5, 7)}
