@@ -65,6 +65,11 @@ def header_text() -> Column:
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))), F.lit(END))
 
 
+def digest(payload: Column) -> Column:
+    """The digest that payloads are stored under."""
+    return F.sha2(payload, 256)
+
+
 def write(pages: DataFrame, path: str, id_col: str = "page_id", payload: str = "html", url: str = "url",
           min_revisit: int = MIN_REVISIT) -> Archive:
     """Write a record for every row of ``pages`` into a new archive at ``path`` (a shared folder).
@@ -76,13 +81,13 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload: str = "
     spark = pages.sparkSession
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
-    rows = rows.select("page_id", "url", "payload", F.sha2("payload", 256).alias("sha256"),
+    rows = rows.select("page_id", "url", "payload", digest(F.col("payload")).alias("sha256"),
                        F.octet_length("payload").cast("long").alias("bytes"))
     kept = rows.select("sha256", "payload", "bytes", F.xxhash64("payload").alias("check"))
-    (kept.groupBy("sha256").agg(F.first("payload").alias("payload"), F.max("bytes").alias("bytes"),
-                                F.when((F.min("check") != F.max("check")) | (F.min("bytes") != F.max("bytes")),
-                                       F.raise_error(F.lit("two payloads with one digest"))).alias("clash"))
-     .drop("clash").withColumn("sha1", F.sha1("payload"))
+    clash = (F.min("check") != F.max("check")) | (F.min("bytes") != F.max("bytes"))
+    # the check is a part of a stored column, as a column that is dropped would never be computed
+    size = F.when(clash, F.raise_error(F.lit("two payloads with one digest")).cast("long")).otherwise(F.max("bytes"))
+    (kept.groupBy("sha256").agg(F.first("payload").alias("payload"), size.alias("bytes")).withColumn("sha1", F.sha1("payload"))
      .write.option("compression", "zstd").parquet(f"{path}/payloads"))
 
     light = rows.select("page_id", "url", "sha256", "bytes")
@@ -104,7 +109,7 @@ def read(spark: SparkSession, archive: Archive) -> DataFrame:
     bytes. Fails if stored bytes don't match their digest.
     """
     store = archive.payloads(spark)
-    checked = store.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload"))
+    checked = store.withColumn("payload", F.when(digest(F.col("payload")) == F.col("sha256"), F.col("payload"))
                                .otherwise(F.raise_error(F.lit("a stored payload doesn't match its digest")).cast("binary")))
     joined = archive.headers(spark).join(checked, "sha256")
     block = F.when(F.col("header").cast("string").contains(f"{END}WARC-Type: revisit{END}"), F.lit(b"")).otherwise(F.col("payload"))

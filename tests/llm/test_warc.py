@@ -64,3 +64,15 @@ def test_damaged_payload_is_found(spark):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(spark, warc.write(pages, fresh(spark))).count() == 0
+
+
+def test_writing_fails_on_two_payloads_with_one_digest(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "digest", lambda payload: F.substring(F.sha2(payload, 256), 1, 0))
+    same = pages.filter("page_id IN (3, 4, 5)")
+    assert warc.read(spark, warc.write(same, fresh(spark))).count() == 3
+    with pytest.raises(Exception, match="two payloads with one digest"):
+        warc.write(pages.filter("page_id IN (3, 6)"), fresh(spark))
+    with pytest.raises(Exception, match="two payloads with one digest"):  # of one length
+        warc.write(pages.filter("page_id IN (1, 8)").withColumn("html", F.substring("html", 1, 900)), fresh(spark))
