@@ -11,12 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketmood.session import checkpoint_dir
 
 # Rows that a side may have to be broadcast; callers count before they hint, and
 # use an ordinary shuffle join beyond it. Rows here are a few longs (<= 64 MB).
 BROADCAST_ROWS = 1_000_000
+# Bytes of values that a broadcast side may have; they are counted first.
+BROADCAST_BYTES = 32 << 20
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -38,6 +41,28 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint if a stored table's values take at most ``max_bytes``, else the plain table.
+
+    Counted, not estimated: strings by their bytes, arrays by their entries, other values as 16 bytes.
+    """
+    def width(kind, value):
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+                return F.coalesce(F.aggregate(value, F.lit(24).cast("long"),
+                                              lambda n, x: n + width(kind.elementType, x).cast("long")), F.lit(24).cast("long"))
+            return 16 * F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) + 24
+        if isinstance(kind, T.StructType):
+            return sum((width(f.dataType, value[f.name]) for f in kind.fields), F.lit(16))
+        return F.lit(16)
+
+    size = sum((width(f.dataType, F.col(f"`{f.name}`")).cast("long") for f in df.schema.fields), F.lit(16).cast("long"))
+    total = df.agg(F.sum(size).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if total <= max_bytes else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marketmood.llm import (decontamination, html_template, minhash, packing, secret_scan, sharding, simhash, toxicity,
-                            url_filter, warc)
+                            url_filter, vector_codes, warc)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,7 +16,9 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_sharding": sharding.op9_sharding,
     "op10_simhash": simhash.op10_simhash,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 # The other operators rest on models, hashes or layouts that DuckDB lacks; tests/llm holds them to brute force.
-ORACLE_SQL = {"op4_warc": warc.OP4_SQL, "op7_decontamination": decontamination.OP7_SQL}
+ORACLE_SQL = {"op4_warc": warc.OP4_SQL, "op7_decontamination": decontamination.OP7_SQL,
+              "op12_vector_codes": vector_codes.OP12_SQL}
