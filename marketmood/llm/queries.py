@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marketmood.llm import (decontamination, html_template, minhash, packing, secret_scan, sharding, simhash, toxicity,
-                            url_filter, vector_codes, warc)
+                            url_filter, vector_codes, warc, whitening)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_sharding": sharding.op9_sharding,
     "op10_simhash": simhash.op10_simhash,
+    "op11_whitening": whitening.op11_whitening,
     "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
