@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marketmood.llm import (decontamination, html_template, minhash, packing, secret_scan, sharding, simhash, toxicity,
-                            url_filter, vector_codes, warc, whitening)
+from marketmood.llm import (cross_polytope, decontamination, html_template, minhash, packing, secret_scan, sharding,
+                            simhash, toxicity, url_filter, vector_codes, warc, whitening)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_whitening": whitening.op11_whitening,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_cross_polytope": cross_polytope.op13_cross_polytope,
 }
 
 # The other operators rest on models, hashes or layouts that DuckDB lacks; tests/llm holds them to brute force.
