@@ -10,7 +10,7 @@ by the exact distance on the original vectors.
 Sizes follow the data. ``polytopes`` grows with the logarithm of the rows, so a
 bucket keeps about ``bucket_rows`` rows. The number of probes is fitted: for a
 bounded sample of queries the true neighbours are found by comparison with all
-rows, and probes are doubled until the buckets hold ``target`` of them. A query
+rows, and the least number is taken whose buckets hold ``target`` of them. A query
 that meets fewer rows than it needs probes further until it has enough.
 
 Every row is indexed once a table and carried with its vector, so rows meet
@@ -150,7 +150,7 @@ def best_rows(found: DataFrame, k: int, keys: list[str]) -> DataFrame:
 
 
 def fitted_probes(coded: DataFrame, queries: DataFrame, index: Index, k: int, s: Settings) -> int:
-    """The smallest power of two of probes a table that meets ``target`` of the sample's true neighbours."""
+    """The least number of probes a table that meets ``target`` of the sample's true neighbours (all buckets above 1)."""
     sample = (queries.orderBy(F.xxhash64("vec_id", "vector"), "uid").limit(s.sample_queries)
               .select("uid", "vector").collect())
     own, x = np.array([r["uid"] for r in sample]), np.array([r["vector"] for r in sample], np.float64)
@@ -172,12 +172,20 @@ def fitted_probes(coded: DataFrame, queries: DataFrame, index: Index, k: int, s:
     spread = best_rows(met.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(64))), k, ["q", "part"])
     true = [(r["q"], r["codes"]) for r in best_rows(spread.drop("rank"), k, ["q"]).select("q", "codes").collect()]
     count = 1
-    while count < index.buckets:
-        looked = [set(p) for p in index.probes(x, count).tolist()]
-        if sum(not looked[q].isdisjoint(codes) for q, codes in true) >= s.target * len(true):
-            break
+    while True:
+        count = min(count, index.buckets)
+        orders = index.probes(x, count).reshape(len(x), index.tables, count)
+        met_at = np.full(len(true), count + 1)  # probes that meet each neighbour
+        for i, (q, codes) in enumerate(true):
+            for t, c in enumerate(codes):
+                if (at := np.flatnonzero(orders[q, t] == c)).size:
+                    met_at[i] = min(met_at[i], at[0] + 1)
+        least = np.sort(met_at)[max(0, int(np.ceil(s.target * len(true))) - 1)] if s.target <= 1 and true else count + 1
+        if least <= count:
+            return int(least)
+        if count == index.buckets:
+            return count
         count *= 2
-    return min(count, index.buckets)
 
 
 def probed(queries: DataFrame, index: Index, count: int, kind: str) -> DataFrame:
