@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(c) -> Column:
@@ -26,6 +27,12 @@ def safe_ln(c) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
+def present(df: DataFrame, c: str) -> Column:
+    """The column with NaN read as NULL, as pandas counts NaN as missing."""
+    x = F.col(c)
+    return F.when(~F.isnan(x), x) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else x
+
+
 def safe_div(a, b) -> Column:
     """a / b, NULL when b is 0 or NULL (ANSI-safe)."""
     return F.try_divide(_c(a), _c(b))

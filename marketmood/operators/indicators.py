@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketmood.functions.numeric import safe_ln
+from marketmood.functions.numeric import present, safe_ln
 from marketmood.session import store
 
 KEY = "symbol"
@@ -160,10 +160,10 @@ def log_level(c: str = "close", offset: float = -1.0) -> Column:
 
 
 def forward_fill(df: DataFrame, cols, key=KEY, order=ORDER) -> DataFrame:
-    """Replace NULLs by the last non-null value; leading NULLs stay."""
+    """Replace missing values (NULL, NaN) by the last present one; leading ones become or stay NULL."""
     f = series_window(key, order).rowsBetween(Window.unboundedPreceding, 0)
     cols = set(cols)
-    return df.select(*[F.last(c, ignorenulls=True).over(f).alias(c) if c in cols else F.col(c)
+    return df.select(*[F.last(present(df, c), ignorenulls=True).over(f).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
 

@@ -84,25 +84,27 @@ def fit_forecaster(seq: DataFrame, key: str = "symbol", ridge: float = 1e-3, spl
                    train_value: str = "train") -> DataFrame:
     """M5: per-symbol ridge regression of the next target on the flattened window.
 
-    Returns ``(symbol, coef array<double>, n_train)``. Sufficient statistics are
+    Returns ``(symbol, coef array<double>, n_train)``; the key keeps its type,
+    and rows without a key are a series of their own. Sufficient statistics are
     summed per symbol on the cluster; the solve runs once per symbol on a
     p x p matrix.
     """
+    kind = seq.schema[key].dataType
     d = seq.filter(F.col(split) == train_value) if split else seq
     d = d.filter(~F.exists(F.flatten("x"), lambda v: v.isNull()) & F.col("y")[0].isNotNull())
-    d = d.select(key, design_vector("x").alias("_v"), F.col("y")[0].alias("_y"))
+    d = d.select(F.col(key).cast("string").alias("_k"), design_vector("x").alias("_v"), F.col("y")[0].alias("_y"))
 
     def partial(batches):
         """Per batch and key: sums of products of [features, target], as one numpy product."""
         for pdf in batches:
-            for k, g in pdf.groupby(key, dropna=False):
+            for k, g in pdf.groupby("_k", dropna=False):
                 m = np.column_stack([np.stack(g["_v"].to_numpy()), g["_y"].to_numpy(dtype=float)])
-                yield pd.DataFrame({key: [k if isinstance(k, str) else None], "xx": [(m.T @ m).ravel().tolist()],
+                yield pd.DataFrame({"_k": [k if isinstance(k, str) else None], "xx": [(m.T @ m).ravel().tolist()],
                                     "n": [len(g)]})
 
-    sums = (d.mapInPandas(partial, f"{key} string, xx array<double>, n bigint")
-            .groupBy(key).agg(Summarizer.sum(array_to_vector("xx")).alias("_xx"), F.sum("n").alias("n_train")))
-    stats = sums.select(key, vector_to_array("_xx").alias("xx"), "n_train")
+    sums = (d.mapInPandas(partial, "_k string, xx array<double>, n bigint")
+            .groupBy("_k").agg(Summarizer.sum(array_to_vector("xx")).alias("_xx"), F.sum("n").alias("n_train")))
+    stats = sums.select("_k", vector_to_array("_xx").alias("xx"), "n_train")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -114,15 +116,16 @@ def fit_forecaster(seq: DataFrame, key: str = "symbol", ridge: float = 1e-3, spl
             reg = ridge * np.eye(m)
             reg[0, 0] = 0.0  # intercept not penalised
             coef = np.linalg.lstsq(a + reg, b, rcond=None)[0]
-            rows.append((r[key], coef.tolist(), int(r["n_train"])))
-        return pd.DataFrame(rows, columns=[key, "coef", "n_train"])
+            rows.append((r["_k"], coef.tolist(), int(r["n_train"])))
+        return pd.DataFrame(rows, columns=["_k", "coef", "n_train"])
 
-    return stats.groupBy(key).applyInPandas(solve, f"{key} string, coef array<double>, n_train bigint")
+    found = stats.groupBy("_k").applyInPandas(solve, "_k string, coef array<double>, n_train bigint")
+    return found.select(F.col("_k").cast(kind).alias(key), "coef", "n_train")
 
 
 def forecast(seq: DataFrame, coefs: DataFrame, key: str = "symbol", out: str = "pred") -> DataFrame:
     """M6: dot product of each window with its symbol's coefficients (JVM side)."""
-    c = coefs.select(key, F.col("coef").alias("_coef"))
-    d = seq.join(c, key, "inner").withColumn("_v", design_vector("x"))
+    c = coefs.select(F.col(key).alias("_ck"), F.col("coef").alias("_coef"))
+    d = seq.join(c, F.col(key).eqNullSafe(F.col("_ck"))).drop("_ck").withColumn("_v", design_vector("x"))
     dot = F.aggregate(F.zip_with("_v", "_coef", lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
     return d.withColumn(out, F.array(dot)).drop("_coef", "_v")

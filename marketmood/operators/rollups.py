@@ -2,17 +2,21 @@
 
 All are ``groupBy`` plans with map-side partial aggregation, so the shuffle
 carries one row per key and task. Exact percentiles (A8) are bracketed by a
-sketch first, so no task holds a column's values.
+sketch and narrowed by counts, so no task holds a column's values.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import sys
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketmood.functions.dates import day_of
-from marketmood.session import store
+from marketmood.functions.numeric import present
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -62,55 +66,68 @@ def null_counts(df: DataFrame, cols) -> DataFrame:
     return wide.unpivot([], list(cols), "column", "nulls")
 
 
-def exact_quantiles(df: DataFrame, cols, probs, accuracy: int = 10_000, also=()) -> tuple[dict[str, list], Row]:
-    """Interpolated exact quantiles of numeric columns, without gathering a column's values anywhere.
+def _regions(d: DataFrame, spans, bins: int) -> list[list[Row]]:
+    """For each span ``(column, lo, hi, exact)`` the rows below lo, in it and above hi, in rising order.
 
-    A sketch brackets each rank between two values; the rows below the bracket
-    are counted, and only the distinct values inside it (about ``4 / accuracy``
-    of the rows) are put in order. Three aggregations over the columns, which
-    are written to the shared folder once; a column without values gives NULLs.
-    Returns the quantiles by column, and a row with the aggregates in ``also``,
-    which ride on the first pass.
+    What lies inside is counted by value (``exact``) or by bins of equal width.
+    Counts combine before the shuffle, so a task gets a row for each region and task.
+    """
+    items = []
+    for i, (c, lo, hi, exact) in enumerate(spans):
+        x, width = F.col(c), hi / bins - lo / bins
+        key = x if exact else F.least(F.floor((x - lo) / width), F.lit(bins - 1)).cast("double")
+        side = F.when(x < lo, -1).when(x > hi, 1).otherwise(0)
+        items.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("slot"), side.alias("side"),
+                                                    F.when(side == 0, key).alias("key"), x.alias("x"))))
+    each = d.select(F.explode(F.array(*items)).alias("s")).filter("s IS NOT NULL").select("s.*")
+    rows = each.groupBy("slot", "side", "key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    out = [[] for _ in spans]
+    for r in sorted(rows.collect(), key=lambda r: r["lo"]):
+        out[r["slot"]].append(r)
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols, probs, accuracy: int = 10_000, also=(), most: int = 10_000,
+                    bins: int = 256) -> tuple[dict[str, list], Row]:
+    """Interpolated exact quantiles of numeric columns (NaN is missing), without gathering a column's values anywhere.
+
+    A sketch brackets each rank between two values. A pass counts the rows
+    below, inside (by bins) and above each bracket and leaves the one region
+    that holds the rank, until no more than ``most`` rows are left in it; these
+    are counted by value. ``df`` is read twice, and once more for every 256th
+    part of a bracket that still is too large; what reaches the driver is at
+    most ``most`` values and ``bins`` counts a quantile. A column without values
+    gives NULLs. Returns the quantiles by column, and a row with the aggregates
+    in ``also``, which ride on the first pass.
     """
-    d = store(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), "quantiles")
+    d = df.select(*[present(df, c).cast("double").alias(c) for c in cols])
     delta = 2.0 / accuracy
     ends = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-delta, delta)]
     first = d.agg(*[F.count(c).alias(f"{c}__n") for c in cols],
                   *[F.percentile_approx(c, ends, accuracy).alias(f"{c}__e") for c in cols], *also).first()
-    spans = [(c, i, p, first[f"{c}__e"][2 * i], first[f"{c}__e"][2 * i + 1], first[f"{c}__n"])
-             for c in cols if first[f"{c}__n"] for i, p in enumerate(probs)]
     out = {c: [None] * len(probs) for c in cols}
-    if not spans:
-        return out, first
-    inside = lambda c, lo, hi: F.when(F.col(c).between(lo, hi), F.col(c))
-    second = d.agg(*[x.alias(f"{c}__{i}__{name}") for c, i, _, lo, hi, _ in spans for name, x in (
-        ("below", F.count_if(F.col(c) < lo)), ("m", F.count(inside(c, lo, hi))),
-        ("down", F.max(F.when(F.col(c) < lo, F.col(c)))), ("up", F.min(F.when(F.col(c) > hi, F.col(c)))))]).first()
-
-    def place(c, i, p, n):
-        """Positions in the bracket of the two order statistics around the rank, and the weight of the upper."""
-        rank = p * (n - 1)
-        k = int(rank)
-        below = second[f"{c}__{i}__below"]
-        return [k - below, min(k + 1, n - 1) - below], rank - k
-
-    shares = {}
-    for c, i, p, _, _, n in spans:
-        m = second[f"{c}__{i}__m"]
-        shares[c, i] = [min(max(j, 0), m - 1) / max(m - 1, 1) for j in place(c, i, p, n)[0]]
-    third = d.agg(*[F.percentile(inside(c, lo, hi), F.array(*[F.lit(x) for x in shares[c, i]])).alias(f"{c}__{i}")
-                    for c, i, _, lo, hi, _ in spans]).first()
-    for c, i, p, _, _, n in spans:
-        at, weight = place(c, i, p, n)
-        m = second[f"{c}__{i}__m"]
-        low, high = (second[f"{c}__{i}__down"] if j < 0 else second[f"{c}__{i}__up"] if j >= m else v
-                     for j, v in zip(at, third[f"{c}__{i}"]))
-        out[c][i] = low + (high - low) * weight
+    todo = {(c, i): (first[f"{c}__e"][2 * i], first[f"{c}__e"][2 * i + 1], 3 * delta * first[f"{c}__n"] <= most)
+            for c in cols if first[f"{c}__n"] for i in range(len(probs))}
+    while todo:
+        keys, spans = list(todo), []
+        for (c, _), (lo, hi, exact) in todo.items():
+            lo, hi = max(lo, -sys.float_info.max), min(hi, sys.float_info.max)
+            spans.append((c, lo, hi, exact or hi / bins - lo / bins <= 0))
+        for (c, i), regions in zip(keys, _regions(d, spans, bins)):
+            rank = probs[i] * (first[f"{c}__n"] - 1)
+            ends_at = list(itertools.accumulate(r["n"] for r in regions))
+            low, high = (regions[bisect.bisect_right(ends_at, min(int(rank) + k, ends_at[-1] - 1))] for k in (0, 1))
+            if low is high and low["lo"] < low["hi"]:
+                todo[c, i] = low["lo"], low["hi"], low["n"] <= most
+                continue
+            del todo[c, i]
+            a, b = (low["lo"], low["lo"]) if low is high else (low["hi"], high["lo"])
+            out[c][i] = a if a == b or rank == int(rank) else a + (b - a) * (rank - int(rank))
     return out, first
 
 
 def describe_numeric(df: DataFrame, cols, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
-    """Count, mean, std (n-1), min, 25/50/75 %, max, as rows ``(column, stat...)``.
+    """Count, mean, std (n-1), min, 25/50/75 %, max, as rows ``(column, stat...)``; NaN is missing, as in pandas.
 
     ``exact=True`` gives interpolated exact quartiles (as pandas) by
     :func:`exact_quantiles`, which runs its aggregations right away;
@@ -123,7 +140,7 @@ def describe_numeric(df: DataFrame, cols, exact: bool = True, accuracy: int = 10
     if exact:
         found, row = exact_quantiles(df, cols, probs, also=stats)
     else:
-        d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+        d = df.select(*[present(df, c).cast("double").alias(c) for c in cols])
         row = d.agg(*stats, *[F.percentile_approx(c, probs, accuracy).alias(f"{c}__q") for c in cols]).first()
         found = {c: row[f"{c}__q"] or [None] * 3 for c in cols}
     rows = [(c, *[row[f"{c}__{i}"] for i in range(4)], *found[c], row[f"{c}__4"]) for c in cols]
@@ -135,13 +152,14 @@ def histogram(df: DataFrame, c: str, bins: int = 50, by: str | None = None) -> D
     """Equal-width histogram ``([by,] bin, lo, hi, n)``.
 
     Bounds come from a global min/max (a scalar subquery); the last bin is
-    closed on the right. Only non-empty bins are returned.
+    closed on the right. NULL and NaN are missing. Only non-empty bins are
+    returned.
     """
-    x = F.col(c).cast("double")
+    x = present(df, c).cast("double")
     # global bounds as one scalar subquery (a single aggregate row, evaluated once)
     bounds = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
     lo, hi = bounds.getField("lo"), bounds.getField("hi")
-    d = df.filter(x.isNotNull() & ~F.isnan(x))
+    d = df.filter(x.isNotNull())
     width = (hi - lo) / F.lit(float(bins))
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("bigint")

@@ -107,6 +107,106 @@ def _negated(word: Column, negations) -> Column:
     return listed | F.contains(lw, F.lit("n't"))
 
 
+def _in_context(tok: Column, val: Column, before, i: Column, bi: Column, capdiff: Column, boosters, negations) -> Column:
+    """Valence of one hit: caps, then boosters and negation of the preceding tokens, "least" and "but".
+
+    ``before`` holds for distances 1 to 3 the token (or NULL) and whether it is
+    in the lexicon itself; they are applied in that order as one fold.
+    """
+    v0 = val + F.when(is_upper(tok) & capdiff,
+                      F.when(val > 0, F.lit(C_INCR)).otherwise(F.lit(-C_INCR))).otherwise(F.lit(0.0))
+    steps = F.array(*[F.struct(p.alias("p"), k.alias("k"), F.lit(damp).alias("damp"))
+                      for (p, k), damp in zip(before, DISTANCE_DAMPING)])
+
+    def step(acc, e):
+        p = e["p"]
+        applies = p.isNotNull() & ~e["k"]
+        b = _lookup(F.lower(p), boosters)
+        scalar = F.when(b != 0, F.when(acc < 0, -b).otherwise(b)
+                        + F.when(is_upper(p) & capdiff,
+                                 F.when(acc > 0, F.lit(C_INCR)).otherwise(F.lit(-C_INCR)))
+                        .otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
+        moved = acc + F.when(applies, scalar * e["damp"]).otherwise(F.lit(0.0))
+        return moved * F.when(applies & _negated(p, negations), F.lit(N_SCALAR)).otherwise(F.lit(1.0))
+
+    (p1, k1), (p2, _) = before[:2]
+    least = (F.lower(p1) == "least") & ~k1 & (p2.isNull() | ~F.lower(F.coalesce(p2, F.lit(""))).isin("at", "very"))
+    but_factor = (F.when((bi >= 0) & (i < bi), F.lit(BUT_BEFORE))
+                  .when((bi >= 0) & (i > bi), F.lit(BUT_AFTER)).otherwise(F.lit(1.0)))
+    return F.aggregate(steps, v0, step) * F.when(least, F.lit(N_SCALAR)).otherwise(F.lit(1.0)) * but_factor
+
+
+# Words that a lexicon may have to be carried inside each row's expression.
+IN_ROW_WORDS = 50_000
+
+
+def lexicon_words(lex: DataFrame, most: int = IN_ROW_WORDS) -> dict[str, float]:
+    """A lexicon table as a dict, for :func:`score_in_row`; raises beyond ``most`` words or on two valences of a word."""
+    rows = _lexicon(lex).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} words: score a stored table with score_sentiment")
+    return {r["_lk"]: float(r["_val"]) for r in rows}
+
+
+def score_in_row(df: DataFrame, text_col: str = "text", lex: dict[str, float] | DataFrame | None = None,
+                 negations=NEGATIONS, boosters=None, normalize: bool = False) -> DataFrame:
+    """T6 without moving a row: ``df`` with columns ``neg, neu, pos, compound``.
+
+    The same rules as :func:`score_sentiment`, as one expression over the row's
+    own tokens, so it may stand in a stream before a watermark or a window. The
+    lexicon is part of the expression: membership is a hash-set test, and a
+    hit's valence is found among the sets of words that share one. Columns of
+    the result's names are replaced.
+    """
+    words = lexicon_words(lex) if isinstance(lex, DataFrame) else dict(lex or {})
+    boosters = BOOSTERS if boosters is None else boosters
+    by_valence: dict[float, list[str]] = {}
+    for w, v in words.items():
+        by_valence.setdefault(float(v), []).append(w)
+
+    def known(t):
+        return F.coalesce(F.lower(t).isin(list(words)), F.lit(False)) if words else F.lit(False)
+
+    def valence(t):
+        out = F.lit(None).cast("double")
+        for v, group in by_valence.items():
+            out = F.when(F.lower(t).isin(group), F.lit(v)) if v == next(iter(by_valence)) else out.when(F.lower(t).isin(group), F.lit(v))
+        return out
+
+    out = ["neg", "neu", "pos", "compound"]
+    kept = [c for c in df.columns if c not in out or c == text_col]
+    names = {k: f"_score_{k}" for k in ("toks", "n", "caps", "amp", "but", "hits", "vals")}
+    toks, n, caps, amp, but, hits, vals = (F.col(x) for x in names.values())
+    text = nfkd(F.col(text_col)) if normalize else F.col(text_col)
+    d = df.withColumn("_score_text", text)
+    d = d.withColumn(names["toks"], vader_tokens(F.col("_score_text"))).withColumns({
+        names["n"]: F.size(toks), names["amp"]: emphasis(F.col("_score_text")),
+        names["caps"]: F.size(F.filter(toks, is_upper)),
+        names["but"]: F.array_position(F.transform(toks, F.lower), "but") - 1})
+    cap = (caps > 0) & (caps < n)
+
+    def is_hit(t, i):
+        skip = F.lower(t).isin(list(boosters)) if boosters else F.lit(False)
+        kind_of = (F.lower(t) == "kind") & (F.lower(F.coalesce(F.get(toks, i + 1), F.lit(""))) == "of")
+        return F.when(known(t) & ~skip & ~kind_of, i)
+
+    def value(i):
+        before = [(F.get(toks, i - k), known(F.get(toks, i - k))) for k in (1, 2, 3)]
+        return _in_context(F.get(toks, i), valence(F.get(toks, i)), before, i, but, cap, boosters, negations)
+
+    d = d.withColumn(names["hits"], F.filter(F.transform(toks, is_hit), lambda i: i.isNotNull()))
+    d = d.withColumn(names["vals"], F.transform(hits, value))
+
+    def total(f, keep):
+        return F.aggregate(F.filter(vals, keep), F.lit(0.0), lambda acc, v: acc + f(v))
+
+    d = d.withColumns({
+        "_score_s": total(lambda v: v, lambda v: v.isNotNull()), "_score_ps": total(lambda v: v + 1, lambda v: v > 0),
+        "_score_ns": total(lambda v: v - 1, lambda v: v < 0), "_score_nz": F.size(F.filter(vals, lambda v: v != 0))})
+    scores = _shares(n, amp, F.col("_score_s"), F.col("_score_ps"), F.col("_score_ns"), F.col("_score_nz"))
+    return d.select(*[F.col(f"`{c}`") for c in kept], *[s.alias(c) for c, s in zip(out, scores)])
+
+
 def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     lex: DataFrame | None = None, negations=NEGATIONS, boosters=None,
                     normalize: bool = False, broadcast_lexicon: bool = False) -> DataFrame:
@@ -172,34 +272,9 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     skip = skip | ((F.lower("tok") == "kind") & (F.lower(F.coalesce("nx", F.lit(""))) == "of"))
     hits = hits.filter(~is_hit | ~skip)
 
-    capdiff = F.col("_capdiff")
-    v = F.col("_val")
-    v0 = v + F.when(is_upper(F.col("tok")) & capdiff,
-                    F.when(v > 0, F.lit(C_INCR)).otherwise(F.lit(-C_INCR))).otherwise(F.lit(0.0))
-    # Boosters/dampeners and negation of the three preceding tokens, applied in
-    # order d = 1, 2, 3 as one fold (a single expression, no withColumn chain).
-    steps = F.array(*[F.struct(F.col(f"p{d}").alias("p"), F.coalesce(F.col(f"k{d}"), F.lit(False)).alias("k"),
-                               F.lit(DISTANCE_DAMPING[d - 1]).alias("damp")) for d in (1, 2, 3)])
-
-    def step(acc, e):
-        p = e["p"]
-        applies = p.isNotNull() & ~e["k"]
-        b = _lookup(F.lower(p), boosters)
-        scalar = F.when(b != 0, F.when(acc < 0, -b).otherwise(b)
-                        + F.when(is_upper(p) & capdiff,
-                                 F.when(acc > 0, F.lit(C_INCR)).otherwise(F.lit(-C_INCR)))
-                        .otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
-        moved = acc + F.when(applies, scalar * e["damp"]).otherwise(F.lit(0.0))
-        return moved * F.when(applies & _negated(p, negations), F.lit(N_SCALAR)).otherwise(F.lit(1.0))
-
-    least = ((F.lower("p1") == "least") & ~F.coalesce(F.col("k1"), F.lit(False))
-             & (F.col("p2").isNull() | ~F.lower(F.coalesce("p2", F.lit(""))).isin("at", "very")))
-    bi = F.col("_bi")
-    least_factor = F.when(least, F.lit(N_SCALAR)).otherwise(F.lit(1.0))
-    but_factor = (F.when((bi >= 0) & (F.col("i") < bi), F.lit(BUT_BEFORE))
-                  .when((bi >= 0) & (F.col("i") > bi), F.lit(BUT_AFTER)).otherwise(F.lit(1.0)))
-    hits = hits.select("_id", "_th", "_n", "_amp", "i",
-                       (F.aggregate(steps, v0, step) * least_factor * but_factor).alias("_v"))
+    before = [(F.col(f"p{d}"), F.coalesce(F.col(f"k{d}"), F.lit(False))) for d in (1, 2, 3)]
+    v = _in_context(F.col("tok"), F.col("_val"), before, F.col("i"), F.col("_bi"), F.col("_capdiff"), boosters, negations)
+    hits = hits.select("_id", "_th", "_n", "_amp", "i", v.alias("_v"))
 
     # Rows that repeat an id and a text fall together: their sums are divided by
     # the number of headers, and they are written out as often.
@@ -215,16 +290,16 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return _finish(each).withColumnRenamed("_id", id_col)
 
 
-def _finish(agg: DataFrame) -> DataFrame:
-    n, amp = F.col("n"), F.col("amp")
-    s = F.coalesce(F.col("s"), F.lit(0.0))
+def _shares(n: Column, amp: Column, s: Column, ps: Column, ns: Column, nz: Column) -> tuple[Column, ...]:
+    """``neg, neu, pos, compound`` from a text's token count, emphasis and sums over its hits."""
+    s = F.coalesce(s, F.lit(0.0))
     s2 = F.when(s > 0, s + amp).when(s < 0, s - amp).otherwise(s)
     comp = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s2 / F.sqrt(s2 * s2 + F.lit(ALPHA))))
-    ps = F.coalesce(F.col("ps"), F.lit(0.0))
-    ns = F.coalesce(F.col("ns"), F.lit(0.0))
+    ps = F.coalesce(ps, F.lit(0.0))
+    ns = F.coalesce(ns, F.lit(0.0))
     ps2 = F.when(ps > F.abs(ns), ps + amp).otherwise(ps)
     ns2 = F.when(ps < F.abs(ns), ns - amp).otherwise(ns)
-    neu_n = (n - F.col("nz")).cast("double")
+    neu_n = (n - nz).cast("double")
     total = ps2 + F.abs(ns2) + neu_n
     empty = n == 0
 
@@ -232,11 +307,13 @@ def _finish(agg: DataFrame) -> DataFrame:
         return (F.when(n.isNull(), F.lit(None).cast("double")).when(empty, F.lit(0.0))
                 .otherwise(round_half_up(F.abs(x / total), 3)))
 
-    return agg.select(
-        "_id",
-        share(ns2).alias("neg"), share(neu_n).alias("neu"), share(ps2).alias("pos"),
-        F.when(n.isNull(), F.lit(None).cast("double")).when(empty, F.lit(0.0))
-        .otherwise(round_half_up(comp, 4)).alias("compound"))
+    return (share(ns2), share(neu_n), share(ps2),
+            F.when(n.isNull(), F.lit(None).cast("double")).when(empty, F.lit(0.0)).otherwise(round_half_up(comp, 4)))
+
+
+def _finish(agg: DataFrame) -> DataFrame:
+    scores = _shares(*[F.col(c) for c in ("n", "amp", "s", "ps", "ns", "nz")])
+    return agg.select("_id", *[s.alias(c) for c, s in zip(("neg", "neu", "pos", "compound"), scores)])
 
 
 def bad_rows(df: DataFrame, text_col: str = "text") -> DataFrame:

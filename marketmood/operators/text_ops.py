@@ -3,7 +3,8 @@
 Tokens are looked up in a dimension table (lemmas, vocabulary, stop words) by a
 join that Spark plans by size. Lemmas move only the tokens that have one;
 encodings explode the bounded head of each text with its positions and regroup
-it by id, and texts without tokens keep their row.
+it by id and head, so rows that share an id (or have none) stay rows of their
+own, and texts without tokens keep their row.
 """
 
 from __future__ import annotations
@@ -20,28 +21,21 @@ N_SPECIAL = 4
 # --- end of fixed values ----------------------------------------------------
 
 
-def _explode_tokens(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    return df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "tok"))
-
-
-def _regroup(ex: DataFrame, id_col: str, value: str, out: str) -> DataFrame:
-    item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), F.col(value).alias("v")))
-    g = ex.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return g.select(id_col, F.transform("_items", lambda s: s["v"]).alias(out))
-
-
 def lemmatise(df: DataFrame, lemmas: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
               out: str = "lemmas") -> DataFrame:
     """Replace every token found in ``lemmas(form, lemma)``; others stay as they are.
 
     Only tokens that meet the lemma table leave their row: their distinct
     replacements come back as a small map per id, and the token array is
-    rewritten in place. Several lemmas of one form: the smallest is taken.
+    rewritten in place. Several lemmas of one form: the smallest is taken. Rows
+    without an id, or with an id that repeats, are rewritten each.
     """
     lt = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
     hits = (df.select(id_col, F.explode(F.array_distinct(tokens_col)).alias("form")).join(lt, "form")
             .groupBy(id_col).agg(F.collect_set(F.struct("form", "lemma")).alias("_found")))
-    d = df.withColumn(tokens_col, F.coalesce(tokens_col, F.array().cast("array<string>"))).join(hits, id_col, "left")
+    d = df.withColumn(tokens_col, F.coalesce(tokens_col, F.array().cast("array<string>")))
+    hits = hits.withColumnRenamed(id_col, "_hit_id")
+    d = d.join(hits, F.col(id_col).eqNullSafe(F.col("_hit_id")), "left")
     found = F.map_from_entries(F.coalesce("_found", F.array().cast("array<struct<form:string,lemma:string>>")))
     return (d.withColumn("_map", found)
             .select(id_col, F.transform(tokens_col, lambda t: F.coalesce(F.try_element_at("_map", t), t)).alias(out)))
@@ -81,14 +75,22 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", token
     Only the first ``max_len - 2`` tokens can appear in the encoding, so only
     those are looked up (the truncation is the operator's definition).
     Unknown tokens map to the UNK id. A vocabulary from ``build_vocab`` has a
-    limit of rows that Spark knows when it picks the join.
+    limit of rows that Spark knows when it picks the join. Every row gets its own
+    encoding, also where ids repeat or are NULL: rows are regrouped by id and a
+    hash of the head, as sets, so copies of a row never pile up, and are written
+    out as often as they came.
     """
     keep = max_len - 2
     v = vocab.select(F.col("token").alias("_t"), F.col("id").alias("_id"))
-    head = df.select(id_col, F.slice(F.col(tokens_col), 1, keep).alias("_toks"))
-    ex = _explode_tokens(head, id_col, "_toks").join(v, F.col("tok") == F.col("_t"), "left")
-    ex = ex.withColumn("_v", F.coalesce(F.col("_id"), F.lit(UNK_ID).cast("bigint")))
-    g = _regroup(ex, id_col, "_v", "_ids")
+    head = df.select(F.col(id_col).alias("_row"), F.slice(F.col(tokens_col), 1, keep).alias("_toks"))
+    ex = head.select("_row", F.xxhash64("_toks").alias("_hash"), F.posexplode_outer("_toks").alias("pos", "tok"))
+    ex = ex.join(v, F.col("tok") == F.col("_t"), "left")
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(UNK_ID).cast("bigint")).alias("v")))
+    g = ex.groupBy("_row", "_hash").agg(
+        F.array_sort(F.collect_set(item)).alias("_items"),
+        F.count_if(F.col("pos").isNull() | (F.col("pos") == 0)).cast("int").alias("_copies"))
+    g = g.select(F.col("_row").alias(id_col), F.transform("_items", lambda s: s["v"]).alias("_ids"),
+                 F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
     ids = F.concat(F.array(F.lit(START_ID).cast("bigint")), F.col("_ids"), F.array(F.lit(END_ID).cast("bigint")))
     n = F.size(ids)
     pad = F.lit(max_len) - n if padded else F.lit(0)

@@ -38,13 +38,14 @@ def _read_csv(spark: SparkSession, path: str, schema, multi_line: bool) -> DataF
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
 
 
-def read_posts(spark: SparkSession, path: str, fmt: str = "csv", scored: bool = False, multi_line: bool = False,
+def read_posts(spark: SparkSession, path: str, fmt: str = "csv", scored: bool = False, multi_line: bool = True,
                keep_corrupt: bool = False) -> DataFrame:
     """Posts as ``(ts, text, symbol, company[, cleaned_text, text_length, compound])``.
 
-    CSV is read with an explicit schema; ``multi_line`` allows line breaks in
-    quoted texts, at the cost of one task a file. Malformed lines never fail the
-    job: they are left out, or with ``keep_corrupt`` returned with their source
+    CSV is read with an explicit schema. Quoted texts may hold line breaks, so a
+    file is read by one task (split a large export into files); with
+    ``multi_line=False`` large files are split among tasks, which is only right
+    for texts without line breaks. Malformed lines never fail the job: they are left out, or with ``keep_corrupt`` returned with their source
     in ``_corrupt_record``. The ``date`` string (UTC unless it carries an
     offset) is parsed into ``ts``.
     """
