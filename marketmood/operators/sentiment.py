@@ -52,6 +52,11 @@ BOOSTERS = {
     "slightly": B_DECR, "barely": B_DECR, "somewhat": B_DECR, "less": B_DECR,
     "hardly": B_DECR, "kinda": B_DECR,
 }
+# Rules that come with a phrase table: "never so"/"never this" strengthens, "without doubt" cancels the negation.
+NEVER_SO = 1.25
+INTENSE = ("so", "this")
+# Shapes of the token runs that may be a phrase, as offsets from the hit; longer ones are tried first.
+PHRASE_RUNS = ((-3, -2, -1, 0), (-2, -1, 0), (-1, 0, 1), (0, 1, 2), (-1, 0), (0, 1))
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -107,16 +112,29 @@ def _negated(word: Column, negations) -> Column:
     return listed | F.contains(lw, F.lit("n't"))
 
 
-def _in_context(tok: Column, val: Column, before, i: Column, bi: Column, capdiff: Column, boosters, negations) -> Column:
+def _in_context(tok: Column, val: Column, before, i: Column, bi: Column, capdiff: Column, boosters, negations,
+                phrase: Column | None = None) -> Column:
     """Valence of one hit: caps, then boosters and negation of the preceding tokens, "least" and "but".
 
     ``before`` holds for distances 1 to 3 the token (or NULL) and whether it is
-    in the lexicon itself; they are applied in that order as one fold.
+    in the lexicon itself; they are applied in that order as one fold. With a
+    phrase table, ``phrase`` is the valence of the run around the hit (or NULL)
+    and takes the place of what the fold gives.
     """
+    def factor(d):
+        p = before[d - 1][0]
+        out = F.when(_negated(p, negations), F.lit(N_SCALAR))
+        if phrase is not None and d > 1:
+            between = [F.lower(before[k][0]) for k in range(d - 1)]
+            some = lambda words: F.coalesce(F.greatest(*[b.isin(*words) for b in between], F.lit(False)), F.lit(False))
+            out = (F.when((F.lower(p) == "never") & some(INTENSE), F.lit(NEVER_SO))
+                   .when((F.lower(p) == "without") & some(("doubt",)), F.lit(1.0)).when(_negated(p, negations), F.lit(N_SCALAR)))
+        return out.otherwise(F.lit(1.0))
+
     v0 = val + F.when(is_upper(tok) & capdiff,
                       F.when(val > 0, F.lit(C_INCR)).otherwise(F.lit(-C_INCR))).otherwise(F.lit(0.0))
-    steps = F.array(*[F.struct(p.alias("p"), k.alias("k"), F.lit(damp).alias("damp"))
-                      for (p, k), damp in zip(before, DISTANCE_DAMPING)])
+    steps = F.array(*[F.struct(p.alias("p"), k.alias("k"), F.lit(damp).alias("damp"), factor(d).alias("factor"))
+                      for d, ((p, k), damp) in enumerate(zip(before, DISTANCE_DAMPING), 1)])
 
     def step(acc, e):
         p = e["p"]
@@ -127,13 +145,20 @@ def _in_context(tok: Column, val: Column, before, i: Column, bi: Column, capdiff
                                  F.when(acc > 0, F.lit(C_INCR)).otherwise(F.lit(-C_INCR)))
                         .otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
         moved = acc + F.when(applies, scalar * e["damp"]).otherwise(F.lit(0.0))
-        return moved * F.when(applies & _negated(p, negations), F.lit(N_SCALAR)).otherwise(F.lit(1.0))
+        return moved * F.when(applies, e["factor"]).otherwise(F.lit(1.0))
 
     (p1, k1), (p2, _) = before[:2]
     least = (F.lower(p1) == "least") & ~k1 & (p2.isNull() | ~F.lower(F.coalesce(p2, F.lit(""))).isin("at", "very"))
     but_factor = (F.when((bi >= 0) & (i < bi), F.lit(BUT_BEFORE))
                   .when((bi >= 0) & (i > bi), F.lit(BUT_AFTER)).otherwise(F.lit(1.0)))
-    return F.aggregate(steps, v0, step) * F.when(least, F.lit(N_SCALAR)).otherwise(F.lit(1.0)) * but_factor
+    folded = F.aggregate(steps, v0, step)
+    folded = folded if phrase is None else F.coalesce(phrase, folded)
+    return folded * F.when(least, F.lit(N_SCALAR)).otherwise(F.lit(1.0)) * but_factor
+
+
+def _run(token, offsets) -> Column:
+    """The lower-case run of tokens at these offsets, NULL where it leaves the text."""
+    return F.lower(F.concat(*[x for k in offsets for x in (F.lit(" "), token(k))][1:]))
 
 
 # Words that a lexicon may have to be carried inside each row's expression.
@@ -149,7 +174,8 @@ def lexicon_words(lex: DataFrame, most: int = IN_ROW_WORDS) -> dict[str, float]:
 
 
 def score_in_row(df: DataFrame, text_col: str = "text", lex: dict[str, float] | DataFrame | None = None,
-                 negations=NEGATIONS, boosters=None, normalize: bool = False) -> DataFrame:
+                 negations=NEGATIONS, boosters=None, normalize: bool = False,
+                 phrases: dict[str, float] | None = None) -> DataFrame:
     """T6 without moving a row: ``df`` with columns ``neg, neu, pos, compound``.
 
     The same rules as :func:`score_sentiment`, as one expression over the row's
@@ -160,18 +186,23 @@ def score_in_row(df: DataFrame, text_col: str = "text", lex: dict[str, float] |
     """
     words = lexicon_words(lex) if isinstance(lex, DataFrame) else dict(lex or {})
     boosters = BOOSTERS if boosters is None else boosters
-    by_valence: dict[float, list[str]] = {}
-    for w, v in words.items():
-        by_valence.setdefault(float(v), []).append(w)
 
     def known(t):
         return F.coalesce(F.lower(t).isin(list(words)), F.lit(False)) if words else F.lit(False)
 
-    def valence(t):
-        out = F.lit(None).cast("double")
-        for v, group in by_valence.items():
-            out = F.when(F.lower(t).isin(group), F.lit(v)) if v == next(iter(by_valence)) else out.when(F.lower(t).isin(group), F.lit(v))
-        return out
+    def valued(table):
+        by_valence: dict[float, list[str]] = {}
+        for w, v in table.items():
+            by_valence.setdefault(float(v), []).append(w)
+
+        def of(text):
+            out = None
+            for v, group in by_valence.items():
+                out = (F if out is None else out).when(text.isin(group), F.lit(v))
+            return F.lit(None).cast("double") if out is None else out
+        return of
+
+    valence, idiom = valued(words), valued(phrases or {})
 
     out = ["neg", "neu", "pos", "compound"]
     kept = [c for c in df.columns if c not in out or c == text_col]
@@ -192,7 +223,8 @@ def score_in_row(df: DataFrame, text_col: str = "text", lex: dict[str, float] |
 
     def value(i):
         before = [(F.get(toks, i - k), known(F.get(toks, i - k))) for k in (1, 2, 3)]
-        return _in_context(F.get(toks, i), valence(F.get(toks, i)), before, i, but, cap, boosters, negations)
+        runs = None if phrases is None else F.coalesce(*[idiom(_run(lambda k: F.get(toks, i + k), run)) for run in PHRASE_RUNS])
+        return _in_context(F.get(toks, i), valence(F.lower(F.get(toks, i))), before, i, but, cap, boosters, negations, runs)
 
     d = d.withColumn(names["hits"], F.filter(F.transform(toks, is_hit), lambda i: i.isNotNull()))
     d = d.withColumn(names["vals"], F.transform(hits, value))
@@ -209,7 +241,8 @@ def score_in_row(df: DataFrame, text_col: str = "text", lex: dict[str, float] |
 
 def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     lex: DataFrame | None = None, negations=NEGATIONS, boosters=None,
-                    normalize: bool = False, broadcast_lexicon: bool = False) -> DataFrame:
+                    normalize: bool = False, broadcast_lexicon: bool = False,
+                    phrases: DataFrame | None = None) -> DataFrame:
     """``(id, neg, neu, pos, compound)`` for every row of ``df``.
 
     ``lex`` is a ``(token, valence)`` table of lower-case tokens. NULL text
@@ -218,7 +251,11 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     file or given as VALUES and broadcasts a small one; ``broadcast_lexicon``
     says so for a small table of unknown size (such as ``createDataFrame``).
     ``negations`` are words or a small table ``(word)``, ``boosters`` a dict or
-    a small table ``(token, increment)``.
+    a small table ``(token, increment)``. ``phrases`` is a table ``(phrase,
+    valence)`` of two to four lower-case words, one of them in the lexicon: a run
+    of tokens around a hit (shapes in ``PHRASE_RUNS``, longer ones first) that is
+    in it gives the hit its valence, in place of the word's own, of boosters and
+    of negation; it also turns on the rules for "never so" and "without doubt".
     """
     if lex is None:
         raise ValueError("a lexicon table (token, valence) is required")
@@ -240,10 +277,12 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     # without hits; shifted arrays are longer than the text, so there is always one.
     none = F.lit(None).cast("string")
     shifted = [F.concat(F.array(*[none] * d), F.col("_toks")).alias(f"p{d}") for d in (1, 2, 3)]
-    zipped = F.arrays_zip(F.col("_toks").alias("tok"), *shifted, F.slice("_toks", 2, F.greatest("_n", F.lit(1))).alias("nx"))
+    after = [F.slice("_toks", 1 + d, F.greatest("_n", F.lit(1))).alias(x) for d, x in ((1, "nx"), (2, "n2"))]
+    zipped = F.arrays_zip(F.col("_toks").alias("tok"), *shifted, *after[:1 if phrases is None else 2])
+    succ = ["_it.nx"] if phrases is None else ["_it.nx", "_it.n2"]
     items = (per.select("_id", "_th", "_n", "_amp", "_capdiff", "_bi", F.posexplode_outer(zipped).alias("i", "_it"))
              .filter(F.col("i").isNull() | (F.col("i") <= F.col("_n")))
-             .select("_id", "_th", "_n", "_amp", "_capdiff", "_bi", "_it.tok", "_it.p1", "_it.p2", "_it.p3", "_it.nx",
+             .select("_id", "_th", "_n", "_amp", "_capdiff", "_bi", "_it.tok", "_it.p1", "_it.p2", "_it.p3", *succ,
                      F.when(F.col("i") < F.col("_n"), F.col("i")).otherwise(-1).alias("i")))
 
     # Lexicon membership of the token, then (hits only) of its predecessors.
@@ -272,8 +311,18 @@ def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     skip = skip | ((F.lower("tok") == "kind") & (F.lower(F.coalesce("nx", F.lit(""))) == "of"))
     hits = hits.filter(~is_hit | ~skip)
 
+    phrase = None
+    if phrases is not None:
+        table = _lexicon(phrases.withColumnRenamed("phrase", "token")).withColumnRenamed("_val", "_idiom")
+        names = {-3: "p3", -2: "p2", -1: "p1", 0: "tok", 1: "nx", 2: "n2"}
+        for at, run in enumerate(PHRASE_RUNS):
+            side = table.select(F.col("_lk").alias(f"_run{at}"), F.col("_idiom").alias(f"_idiom{at}"))
+            text = F.coalesce(_run(lambda k: F.col(names[k]), run), own)
+            hits = hits.join(side, text == F.col(f"_run{at}"), "left").drop(f"_run{at}")
+        phrase = F.coalesce(*[F.col(f"_idiom{at}") for at in range(len(PHRASE_RUNS))])
     before = [(F.col(f"p{d}"), F.coalesce(F.col(f"k{d}"), F.lit(False))) for d in (1, 2, 3)]
-    v = _in_context(F.col("tok"), F.col("_val"), before, F.col("i"), F.col("_bi"), F.col("_capdiff"), boosters, negations)
+    v = _in_context(F.col("tok"), F.col("_val"), before, F.col("i"), F.col("_bi"), F.col("_capdiff"), boosters, negations,
+                    phrase)
     hits = hits.select("_id", "_th", "_n", "_amp", "i", v.alias("_v"))
 
     # Rows that repeat an id and a text fall together: their sums are divided by

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketmood.operators import redact as RD
 from marketmood.plans import pipeline as P
 from marketmood.plans.catalog import W, r, register, rounded
+from marketmood.plans.oracle_sql import LEX_CTE, sentiment_ctes
 from marketmood.session import shared_path, store
 from marketmood.sources import fixtures as FX
 from marketmood.sources.readers import read_table, read_text_table
@@ -200,6 +202,74 @@ def t6_distinct_text_scores(spark, sf_dir):
     return score_distinct_texts(docs, "text", "doc_id", FX.lexicon(spark))
 
 
+# Phrase rows: frequent words of the documents are replaced by runs that the rules act on.
+PHRASE_SWAPS = [(" of ", " never so best "), (" in ", " without doubt worthless "), (" it ", " Kiss of TRASH! "),
+                (" that ", " clown, show "), (" is ", " never really this stupid of ")]
+PHRASES = [("kiss of trash", -1.5), ("clown show", -3.0), ("so best the", 1.2), ("this stupid of", 0.4), ("trash the", 2.5)]
+SWAPPED_SQL = "text"
+for _a, _b in PHRASE_SWAPS:
+    SWAPPED_SQL = f"replace({SWAPPED_SQL}, '{_a}', '{_b}')"
+
+
+def _swapped(spark, sf_dir):
+    text = F.col("text")
+    for a, b in PHRASE_SWAPS:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", text.alias("text"))
+
+
+PHRASE_SQL = ("WITH " + LEX_CTE + f""",
+idioms(phrase, valence) AS (VALUES {FX.sql_values(PHRASES)}),
+swapped AS (SELECT doc_id, {SWAPPED_SQL} AS text FROM documents),
+""" + sentiment_ctes("swapped", phrases="idioms") + "\nSELECT doc_id, neg, neu, pos, compound FROM scores")
+
+
+@register("t6_phrase_scores", PHRASE_SQL)
+def t6_phrase_scores(spark, sf_dir):
+    from marketmood.operators.sentiment import score_sentiment
+    table = FX.values_table(spark, PHRASES, T.StructType([T.StructField("phrase", T.StringType()),
+                                                          T.StructField("valence", T.DoubleType())]))
+    return score_sentiment(_swapped(spark, sf_dir), "text", "doc_id", FX.lexicon(spark), phrases=table)
+
+
+@register("t6_phrase_scores_in_row", PHRASE_SQL)
+def t6_phrase_scores_in_row(spark, sf_dir):
+    from marketmood.operators.sentiment import score_in_row
+    return score_in_row(_swapped(spark, sf_dir), "text", dict(FX.DEMO_LEXICON), phrases=dict(PHRASES)).drop("text")
+
+
+# A lexicon of some thousand words: every 16th word of the documents (by its hash) with a valence from the hash.
+LARGE_LEX_SQL = r"""
+lw AS (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,12}')) AS token FROM documents)),
+lex AS (SELECT token, CAST(((ascii(substr(md5(token), 2, 1)) * 16 + ascii(substr(md5(token), 3, 1))) % 79 - 39) AS DOUBLE) / 10.0 AS valence
+        FROM lw WHERE substr(md5(token), 1, 1) = '0')"""
+
+
+def _large_lexicon(spark, sf_dir):
+    words = (read_text_table(spark, sf_dir, "documents", "doc_id")
+             .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,12}"), 0)).alias("token")).distinct())
+    code = lambda k: F.ascii(F.substring(F.md5("token"), k, 1))
+    return words.filter(F.substring(F.md5("token"), 1, 1) == "0").select(
+        "token", (((code(2) * 16 + code(3)) % 79 - 39).cast("double") / 10.0).alias("valence"))
+
+
+@register("t6_large_lexicon", "WITH " + LARGE_LEX_SQL + ",\n" + sentiment_ctes()
+          + "\nSELECT doc_id, neg, neu, pos, compound FROM scores")
+def t6_large_lexicon(spark, sf_dir):
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    from marketmood.operators.sentiment import score_sentiment
+    return score_sentiment(docs, "text", "doc_id", _large_lexicon(spark, sf_dir))
+
+
+@register("t6_scores_in_row", W("scores") + """
+SELECT doc_id, neg, neu, pos, compound FROM scores
+""")
+def t6_scores_in_row(spark, sf_dir):
+    from marketmood.operators.sentiment import score_in_row
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    return score_in_row(docs, "text", FX.lexicon(spark)).drop("text")
+
+
 @register("a6_null_counts_prices", W("prices") + """
 SELECT 'open' AS "column", count(*) FILTER (WHERE open IS NULL OR isnan(open)) AS nulls FROM prices
 UNION ALL SELECT 'close', count(*) FILTER (WHERE close IS NULL OR isnan(close)) FROM prices

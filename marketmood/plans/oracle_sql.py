@@ -40,8 +40,8 @@ def _booster_case(p: str) -> str:
 
 
 def sentiment_ctes(src: str = "documents", id_col: str = "doc_id", text_col: str = "text",
-                   out: str = "scores") -> str:
-    """CTEs ending in ``{out}(id, neg, neu, pos, compound)``."""
+                   out: str = "scores", lex: str = "lex", phrases: str | None = None) -> str:
+    """CTEs ending in ``{out}(id, neg, neu, pos, compound)``; ``phrases`` names a table ``(phrase, valence)``."""
     strip = f"regexp_replace(t, '^{PUNCT}+|{PUNCT}+$', '', 'g')"
     neg_words = in_list(S.NEGATIONS)
     parts = [f"""
@@ -63,15 +63,15 @@ sp AS (
 si AS (SELECT id, n, ncaps, bi, unnest(toks) AS tok, unnest(range(0, len(toks))) AS i FROM sp),
 sw AS (
   SELECT *, lag(tok, 1) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(tok, 3) OVER w AS p3,
-         lead(tok, 1) OVER w AS nx
+         lead(tok, 1) OVER w AS nx, lead(tok, 2) OVER w AS n2
   FROM si WINDOW w AS (PARTITION BY id ORDER BY i)),
 sh AS (
   SELECT sw.*, l.valence AS val, k1.token AS k1, k2.token AS k2, k3.token AS k3,
          (ncaps > 0 AND ncaps < n) AS capdiff
-  FROM sw JOIN lex l ON lower(sw.tok) = l.token
-       LEFT JOIN lex k1 ON lower(sw.p1) = k1.token
-       LEFT JOIN lex k2 ON lower(sw.p2) = k2.token
-       LEFT JOIN lex k3 ON lower(sw.p3) = k3.token
+  FROM sw JOIN {lex} l ON lower(sw.tok) = l.token
+       LEFT JOIN {lex} k1 ON lower(sw.p1) = k1.token
+       LEFT JOIN {lex} k2 ON lower(sw.p2) = k2.token
+       LEFT JOIN {lex} k3 ON lower(sw.p3) = k3.token
   WHERE lower(sw.tok) NOT IN {in_list(S.BOOSTERS)}
     AND NOT (lower(sw.tok) = 'kind' AND lower(coalesce(sw.nx, '')) = 'of')),
 v0 AS (
@@ -88,11 +88,24 @@ v0 AS (
                   f"(CASE WHEN upper({p}) = {p} AND lower({p}) <> {p} AND capdiff "
                   f"THEN (CASE WHEN val > 0 THEN {dbl(S.C_INCR)} ELSE {dbl(-S.C_INCR)} END) ELSE {dbl(0.0)} END) "
                   f"ELSE {dbl(0.0)} END")
+        special = ""
+        if phrases and d > 1:
+            so = " OR ".join(f"lower(p{k}) IN ('so', 'this')" for k in range(1, d))
+            doubt = " OR ".join(f"lower(p{k}) = 'doubt'" for k in range(1, d))
+            special = (f"WHEN {applies} AND lower({p}) = 'never' AND coalesce({so}, false) THEN val * {dbl(S.NEVER_SO)} "
+                       f"WHEN {applies} AND lower({p}) = 'without' AND coalesce({doubt}, false) THEN val ")
         parts.append(f"""
 v{d}a AS (SELECT * REPLACE (CASE WHEN {applies} THEN val + ({scalar}) * {dbl(damp)} ELSE val END AS val) FROM {prev}),
-v{d}b AS (SELECT * REPLACE (CASE WHEN {applies} AND (lower({p}) IN {neg_words} OR contains(lower({p}), 'n''t'))
+v{d}b AS (SELECT * REPLACE (CASE {special}WHEN {applies} AND (lower({p}) IN {neg_words} OR contains(lower({p}), 'n''t'))
                            THEN val * {dbl(S.N_SCALAR)} ELSE val END AS val) FROM v{d}a)""")
         prev = f"v{d}b"
+    if phrases:
+        runs = ("p3 || ' ' || p2 || ' ' || p1 || ' ' || tok", "p2 || ' ' || p1 || ' ' || tok", "p1 || ' ' || tok || ' ' || nx",
+                "tok || ' ' || nx || ' ' || n2", "p1 || ' ' || tok", "tok || ' ' || nx")
+        found = ", ".join(f"(SELECT max(h.valence) FROM {phrases} h WHERE h.phrase = lower({run}))" for run in runs)
+        parts.append(f"""
+vp AS (SELECT * REPLACE (coalesce({found}, val) AS val) FROM {prev})""")
+        prev = "vp"
     parts.append(f"""
 vl AS (SELECT * REPLACE (CASE WHEN lower(p1) = 'least' AND k1 IS NULL
                                AND (p2 IS NULL OR lower(p2) NOT IN ('at', 'very'))
