@@ -9,7 +9,7 @@ from marketmood.operators import redact as RD
 from marketmood.plans import pipeline as P
 from marketmood.plans.catalog import W, r, register, rounded
 from marketmood.plans.oracle_sql import LEX_CTE, sentiment_ctes
-from marketmood.session import shared_path, store
+from marketmood.session import shared_path
 from marketmood.sources import fixtures as FX
 from marketmood.sources.readers import read_table, read_text_table
 from marketmood.streaming import live as LV
@@ -117,11 +117,8 @@ SELECT event_type AS symbol, CAST(ts AS DATE) AS date, arg_min(value, row(ts, va
 FROM events GROUP BY 1, 2
 """)
 def x1_live_bars(spark, sf_dir):
-    def bars(events):
-        return LV.live_bars(events, "ts", "event_type", "value", "1 day", "1 hour")
-    events = LV.table_stream(spark, sf_dir, "events.parquet")
-    closed = LV.run_available(spark, bars(events), "bars")
-    return LV.with_open_windows(closed, read_table(spark, sf_dir, "events"), "ts", bars)
+    live = LV.LiveTable(spark, shared_path(spark, "live-bars"), LV.bar_parts("ts", "event_type", "value"), LV.merge_bar_parts)
+    return LV.bars_of(live.run(LV.table_stream(spark, sf_dir, "events.parquet")).table())
 
 
 @register("x2_live_sentiment", W("scored_posts") + f"""
@@ -129,15 +126,15 @@ SELECT symbol, CAST(ts AS DATE) AS date, {r('avg(compound)')} AS compound, count
 FROM scored_posts GROUP BY 1, 2
 """)
 def x2_live_sentiment(spark, sf_dir):
-    n_docs = read_table(spark, sf_dir, "documents").count()
-    scores = store(P.document_scores(spark, sf_dir), "document-scores")  # once, not in every micro-batch
-
-    def sentiment(orders):
-        posts = orders.select(F.col("o_orderkey").alias("post_id"), F.col("o_orderdate").alias("ts"),
-                              F.col("o_orderpriority").alias("symbol"), (F.col("o_orderkey") % F.lit(n_docs)).alias("doc_id"))
-        return LV.live_sentiment(posts, scores, "ts", "symbol", "1 day", "1 hour")
-    closed = LV.run_available(spark, sentiment(LV.table_stream(spark, sf_dir, "orders.parquet")), "sentiment")
-    return rounded(LV.with_open_windows(closed, read_table(spark, sf_dir, "orders"), "o_orderdate", sentiment))
+    """Orders stream in as posts; each takes the text it mentions along and is scored in its micro-batch."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_docs = docs.count()
+    orders = LV.table_stream(spark, sf_dir, "orders.parquet")
+    posts = orders.select(F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("symbol"),
+                          (F.col("o_orderkey") % F.lit(n_docs)).alias("doc_id")).join(docs, "doc_id")
+    live = LV.LiveTable(spark, shared_path(spark, "live-sentiment"), LV.sentiment_parts(FX.lexicon(spark)),
+                        LV.merge_sentiment_parts)
+    return rounded(LV.sentiment_of(live.run(posts).table()))
 
 
 # ---------------------------------------------------------------- dates, sorts, sinks

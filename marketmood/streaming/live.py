@@ -1,9 +1,11 @@
 """Structured Streaming layer (X1, X2): live daily bars and live daily sentiment.
 
-Both are event-time tumbling-window aggregations with a watermark, so state
-is bounded (a window is dropped once the watermark passes its end) and the
-append-mode output never changes a row already written. Late rows beyond the
-watermark are not counted, by design of the event-time model.
+Two forms. :class:`LiveTable` keeps a table that is right after every
+micro-batch: days still open and rows of any lateness are in it, and a stopped
+query goes on where it was. ``live_bars`` and ``live_sentiment`` are event-time
+windows with a watermark for append-only sinks: state is bounded (a window is
+dropped once the watermark passes its end), a row already written never
+changes, and rows beyond the watermark are not counted.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketmood.functions.dates import utc_day
+from marketmood.functions.dates import day_of, utc_day
+from marketmood.operators.sentiment import score_in_row
 from marketmood.session import checkpoint_dir
 
 
@@ -73,9 +77,8 @@ def run_available(spark: SparkSession, query: DataFrame, name: str) -> DataFrame
     """Process everything available (``availableNow``) into a parquet table in the
     shared checkpoint folder, with its own streaming checkpoint; return the table.
 
-    Append mode writes a window once the watermark has passed its end; the
-    windows still open at the end of the input are given by
-    :func:`with_open_windows`.
+    Append mode writes a window once the watermark has passed its end, and drops
+    rows that come later; :class:`LiveTable` has the open windows and late rows too.
     """
     base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
     out, chk = os.path.join(base, "out"), os.path.join(base, "chk")
@@ -85,13 +88,110 @@ def run_available(spark: SparkSession, query: DataFrame, name: str) -> DataFrame
     return spark.read.parquet(out)
 
 
-def with_open_windows(closed: DataFrame, table: DataFrame, ts: str, build, key: str = "symbol") -> DataFrame:
-    """The closed windows and, from the rows since then, those that are still open.
+class LiveTable:
+    """A table of daily aggregates that a stream keeps up to date, open and late days included.
 
-    ``build`` is the aggregation that the stream ran, applied here to the rows of
-    ``table`` from the first day that some key has no closed window for; of the
-    result only windows that the stream didn't write are added.
+    Each micro-batch is reduced to parts (one row for each symbol and day in it:
+    minima, maxima, sums and counts) and written to the folder of its batch
+    number, which a batch that is run again after a failure overwrites. So a
+    batch counts once, whenever the query stops; nothing waits for a watermark
+    and no row is too late. Reading merges the parts of all batches; ``compact``
+    replaces the parts of finished batches by their merge. The stream's progress
+    is kept beside the parts, so a new ``LiveTable`` on the same folder goes on.
     """
-    last = closed.groupBy(key).agg(F.max("date").alias("d")).agg(F.min("d")).first()[0]
-    recent = table if last is None else table.filter(F.col(ts) >= F.lit(last))
-    return closed.unionByName(build(recent).join(closed.select(key, "date"), [key, "date"], "left_anti"))
+
+    def __init__(self, spark: SparkSession, base: str, parts, merge):
+        """``parts(rows)`` aggregates a micro-batch, ``merge(parts)`` adds up parts (its result has their columns)."""
+        self.spark, self.base, self.parts, self.merge = spark, base, parts, merge
+
+    def start(self, stream: DataFrame, **trigger):
+        """Start (or go on with) the query; by default on what is available now."""
+        def write(rows: DataFrame, batch: int) -> None:
+            self.parts(rows).write.mode("overwrite").parquet(f"{self.base}/parts/batch={batch}")
+
+        return (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{self.base}/progress")
+                .trigger(**(trigger or {"availableNow": True})).start())
+
+    def run(self, stream: DataFrame) -> "LiveTable":
+        self.start(stream).awaitTermination()
+        return self
+
+    def _read(self, folder: str, number: str) -> DataFrame | None:
+        try:
+            return self.spark.read.option("basePath", f"{self.base}/{folder}").parquet(f"{self.base}/{folder}/{number}=*")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def _merged_upto(self) -> int:
+        """The last batch that the newest complete merge holds, -1 without one."""
+        done = self._read("done", "upto")
+        return -1 if done is None else done.agg(F.max("upto")).first()[0]
+
+    def _current(self) -> DataFrame | None:
+        upto = self._merged_upto()
+        batches = self._read("parts", "batch")
+        found = [] if batches is None else [batches.filter(F.col("batch") > upto).drop("batch")]
+        if upto >= 0:
+            found.append(self.spark.read.parquet(f"{self.base}/merged/upto={upto}"))
+        return None if not found else found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+    def table(self) -> DataFrame | None:
+        """The parts of all batches so far, merged; None before the first batch."""
+        now = self._current()
+        return None if now is None else self.merge(now)
+
+    def compact(self) -> None:
+        """Write the merge of all finished batches; a stop in between leaves the older merge in force.
+
+        Call it between runs or from the thread that runs the query: a batch that
+        is being written is not finished.
+        """
+        batches = self._read("parts", "batch")
+        last = None if batches is None else batches.agg(F.max("batch")).first()[0]
+        if last is None or last <= self._merged_upto():
+            return
+        self.merge(self._current()).write.mode("overwrite").parquet(f"{self.base}/merged/upto={last}")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.base}/done/upto={last}")
+
+
+def bar_parts(ts: str, key: str, price: str):
+    """Parts of daily OHLCV bars; of prices at one instant the smallest opens, the largest closes."""
+    def parts(rows: DataFrame) -> DataFrame:
+        at = F.struct(F.col(ts).alias("at"), F.col(price).alias("price"))
+        return rows.groupBy(F.col(key).alias("symbol"), day_of(rows, ts).alias("date")).agg(
+            F.min(at).alias("first"), F.max(at).alias("last"), F.max(price).alias("high"), F.min(price).alias("low"),
+            F.count(F.lit(1)).alias("volume"))
+    return parts
+
+
+def merge_bar_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("symbol", "date").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.sum("volume").alias("volume"))
+
+
+def bars_of(table: DataFrame) -> DataFrame:
+    """``(symbol, date, open, high, low, close, volume)`` of merged bar parts."""
+    return table.select("symbol", "date", F.col("first.price").alias("open"), "high", "low",
+                        F.col("last.price").alias("close"), "volume")
+
+
+def sentiment_parts(lex, ts: str = "ts", key: str = "symbol", text: str = "text", **rules):
+    """Parts of daily mean sentiment; every post's text is scored in its own micro-batch."""
+    def parts(rows: DataFrame) -> DataFrame:
+        scored = score_in_row(rows, text, lex, **rules)
+        return scored.groupBy(F.col(key).alias("symbol"), day_of(scored, ts).alias("date")).agg(
+            F.sum("compound").alias("total"), F.count("compound").alias("n_scored"), F.count(F.lit(1)).alias("n_posts"))
+    return parts
+
+
+def merge_sentiment_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("symbol", "date").agg(F.sum("total").alias("total"), F.sum("n_scored").alias("n_scored"),
+                                               F.sum("n_posts").alias("n_posts"))
+
+
+def sentiment_of(table: DataFrame) -> DataFrame:
+    """``(symbol, date, compound, n_posts)`` of merged sentiment parts; NULL where no text could be scored."""
+    return table.select("symbol", "date", F.try_divide("total", F.col("n_scored").cast("double")).alias("compound"), "n_posts")

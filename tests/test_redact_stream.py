@@ -85,7 +85,7 @@ def test_root_counts_once_and_mixed_renames(spark):
     assert sorted(r[0] for r in base.collect()) == ["lib/a.py", "src/a.py"]
 
 
-def test_stream_and_open_windows_equal_batch(spark, tmp_path):
+def test_append_windows_and_live_table_equal_batch(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     ev = spark.read.parquet(f"{sf}/events.parquet")
     ev.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
@@ -93,8 +93,10 @@ def test_stream_and_open_windows_equal_batch(spark, tmp_path):
     def bars(events):
         return LV.live_bars(events, "ts", "event_type", "value")
     want = {(r.symbol, r.date): r for r in bars(ev).collect()}
-    for folder in (sf, str(tmp_path)):  # a single file, a folder of part files
-        closed = LV.run_available(spark, bars(LV.table_stream(spark, folder, "events.parquet")), "test")
-        assert 0 < closed.count() < len(want)
-        got = LV.with_open_windows(closed, ev, "ts", bars).collect()
+    for i, folder in enumerate((sf, str(tmp_path))):  # a single file, a folder of part files
+        closed = LV.run_available(spark, bars(LV.table_stream(spark, folder, "events.parquet")), "test").collect()
+        assert 0 < len(closed) < len(want)
+        assert all(want[r.symbol, r.date] == r for r in closed)
+        live = LV.LiveTable(spark, f"{tmp_path}/live{i}", LV.bar_parts("ts", "event_type", "value"), LV.merge_bar_parts)
+        got = LV.bars_of(live.run(LV.table_stream(spark, folder, "events.parquet")).table()).collect()
         assert len(got) == len(want) and {(r.symbol, r.date): r for r in got} == want
