@@ -20,7 +20,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketmood.functions.text import STOP_WORDS, decode_label
@@ -80,6 +80,28 @@ def design_vector(x_col: str = "x"):
     return F.concat(F.array(F.lit(1.0)), F.flatten(F.col(x_col)))
 
 
+def window_sums(seq: DataFrame, key: str = "symbol", part: Column | None = None) -> DataFrame:
+    """``(_k, part, xx, n)``: sums of products of [1, window, target] by key (as text) and part, and their row counts.
+
+    Rows with a NULL in the window or target are left out. One numpy product
+    per Arrow batch and key, summed on the cluster.
+    """
+    d = seq.filter(~F.exists(F.flatten("x"), lambda v: v.isNull()) & F.col("y")[0].isNotNull())
+    d = d.select(F.col(key).cast("string").alias("_k"), (F.lit(True) if part is None else part).alias("part"),
+                 design_vector("x").alias("_v"), F.col("y")[0].alias("_y"))
+
+    def partial(batches):
+        for pdf in batches:
+            for (k, p), g in pdf.groupby(["_k", "part"], dropna=False):
+                m = np.column_stack([np.stack(g["_v"].to_numpy()), g["_y"].to_numpy(dtype=float)])
+                yield pd.DataFrame({"_k": [k if isinstance(k, str) else None], "part": [bool(p)],
+                                    "xx": [(m.T @ m).ravel().tolist()], "n": [len(g)]})
+
+    sums = (d.mapInPandas(partial, "_k string, part boolean, xx array<double>, n bigint")
+            .groupBy("_k", "part").agg(Summarizer.sum(array_to_vector("xx")).alias("_xx"), F.sum("n").alias("n")))
+    return sums.select("_k", "part", vector_to_array("_xx").alias("xx"), "n")
+
+
 def fit_forecaster(seq: DataFrame, key: str = "symbol", ridge: float = 1e-3, split: str | None = "split",
                    train_value: str = "train") -> DataFrame:
     """M5: per-symbol ridge regression of the next target on the flattened window.
@@ -90,21 +112,7 @@ def fit_forecaster(seq: DataFrame, key: str = "symbol", ridge: float = 1e-3, spl
     p x p matrix.
     """
     kind = seq.schema[key].dataType
-    d = seq.filter(F.col(split) == train_value) if split else seq
-    d = d.filter(~F.exists(F.flatten("x"), lambda v: v.isNull()) & F.col("y")[0].isNotNull())
-    d = d.select(F.col(key).cast("string").alias("_k"), design_vector("x").alias("_v"), F.col("y")[0].alias("_y"))
-
-    def partial(batches):
-        """Per batch and key: sums of products of [features, target], as one numpy product."""
-        for pdf in batches:
-            for k, g in pdf.groupby("_k", dropna=False):
-                m = np.column_stack([np.stack(g["_v"].to_numpy()), g["_y"].to_numpy(dtype=float)])
-                yield pd.DataFrame({"_k": [k if isinstance(k, str) else None], "xx": [(m.T @ m).ravel().tolist()],
-                                    "n": [len(g)]})
-
-    sums = (d.mapInPandas(partial, "_k string, xx array<double>, n bigint")
-            .groupBy("_k").agg(Summarizer.sum(array_to_vector("xx")).alias("_xx"), F.sum("n").alias("n_train")))
-    stats = sums.select("_k", vector_to_array("_xx").alias("xx"), "n_train")
+    stats = window_sums(seq.filter(F.col(split) == train_value) if split else seq, key).drop("part")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -116,7 +124,7 @@ def fit_forecaster(seq: DataFrame, key: str = "symbol", ridge: float = 1e-3, spl
             reg = ridge * np.eye(m)
             reg[0, 0] = 0.0  # intercept not penalised
             coef = np.linalg.lstsq(a + reg, b, rcond=None)[0]
-            rows.append((r["_k"], coef.tolist(), int(r["n_train"])))
+            rows.append((r["_k"], coef.tolist(), int(r["n"])))
         return pd.DataFrame(rows, columns=["_k", "coef", "n_train"])
 
     found = stats.groupBy("_k").applyInPandas(solve, "_k string, coef array<double>, n_train bigint")

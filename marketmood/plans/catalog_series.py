@@ -321,9 +321,8 @@ def m10_evaluate_forecast(spark, sf_dir):
     return rounded(EV.evaluate_forecast(_persistence(spark, sf_dir, 3)))
 
 
-@register("a16_classification_report", W("scores") + f""",
-lab AS (SELECT CASE WHEN compound <= 0.4 THEN 0 WHEN compound <= 0.6 THEN 1 ELSE 2 END AS t,
-               CASE WHEN compound < 0 THEN 0 WHEN compound > 0 THEN 2 ELSE 1 END AS p FROM scores),
+# The report over a table lab(t, p) of true and predicted classes.
+REPORT_SQL = f"""
 pc AS (SELECT 'Negative' AS name, count(*) FILTER (WHERE t = 0 AND p = 0) AS tp,
               count(*) FILTER (WHERE t = 0) AS sup, count(*) FILTER (WHERE p = 0) AS np FROM lab
        UNION ALL
@@ -341,7 +340,13 @@ UNION ALL SELECT 'accuracy', {r('CAST(ok AS DOUBLE) / n')}, {r('CAST(ok AS DOUBL
 UNION ALL SELECT 'macro avg', {r('avg(prec)')}, {r('avg(rec)')}, {r('avg(f1)')}, max(tot.n) FROM m2, tot
 UNION ALL SELECT 'weighted avg', {r('sum(prec * sup) / max(tot.n)')}, {r('sum(rec * sup) / max(tot.n)')},
                  {r('sum(f1 * sup) / max(tot.n)')}, max(tot.n) FROM m2, tot
-""")
+"""
+
+
+@register("a16_classification_report", W("scores") + f""",
+lab AS (SELECT CASE WHEN compound <= 0.4 THEN 0 WHEN compound <= 0.6 THEN 1 ELSE 2 END AS t,
+               CASE WHEN compound < 0 THEN 0 WHEN compound > 0 THEN 2 ELSE 1 END AS p FROM scores),
+""" + REPORT_SQL)
 def a16_classification_report(spark, sf_dir):
     s = P.document_scores(spark, sf_dir)
     lab = s.select(TX.threshold_label("compound").alias("label"),
