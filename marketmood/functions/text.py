@@ -37,6 +37,26 @@ WORD_CLASS = r"[\p{L}\p{N}_]"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 NON_WORD_PATTERN = r"[^\p{L}\p{N}_\s]"
 URL_PATTERN = r"http\S+"
+# Treebank splitting of lower-case text whose spaces are doubled and that starts and ends with them: quotes, runs of
+# periods and dashes, symbols, commas and colons, closing periods, clitics, contractions. (pattern, replacement), in order.
+TREEBANK_RULES = (
+    (r"([ (\[{<])\"", "$1 `` "),
+    (r"\"|''", " '' "),
+    (r"([“”„«»‘])", " $1 "),
+    (r"(\.{2,})", " $1 "),
+    (r"([;@#$%&?!*()<>{}\[\]])", " $1 "),
+    (r"(--+)", " $1 "),
+    (r"([:,])([^0-9])", " $1 $2"),
+    (r"([^ .][^ .])\.((?:''|[ '”’»)\]}>])* )", "$1 .  $2"),
+    (r"([^ '])('s|'m|'d|'ll|'re|'ve|n't|') ", "$1  $2 "),
+    (r" (can)(not) ", " $1  $2 "),
+    (r" (gim|lem)(me) ", " $1  $2 "),
+    (r" (gon|wan)(na) ", " $1  $2 "),
+    (r" (got)(ta) ", " $1  $2 "),
+    (r" (d)('ye) ", " $1  $2 "),
+    (r" (more)('n) ", " $1  $2 "),
+    (r" ('t)(is|was) ", " $1  $2 "),
+)
 # Labels of the 3-class sentiment encoding.
 LABEL_NAMES = ("Negative", "Neutral", "Positive")
 # --- end of fixed values ----------------------------------------------------
@@ -56,6 +76,19 @@ def word_tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(TOKEN_PATTERN), 0)
 
 
+def treebank_tokens(c) -> Column:
+    """T2 with Treebank splitting: clitics ("do n't", "it 's"), "can not", "gon na", quotes as `` and '', "..." and "--" whole.
+
+    One cascade of replacements over the row's text. Without a sentence model
+    every word's closing period is split off, except after single letters and
+    abbreviations that hold periods ("e.g.", "u.s.").
+    """
+    out = F.concat(F.lit("  "), F.regexp_replace(F.lower(_c(c)), r"\s+", "  "), F.lit("  "))
+    for pattern, replacement in TREEBANK_RULES:
+        out = F.regexp_replace(out, pattern, replacement)
+    return F.filter(F.split(out, " +"), lambda t: t != "")
+
+
 def drop_stopwords(tokens, words=STOP_WORDS) -> Column:
     """T4: keep tokens not in the stop-word list (order preserved)."""
     # ``isin`` over many literals is planned as a hash-set lookup (InSet).
@@ -63,14 +96,14 @@ def drop_stopwords(tokens, words=STOP_WORDS) -> Column:
     return F.filter(_c(tokens), lambda t: ~t.isin(words))
 
 
-def clean_text(c, words=STOP_WORDS) -> Column:
-    """T1 -> T2 -> T4 -> T5: cleaned text.
+def clean_text(c, words=STOP_WORDS, tokens=word_tokens) -> Column:
+    """T1 -> T2 -> T4 -> T5: cleaned text; ``tokens`` may be :func:`treebank_tokens`.
 
     After stop-word removal every token loses its non-word symbols; emptied
     tokens are kept, so the space join can yield double spaces, as in the
     original cleaning step.
     """
-    toks = drop_stopwords(word_tokens(strip_urls(c)), words)
+    toks = drop_stopwords(tokens(strip_urls(c)), words)
     stripped = F.transform(toks, lambda t: F.regexp_replace(t, NON_WORD_PATTERN, ""))
     return F.array_join(stripped, " ")
 

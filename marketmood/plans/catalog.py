@@ -472,6 +472,7 @@ from marketmood.plans import catalog_p4 as _p4  # noqa: E402,F401
 from marketmood.plans import catalog_io as _io  # noqa: E402,F401
 from marketmood.plans import catalog_training as _training  # noqa: E402,F401
 from marketmood.plans import catalog_edges as _edges  # noqa: E402,F401
+from marketmood.plans import catalog_words as _words  # noqa: E402,F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
