@@ -129,10 +129,14 @@ def ema_adjusted(df: DataFrame, c: str, com: float | None = None, span: float |
     def weight(e):
         return F.pow(F.lit(q), (F.col(rn) - e["r"]).cast("double"))
 
-    num = F.aggregate(lst, F.lit(0.0), lambda acc, e: F.when(e["x"].isNull(), acc).otherwise(acc + weight(e) * e["x"]))
-    den = F.aggregate(lst, F.lit(0.0), lambda acc, e: F.when(e["x"].isNull(), acc).otherwise(acc + weight(e)))
-    return (df.withColumn(rn, F.row_number().over(w))
-            .withColumn(out, F.when(den > 0, num / den)).drop(rn))
+    def step(acc, e):
+        some = e["x"].isNotNull()
+        return F.struct((acc["num"] + F.when(some, weight(e) * e["x"]).otherwise(0.0)).alias("num"),
+                        (acc["den"] + F.when(some, weight(e)).otherwise(0.0)).alias("den"))
+
+    mean = F.aggregate(lst, F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den")), step,
+                       lambda acc: F.when(acc["den"] > 0, acc["num"] / acc["den"]))
+    return df.withColumn(rn, F.row_number().over(w)).withColumn(out, mean).drop(rn)
 
 
 def macd(df: DataFrame, c: str = "close", fast: float = 12, slow: float = 26, out: str = "macd",
@@ -274,6 +278,32 @@ def moving_features_bucketed(df: DataFrame, c: str = "close", bucket: Column | N
     return bucketed_windows(df, bucket, 19, compute, key, order)
 
 
+def ema_adjusted_bucketed(df: DataFrame, c: str, com: float | None = None, span: float | None = None, out: str | None = None,
+                          bucket: Column | None = None, key: str = KEY, order: str = ORDER) -> DataFrame:
+    """W6 with the series split into time buckets (default: calendar year)."""
+    a = 1.0 / (1.0 + com) if com is not None else 2.0 / (span + 1.0)
+
+    def compute(frame, w):
+        return ema_adjusted(frame, c, com, span, out, key=[key, "_bucket"], order="_rn")
+
+    return bucketed_windows(df, F.year(order) if bucket is None else bucket, _frame_len(1.0 - a) + 1, compute, key, order)
+
+
+def technical_indicators_bucketed(df: DataFrame, c: str = "close", bucket: Column | None = None, key: str = KEY,
+                                  order: str = ORDER, keep_std: bool = False) -> DataFrame:
+    """:func:`technical_indicators` with the series split into time buckets (default: calendar year).
+
+    Every bucket gets as many preceding values as the slowest EMA needs, so a
+    bucket should hold some thousand rows; use it for long intraday series.
+    """
+    def compute(frame, w):
+        return technical_indicators(frame, c, [key, "_bucket"], "_rn", keep_std, ema_method="frame")
+
+    lookback = ema_frame_rows([2.0 / 13.0, 2.0 / 27.0]) + 20
+    return bucketed_windows(df, F.year(order) if bucket is None else bucket, lookback, compute, key, order,
+                            valid=F.col(c).isNotNull())
+
+
 def ema_frame_rows(alphas) -> int:
     """Rows of history an exact (2^-60) non-adjusted EMA needs."""
     return max(_frame_len(1.0 - a) for a in alphas)

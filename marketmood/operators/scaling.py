@@ -49,8 +49,8 @@ def _wide(scaler: DataFrame, cols, key: str) -> DataFrame:
 
 def apply_minmax(df: DataFrame, scaler: DataFrame, cols, key: str = "symbol", suffix: str = "") -> DataFrame:
     """``(x - min) / (max - min) * (hi - lo) + lo``; a constant column maps to ``lo``."""
-    w = _wide(scaler, cols, key)
-    d = df.join(w, key, "left")
+    w = _wide(scaler, cols, key).withColumnRenamed(key, "_of")
+    d = df.join(w, F.col(key).eqNullSafe(F.col("_of")), "left")
 
     def scaled(c):
         return _scale(F.col(c).cast("double"), F.col(f"{c}__min"), F.col(f"{c}__max"),

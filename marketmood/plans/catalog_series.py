@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketmood.functions import text as TX
 from marketmood.functions.numeric import round_half_up
+from marketmood.operators import carry as CA
 from marketmood.operators import evaluation as EV
 from marketmood.operators import filters as FL
 from marketmood.operators import indicators as ind
@@ -13,7 +14,7 @@ from marketmood.operators import joins as J
 from marketmood.operators import scaling as SC
 from marketmood.operators import sequences as SQ
 from marketmood.plans import pipeline as P
-from marketmood.plans.catalog import W, r, register, rounded
+from marketmood.plans.catalog import ORACLE, W, r, register, rounded
 from marketmood.plans.oracle_sql import dbl
 from marketmood.sources import fixtures as FX
 
@@ -446,3 +447,40 @@ def w10_sequences_bucketed(spark, sf_dir):
     return s.select("symbol", F.col("sample").cast("bigint").alias("sample"), "start_date", "target_date",
                     _rlist(F.flatten("x")).alias("x"), round_half_up(F.col("y")[0]).alias("y"),
                     _rlist(F.col("yc")).alias("yc"))
+
+
+# ---------------------------------------------------------------- the same steps without a whole series in one task
+@register("w6_ema_adjusted_bucketed", ORACLE["w6_ema_adjusted"])
+def w6_ema_adjusted_bucketed(spark, sf_dir):
+    p = ind.ema_adjusted_bucketed(FX.prices(spark, sf_dir).select("symbol", "date", "close"), "close", com=0.5, out="ema")
+    return rounded(p.select("symbol", "date", "ema"))
+
+
+@register("w9_forward_fill_carried", ORACLE["w9_forward_fill"])
+def w9_forward_fill_carried(spark, sf_dir):
+    return rounded(CA.forward_fill_carried(_aligned(spark, sf_dir), ["close"]))
+
+
+@register("w11_split_last_carried", ORACLE["w11_split_last"])
+def w11_split_last_carried(spark, sf_dir):
+    seq = SQ.make_sequences_bucketed(FX.prices(spark, sf_dir), ["close"], "close", 5, 1)
+    return CA.split_last_carried(seq, 20, bucket_rows=500).select("symbol", "sample", "split")
+
+
+@register("w13_with_position_carried", ORACLE["w13_with_position"])
+def w13_with_position_carried(spark, sf_dir):
+    return CA.with_position_carried(FX.prices(spark, sf_dir)).select("symbol", "date", "pos")
+
+
+@register("f5_drop_warmup_carried", ORACLE["f5_drop_warmup"])
+def f5_drop_warmup_carried(spark, sf_dir):
+    p = FX.prices(spark, sf_dir).select("symbol", "date", "close")
+    return rounded(CA.drop_warmup_carried(p, 20))
+
+
+@register("m9_build_dataset_bucketed", ORACLE["m9_build_dataset"])
+def m9_build_dataset_bucketed(spark, sf_dir):
+    s = P.build_dataset(spark, sf_dir, bucket=F.year("date"))
+    return s.select("symbol", "sample", "start_date", "target_date", "split",
+                    _rlist(F.flatten("x")).alias("x"), round_half_up(F.col("y")[0]).alias("y"),
+                    _rlist(F.col("yc")).alias("yc"))

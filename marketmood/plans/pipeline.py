@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketmood.functions import text as TX
 from marketmood.functions.dates import day_of
+from marketmood.operators import carry
 from marketmood.operators import indicators as ind
 from marketmood.operators.joins import join_daily
 from marketmood.operators.sentiment import score_sentiment
 from marketmood.operators.text_ops import lemmatise
+from marketmood.session import store
 from marketmood.sources import fixtures
 from marketmood.sources.readers import read_text_table
 
@@ -77,7 +79,7 @@ def daily_features(spark: SparkSession, sf_dir: str, lex: DataFrame | None = Non
 
 
 def feature_table(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None,
-                  keep_std: bool = False, ema_method: str = "block") -> DataFrame:
+                  keep_std: bool = False, ema_method: str = "block", bucket: Column | None = None) -> DataFrame:
     """Daily feature rows of the forecaster (before warm-up drop and scaling).
 
     Columns: ``symbol, date, compound, open, close, high, low, volume, ma7,
@@ -85,6 +87,8 @@ def feature_table(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None
     """
     sent = daily_sentiment(scored_posts(spark, sf_dir, lex))
     joined = join_daily(sent, fixtures.prices(spark, sf_dir))
+    if bucket is not None:
+        return ind.technical_indicators_bucketed(joined, "close", bucket, keep_std=keep_std)
     return ind.technical_indicators(joined, "close", keep_std=keep_std, ema_method=ema_method)
 
 
@@ -94,53 +98,66 @@ FEATURES = ["compound", "open", "close", "high", "low", "volume", "ma7", "ma20",
 
 
 def prepared_series(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None,
-                    warmup: int = 20, features=None, ema_method: str = "block") -> DataFrame:
+                    warmup: int = 20, features=None, ema_method: str = "block", bucket: Column | None = None) -> DataFrame:
     """M9 first half: indicators -> warm-up drop (F5) -> forward fill (W9), unscaled.
 
     The dataset only uses the EMAs after min/max scaling, so the O(rows) block
-    scan is the default here.
+    scan is the default here. With ``bucket`` (see :func:`build_dataset`) no
+    step has a whole series in one task.
     """
     from marketmood.operators.filters import drop_warmup
     features = features or FEATURES
-    d = drop_warmup(feature_table(spark, sf_dir, lex, ema_method=ema_method), warmup)
-    d = ind.forward_fill(d, features)
+    d = feature_table(spark, sf_dir, lex, ema_method=ema_method, bucket=bucket)
+    if bucket is None:
+        d = ind.forward_fill(drop_warmup(d, warmup), features)
+    else:
+        d = carry.drop_warmup_carried(store(d, "features"), warmup, bucket)
+        d = carry.forward_fill_carried(store(d, "warm-features"), features, bucket)
     return d.withColumn("target", F.col("close"))
 
 
 def build_dataset(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None,
                   length: int = 5, horizon: int = 1, n_test: int = 20, warmup: int = 20,
-                  features=None, fit_on: str = "all") -> DataFrame:
-    """M9: the supervised dataset of every symbol in one lazy plan.
+                  features=None, fit_on: str = "all", bucket: Column | None = None) -> DataFrame:
+    """M9: the supervised dataset of every symbol.
 
     J1 -> W1..W7 -> F5 -> W9 -> N1/N2/N3 (per-symbol min/max over all rows as in
     the reference, or over training rows only with ``fit_on="train"``; range
     (-1, 1)) -> W10 -> W11. Rows: ``symbol, sample, start_date,
     target_date, x, y, yc, y_dates, split``. All window steps are partitioned by
-    symbol over a daily series, so they share one exchange.
+    symbol over a daily series, so they share one exchange. For long series
+    (intraday bars, one symbol with most rows) give a ``bucket`` that follows the
+    date, e.g. ``F.year("date")``: every step then runs by symbol and bucket.
     """
-    return dataset_of(prepared_series(spark, sf_dir, lex, warmup, features), length, horizon, n_test, features, fit_on)
+    return dataset_of(prepared_series(spark, sf_dir, lex, warmup, features, bucket=bucket), length, horizon, n_test,
+                      features, fit_on, bucket)
 
 
 def dataset_of(d: DataFrame, length: int = 5, horizon: int = 1, n_test: int = 20, features=None,
-               fit_on: str = "all") -> DataFrame:
-    """Second half of M9: scale a prepared series, cut sequences, split off the last samples."""
-    from marketmood.operators.scaling import scale_over_series
-    from marketmood.operators.sequences import make_sequences, split_last
+               fit_on: str = "all", bucket: Column | None = None) -> DataFrame:
+    """Second half of M9: scale a prepared series, cut sequences, split off the last samples.
+
+    The series is written once; its extremes are an aggregate joined back.
+    """
+    from marketmood.operators.scaling import apply_minmax, fit_minmax
+    from marketmood.operators.sequences import make_sequences, make_sequences_bucketed, split_last
     features = features or FEATURES
-    mask = None
+    d = store(d, "prepared-series")
+    fitted = d
     if fit_on == "train":
         # rows touched by training samples only: positions up to
         # n_train + length + horizon - 1, n_train = samples - min(n_test, samples)
-        from pyspark.sql import Window
-        n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-        samples = F.greatest(n - length - horizon + 1, F.lit(0))
-        n_train = samples - F.least(samples, F.lit(n_test))
-        mask = F.col("pos") <= n_train + length + horizon - 1
+        samples = F.greatest(F.count(F.lit(1)) - length - horizon + 1, F.lit(0))
+        last = d.groupBy(F.col("symbol").alias("_of")).agg(
+            (samples - F.least(samples, F.lit(n_test)) + length + horizon - 1).alias("_to"))
+        fitted = d.join(last, F.col("symbol").eqNullSafe(F.col("_of"))).filter(F.col("pos") <= F.col("_to"))
     elif fit_on != "all":
         raise ValueError("fit_on must be 'all' or 'train'")
-    d = scale_over_series(d, features + ["target"], train_mask=mask)
-    seq = make_sequences(d, features, "target", length, horizon)
-    return split_last(seq, n_test)
+    d = apply_minmax(d, fit_minmax(fitted, features + ["target"]), features + ["target"])
+    if bucket is None:
+        return split_last(make_sequences(d, features, "target", length, horizon), n_test)
+    seq = make_sequences_bucketed(d, features, "target", length, horizon, bucket)
+    return carry.split_last_carried(store(seq, "sequences"), n_test)
 
 
 def scaler_of(d: DataFrame, features=None) -> DataFrame:
