@@ -74,12 +74,12 @@ def _regions(d: DataFrame, spans, bins: int) -> list[list[Row]]:
     """
     items = []
     for i, (c, lo, hi, exact) in enumerate(spans):
-        x, width = F.col(c), hi / bins - lo / bins
-        key = x if exact else F.least(F.floor((x - lo) / width), F.lit(bins - 1)).cast("double")
-        side = F.when(x < lo, -1).when(x > hi, 1).otherwise(0)
-        items.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("slot"), side.alias("side"),
-                                                    F.when(side == 0, key).alias("key"), x.alias("x"))))
-    each = d.select(F.explode(F.array(*items)).alias("s")).filter("s IS NOT NULL").select("s.*")
+        x, width = f"`{c}`", hi / bins - lo / bins
+        key = x if exact else f"CAST(least(floor(({x} - {lo!r}D) / {width!r}D), {bins - 1}) AS DOUBLE)"
+        side = f"CASE WHEN {x} < {lo!r}D THEN -1 WHEN {x} > {hi!r}D THEN 1 ELSE 0 END"
+        items.append(f"CASE WHEN {x} IS NOT NULL THEN struct({i} AS slot, {side} AS side, "
+                     f"CASE WHEN {x} BETWEEN {lo!r}D AND {hi!r}D THEN {key} END AS key, {x} AS x) END")
+    each = d.selectExpr(f"explode(array({', '.join(items)})) AS s").filter("s IS NOT NULL").select("s.*")
     rows = each.groupBy("slot", "side", "key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     out = [[] for _ in spans]
     for r in sorted(rows.collect(), key=lambda r: r["lo"]):
@@ -111,7 +111,7 @@ def exact_quantiles(df: DataFrame, cols, probs, accuracy: int = 10_000, also=(),
     while todo:
         keys, spans = list(todo), []
         for (c, _), (lo, hi, exact) in todo.items():
-            lo, hi = max(lo, -sys.float_info.max), min(hi, sys.float_info.max)
+            lo, hi = (min(max(v, -sys.float_info.max), sys.float_info.max) for v in (lo, hi))
             spans.append((c, lo, hi, exact or hi / bins - lo / bins <= 0))
         for (c, i), regions in zip(keys, _regions(d, spans, bins)):
             rank = probs[i] * (first[f"{c}__n"] - 1)
