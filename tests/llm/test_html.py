@@ -117,3 +117,78 @@ def test_copies_of_an_article_are_not_boilerplate(spark):
     assert all(got[i] == whole(1) for i in [*range(4), *range(10, 14)])
     assert all(got[i] == whole(i % 2) for i in range(20, 26))
     assert all(got[i] == f"Title {i % 3}\nOne paragraph {i % 3}" for i in range(30, 36))
+
+
+def hosted(spark, make, n=5, host="h"):
+    rows = [(i, f"http://{host}.test/{i}", make(i)) for i in range(n)]
+    return {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+LONG = "A sentence of the article that goes on for a while, number {}. " * 4
+
+
+def test_template_decides_without_marks_and_against_misleading_ones(spark):
+    def page(i):
+        body = LONG.format(i, i + 1, i + 2, i + 3).strip()
+        return (f"<body><div class=qa><a href=/>Home {i}</a></div><article class=teaser>Teaser of another article {i}</article>"
+                f"<div class=qb><div class=qc>Bought by {i}</div></div><div class=qd><h2>Title {i}</h2><div class=qe>{body}</div>"
+                f"<h3>Ingredients</h3><ul class=qf>{''.join(f'<li>thing {i} {k}</li>' for k in range(i + 1))}</ul>"
+                f"<h3>Elsewhere</h3><ul class=qg><li><a href=/p{i}>More {i}</a></li></ul></div><div class=qh>Written in {i} minutes</div></body>")
+
+    def want(i):
+        return "\n".join([f"Title {i}", LONG.format(i, i + 1, i + 2, i + 3).strip(), "Ingredients", *[f"thing {i} {k}" for k in range(i + 1)]])
+    assert hosted(spark, page) == {i: want(i) for i in range(5)}
+    assert hosted(spark, page, 2) == {i: want(i) + "\nElsewhere" for i in range(2)}  # two pages don't show that it is fixed
+
+
+def test_a_first_heading_beside_the_main_slot_stays(spark):
+    got = hosted(spark, lambda i: f"<body><div class=t>Site {i}</div><h1>Title {i}</h1><div class=c>{LONG.format(i, 2, 3, 4)}</div><div>End {i}</div></body>")
+    assert got == {i: f"Title {i}\n{LONG.format(i, 2, 3, 4).strip()}" for i in range(5)}
+
+
+COMMENTS = [
+    '<ol class="comment-list"><li><article class="comment-body"><b>Ann</b><p>{}</p></article></li></ol>',
+    '<div class="post-comments"><div><span>Ann</span><p>{}</p></div></div>',
+    '<section id="responses"><article class="entry"><time>1</time><p>{}</p></article></section>',
+    '<div class=c1><div class="reply"><div class=who>Ann</div><p>{}</p></div><div class="reply"><div class=who>Bob</div><p>{}</p></div></div>',
+    '<ul><li class="comment"><div>Ann</div><p>{}</p></li></ul>', '<div id="disqus_thread"><p>{}</p></div>']
+
+
+def test_comments_longer_than_the_article_go(spark):
+    said = "What a reader says about it at great length. " * 20
+    for comments in COMMENTS:
+        for article in ("<article><h1>T</h1><p>Short.</p>%s</article>", "<article><h1>T</h1><p>Short.</p></article>%s",
+                        "<div class=c><h1>T</h1><p>Short.</p></div>%s", "<main><h1>T</h1><p>Short.</p>%s</main>"):
+            page = f"<body>{article % comments.format(said, said)}</body>"
+            assert text(page) == "T\nShort.", page
+            many = hosted(spark, lambda i: page.replace("Short.", f"Short {i}. {i} words."), 4) if article.startswith("<div") else {}
+            assert many == {i: f"T\nShort {i}. {i} words." for i in many}
+
+
+def test_names_that_only_hold_a_word_of_boilerplate_stay():
+    for name in ("social-science", "share-price", "reply", "ad-hoc", "comment", "has-notice-board", "menuItalian", "tag-footerless"):
+        assert text(f'<article><h1>T</h1><p>a</p><div class="{name}">b</div><p id={name}>c</p></article>') == "T\na\nb\nc", name
+    for name in ("ad", "share-buttons", "cookieNotice", "newsletter signup", "author-box", "side-bar sidebar", "Menu_Left"):
+        assert text(f'<article><h1>T</h1><p>a</p><div class="{name}">b</div></article>') == "T\na", name
+
+
+def test_deep_and_long_pages_take_bounded_memory():
+    import tracemalloc
+    for source in ("<b>" * 20_000 + "x", "<div class='some long name'>" * 20_000 + "x", "<article>" * 20_000 + "x", "<p>y</p>" * 50_000):
+        tracemalloc.start()
+        page = H.Page(source)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6 and H.main_text(page, NONE) in ("x", "\n".join("y" * 50_000)), (source[:20], peak)
+
+
+def test_deduced_template_alone_finds_the_articles(spark):
+    """Given pages without any mark or telling name: what stays is the slots that the template leaves."""
+    given = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    plain = given
+    for old, new in (("<article>", '<div class="k">'), ("</article>", "</div>"), ("<nav>", '<div class="m">'), ("</nav>", "</div>"),
+                     ("<footer>", '<div class="z">'), ("</footer>", "</div>"), ('<div class="ad">', '<div class="y">')):
+        plain = plain.withColumn("html", F.replace("html", F.lit(old), F.lit(new)))
+    assert plain.filter("html LIKE '%<article%' OR html LIKE '%<nav%'").count() == 0
+    want = {r["page_id"]: article(r["html"]) for r in given.collect()}
+    assert {r["page_id"]: r["text"] for r in H.extract(plain).collect()} == want
