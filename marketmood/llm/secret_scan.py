@@ -6,7 +6,8 @@ identifiers, then judge what base spans leave of every other long run of key
 characters: a run whose log-likelihood ratio reaches ``MIN_RATIO`` a character
 is a span of kind ``markov``. In other runs every stretch counts whose ratios,
 less ``COST`` a character, sum to ``MIN_SUM``, so that ordinary characters
-before or after a key don't dilute it; it is widened to whole words.
+before or after a key don't dilute it; it is widened to whole words, which must
+have ``MIN_STRETCH`` characters in all.
 
 Runs beside letters of scripts without case (Chinese, Arabic) are judged like
 others. Beside another letter, as ``ä``, what touches it is part of a word.
@@ -14,7 +15,11 @@ others. Beside another letter, as ``ä``, what touches it is part of a word.
 The models are counts of character pairs, trained from labelled samples: the
 values that the base rules find in a bounded sample of documents and strings
 drawn uniformly from the usual key alphabets are random; the other words of
-the sample, alone and joined as identifiers join them, are ordinary.
+the sample, alone and joined as identifiers join them, and identifiers made of
+listed words of programs and languages in every usual case and with every usual
+joint, are ordinary; either half weighs as much as the other. UUIDs, and what
+has few letters or few different characters (rulers, numbers, time stamps), are
+ordinary by their form.
 """
 
 from __future__ import annotations
@@ -49,13 +54,37 @@ CODE = {c: i for i, c in enumerate(CHARS)}
 EDGE = len(CHARS)
 SIZE = EDGE + 1
 
+UUID = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])")
+
+# Labelled ordinary words, of programs and of languages written with plain letters.
+PROGRAM_WORDS = (
+    "abstract access account action adapter address alert allocate array async attribute auth backup batch binary block buffer "
+    "build button cache callback chain channel char check class client clone code column command commit config connect console "
+    "content context control count create credential cursor database debug default delete deploy descriptor device directory "
+    "document element encode engine error event exception execute export extract factory fetch field filter flag format function "
+    "generate graph handler hash header height hidden html http image import index input instance integer interface iterator json "
+    "kernel label layout length level library limit listener load local logger manager mapping memory message method metric module "
+    "monitor mutex network notify number object offset option output package").split()
+LANGUAGE_WORDS = (
+    "Gesellschaft Geschwindigkeit Versicherung Rechtsschutz Bundesverfassung Krankenhaus Schmetterling cymdeithas llyfrgell "
+    "gwyddoniaeth ysgrifennydd llywodraeth cwmwl przedsiebiorstwo szczescie wszystkie chrzaszcz niebieski rzeczpospolita "
+    "lentokone yhteiskunta kirjasto kysymys tyttöystävä anticonstitutionnellement bibliotheque aujourd'hui quelquefois "
+    "desarrollo ayuntamiento izquierda trabajador sviluppo bellissimo ringraziamento geschiedenis verantwoordelijk "
+    "utbildning sjukhus kunskap degerlendirme cumhuriyet ogretmen zmrzlina ctvrtek prvni megszentsegtelenithetetlen egeszsegedre "
+    "quotidianus exspectatio kesempatan pertanyaan mwanafunzi kujitegemea etxekoak hizkuntza nguyen truong "
+    "hajimemashite shinkansen zhongguo xuesheng").split()
+
 SAMPLE_ROWS = 4000
-MIN_RATIO = 1.0
+BY_CLASS = 0.4
+MIN_RATIO = 0.2
 # Stretches of a run: least sum of ratios less the cost a character, least length and different characters.
-COST = 0.5
-MIN_SUM = 18.0
+COST = 0.1
+MIN_SUM = 8.5
+MIN_CORE = 10  # characters of a stretch before it is widened
+MAX_FALL = 18.0
 MIN_STRETCH = 16
 MIN_KINDS = 8
+MIN_LETTERS = 4
 BLOCK = 1 << 16  # characters at a time
 
 
@@ -89,6 +118,23 @@ def uniform_samples(per_alphabet: int = 400, length: int = 32, seed: int = 11) -
     return ["".join(rng.choices(alphabet, k=length)) for alphabet in ALPHABETS for _ in range(per_alphabet)]
 
 
+def identifiers(words: list[str], count: int = 6000, seed: int = 12) -> list[str]:
+    """Labelled ordinary strings: one to six words in camel, constant, snake, kebab, path and run-on forms, some with numbers."""
+    rng = random.Random(seed)
+    words = ["".join(c for c in w if c in CODE) for w in words]
+    forms = (lambda ws: ws[0] + "".join(w.capitalize() for w in ws[1:]), lambda ws: "".join(w.capitalize() for w in ws),
+             lambda ws: "_".join(ws).upper(), "_".join, "-".join, "/".join, "".join, lambda ws: "".join(ws).upper(),
+             lambda ws: "-".join(w.capitalize() for w in ws), lambda ws: ws[0].upper() + "".join(w.capitalize() for w in ws[1:]),
+             lambda ws: "=".join(ws), lambda ws: "-".join(ws).upper())
+    out = []
+    for k in range(count):
+        chosen = [rng.choice(words).lower() for _ in range(rng.randint(1, 6))]
+        if rng.random() < 0.15:
+            chosen.insert(rng.randint(1, len(chosen)), rng.choice(("v", "", "x", "utf", "sha")) + str(rng.choice((1, 2, 3, 8, 16, 64, 256, 2024))))
+        out.append(forms[k % len(forms)](chosen))
+    return out + [x for s in ("abcdefghijklmnopqrstuvwxyz", "qwertyuiopasdfghjklzxcvbnm", "0123456789") for x in (s, s.upper(), s[::-1])]
+
+
 def sample_words(text: str) -> tuple[list[str], list[str]]:
     """(ordinary, random) words of one text by its base spans; neighbours are also joined into identifiers."""
     spans = base_spans(text)
@@ -105,11 +151,23 @@ def sample_words(text: str) -> tuple[list[str], list[str]]:
 
 
 def ratio_table(ordinary: np.ndarray, rand: np.ndarray) -> np.ndarray | None:
-    """Log-likelihood ratio of each character pair, with half a count added everywhere; None without ordinary words."""
-    if not ordinary.sum():
-        return None
-    p, q = (np.log((c + 0.5) / (c + 0.5).sum(axis=1, keepdims=True)) for c in (rand, ordinary))
-    return p - q
+    """Log-likelihood ratio of each character pair; None without ordinary words."""
+    return np.log(likelihoods(rand)) - np.log(likelihoods(ordinary)) if ordinary.sum() else None
+
+
+def likelihoods(counts: np.ndarray) -> np.ndarray:
+    """Probability of each next character, by pairs and, with weight ``BY_CLASS``, by classes of characters.
+
+    The classes (upper, lower, digits, others, edge) tell how often case and
+    kind change, and let pairs pass that no labelled word of the language had.
+    """
+    pairs = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
+    member = np.eye(5)[[0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in CHARS] + [4]]
+    change = member.T @ counts @ member + 1
+    change /= change.sum(axis=1, keepdims=True)
+    single = counts.sum(axis=0) + 1.0
+    within = single / (member @ (member.T @ single))  # share of a character in its class
+    return (1 - BY_CLASS) * pairs + BY_CLASS * (member @ change @ member.T) * within
 
 
 def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS):
@@ -134,12 +192,15 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample_ro
     tables = np.zeros((2, SIZE * SIZE), np.float64)
     for r in rows:
         tables[r["label"], r["pair"]] = r["n"]
-    ordinary, rand = tables.reshape(2, SIZE, SIZE)
-    drawn = np.zeros((SIZE, SIZE), np.int64)
-    count_pairs(uniform_samples(), drawn)
-    if rand.sum():  # what was found weighs as much as what was drawn
-        drawn = drawn + rand * (drawn.sum() / rand.sum())
-    return ratio_table(ordinary, drawn)
+    found, rand = tables.reshape(2, SIZE, SIZE)
+    return ratio_table(with_samples(found, identifiers(PROGRAM_WORDS + LANGUAGE_WORDS)), with_samples(rand, uniform_samples()))
+
+
+def with_samples(found: np.ndarray, samples: list[str]) -> np.ndarray:
+    """Counts of labelled samples, and of what was found with as much weight in all."""
+    out = np.zeros((SIZE, SIZE), np.int64)
+    count_pairs(samples, out)
+    return out + found * (out.sum() / found.sum()) if found.sum() else out
 
 
 def ratio(word: str, table: np.ndarray) -> float:
@@ -151,8 +212,8 @@ def ratio(word: str, table: np.ndarray) -> float:
 def stretches(word: str, table: np.ndarray):
     """(start, end) of the stretches of a run that the models call random, widened to whole words.
 
-    One pass: a stretch ends where the sum has fallen by MIN_SUM from its
-    highest, so no stretch that reaches MIN_SUM is passed over.
+    One pass: a stretch ends where the sum has fallen to nothing, or by MAX_FALL
+    from its highest; what follows is looked at anew.
     """
     c = np.fromiter((CODE[x] for x in word), np.int64, len(word))
     total = most = 0.0
@@ -167,18 +228,24 @@ def stretches(word: str, table: np.ndarray):
             at += 1
             if total > most:
                 most, first, end = total, start, at + 1
-            if most >= MIN_SUM and total <= most - MIN_SUM:
+            if most >= MIN_SUM and total <= most - MAX_FALL:
                 yield from widened(word, max(first, done), end)
                 done, total, most = end, 0.0, 0.0
     if most >= MIN_SUM:
         yield from widened(word, max(first, done), end)
 
 
+def varied(word: str) -> bool:
+    """Whether a string has as many letters and different characters as keys have, and isn't mostly an alphabet in order."""
+    return (len(set(word)) >= MIN_KINDS and sum(map(str.isalpha, word)) >= MIN_LETTERS
+            and 2 * sum(ord(b) - ord(a) == 1 for a, b in zip(word, word[1:])) < len(word))
+
+
 def widened(word: str, a: int, b: int):
     """A stretch with the rest of its first and last words, if it is long and varied enough."""
-    if b - a < MIN_STRETCH or len(set(word[a:b])) < MIN_KINDS:
+    if b - a < MIN_CORE:
         return
-    while word[a] == "=":
+    while a < b and word[a] == "=":
         a += 1
     while a and word[a - 1].isalnum():
         a -= 1
@@ -186,7 +253,8 @@ def widened(word: str, a: int, b: int):
         b += 1
     while b < len(word) and word[b] == "=":
         b += 1
-    yield a, b
+    if b - a >= MIN_STRETCH and varied(word[a:b]):
+        yield a, b
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,8 +281,8 @@ def all_spans(text: str | None, table: np.ndarray | None) -> list[tuple[int, int
     more = []
     for run in RUN.finditer(text):
         first, last = run.span()
-        cuts, at = [], first  # what the base spans leave
-        for s, _, e in base:
+        cuts, at = [], first  # what the base spans and UUIDs leave
+        for s, e in sorted([(s, e) for s, _, e in base] + [m.span() for m in UUID.finditer(text, first, last)]):
             if s < last and first < e:
                 cuts.append((at, s))
                 at = max(at, e)
@@ -222,7 +290,7 @@ def all_spans(text: str | None, table: np.ndarray | None) -> list[tuple[int, int
             if b - a < MIN_STRETCH:
                 continue
             left, right = a == first and a and joins(text[a - 1]), b == last and b < len(text) and joins(text[b])
-            if not left and not right and b - a >= MIN_RUN and ratio(text[a:b], table) >= MIN_RATIO:
+            if not left and not right and b - a >= MIN_RUN and varied(text[a:b]) and ratio(text[a:b], table) >= MIN_RATIO:
                 more.append((a, 3, b))
                 continue
             at_run = [(a + s, a + e) for s, e in stretches(text[a:b], table)]

@@ -117,3 +117,32 @@ def test_stretches_in_blocks(table, monkeypatch):
     assert len(want) == 2
     monkeypatch.setattr(S, "BLOCK", 7)
     assert list(S.stretches(text, table)) == want
+
+
+ORDINARY = ["=" * 30, "-" * 40, "_" * 32, "A" * 25, "AbstractSingletonProxyFactoryBeanRegistry", "MAX_HTTP_CONNECTION_POOL_SIZE_BYTES",
+            "XMLHttpRequestEventTargetPrototype", "Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogogoch",
+            "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFTSKAPITAEN", "wspolczesno-przedsiebiorczy-nieprawdopodobny", "Taumatawhakatangihangakoauauotamatea",
+            "550e8400-e29b-41d4-a716-446655440000", "2024-01-01-12-00-00-000000123", "12345678901234567890123",
+            "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "NSManagedObjectContextDidSaveNotification", "PTHREAD_MUTEX_INITIALIZER_RECURSIVE_NP",
+            "x86_64-unknown-linux-gnu-toolchain", "/usr/share/applications/gnome-terminal/preferences", "=-" * 20, "+/" * 20]
+
+
+def test_ordinary_strings_get_no_span(table):
+    for word in ORDINARY:
+        assert S.all_spans(f"see {word} here", table) == [], word
+
+
+def test_precision_and_recall_on_words_not_trained_on(docs, monkeypatch):
+    """The models learn every other listed word; identifiers are made of the rest."""
+    words = S.PROGRAM_WORDS + S.LANGUAGE_WORDS
+    monkeypatch.setattr(S, "PROGRAM_WORDS", words[::2])
+    monkeypatch.setattr(S, "LANGUAGE_WORDS", [])
+    half = S.train(docs, sample_rows=500)
+    other = [w for w in S.identifiers(words[1::2], 3000, seed=5)[:3000] if len(w) >= 20]
+    wrong = [w for w in other if S.all_spans(w, half)]
+    assert len(wrong) <= 0.01 * len(other), wrong
+    rng = random.Random(21)
+    for n, least in ((16, 0.85), (20, 0.93), (32, 0.99)):
+        keys = ["".join(rng.choices(a, k=n)) for a in S.ALPHABETS[1:] for _ in range(150)]
+        texts = [f"see /static/{rng.choice(other)}/{k} here" for k in keys]
+        assert np.mean([any(a < t.index(k) + n and t.index(k) < b for a, _, b in S.all_spans(t, half)) for k, t in zip(keys, texts)]) >= least
