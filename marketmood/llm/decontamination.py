@@ -1,25 +1,25 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, natively in Spark SQL.
 
-Texts become lower-case words (runs of letters and digits) and five-word
-shingles; a text of one to four words is one shingle. An item of q distinct
-shingles is contained in a document that has at least ``need`` = ceil(t q) of
-them, t being 0.8.
+Texts become lower-case words (runs of letters and digits). Items become
+five-word shingles; an item of one to four words is one shingle of its width.
+Documents are looked through at width five and at each width that such a short
+item has, so short items are found inside documents of any length. An item of q
+distinct shingles is contained in a document that has at least ``need`` =
+ceil(t q) of them, t being 0.8.
 
 Items are partitioned by size: those of one size share ``need`` and the length
 of their sketch, the q - need + 1 shingles with the smallest MinHash values. A
 document that lacks all of these lacks too many shingles, so a document that
 contains the item always meets its sketch: unlike banded signatures, whose
 chance of meeting falls with the document's length, no containment is missed
-however long the document. Documents with fewer words than an item's size
-class needs aren't probed. Candidates are then verified by counting the item's
+however long the document. Documents with fewer shingles than an item's size
+class needs are no candidates. Candidates are then verified by counting the item's
 distinct shingles in the document, as strings.
 
 A document is its id and text: rows that repeat both count once, rows with one
 id and different texts are judged each, and a null id is kept as null. Rows of
 one item id are united. Items without an id have no row in a list of pairs, as
-in the SQL, but documents that contain them are dropped. An item of one to four
-words is found only in a text of just these words, not inside a longer one, in
-the SQL as well. Null texts, empty texts and texts without letters or
+in the SQL, but documents that contain them are dropped. Null texts, empty texts and texts without letters or
 digits contain nothing and are contained nowhere.
 """
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketmood.llm.common import free_name, read_table, small_side, stored
+from marketmood.llm.common import broadcast_if_small, free_name, read_table, stored
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -38,14 +38,29 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _shingles(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """A row for each run of five words (w0 to w4) with ``n``, the number of words."""
-    n, ws = F.col("n"), F.col("ws")
-    runs = F.arrays_zip(*[F.slice(ws, k + 1, n - (WIDTH - 1)).alias(f"w{k}") for k in range(WIDTH)])
-    short = F.array(F.struct(F.array_join("ws", " ").alias("w0"),
-                             *[F.lit(None).cast("string").alias(f"w{k}") for k in range(1, WIDTH)]))
+def _runs(width: int) -> Column:
+    """All runs of ``width`` words of the array ``ws`` as structs w0 to w4, null beyond the width; none if there are fewer words."""
+    n, none = F.col("n"), F.lit(None).cast("string")
+    runs = F.arrays_zip(*[F.slice("ws", k + 1, F.greatest(n - (width - 1), F.lit(0))).alias(f"w{k}") for k in range(width)])
+    if width < WIDTH:
+        runs = F.transform(runs, lambda r: F.struct(*[(r[f"w{k}"] if k < width else none).alias(f"w{k}") for k in range(WIDTH)]))
+    return runs
+
+
+def _shingles(df: DataFrame, text: str, keep: list[str], widths: list[int] | None = None) -> DataFrame:
+    """A row for each shingle with ``n`` words in its text and ``most`` shingles.
+
+    With ``widths`` all runs of these widths; without, runs of five words, or
+    one of all words of a shorter text.
+    """
+    if widths is None:
+        runs = F.when(F.col("n") >= WIDTH, _runs(WIDTH))
+        for width in range(1, WIDTH):
+            runs = runs.when(F.col("n") == width, _runs(width))
+    else:
+        runs = F.concat(*[_runs(width) for width in widths])
     return (df.select(*keep, words(F.col(text)).alias("ws")).withColumn("n", F.size("ws")).filter("n > 0")
-            .select(*keep, "n", F.inline(F.when(n >= WIDTH, runs).otherwise(short))))
+            .withColumn("runs", runs).select(*keep, "n", F.size("runs").alias("most"), F.inline("runs")))
 
 
 PARTS = [f"w{k}" for k in range(WIDTH)]
@@ -64,7 +79,8 @@ def item_shingles(items: DataFrame, text: str, id_col: str, threshold: float) ->
     """Distinct shingles of each item with its size q, what it needs and the rank of its MinHash value."""
     from pyspark.sql import Window
     own = (_shingles(items.select(F.col(id_col).alias("item_id"), F.col(text).alias("t")), "t", ["item_id"])
-           .filter("item_id IS NOT NULL").select("item_id", joined().alias("shingle"), minhash().alias("h")).distinct())
+           .filter("item_id IS NOT NULL")
+           .select("item_id", joined().alias("shingle"), minhash().alias("h"), F.least("n", F.lit(WIDTH)).alias("width")).distinct())
     by_item = Window.partitionBy("item_id")
     return (own.withColumn("q", F.count(F.lit(1)).over(by_item))
             .withColumn("need", F.ceil(F.col("q") * F.lit(threshold) - F.lit(1e-9)).cast("long"))
@@ -78,20 +94,21 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", id_co
     ``row_key`` is a hash of id and text. Empty tables give an empty result.
     """
     item = stored(item_shingles(items, item_text, item_id, threshold), "items")
-    # Size classes of the sketches; need in words, as a document of n words has at most n - 4 shingles (1 if short).
+    widths = sorted(r["width"] for r in item.select("width").distinct().collect())  # at most five
+    if not widths:
+        widths = [WIDTH]
     sketch = item.filter(F.col("rank") <= F.col("q") - F.col("need") + 1).select("h", "item_id", "need")
     sketch = stored(sketch, "sketches")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"),
                         F.xxhash64(F.col(id_col), F.col(text)).alias("row_key"))
-    probes = (_shingles(keyed, "t", ["row_key"])
-              .select("row_key", F.greatest(F.col("n") - (WIDTH - 1), F.lit(1)).alias("most"), minhash().alias("h")))
-    candidates = stored(probes.join(small_side(sketch), "h").filter("most >= need")
+    probes = _shingles(keyed, "t", ["row_key"], widths).select("row_key", "most", minhash().alias("h"))
+    candidates = stored(probes.join(broadcast_if_small(sketch), "h").filter("most >= need")
                         .select("row_key", "item_id").distinct(), "candidates")
 
     chosen = stored(candidates.select("row_key").distinct(), "candidate-docs")
-    texts = keyed.join(small_side(chosen), "row_key", "left_semi")
-    found = (_shingles(texts, "t", ["row_key", "doc_id"]).select("row_key", "doc_id", joined().alias("shingle"))
-             .join(small_side(item.select("shingle", "item_id", "q", "need")), "shingle")
+    texts = keyed.join(broadcast_if_small(chosen), "row_key", "left_semi")
+    found = (_shingles(texts, "t", ["row_key", "doc_id"], widths).select("row_key", "doc_id", joined().alias("shingle"))
+             .join(broadcast_if_small(item.select("shingle", "item_id", "q", "need")), "shingle")
              .join(candidates, ["row_key", "item_id"], "left_semi").distinct())
     return (found.groupBy("row_key", "doc_id", "item_id", "q", "need").agg(F.count(F.lit(1)).alias("hits"))
             .filter("hits >= need")
@@ -109,7 +126,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", id_
     bad = stored(contained_items(docs, named, text, id_col).select("row_key").distinct(), "contaminated")
     key = free_name(docs, "row_key")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text)))
-    return keyed.join(small_side(bad), keyed[key] == bad["row_key"], "left_anti").drop(key)
+    return keyed.join(broadcast_if_small(bad), keyed[key] == bad["row_key"], "left_anti").drop(key)
 
 
 def op7_decontamination(spark, sf_dir) -> DataFrame:
@@ -117,19 +134,14 @@ def op7_decontamination(spark, sf_dir) -> DataFrame:
                            read_table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
-_SHINGLES_SQL = r"""
-    SELECT {id}, CASE WHEN len(ws) >= 5
-        THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))
-        ELSE [array_to_string(ws, ' ')] END AS shingles
-    FROM (SELECT {id}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM {table}) WHERE len(ws) > 0
-"""
-
-OP7_SQL = f"""
-WITH item AS (SELECT DISTINCT item_id, unnest(shingles) AS shingle
-              FROM ({_SHINGLES_SQL.format(id='item_id', table='benchmark')}) WHERE item_id IS NOT NULL),
+OP7_SQL = r"""
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
+ir AS (SELECT item_id, ws, least(len(ws), 5) AS width, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM iw WHERE len(ws) > 0),
+item AS (SELECT DISTINCT item_id, width, array_to_string(list_slice(ws, i, i + width - 1), ' ') AS shingle FROM ir),
 sizes AS (SELECT item_id, count(*) AS n_item FROM item GROUP BY 1),
-doc AS (SELECT DISTINCT doc_id, unnest(shingles) AS shingle
-        FROM ({_SHINGLES_SQL.format(id='doc_id', table='documents')})),
+dr AS (SELECT doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) AS i FROM dw, (SELECT DISTINCT width FROM item)),
+doc AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + width - 1), ' ') AS shingle FROM dr),
 hits AS (SELECT doc_id, item_id, count(*) AS hits FROM doc JOIN item USING (shingle) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_item, hits, hits / n_item AS containment
 FROM hits JOIN sizes USING (item_id) WHERE hits >= ceil(n_item * 0.8 - 1e-9)

@@ -9,6 +9,12 @@ def shingles(text):
     return {" ".join(words[i:i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
 
 
+def runs(text, widths):
+    """What a document has: all runs of words of the widths that items have."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    return {" ".join(words[i:i + w]) for w in widths for i in range(len(words) - w + 1)}
+
+
 def brute(docs, items, t=0.8):
     own = {}
     for i, text in items:
@@ -16,7 +22,7 @@ def brute(docs, items, t=0.8):
             own.setdefault(i, set()).update(shingles(text))
     out = set()
     for d, text in {(d, text) for d, text in docs}:
-        s = shingles(text)
+        s = runs(text, {x.count(" ") + 1 for q in own.values() for x in q})
         for i, q in own.items():
             if q and len(q & s) >= math.ceil(len(q) * t - 1e-9):
                 out.add((d, i, len(q), len(q & s)))
@@ -50,6 +56,7 @@ def test_changed_words_long_documents_and_short_items(spark):
     got = found(docs, items)
     assert got == want
     assert {(d, i) for d, i, _, _ in got if i == 1} == {(1, 1), (2, 1), (None, 1), (9, 1)}
+    assert {d for d, i, _, _ in got if i == 2} == {5, 6}  # inside a longer text as well
     kept = D.drop_contaminated(docs.selectExpr("*", "1 AS row_key", "'x' AS shingle"), items)
     assert kept.columns == ["doc_id", "text", "row_key", "shingle"]
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({d for d, *_ in rows if d} - {d for d, *_ in want} | {9})
@@ -75,3 +82,15 @@ def test_items_without_an_id_are_dropped_too(spark):
                                   "item_id long, text string")
     assert sorted(r["doc_id"] for r in D.drop_contaminated(docs, items).collect()) == [3, 4]
     assert {(r["doc_id"], r["item_id"]) for r in D.contained_items(docs, items).collect()} == {(5, 7)}
+
+
+def test_short_items_inside_long_documents(spark):
+    filler = " ".join(f"f{k}" for k in range(3000))
+    rows = [(1, "The capital of France, as everyone says, is Paris."), (2, f"{filler} Capital-of France {filler}"), (3, "capital of"),
+            (4, "capital of france"), (5, f"{filler} solo"), (6, "solo"), (7, ""), (8, "of france capital"), (9, f"one two three four {filler}")]
+    items = [(1, "capital of france"), (2, "solo"), (3, "one two three four"), (4, "a b c d e f g"), (5, "capital of france"), (5, "solo")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = found(docs, bench)
+    assert got == brute(rows, items)
+    assert {(d, i) for d, i, _, _ in got} == {(1, 1), (2, 1), (4, 1), (5, 2), (6, 2), (9, 3)}  # item 5 needs both
+    assert sorted(r["doc_id"] for r in D.drop_contaminated(docs, bench).collect()) == [3, 7, 8]
