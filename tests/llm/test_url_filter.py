@@ -60,3 +60,20 @@ def test_table_is_learnt_and_generalises():
     assert all((U.block_score(h, p, *MODEL) >= 0.5) == bool(y) for h, p, y in U.labelled())
     assert U.block_score("casino-best.test", "/en/1", *MODEL) > 0.5 > U.block_score("garden-books.test", "/en/1", *MODEL)
     assert U.train([]) == ({}, 0.0) and U.block_score("a", "/b", {}, 0.0) == 0.5
+
+
+def test_hosts_that_are_not_in_the_table():
+    listed = " ".join(U.BLOCKED + U.ALLOWED)
+    bad = ("bet365.com/", "xvideos.com/", "thepiratebay.org/", "pokerstars.com/play", "casinos.es/", "m.free-bets.example.com/en/3.html")
+    good = ("cnn.com/", "washingtonpost.com/", "texas.gov/", "sciencemag.org/", "thelocal.de/nyheter", "betterhelp.com/", "adidas.fr/")
+    for url, label in [(u, True) for u in bad] + [(u, False) for u in good]:
+        host, _, path = url.partition("/")
+        assert not re.search(rf"(^|[ .]){re.escape(host)}/", listed), host
+        assert (U.block_score(host, "/" + path, *MODEL) >= 0.5) == label, (url, U.block_score(host, "/" + path, *MODEL))
+    for name in ("free-bets", "ads-track", "adult-x", "spam-farm", "cheap-pills", "casino-win"):
+        assert name not in listed
+
+
+def test_rows_held_out():
+    shares = U.held_out_accuracy(U.labelled())
+    assert shares[0] >= 0.9 and shares[1] >= 0.65
