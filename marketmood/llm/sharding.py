@@ -1,8 +1,10 @@
 """Sharding by histogram sort: near-equal bytes in every shard.
 
-Rows are ordered by a 128-bit key, the hash of the text and then of the id, so
-equal texts stand together and are parted only where their group alone exceeds
-what a shard may be off by. Splitters of that order are found by counting:
+Rows are ordered by a 128-bit key, the hash of the text, then of the id, then
+the row's number, so equal texts stand together and are parted only where their
+group alone exceeds what a shard may be off by; rows that repeat everything are
+parted by their number. Rows are written once with their numbers, so all passes
+see the same keys. Splitters of that order are found by counting:
 each pass counts, in every partition, the exact bytes below a set of candidate
 boundaries, sums the histograms, and narrows the interval around each wanted
 share to the keys that were seen in it, until a boundary meets the tolerance or
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from marketmood.llm.common import free_name, read_table, stored
 
 TOP = 1 << 128
+ROW_BITS = 20  # of a key for the row's number: parts of a group of equal rows
 
 
 def packed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -77,7 +80,7 @@ def splitters(keys: DataFrame, wanted: list[float], slack: list[float], probes_a
     done: dict[int, int] = {}
     while len(done) < len(wanted):
         open_ = [i for i in range(len(wanted)) if i not in done]
-        each = max(4, probes_a_pass // len(open_))
+        each = max(16, probes_a_pass // len(open_))
         probes = set()
         for i in open_:
             a, b = low[i][0], high[i][0]
@@ -107,27 +110,29 @@ def splitters(keys: DataFrame, wanted: list[float], slack: list[float], probes_a
 
 
 def shard(docs: DataFrame, shards: int = 8, text: str = "text", id_col: str = "doc_id", tolerance: float = 0.002,
-          range_bytes: int = 64 << 20, least_ranges: int = 8, most_ranges: int = 512) -> DataFrame:
-    """All rows and columns of ``docs`` with size, text_crc32, law, shard, slot and grown_shard.
+          range_bytes: int = 256 << 20, least_ranges: int = 8, columns: list[str] | None = None) -> DataFrame:
+    """All rows of ``docs`` with ``columns`` (default: all) and size, text_crc32, law, shard, slot and grown_shard.
 
     Size is the text's UTF-8 bytes plus 1 (1 for null and empty texts); shards
     differ from their equal share by ``tolerance`` of it, or by the size of one
-    row where rows are larger. Every shard is exchanged as ``least_ranges`` to
-    ``most_ranges`` key ranges of about ``range_bytes``. Rows that repeat an id
-    and a text have one key and stay together; null ids and texts are keys like
-    others. Columns of these names in ``docs`` are replaced.
+    row where rows are larger. Every shard is exchanged as at least
+    ``least_ranges`` key ranges of at most about ``range_bytes``, however many
+    that makes. Null ids and texts are keys like others. Columns of these names
+    in ``docs`` are replaced.
     """
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    data = docs.drop(*made)
+    data = docs.drop(*made) if columns is None else docs.select(*columns)
     names = [free_name(data, n) for n in ("h1", "h2", "key_range", "row_no")]
     h1, h2, part, row_no = names
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = (data.withColumn(h1, F.xxhash64(body)).withColumn(h2, F.xxhash64(F.col(id_col)))
-             .withColumn("size", (F.octet_length(body) + 1).cast("long"))
-             .withColumn("text_crc32", F.crc32(body.cast("binary"))))
-    keys = stored(keyed.select(F.col(h1).alias("h1"), F.col(h2).alias("h2"), "size"), "shard-keys")
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << ROW_BITS))
+    low = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(-1 << ROW_BITS)).bitwiseOR(number)
+    keyed = stored(docs.select(*[F.col(f"`{c}`") for c in data.columns], F.xxhash64(body).alias(h1), low.alias(h2),
+                               (F.octet_length(body) + 1).cast("long").alias("size"),
+                               F.crc32(body.cast("binary")).alias("text_crc32")), "shard-rows")
+    keys = keyed.select(F.col(h1).alias("h1"), F.col(h2).alias("h2"), "size")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    fine = int(min(most_ranges, max(least_ranges, -(-total // (shards * range_bytes)))))
+    fine = int(max(least_ranges, -(-total // (shards * range_bytes))))
     n = shards * fine
     at = splitters(keys, [total * i / n for i in range(1, n)],
                    [total / shards * tolerance if i % fine == 0 else total / n / 4 for i in range(1, n)]) if total else []
@@ -143,12 +148,12 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", id_col: str = "d
 
     order = Window.partitionBy(part).orderBy(h1, h2)
     placed = (keyed.withColumn(part, range_of(h1, h2)).withColumn(row_no, F.row_number().over(order))
-              .join(F.broadcast(table), part))  # one row a range: at most shards * most_ranges
+              .join(F.broadcast(table), part))  # one row a range of range_bytes
     return placed.select(*[F.col(f"`{c}`") for c in data.columns], "size", "text_crc32", F.lit("bytes").alias("law"),
                          "shard", (F.col("first") + F.col(row_no) - 1).alias("slot"),
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_sharding(spark, sf_dir) -> DataFrame:
-    return (shard(read_table(spark, sf_dir, "documents"))
+    return (shard(read_table(spark, sf_dir, "documents"), columns=["doc_id"])
             .select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))

@@ -71,3 +71,21 @@ def test_edge_cases(spark, edge_docs, no_docs):
     assert S.shard(no_docs).count() == 0
     one = S.shard(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
     assert [(r["size"], r["slot"]) for r in one] == [(1, 0)]
+
+
+def test_equal_rows_and_missing_ids_are_parted(spark):
+    """A third of the rows repeat one id and text, another third has no id."""
+    rows = [(i, f"text number {i} " * (1 + i % 3)) for i in range(3000)] + [(7, "the same row again and again")] * 3000
+    rows += [(None, f"no id {i % 2}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = S.shard(df, shards=8).collect()
+    sizes = {}
+    for r in got:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+    total = sum(sizes.values())
+    assert len(got) == 9000 and sorted(sizes) == list(range(8))
+    assert all(abs(v - total / 8) <= 0.002 * total / 8 + 60 for v in sizes.values()), sizes
+    for k in sizes:
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    fine = S.shard(df, shards=4, range_bytes=2000, columns=["doc_id"])
+    assert fine.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and fine.count() == 9000
