@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketmood.llm.common import hash_fraction, read_table, text_pieces
+from marketmood.llm.common import hash_fraction, read_table, stored, text_pieces
 
 WORD = re.compile(r"\w+")
 PASSAGE = 20
@@ -49,6 +49,7 @@ class Settings:
 
     sample_rows: int = 5000
     sample_chars: int = 40_000_000
+    texts_of_id: int = 20
     buckets: int = 1 << 19
     dim: int = 8
     rate: float = 0.3
@@ -280,14 +281,19 @@ def fit_on(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
 
     Each label gives up to half of the sample, chosen by a hash of the id. Null
     labels and ids are left out; an id with several labels counts as toxic if
-    any says so; ids that repeat in ``docs`` give each of their rows.
+    any says so. An id that repeats in ``docs`` gives each different text once,
+    of more than ``texts_of_id`` rows about that many, chosen by a hash.
     """
     marked = (labels.select(F.col(id_col).alias("k"), F.col(label).cast("int").alias("y"))
               .filter(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out(F.col("k")))
               .groupBy("k").agg(F.max("y").alias("y")))
-    sizes = docs.select(F.col(id_col).alias("k"), F.coalesce(F.char_length(text), F.lit(0)).alias("n"))
-    totals = {r["y"]: r for r in sizes.join(marked, "k").groupBy("y")
-              .agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("chars")).collect()}
+    of_id = F.least(F.lit(1.0), settings.texts_of_id / F.count(F.lit(1)))  # share of an id's rows that may be taken
+    sizes = (docs.select(F.col(id_col).alias("k"), F.coalesce(F.char_length(text), F.lit(0)).alias("n"))
+             .groupBy("k").agg(of_id.alias("own"), F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n")))
+    marked = sizes.join(marked, "k").select("k", "y", "own", (F.col("own") * F.col("n_rows")).alias("n_rows"),
+                                            (F.col("own") * F.col("n")).alias("n"))
+    marked = stored(marked, "labelled-ids")
+    totals = {r["y"]: r for r in marked.groupBy("y").agg(F.sum("n_rows").alias("rows"), F.sum("n").alias("chars")).collect()}
     counts = {y: r["rows"] for y, r in totals.items()}
     picked = None
     for y, r in sorted(totals.items()):
@@ -296,9 +302,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
         picked = part if picked is None else picked.union(part)
     if picked is None:
         return train([], [], settings)
-    # The picked side has about sample_rows ids of 12 bytes: a proven bound for the broadcast.
+    # The picked side has about sample_rows ids of 20 bytes: a proven bound for the broadcast.
+    chance = F.pmod(F.xxhash64("h", F.lit("row")), F.lit(1_000_000)) < F.col("own") * 1_000_000
     sample = (docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-              .join(F.broadcast(picked), "k").toPandas().sort_values(["k", "t"], kind="stable"))
+              .withColumn("h", F.xxhash64("t")).join(F.broadcast(picked.select("k", "y", "own")), "k").filter(chance)
+              .dropDuplicates(["k", "h"]).select("k", "t", "y").toPandas().sort_values(["k", "t"], kind="stable"))
     odds = counts[1] / counts[0] if len(counts) == 2 else None
     return train(sample["t"].tolist(), sample["y"].tolist(), settings, odds)
 

@@ -87,3 +87,14 @@ def test_query_and_edge_cases(spark, edge_docs, no_docs, labels):
     assert toxicity.reject_toxic(no_docs, labels).count() == 0
     odd = spark.createDataFrame([(1, None), (None, 1), (1, 1), (1, 0), (2, 7)], "doc_id long, toxic int")
     assert toxicity.reject_toxic(edge_docs, odd).count() in range(edge_docs.count() + 1)
+
+
+def test_an_id_with_very_many_rows_gives_few(spark, monkeypatch):
+    rows = [(1, f"you idiot number {i}") for i in range(4000)] + [(1, "the same")] * 4000 + [(i, f"a kind word {i}") for i in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, *_: seen.append((texts, y)))
+    toxicity.fit_on(docs, labels)
+    texts, y = seen[0]
+    assert 0 < sum(y) <= 60 and len(set(texts)) == len(texts) and len(texts) - sum(y) > 15
