@@ -40,11 +40,8 @@ def words(text: Column) -> Column:
 
 def _runs(width: int) -> Column:
     """All runs of ``width`` words of the array ``ws`` as structs w0 to w4, null beyond the width; none if there are fewer words."""
-    n, none = F.col("n"), F.lit(None).cast("string")
-    runs = F.arrays_zip(*[F.slice("ws", k + 1, F.greatest(n - (width - 1), F.lit(0))).alias(f"w{k}") for k in range(width)])
-    if width < WIDTH:
-        runs = F.transform(runs, lambda r: F.struct(*[(r[f"w{k}"] if k < width else none).alias(f"w{k}") for k in range(WIDTH)]))
-    return runs
+    count, none = F.greatest(F.col("n") - (width - 1), F.lit(0)), F.array().cast("array<string>")
+    return F.arrays_zip(*[(F.slice("ws", k + 1, count) if k < width else none).alias(f"w{k}") for k in range(WIDTH)])
 
 
 def _shingles(df: DataFrame, text: str, keep: list[str], widths: list[int] | None = None) -> DataFrame:
@@ -53,14 +50,16 @@ def _shingles(df: DataFrame, text: str, keep: list[str], widths: list[int] | Non
     With ``widths`` all runs of these widths; without, runs of five words, or
     one of all words of a shorter text.
     """
+    n = F.col("n")
     if widths is None:
-        runs = F.when(F.col("n") >= WIDTH, _runs(WIDTH))
+        most, runs = F.greatest(n - (WIDTH - 1), F.lit(1)), F.when(n >= WIDTH, _runs(WIDTH))
         for width in range(1, WIDTH):
-            runs = runs.when(F.col("n") == width, _runs(width))
+            runs = runs.when(n == width, _runs(width))
     else:
-        runs = F.concat(*[_runs(width) for width in widths])
+        most = sum((F.greatest(n - (w - 1), F.lit(0)) for w in widths), F.lit(0))
+        runs = F.when(n >= widths[0], _runs(widths[0]) if len(widths) == 1 else F.concat(*[_runs(w) for w in widths]))
     return (df.select(*keep, words(F.col(text)).alias("ws")).withColumn("n", F.size("ws")).filter("n > 0")
-            .withColumn("runs", runs).select(*keep, "n", F.size("runs").alias("most"), F.inline("runs")))
+            .select(*keep, "n", most.alias("most"), F.inline(runs)))
 
 
 PARTS = [f"w{k}" for k in range(WIDTH)]
