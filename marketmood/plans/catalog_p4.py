@@ -258,13 +258,11 @@ def t6_large_lexicon(spark, sf_dir):
     return score_sentiment(docs, "text", "doc_id", _large_lexicon(spark, sf_dir))
 
 
-@register("t6_scores_in_row", W("scores") + """
+@register("j5_lexicon_join", W("scores") + """
 SELECT doc_id, neg, neu, pos, compound FROM scores
 """)
-def t6_scores_in_row(spark, sf_dir):
-    from marketmood.operators.sentiment import score_in_row
-    docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
-    return score_in_row(docs, "text", FX.lexicon(spark)).drop("text")
+def j5_lexicon_join(spark, sf_dir):
+    return P.document_scores(spark, sf_dir, FX.lexicon(spark))
 
 
 @register("a6_null_counts_prices", W("prices") + """

@@ -10,7 +10,7 @@ from marketmood.functions.dates import day_of
 from marketmood.operators import carry
 from marketmood.operators import indicators as ind
 from marketmood.operators.joins import join_daily
-from marketmood.operators.sentiment import score_sentiment
+from marketmood.operators.sentiment import score_in_row, score_sentiment
 from marketmood.operators.text_ops import lemmatise
 from marketmood.session import store
 from marketmood.sources import fixtures
@@ -18,9 +18,14 @@ from marketmood.sources.readers import read_text_table
 
 
 def document_scores(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None) -> DataFrame:
-    """Score every document once: ``(doc_id, neg, neu, pos, compound)``."""
+    """Score every document once: ``(doc_id, neg, neu, pos, compound)``.
+
+    The demo lexicon is carried in the rows' expression; a table is joined.
+    """
     docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
-    return score_sentiment(docs, "text", "doc_id", lex if lex is not None else fixtures.lexicon(spark))
+    if lex is None:
+        return score_in_row(docs, "text", dict(fixtures.DEMO_LEXICON)).drop("text")
+    return score_sentiment(docs, "text", "doc_id", lex)
 
 
 def scored_posts(spark: SparkSession, sf_dir: str, lex: DataFrame | None = None) -> DataFrame:

@@ -41,9 +41,11 @@ def test_window_block_shares_one_exchange(spark):
 
 
 def test_sentiment_stays_in_jvm(spark):
-    p = plan(P.document_scores(spark, SF0001))
+    p = plan(P.document_scores(spark, SF0001, FX.lexicon(spark)))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert "BroadcastHashJoin" in p
+    p = plan(P.document_scores(spark, SF0001))  # scored inside the row
+    assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "Exchange" not in p
 
 
 def test_symbol_filter_reaches_scan(spark):
