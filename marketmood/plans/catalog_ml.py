@@ -116,16 +116,24 @@ def _with_text(spark, sf_dir, labelled):
     return docs.join(labelled, "doc_id")
 
 
-# Fitted models are reused by the queries of one application and data folder
-# (the classifier feeds m3/m4/m8, the forecaster m5/m6): fit once, not per query.
+# Fitted models are reused by the queries of one application as long as the files
+# they were fitted on stay as they are (the classifier feeds m3/m4/m8, the
+# forecaster m5/m6): fit once, not per query.
 _FITTED: dict = {}
 
 
+def _files(spark, sf_dir, *tables):
+    """Path, time and size of every file of the tables; their contents aren't read."""
+    paths = [p for t in tables for p in spark.read.parquet(f"{sf_dir}/{t}.parquet").inputFiles()]
+    rows = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length").collect()
+    return tuple(sorted((r["path"], str(r["modificationTime"]), r["length"]) for r in rows))
+
+
 def _fitted(spark, sf_dir, name, fit):
     app = spark.sparkContext.applicationId
     for key in [k for k in _FITTED if k[0] != app]:  # of an application that has ended
         del _FITTED[key]
-    key = (app, name, sf_dir)
+    key = (app, name, _files(spark, sf_dir, "documents", "orders"))
     if key not in _FITTED:
         _FITTED[key] = fit()
     return _FITTED[key]
