@@ -236,7 +236,8 @@ def score_in_row(df: DataFrame, text_col: str = "text", lex: dict[str, float] |
         "_score_s": total(lambda v: v, lambda v: v.isNotNull()), "_score_ps": total(lambda v: v + 1, lambda v: v > 0),
         "_score_ns": total(lambda v: v - 1, lambda v: v < 0), "_score_nz": F.size(F.filter(vals, lambda v: v != 0))})
     scores = _shares(n, amp, F.col("_score_s"), F.col("_score_ps"), F.col("_score_ns"), F.col("_score_nz"))
-    return d.select(*[F.col(f"`{c}`") for c in kept], *[s.alias(c) for c, s in zip(out, scores)])
+    # A generator of one row: a filter on a score stays above it and isn't worked out by a copy of all expressions.
+    return d.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[s.alias(c) for c, s in zip(out, scores)]))))
 
 
 def score_sentiment(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
