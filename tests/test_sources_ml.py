@@ -144,3 +144,29 @@ def test_require_unique(spark):
     bad = spark.createDataFrame([("A", 1), ("A", 1)], "symbol string, d int")
     with pytest.raises(ValueError):
         require_unique(bad, ["symbol", "d"])
+
+
+def test_classifier_reads_its_texts_once_and_sums_on_the_cluster(spark):
+    """Each text was tokenised for IDF, moments and blocks apart, and the driver got several gradients an evaluation."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, ["good words here", "bad words there", "plain words"][i % 3], i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label long").repartition(5)
+    model = ML.fit_sentiment_classifier(df.withColumn("text", noted.asNondeterministic()("text")), num_features=1 << 12, max_iter=20)
+    assert seen.value == 60
+    assert [r.prediction for r in ML.predict_sentiment(df, model).orderBy("doc_id").collect()] == [r[2] for r in rows]
+    for splits in (1, 28, 200, 5000):
+        parts, depth = ML._tree_shape(splits)
+        assert parts * 4 >= splits
+        scale, left = 1, parts  # the levels that Spark makes of them
+        while scale ** depth < parts:
+            scale += 1
+        while left > scale + -(-left // scale):
+            left //= scale
+        assert left == 1
+    assert model.stages[-1].getAggregationDepth() == ML._tree_shape(1)[1]
