@@ -9,6 +9,7 @@ from marketmood.operators import indicators as ind
 from marketmood.operators import rollups as R
 from marketmood.operators import text_ops as TO
 from marketmood.operators.sentiment import lexicon_words, score_in_row, score_sentiment
+from marketmood.sources import fixtures as FX
 from marketmood.sources.readers import read_posts
 
 GOLDEN = [
@@ -168,3 +169,20 @@ def test_quantiles_narrow_until_few_rows_are_left(spark):
                 lo, hi = x[int(rank)], x[min(int(rank) + 1, len(x) - 1)]
                 want = lo if lo == hi or rank == int(rank) else lo + (hi - lo) * (rank - int(rank))
                 assert v == want or abs(v - want) <= 1e-9 * abs(want), (name, p)
+
+
+def test_texts_without_an_id_are_lemmatised_in_many_tasks(spark):
+    rows = [(None, ["idiots", f"w{i}"]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = TO.lemmatise(df, FX.lemmas(spark)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.lemmas for r in out) == sorted(["idiot", r[1][1]] for r in rows)
+    sizes = [sum(r.task == t for r in out) for t in {r.task for r in out}]
+    assert max(sizes) < 200
