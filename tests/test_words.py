@@ -9,6 +9,7 @@ from marketmood.operators import indicators as ind
 from marketmood.operators import rollups as R
 from marketmood.operators import text_ops as TO
 from marketmood.operators.sentiment import lexicon_words, score_in_row, score_sentiment
+from marketmood.session import store
 from marketmood.sources import fixtures as FX
 from marketmood.sources.readers import read_posts
 
@@ -186,3 +187,13 @@ def test_texts_without_an_id_are_lemmatised_in_many_tasks(spark):
     assert sorted(r.lemmas for r in out) == sorted(["idiot", r[1][1]] for r in rows)
     sizes = [sum(r.task == t for r in out) for t in {r.task for r in out}]
     assert max(sizes) < 200
+
+
+def test_encoding_leaves_rows_in_their_task(spark):
+    df = spark.range(100).repartition(6).select(F.spark_partition_id().cast("long").alias("doc_id"),
+                                                F.array(F.lit("a"), F.lit(None).cast("string"), F.lit("z")).alias("tokens"))
+    vocab = spark.createDataFrame([("a", 4), ("b", 5), (None, 6)], "token string, id long")
+    out = TO.encode_tokens(store(df, "rows"), vocab, max_len=6)
+    assert {tuple(r.input_ids) for r in out.collect()} == {(2, 4, 1, 1, 3, 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 100 and "Generate" not in plan
