@@ -170,3 +170,17 @@ def test_classifier_reads_its_texts_once_and_sums_on_the_cluster(spark):
             left //= scale
         assert left == 1
     assert model.stages[-1].getAggregationDepth() == ML._tree_shape(1)[1]
+
+
+def test_posts_are_written_compressed_and_unsorted(spark, tmp_path):
+    rows = [(f"2022-09-{i % 28 + 1:02d} 01:00:00+00:00", f'"line {i}"\nand, another', "ABC"[i % 3], "c") for i in range(90)]
+    posts = spark.createDataFrame(rows, "date string, text string, symbol string, company string").coalesce(1)
+    path = str(tmp_path / "csv")
+    write_posts(posts, path, fmt="csv", partition_by=None, compression="gzip")
+    assert [f.name for f in (tmp_path / "csv").glob("part-*")] == [f.name for f in (tmp_path / "csv").glob("*.csv.gz")]
+    assert sorted(r.text for r in read_posts(spark, path).collect()) == sorted(r[1] for r in rows)
+    write_posts(posts, str(tmp_path / "pq"), compression="zstd")
+    assert len(list((tmp_path / "pq").glob("symbol=*/*.zstd.parquet"))) == 3
+    back = spark.read.parquet(str(tmp_path / "pq")).select("date", "text", "symbol", "company")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
