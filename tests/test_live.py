@@ -101,3 +101,15 @@ def test_bars_of_several_batches(spark, tmp_path):
     live = LV.LiveTable(spark, f"{tmp_path}/live", LV.bar_parts("ts", "k", "v"), LV.merge_bar_parts).run(s)
     bars = sorted(tuple(r) for r in LV.bars_of(live.table()).collect())
     assert bars == [("A", dt.date(2024, 3, 1), 2.0, 9.0, 2.0, 9.0, 5), ("A", dt.date(2024, 3, 2), 1.0, 1.0, 1.0, 1.0, 1)]
+
+
+def test_texts_that_posts_name_are_scored_once_a_batch(spark, tmp_path):
+    texts = spark.createDataFrame([(0, "best worthless best!"), (1, None), (2, "not best"), (None, "clown")],
+                                  "doc_id long, text string")
+    rows = [(DAY + dt.timedelta(days=i % 3), "AB"[i % 2], i % 4 if i % 5 else None) for i in range(60)]
+    posts = spark.createDataFrame(rows, "ts timestamp, symbol string, doc_id long")
+    posts.coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    found = spark.readStream.schema(posts.schema).parquet(f"{tmp_path}/in/*")
+    live = LV.LiveTable(spark, f"{tmp_path}/live", LV.sentiment_parts(FX.lexicon(spark), texts=texts), LV.merge_sentiment_parts)
+    whole = spark.createDataFrame(posts.join(texts, "doc_id").select("ts", "symbol", "text").collect(), SCHEMA)
+    assert got(live.run(found)) == want(spark, whole)
