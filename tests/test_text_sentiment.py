@@ -208,3 +208,14 @@ def test_nfkd_normalisation_before_scoring(spark):
     assert plain[1] == 0.0
     assert normed[1] == norm(3.2 + 2 * 0.292)
     assert normed[2] == plain[2] == norm(3.2)
+
+
+def test_nfkd_of_many_rows_is_arrow_to_arrow(spark):
+    import unicodedata
+
+    from pyspark.util import PythonEvalType
+    texts = [None, "", "plain", "\ufb01 \u00e9\u0323", "\uac00\u1100\u1161", "\u2460\u33a5", "e\u0323\u0301"] * 60
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").coalesce(1)
+    out = [r.n for r in df.select("i", TX.nfkd("text").alias("n")).orderBy("i").collect()]
+    assert out == [None if t is None else unicodedata.normalize("NFKD", t) for t in texts]
+    assert TX._nfkd.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
