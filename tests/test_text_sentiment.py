@@ -219,3 +219,66 @@ def test_nfkd_of_many_rows_is_arrow_to_arrow(spark):
     out = [r.n for r in df.select("i", TX.nfkd("text").alias("n")).orderBy("i").collect()]
     assert out == [None if t is None else unicodedata.normalize("NFKD", t) for t in texts]
     assert TX._nfkd.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
+def _of_plan(plan):
+    """All operators of an executed plan, through its stages."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+        yield from _of_plan(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+        return
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _of_plan(children.apply(i))
+
+
+@pytest.fixture
+def shuffled_lexicon(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k"}
+    kept = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in kept.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_shuffled_lexicon_moves_its_hits_and_splits_a_common_word(spark, shuffled_lexicon):
+    n, words = 4000, 40  # every text: one common lexicon word among words that aren't in the lexicon
+    plain = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda k: F.concat(F.lit("word"), F.col("id") * 100 + k)), " ")
+    docs = spark.range(n).repartition(8).select(F.col("id").alias("doc_id"), F.concat(plain, F.lit(" best")).alias("text"))
+    lex = FX.lexicon(spark).union(spark.range(20_000).select(F.concat(F.lit("listed"), "id"), F.lit(1.0)))
+    out = score_sentiment(docs, lex=lex)
+    rows = out.collect()
+    assert len(rows) == n and {r.compound for r in rows} == {norm(3.2)}
+    plan = out._jdf.queryExecution().executedPlan()
+    moved = [p.metrics().apply("shuffleRecordsWritten").value() for p in _of_plan(plan) if p.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert max(moved) < 40_000  # a header and a hit a text, and the lexicon: not the 164,000 tokens
+    assert "SortMergeJoin(skew=true)" in plan.toString()
+
+
+def test_predecessors_in_a_shuffled_lexicon_change_nothing(spark, shuffled_lexicon, monkeypatch):
+    from marketmood.operators import sentiment as S
+    words = dict(FX.DEMO_LEXICON) | {"not": -0.5, "very": 0.4, "least": 0.3, "at": 0.2, "isn't": -1.0, "doubt": -0.9, "kind": 2.0,
+                                     "plain": 0.0, "so": 0.6, "été": 1.1}
+    lex = spark.createDataFrame(list(words.items()), "token string, valence double")
+    texts = ["not best", "isn't best", "isn't very best", "wasn't best", "never so best", "least best", "at least best", "very least best",
+             "best at least trash", "kind of best", "KIND best day", "plain plain", "without doubt best", "VERY best but so-so ÉTÉ",
+             "really NOT trash!! but hardly, barely best??", "aren't AT least best", "", " ", None, "best " * 300]
+    rows = [(i % 15, t) for i, t in enumerate(texts)] + [(None, "not best"), (None, "not best"), (1, "isn't best")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    idioms = {"so best": 1.7, "least best": -2.0, "best at least": 0.7}
+    table = spark.createDataFrame(list(idioms.items()), "phrase string, valence double")
+
+    def got(scores):
+        return sorted(str(tuple(r)) for r in scores.select("doc_id", "neg", "neu", "pos", "compound").collect())
+
+    plain, phrased = got(S.score_in_row(df, "text", words)), got(S.score_in_row(df, "text", words, phrases=idioms))
+    assert plain != phrased
+    assert got(score_sentiment(df, lex=lex)) == plain
+    assert got(score_sentiment(df, lex=lex, phrases=table)) == phrased
+    monkeypatch.setattr(S, "FILTER_BLOCKS", 1)  # a filter that is full lets words pass that aren't listed
+    assert got(score_sentiment(df, lex=lex)) == plain
